@@ -10,7 +10,7 @@ anchors, so all copies of a window meet in the shard of their anchor.  The steps
 3. a group takes the windows around such anchors, settles those that repeat inside the group with an index
    of its own, and ships only each window's first document, as byte segments, to the anchor's shard: a passage
    that a third of all documents hold costs one segment a group, not one a document;
-4. a shard indexes its segments and finds for each window whether a smaller doc_id has it;
+4. a shard indexes its segments, equal ones once, and finds for each window whether a smaller doc_id has it;
 5. the answers go back to the groups, where documents are cut.
 
 The index of steps 3 and 4 is a parameter: a suffix array by bucket-pointer refinement, or a compressed
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from . import blocks as b
 from .storage import groups_for, text_bytes
 
-GROUP_BYTES = 6 << 20
-SHARD_BYTES = 4 << 20
+GROUP_BYTES = 4 << 20
+SHARD_BYTES = 3 << 20
 
 #: (segment bytes, segment offsets, doc_id of each segment, index of its first window, number of windows) -> for
 #: all windows, segment by segment: the smallest doc_id that has it
@@ -61,7 +61,7 @@ class Group:
     def __init__(self, table: pa.Table, unit: Unit):
         buf, offs = b.texts_of(table["text"])
         ids = b.ids_of(table["doc_id"])
-        at = b.Spans(buf)(offs[:-1], offs[1:]) if len(ids) else np.zeros(0, np.uint64)
+        at = b.hashes(buf, offs)
         order = np.lexsort((at, ids))
         self.table = table.take(pa.array(order))
         self.buf, self.offs = b.texts_of(self.table["text"])
@@ -179,7 +179,7 @@ def segments_of(unit: Unit, shards: int, index: Index):
             return pa.table({c.split()[0]: pa.array([], pa.int32() if c.split()[1] == "int" else pa.binary()) for c in SEGMENTS.split(", ")})
         wanted = np.sort(np.concatenate([h.astype(np.uint64) | (np.uint64(p) << np.uint64(32)) for p, h in by_part.items()]))
         group = Group(table, unit)
-        parts, rows, ats, counts, lows, highs = [], [], [], [], [], []
+        parts, codes, rows, ats, counts, lows, highs = [], [], [], [], [], [], []
         for i, _, starts, ends, bounds, grams, shift in group.blocks():
             start, anchor = group.windows(bounds, grams)
             if not len(start):
@@ -194,36 +194,32 @@ def segments_of(unit: Unit, shards: int, index: Index):
             first = start[cut]
             doc = np.searchsorted(bounds, first, "right") - 1
             parts.append(part[found].astype(np.int64))
+            codes.append(code[found].view(np.int64))
             rows.append(i + doc)
             ats.append(first - bounds[doc])
             counts.append(n)
             lows.append(starts[first] + shift)
             highs.append(ends[first + n + unit.length - 2] + shift)
-        part, row, at, n, low, high = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (parts, rows, ats, counts, lows, highs))
-        # windows that a smaller document of this group has are settled here; the others go to their shards
+        part, code, row, at, n, low, high = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (parts, codes, rows, ats, counts, lows, highs))
+        # anchors that several documents of this group have: what repeats here is settled here
         settled = np.zeros((0, 3), np.int64)
-        open_part, open_row, open_at, open_n, open_low, open_high = [], [], [], [], [], []
-        for k in _portions(part, high - low):
+        keep = np.ones(len(part), bool)
+        for k in _portions(part, high - low, _in_several(code, group.ids[row])):
             seg = _cut(group.buf, low[k], high[k], group.ids[row[k]], n[k])
-            least = index(seg)
-            own = np.repeat(seg.doc, seg.n_windows)
-            which = np.repeat(np.arange(len(k)), seg.n_windows)
-            step = np.arange(len(which)) - np.repeat(np.cumsum(seg.n_windows) - seg.n_windows, seg.n_windows)
+            least = once(index, seg)
+            own, (which, step) = np.repeat(seg.doc, seg.n_windows), steps(seg.n_windows)
             gone = least < own
             settled = np.concatenate([settled, _spans(row[k][which[gone]], (at[k][which] + step)[gone])])
-            keep = np.zeros(len(k), bool)
-            keep[which[~gone]] = True  # a segment with any open window goes whole
-            k = k[keep]
-            open_part.append(part[k]), open_row.append(row[k]), open_at.append(at[k])
-            open_n.append(n[k]), open_low.append(low[k]), open_high.append(high[k])
-        part, row, at, n, low, high = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (open_part, open_row, open_at, open_n, open_low, open_high))
+            keep[k] = False
+            keep[k[which[~gone]]] = True  # a segment with any open window goes whole
+        part, row, at, n, low, high = (x[keep] for x in (part, row, at, n, low, high))
         order = np.argsort(part, kind="stable")
         part, row, at, n, low, high = (x[order] for x in (part, row, at, n, low, high))
         cut = np.flatnonzero(_first_of_runs(part))
         out = {c.split()[0]: [] for c in SEGMENTS.split(", ")}
         for x, y in zip(cut, np.append(cut[1:], len(part))):
             seg = _cut(group.buf, low[x:y], high[x:y], group.ids[row[x:y]], n[x:y])
-            for name, v in zip(out, (int(part[x]), q, _pack(row[x:y].astype(np.uint32)), _pack(seg.doc), _pack(at[x:y]), _pack(n[x:y].astype(np.uint8)), _pack((high - low)[x:y].astype(np.uint32)), _pack(seg.data), b"")):
+            for name, v in zip(out, (int(part[x]), q, _planes(row[x:y], np.uint32), _planes(seg.doc, np.int64), _planes(at[x:y], np.int64), _planes(n[x:y], np.uint8), _planes((high - low - n)[x:y], np.uint32), _pack(seg.data), b"")):
                 out[name].append(v)
         # what is settled travels with the rest, so that documents are cut in one place
         if len(settled):
@@ -234,9 +230,39 @@ def segments_of(unit: Unit, shards: int, index: Index):
     return run
 
 
-def _portions(part: np.ndarray, size: np.ndarray, most: int = 3 << 20):
-    """Indexes of segments in portions of about `most` bytes, never splitting one anchor range: equal windows stay together."""
-    order = np.argsort(part, kind="stable")
+def _planes(x: np.ndarray, kind) -> bytes:
+    """Byte by byte of all values: leading zeros lie together and compress."""
+    x = np.ascontiguousarray(x, kind)
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _unplanes(x: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(size, len(x) // size).T).view(kind).ravel().astype(np.int64)
+
+
+def steps(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For windows that stand segment by segment: the segment of each, and its place in it."""
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _in_several(code: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which anchors occur in more than one document."""
+    if not len(code):
+        return np.zeros(0, bool)
+    order = np.lexsort((doc, code))
+    first = np.flatnonzero(_first_of_runs(code[order]))
+    last = np.append(first[1:], len(code)) - 1
+    out = np.zeros(len(code), bool)
+    out[order] = np.repeat(doc[order][first] != doc[order][last], last - first + 1)
+    return out
+
+
+def _portions(part: np.ndarray, size: np.ndarray, some: np.ndarray, most: int = 2 << 20):
+    """Indexes of some segments in portions of about `most` bytes, never splitting one anchor range: equal windows stay together."""
+    order = np.flatnonzero(some)
+    order = order[np.argsort(part[order], kind="stable")]
     if not len(order):
         return
     filled = np.cumsum(size[order])
@@ -250,6 +276,19 @@ def _portions(part: np.ndarray, size: np.ndarray, most: int = 3 << 20):
         at = end
 
 
+def once(index: Index, seg: Segments) -> np.ndarray:
+    """The index's answer, with equal segments indexed once, under the least of their documents."""
+    size = np.diff(seg.offs)
+    key = b.mix(b.hashes(seg.data, seg.offs) + seg.n_windows.astype(np.uint64) * b.COEFF[50])
+    _, first, same = np.unique(key, return_index=True, return_inverse=True)
+    doc = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(doc, same, seg.doc)
+    lone = _cut(seg.data, seg.offs[:-1][first], seg.offs[:-1][first] + size[first], doc, seg.n_windows[first])
+    least = index(lone)
+    which, step = steps(seg.n_windows)
+    return least[(np.cumsum(lone.n_windows) - lone.n_windows)[same[which]] + step]
+
+
 def _cut(buf: np.ndarray, low: np.ndarray, high: np.ndarray, doc: np.ndarray, n: np.ndarray) -> Segments:
     size = high - low
     offs = np.append(0, np.cumsum(size))
@@ -267,20 +306,22 @@ def resolve(unit: Unit, index: Index):
         for q, x in zip(got["q"], got["settled"]):
             if x:
                 spans.setdefault(q, []).append(np.frombuffer(x, np.int64).reshape(-1, 3))
-        joined = lambda c, kind: np.frombuffer(b"".join(got[c]), kind)
-        row, doc, at, n, size = joined("row", np.uint32).astype(np.int64), joined("doc", np.int64), joined("at", np.int64), joined("n", np.uint8).astype(np.int64), joined("size", np.uint32).astype(np.int64)
+        whole = lambda c, kind: np.concatenate([_unplanes(x, kind) for x in got[c]] or [np.zeros(0, np.int64)])
+        row, doc, at, n, size = whole("row", np.uint32), whole("doc", np.int64), whole("at", np.int64), whole("n", np.uint8), whole("size", np.uint32)
         if len(row):
             group = np.repeat(np.array(got["q"], np.int64), [len(x) // 4 for x in got["row"]])
-            seg = Segments(joined("data", np.uint8), np.append(0, np.cumsum(size)), doc, n)
-            gone = index(seg) < np.repeat(doc, n)
-            which = np.repeat(np.arange(len(row)), n)
-            step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            data = np.frombuffer(b"".join(got.pop("data")), np.uint8)
+            least = once(index, Segments(data, np.append(0, np.cumsum(size + n)), doc, n))
+            which, step = steps(n)
+            gone = np.flatnonzero(least < doc[which])
             which, step = which[gone], step[gone]
+            order = np.argsort(group[which], kind="stable")
+            which, step = which[order], step[order]
             g = group[which]
-            for q in np.unique(g):
-                m = g == q
-                k = which[m]
-                spans.setdefault(int(q), []).append(_spans(row[k], at[k] + step[m]))
+            cut = np.flatnonzero(_first_of_runs(g))
+            for x, y in zip(cut, np.append(cut[1:], len(g))):
+                k = which[x:y]
+                spans.setdefault(int(g[x]), []).append(_spans(row[k], at[k] + step[x:y]))
         return pa.table({"q": pa.array(list(spans), pa.int32()), "spans": pa.array([_pack(np.concatenate(x)) for x in spans.values()], pa.binary())})
 
     return run

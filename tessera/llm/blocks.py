@@ -108,6 +108,14 @@ def slices(buf: np.ndarray, offs: np.ndarray, most: int = BLOCK) -> Iterator[tup
         i = j
 
 
+def hashes(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """A hash of each text."""
+    out = [np.zeros(0, U64)]
+    for _, _, part, at in slices(buf, offs, 1 << 20):
+        out.append(Spans(part)(at[:-1], at[1:]))
+    return np.concatenate(out)
+
+
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and the first word of each document (with the total at the end)."""
     n = len(buf)

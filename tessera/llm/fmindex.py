@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import blocks as b
-from .anchored import Group, Segments, Unit, covered, removed_by_document
+from .anchored import Group, Segments, Unit, covered, removed_by_document, steps
 
 
 class WaveletMatrix:
@@ -132,8 +132,7 @@ def least_document(length: int):
         text = np.zeros(len(starts) + len(seg.doc), np.int64)
         text[place] = number + 1
         owner = np.repeat(seg.doc, np.diff(bounds) + 1)
-        which = np.repeat(np.arange(len(seg.doc)), seg.n_windows)
-        step = np.arange(len(which)) - np.repeat(np.cumsum(seg.n_windows) - seg.n_windows, seg.n_windows)
+        which, step = steps(seg.n_windows)
         begin = bounds[:-1][which] + which + step
         fm = FmIndex(text, length)
         # equal windows are searched once

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchored import Group, Segments, Unit, covered, removed_by_document
+from .anchored import Group, Segments, Unit, covered, removed_by_document, steps
 
 Q = 8
 
@@ -32,9 +32,9 @@ def bucket_pointers(data: np.ndarray, depth: int, q: int = Q) -> np.ndarray:
     sorted_gram = gram[order]
     new = np.ones(n + 1, bool)
     new[1:n] = sorted_gram[1:] != sorted_gram[:-1]
-    slot = np.arange(n)
+    slot = np.arange(n, dtype=order.dtype)
     head = np.maximum.accumulate(np.where(new[:n], slot, 0))
-    pointer = np.empty(n + depth, np.int64)
+    pointer = np.empty(n + depth, order.dtype)
     pointer[n:] = 0
     pointer[order] = head + 1  # 0 is the end
     alone = new[:n] & new[1:]
@@ -62,8 +62,7 @@ def least_document(length: int):
 
     def index(seg: Segments) -> np.ndarray:
         pointer = bucket_pointers(seg.data, length)
-        which = np.repeat(np.arange(len(seg.doc)), seg.n_windows)
-        step = np.arange(len(which)) - np.repeat(np.cumsum(seg.n_windows) - seg.n_windows, seg.n_windows)
+        which, step = steps(seg.n_windows)
         mine = pointer[seg.offs[:-1][which] + step]
         least = np.full(len(pointer) + 2, np.iinfo(np.int64).max)
         np.minimum.at(least, mine, seg.doc[which])
@@ -97,7 +96,7 @@ def _cut(keep_text: bool):
     return cut
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 16, keep_text: bool = True) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 20, keep_text: bool = True) -> DataFrame:
     """Each document without the bytes covered by a `length`-byte string that also starts in a smaller doc_id.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left; a cut can fall inside a
