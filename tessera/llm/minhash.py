@@ -4,9 +4,12 @@
    a odd), grouped into bands; documents with one set share one representative from here on.
 2. Within each bucket of a band all members are compared with the bucket's least one.  A pair's signatures are
    compared first; what is far below the threshold goes, all other pairs are confirmed on their full sets.
-3. Confirmed links join into components.  Then, in every bucket that still holds several components, pairs of
-   members from different components are compared in the same way: a group of copies, whatever its size, is one
-   component by then and costs nothing, so pairs don't grow with the square of a group.
+3. Confirmed links join into components.  Then, in every bucket that still holds several components, members of
+   different components are compared in the same way.  A group of copies is one component by then and costs nothing.
+   What is left are documents that were edited too much; their edits are shingles that no other document left has, and
+   these bound what a pair can share: with r shingles that are not its own alone, a pair of sizes n and m shares at
+   most the lesser r, so (100 + percent) * r >= percent * (n + m) must hold.  1024 further minima, a bit of each, are
+   compared in the join itself, and a pair is taken in the first bucket that both have.  Few pairs pass.
 4. Components are joined anew over all links.
 """
 
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as b
 from .components import connected_components
-from .storage import materialize
+from .storage import groups_for, materialize, text_bytes
 
 BANDS, ROWS = 26, 5
 _A = b.stream(21, 1024) | np.uint64(1)
@@ -139,6 +142,12 @@ def _alike(least: int):
     return run
 
 
+def _full(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs confirmed on their full sets."""
+    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("left")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("right")), "v")
+    return both.select("u", "v", "left", "right").mapInArrow(_verify(width, percent), "u long, v long")
+
+
 def _confirm(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, percent: int, hashes: int) -> DataFrame:
     pairs = pairs.distinct()
     signed = pairs.join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("su")), "u").join(sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("sv")), "v")
@@ -146,8 +155,74 @@ def _confirm(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: int
     t = percent / 100
     least = int(hashes * t - 6 * (hashes * t * (1 - t)) ** 0.5)
     close = materialize(signed.select("u", "v", "su", "sv").mapInArrow(_alike(least), "u long, v long"))
-    full = close.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("left")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("right")), "v")
-    return full.select("u", "v", "left", "right").mapInArrow(_verify(width, percent), "u long, v long")
+    return _full(close, texts, width, percent)
+
+
+OWN = "p int, hashes binary, docs binary, several binary, of binary, sizes binary"
+
+
+def _own_shingles(width: int, shards: int):
+    """Shingles of a block by range, each once, with its document and whether several have it; and sets' sizes."""
+
+    def run(batches):
+        for batch in batches:
+            buf, offs = b.texts_of(batch.column("text"))
+            ids = b.ids_of(batch.column("doc_id"))
+            for i, j, part, at in b.slices(buf, offs):
+                values, bounds = shingle_sets(part, at, width)
+                doc = np.repeat(ids[i:j], np.diff(bounds))
+                order = np.argsort(values)
+                values, doc = values[order], doc[order]
+                first = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+                several = np.diff(np.append(first, len(values))) > 1
+                values, doc = values[first], doc[first]
+                shard = (values >> np.uint64(32)) % np.uint64(shards)
+                out = {c.split()[0]: [] for c in OWN.split(", ")}
+                for k in np.unique(shard).tolist():
+                    m = shard == k
+                    for name, v in zip(out, (k, values[m].tobytes(), doc[m].tobytes(), several[m].tobytes(), b"", b"")):
+                        out[name].append(v)
+                for name, v in zip(out, (int(ids[i]) % shards, b"", b"", b"", ids[i:j].tobytes(), np.diff(bounds).tobytes())):
+                    out[name].append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if c == "p" else pa.binary()) for c, v in out.items()], names=list(out))
+
+    return run
+
+
+FINE = 1024
+
+
+def _fine(width: int):
+    """One bit of each of FINE further minima, 64 to a number: equal bits come with (1 + s) / 2 for similarity s."""
+
+    def run(batches):
+        for batch in batches:
+            buf, offs = b.texts_of(batch.column("text"))
+            out = []
+            for _, _, part, at in b.slices(buf, offs):
+                values, bounds = shingle_sets(part, at, width)
+                some = np.flatnonzero(np.diff(bounds))
+                bits = np.zeros((len(bounds) - 1, FINE), np.uint8)
+                if len(some):
+                    low = minima(b.mix(values), np.append(bounds[:-1][some], bounds[-1]), FINE)
+                    bits[some] = (b.mix(low.ravel()) >> np.uint64(63)).astype(np.uint8).reshape(low.shape)
+                out += np.packbits(bits, axis=1).view(np.int64).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], names=["node", "fine"])
+
+    return run
+
+
+def _count_own(key, table):
+    """Per document the shingles of this range that it alone has, and its set's size where it is told here."""
+    get = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind)
+    values, doc, several = get("hashes", np.uint64), get("docs", np.int64), get("several", bool)
+    order = np.argsort(values)
+    values, doc, several = values[order], doc[order], several[order]
+    new = np.append(True, values[1:] != values[:-1]) if len(values) else np.zeros(0, bool)
+    alone = new & np.append(new[1:], True)[: len(new)] & ~several
+    ids, count = np.unique(doc[alone], return_counts=True)
+    of, sizes = get("of", np.int64), get("sizes", np.int64)
+    return pa.table({"doc_id": np.concatenate([ids, of]), "own": np.concatenate([count.astype(np.int64), np.zeros(len(of), np.int64)]), "n": np.concatenate([np.zeros(len(ids), np.int64), sizes])})
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -182,9 +257,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     placed = crowded.select("bucket", F.col("v").alias("node")).join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("bucket")
     placed = materialize(placed.join(mixed, "bucket", "left_semi"))
-    one, two = placed.select("bucket", F.col("node").alias("u"), F.col("component").alias("cu")), placed.select("bucket", F.col("node").alias("v"), F.col("component").alias("cv"))
-    across = one.join(two, "bucket").filter("u < v and cu != cv").select("u", "v").join(crowded.select("u", "v"), ["u", "v"], "left_anti")
-    more = materialize(_confirm(across, sketches, texts, width, percent, hashes))
+    left = texts.join(placed.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    shards = groups_for(text_bytes(left), 8 << 20)
+    sizes = left.mapInArrow(_own_shingles(width, shards), OWN).groupBy("p").applyInArrow(_count_own, "doc_id long, own long, n long").groupBy("doc_id").agg(F.sum("n").alias("n"), (F.sum("n") - F.sum("own")).alias("r"))
+    sized = placed.join(sizes.withColumnRenamed("doc_id", "node"), "node")
+    smallest = sized.groupBy("bucket").agg(F.min("n").alias("least_n"))
+    able = sized.join(smallest, "bucket").filter(F.expr(f"{100 + percent} * r >= {percent} * (n + least_n)")).drop("least_n")
+    bands_of = single.groupBy("doc_id").agg(F.min_by("bands", "print").alias("all")).withColumnRenamed("doc_id", "node")
+    fine = left.mapInArrow(_fine(width), "node long, fine array<long>")
+    able = materialize(able.join(bands_of, "node").join(fine, "node"))
+    one, two = (able.select("bucket", F.col("node").alias(x), *(F.col(c).alias(f"{c[0]}{x}") for c in ("component", "n", "r", "all", "fine"))) for x in "uv")
+    # four and a half standard deviations of the bits; then a pair counts in the first bucket that both have
+    p = (1 + percent / 100) / 2
+    least_bits = int(FINE * p - 4.5 * (FINE * p * (1 - p)) ** 0.5)
+    same_bits = " + ".join(f"64 - bit_count(fu[{k}] ^ fv[{k}])" for k in range(FINE // 64))
+    first = "bucket = filter(au, x -> array_contains(av, x))[0]"
+    across = one.join(two, "bucket").filter(F.expr(f"u < v and cu != cv and {100 + percent} * least(ru, rv) >= {percent} * (nu + nv) and {same_bits} >= {least_bits} and {first}")).select("u", "v").join(crowded.select("u", "v"), ["u", "v"], "left_anti")
+    more = materialize(_full(across.distinct(), texts, width, percent))
     if more.limit(1).count():
         found = connected_components(links.unionByName(more))
     return signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
