@@ -331,7 +331,7 @@ def removed_by_document(docs: DataFrame, unit: Unit, index: Index, cut: Callable
     """cut(group, row numbers, first units, last units + 1 of removed stretches) makes the result table of a group.
 
     Uses doc_id and text alone, so other columns may have any names.  A null text is empty.  A row with a null
-    doc_id keeps everything and is no source.  Rows that share a doc_id are not each other's source.
+    doc_id comes after all others: what they have goes, and it is no source.  Rows that share a doc_id are not each other's source.
     """
     size = text_bytes(docs)
     groups, shards = groups_for(size, GROUP_BYTES), groups_for(size, SHARD_BYTES)

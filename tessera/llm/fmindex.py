@@ -181,7 +181,7 @@ def remove_repeated_words(docs: DataFrame, length: int = 13, gram: int = 5, keep
     """Each document without the words covered by a run of `length` words that also starts in a smaller doc_id.
 
     Returns doc_id, n_words, n_removed, kept_sha256 and kept (the words left, joined by one space; null unless
-    keep_text).  One row per input row.  Null or blank text: no words.  Null doc_id: kept whole, no source.  Rows with
+    keep_text).  One row per input row.  Null or blank text: no words.  A null doc_id comes after all others and is no source.  Rows with
     one doc_id are not each other's source.  No documents: no rows.
     """
     return removed_by_document(docs, Unit(True, length, gram), least_document(length), _cut(keep_text), SCHEMA)

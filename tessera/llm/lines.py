@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import fresh, materialize
 
 LEAST_SITES, LOG_SIZE, NEAR = 10, 10, 2.0
 
@@ -57,15 +57,16 @@ def clean_lines(docs: DataFrame, least_sites: int = LEAST_SITES) -> DataFrame:
     A line is compared without blanks at its ends; lines without a word stay.  A null text stays null.  Rows with a
     null source are no site but are cleaned.  Repeated rows are cleaned alike.  No documents: no rows.
     """
-    own = docs.withColumn("__key", F.xxhash64(F.col("doc_id"), F.col("text")))
+    key, gone_at, kept_at = (fresh(docs, c) for c in ("__key", "__gone", "__kept"))
+    own = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.col("text")))
     found = materialize(boilerplate(docs, least_sites))
-    gone = _marked(own.select(F.col("__key").alias("key"), F.col("text").cast("string").alias("text")), found)
-    joined = own.join(gone.select(F.col("key").alias("__key"), F.col("gone").alias("__gone")), "__key", "left")
+    gone = _marked(own.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text")), found)
+    joined = own.join(gone.select(F.col("key").alias(key), F.col("gone").alias(gone_at)), key, "left")
     lines = F.split(F.col("text").cast("string"), "\n")
-    is_gone = lambda x: F.array_contains(F.col("__gone"), F.struct(_hash(_bare(x)).alias("h"), F.xxhash64(_bare(x), F.lit(1)).alias("h2")))
-    kept = F.when(F.col("__gone").isNull(), lines).otherwise(F.filter(lines, lambda x: (_bare(x) == "") | ~is_gone(x)))
-    return joined.withColumn("__kept", kept).withColumns({
-        "text": F.when(F.col("__gone").isNull(), F.col("text").cast("string")).otherwise(F.array_join("__kept", "\n")),
+    is_gone = lambda x: F.array_contains(F.col(gone_at), F.struct(_hash(_bare(x)).alias("h"), F.xxhash64(_bare(x), F.lit(1)).alias("h2")))
+    kept = F.when(F.col(gone_at).isNull(), lines).otherwise(F.filter(lines, lambda x: (_bare(x) == "") | ~is_gone(x)))
+    return joined.withColumn(kept_at, kept).withColumns({
+        "text": F.when(F.col(gone_at).isNull(), F.col("text").cast("string")).otherwise(F.array_join(kept_at, "\n")),
         "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"),
-        "n_removed": F.coalesce(F.size(lines) - F.size("__kept"), F.lit(0)).cast("long"),
-    }).drop("__key", "__gone", "__kept")
+        "n_removed": F.coalesce(F.size(lines) - F.size(kept_at), F.lit(0)).cast("long"),
+    }).drop(key, gone_at, kept_at)

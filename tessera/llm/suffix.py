@@ -100,7 +100,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 20, kee
     """Each document without the bytes covered by a `length`-byte string that also starts in a smaller doc_id.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left; a cut can fall inside a
-    character; null unless keep_text).  One row per input row.  Null text: empty.  Null doc_id: kept whole, no
+    character; null unless keep_text).  One row per input row.  Null text: empty.  A null doc_id comes after all others and is no
     source.  Rows with one doc_id are not each other's source.  No documents: no rows.
     """
     return removed_by_document(docs, Unit(False, length, gram), least_document(length), _cut(keep_text), SCHEMA)
