@@ -292,8 +292,10 @@ def _find(crf: Crf, sure: float):
 
 def fit(docs: DataFrame, most_docs: int = FIT_DOCS) -> Crf:
     """Fit on the texts of at most most_docs documents with a digit or @ (least hash of doc_id and text)."""
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    picked = own.select(F.xxhash64("doc_id", "text").alias("h"), "text").orderBy("h").limit(most_docs).collect()
+    own = docs.select(F.xxhash64("doc_id", "text").alias("h"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
+    # only hashes meet for the choice; texts of the chosen few follow
+    last = own.select("h").orderBy("h").limit(most_docs).agg(F.max("h")).first()[0]
+    picked = own.filter(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).collect() if last is not None else []
     return Crf.fit([Field(r.text, base_spans(r.text)) for r in sorted(picked, key=lambda r: (r.h, r.text))])
 
 
