@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as x
+from tessera.functions import features
 from tessera.operators import disclosure, followup, models, pairs, panel
 from tessera.sources.bindings import person_years, table
 
@@ -356,6 +357,83 @@ def cluster_row_constancy(s, d):
     return p.groupBy("simple_id").agg(F.countDistinct(F.xxhash64("ge", "gbja")).alias("n")).groupBy("n").agg(F.count("*").alias("persons"))
 
 
+def _spells(s, d):
+    """Two spell slots and two application dates of each order, by its dates and key."""
+    k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    return table(s, d, "orders").select(
+        "o_orderkey",
+        day.alias("day"),
+        F.year(day).alias("ja"),
+        *(F.when(k % m != 0, F.date_add(day, (k % a).cast("int"))).alias(f"s{i}") for i, m, a in ((1, 3, 40), (2, 5, 300))),
+        *(F.when(k % m != 0, F.date_add(day, (k % a).cast("int"))).alias(f"e{i}") for i, m, a in ((1, 4, 90), (2, 5, 350))),
+        F.concat((k % 4 * 10).cast("string"), F.lit(".0")).alias("c1"),
+        (k % 3 * 10).alias("c2"),
+    )
+
+
+@query
+def spell_slots(s, d):
+    f = _spells(s, d)
+    y = F.col("ja")
+    out = features.slots(y, [(F.col("s1"), F.col("e1"), F.col("c1")), (F.col("s2"), F.col("e2"), F.col("c2"))], CODES)
+    return f.select("o_orderkey", *(c.alias(n) for n, c in out.items()), features.dated_in_year(y, F.col("e1"), F.col("e2")).alias("ended"), features.marriage_years(F.col("e2"), F.col("day"), F.col("e1")).alias("years"))
+
+
+@query
+def value_missing_pairs(s, d):
+    f = features.value_and_missing(_panel(s, d).select("simple_id", "ja", "entgelt", "rtzb", "code", "gbja", "death_year"), ["entgelt", "rtzb"])
+    return features.categories(f, ["code"]).select("simple_id", "ja", "entgelt", "rtzb", "entgelt_missing", "rtzb_missing", "code", features.masked_age(F.col("ja"), F.col("gbja"), F.col("death_year")).alias("age"))
+
+
+@query
+def status_labels(s, d):
+    return _panel(s, d).groupBy(features.status_label(F.when(F.col("simple_id") % 9 != 0, F.col("simple_id") % 5)).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query
+def event_time_flags(s, d):
+    e = F.col("ja") - F.col("first_exposure_year")
+    p = _panel(s, d).withColumns({"et": e, "pre": F.coalesce(e < 0, F.lit(False)), "post": F.coalesce(e >= 0, F.lit(False))})
+    return p.groupBy("et", "pre", "post").agg(F.count("*").alias("n"), F.countDistinct("simple_id").alias("persons"), F.sum("rehab").alias("rehabs"))
+
+
+@query
+def sample_overview(s, d):
+    one = _panel(s, d).agg(F.count("*").alias("person_years"), F.countDistinct("simple_id").alias("persons"), F.sum("rehab").alias("rehabs"), F.sum("msk").alias("msk"), F.countDistinct(F.when(F.col("first_exposure_year").isNotNull(), F.col("simple_id"))).alias("exposed"))
+    return one.unpivot([], ["person_years", "persons", "rehabs", "msk", "exposed"], "metric", "value")
+
+
+@query
+def annual_panel(s, d):
+    return _panel(s, d).groupBy("ja").agg(F.count("*").alias("rows"), F.countDistinct("simple_id").alias("persons"), F.countDistinct(F.when(F.col("msk") == 1, F.col("simple_id"))).alias("msk_persons"), F.min(F.when(F.col("rehab") == 1, F.col("simple_id"))).alias("first_rehab_person"), _r(F.avg("entgelt"), 3).alias("mean_earnings"))
+
+
+@query
+def matched_vs_unmatched(s, d):
+    risk = _risk(s, d).filter("treated = 0")
+    got = _pairs(s, d).select(F.col("c_id").alias("simple_id"), "t0", F.lit(1).alias("m")).distinct()
+    f = risk.join(got, ["simple_id", "t0"], "left").withColumn("matched", F.coalesce("m", F.lit(0)))
+    return f.groupBy("matched").agg(F.count("*").alias("n"), _r(F.avg("lag1_age"), 5).alias("age"), _r(F.avg("lag1_ever_rehab"), 6).alias("ever_rehab"), _r(F.percentile("lag1_entgelt", 0.5), 3).alias("median_earnings"), _r(F.avg(F.col("lag1_rtzb").isNull().cast("int")), 6).alias("no_pension"))
+
+
+@query
+def code_shares(s, d):
+    rows = _spells(s, d)
+    both = rows.select("ja", F.lit(1).alias("slot"), F.col("c1").try_cast("double").try_cast("int").alias("code")).unionByName(rows.select("ja", F.lit(2).alias("slot"), F.col("c2").cast("int").alias("code")))
+    n = both.groupBy("ja", "slot", "code").agg(F.count("*").alias("n"))
+    return n.withColumn("share", _r(F.col("n") / F.sum("n").over(Window.partitionBy("ja", "slot"))))
+
+
+@query
+def sex_incidence(s, d):
+    """Incidence in the last year by sex and arm, and its risk difference."""
+    follow = _follow(s, d).withColumn("grp", F.col("treated") * 10 + 1 + F.col("simple_id") % 2)
+    c = follow.groupBy("grp", "follow_year").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == 1).alias("d1"), F.count_if(F.col("event_type") == 2).alias("d2"))
+    r = followup.survival(c, (F.col("d1") + F.col("d2")) / F.col("n"), "grp").groupBy("grp").agg(F.sum(F.col("surv_before") * F.col("d1") / F.col("n")).alias("risk"))
+    arm = lambda a, n: r.filter(F.floor(F.col("grp") / 10) == a).select((F.col("grp") % 10).alias("sex"), F.col("risk").alias(n))
+    return arm(1, "t").join(arm(0, "c"), "sex", "full").select("sex", _r("t").alias("treated_risk"), _r("c").alias("control_risk"), _r(F.col("t") - F.col("c")).alias("risk_difference"))
+
+
 # Without SQL: fits, optimal matching, draws and simulations; tests compare with brute force or fixed invariants.
 
 

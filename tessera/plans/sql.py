@@ -87,7 +87,34 @@ infl AS (
     - coalesce((SELECT sum(e) FROM e WHERE e.match_group = c.match_group AND e.event_time = -1), 0) / (SELECT n FROM mean WHERE event_time = -1) AS f
   FROM mean k, (SELECT DISTINCT match_group FROM events2) c WHERE k.event_time <> -1)"""
 
+SPELLS = """sp AS (
+  SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, year(o_orderdate) AS ja,
+    CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INT) END AS s1, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 300 AS INT) END AS s2,
+    CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 90 AS INT) END AS e1, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 350 AS INT) END AS e2,
+    CAST(o_orderkey % 4 * 10 AS INT) AS c1, CAST(o_orderkey % 3 * 10 AS INT) AS c2 FROM orders)"""
+STARTS = "coalesce(year({0}) = ja, false)"
+
 SELECTS = {
+    "spell_slots": f""", {SPELLS}, f AS (SELECT *, {STARTS.format("s1")} AS b1, {STARTS.format("s2")} AS b2 FROM sp)
+SELECT o_orderkey, b1::INT + b2::INT AS n_spells, (b1 AND c1 IN (20, 30))::INT + (b2 AND c2 IN (20, 30))::INT AS n_subset,
+  coalesce(CASE WHEN b1 AND e1 >= s1 THEN e1 - s1 + 1 END, 0) + coalesce(CASE WHEN b2 AND e2 >= s2 THEN e2 - s2 + 1 END, 0) AS spell_days,
+  ({STARTS.format("e1")} OR {STARTS.format("e2")})::INT AS ended, CASE WHEN day <= e2 AND (e1 IS NULL OR e1 >= e2) THEN greatest(year(e2) - year(day), 0) END AS years FROM f""",
+    "value_missing_pairs": """SELECT simple_id, ja, coalesce(entgelt, 0) AS entgelt, coalesce(rtzb, 0) AS rtzb, (entgelt IS NULL)::INT AS entgelt_missing, (rtzb IS NULL)::INT AS rtzb_missing,
+  coalesce(CAST(code AS VARCHAR), '__MISSING__') AS code, CASE WHEN (death_year IS NULL OR ja <= death_year) AND ja - gbja BETWEEN 0 AND 125 THEN ja - gbja END AS age FROM bind_panel""",
+    "status_labels": """, c AS (SELECT CASE WHEN simple_id % 9 <> 0 THEN simple_id % 5 END AS c FROM bind_panel)
+SELECT CASE WHEN c IS NULL THEN 'missing' WHEN c = 1 THEN 'married' WHEN c = 2 THEN 'divorced' WHEN c = 3 THEN 'widowed' ELSE 'code_' || c END AS label, count(*) AS n FROM c GROUP BY 1""",
+    "event_time_flags": "SELECT ja - first_exposure_year AS et, coalesce(ja < first_exposure_year, false) AS pre, coalesce(ja >= first_exposure_year, false) AS post, count(*) AS n, count(DISTINCT simple_id) AS persons, CAST(sum(rehab) AS BIGINT) AS rehabs FROM bind_panel GROUP BY ALL",
+    "sample_overview": """, o AS (SELECT count(*) AS person_years, count(DISTINCT simple_id) AS persons, CAST(sum(rehab) AS BIGINT) AS rehabs, CAST(sum(msk) AS BIGINT) AS msk, count(DISTINCT simple_id) FILTER (first_exposure_year IS NOT NULL) AS exposed FROM bind_panel)
+SELECT 'person_years' AS metric, person_years AS value FROM o UNION ALL SELECT 'persons', persons FROM o UNION ALL SELECT 'rehabs', rehabs FROM o UNION ALL SELECT 'msk', msk FROM o UNION ALL SELECT 'exposed', exposed FROM o""",
+    "annual_panel": "SELECT ja, count(*) AS rows, count(DISTINCT simple_id) AS persons, count(DISTINCT simple_id) FILTER (msk = 1) AS msk_persons, min(simple_id) FILTER (rehab = 1) AS first_rehab_person, round(avg(entgelt), 3) AS mean_earnings FROM bind_panel GROUP BY 1",
+    "matched_vs_unmatched": """, f AS (SELECT *, ((simple_id, t0) IN (SELECT c_id, t0 FROM pairs))::INT AS matched FROM risk WHERE treated = 0)
+SELECT matched, count(*) AS n, round(avg(lag1_age), 5) AS age, round(avg(lag1_ever_rehab), 6) AS ever_rehab, round(quantile_cont(lag1_entgelt, 0.5), 3) AS median_earnings, round(avg((lag1_rtzb IS NULL)::INT), 6) AS no_pension FROM f GROUP BY 1""",
+    "code_shares": f""", {SPELLS}, n AS (SELECT ja, slot, code, count(*) AS n FROM (SELECT ja, 1 AS slot, c1 AS code FROM sp UNION ALL SELECT ja, 2, c2 FROM sp) GROUP BY ALL)
+SELECT *, round(n / sum(n) OVER (PARTITION BY ja, slot), 6) AS share FROM n""",
+    "sex_incidence": """, c AS (SELECT treated, 1 + simple_id % 2 AS sex, follow_year, count(*) AS n, count(*) FILTER (event_type = 1) AS d1, count(*) FILTER (event_type = 2) AS d2 FROM follow GROUP BY ALL),
+s AS (SELECT a.*, coalesce((SELECT product(1.0 - (b.d1 + b.d2) / b.n) FROM c b WHERE b.treated = a.treated AND b.sex = a.sex AND b.follow_year < a.follow_year), 1.0) AS before FROM c a),
+r AS (SELECT treated, sex, sum(before * d1 / n) AS risk FROM s GROUP BY ALL), t AS (SELECT sex, risk AS t FROM r WHERE treated = 1), u AS (SELECT sex, risk AS c FROM r WHERE treated = 0)
+SELECT sex, round(t, 6) AS treated_risk, round(c, 6) AS control_risk, round(t - c, 6) AS risk_difference FROM t FULL JOIN u USING (sex)""",
     "dedup_least_missing": "SELECT simple_id, ja, ord, entgelt, rtzb, code, death_year FROM bind_dedup",
     "duplicate_key_audit": "SELECT simple_id, ja, count(*) AS n_rows FROM bind_raw GROUP BY ALL HAVING count(*) > 1 ORDER BY n_rows DESC, simple_id, ja LIMIT 100000",
     "death_conflict_audit": """, dc AS (SELECT simple_id, CASE WHEN ord % 5 = 0 THEN ja ELSE death_year END AS y FROM bind_raw)
