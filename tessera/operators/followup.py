@@ -70,19 +70,26 @@ def event_study(panel: DataFrame, reference: int = -1) -> DataFrame:
 
     A cluster's influence on the coefficient is its residual sum at k over n_k less that at the reference over
     n_ref, so the sandwich is a sum of squares over clusters, in two aggregations."""
-    means = panel.groupBy("event_time").agg(F.count("*").alias("n"), F.avg("pair_diff").alias("mean"))
-    ref = means.filter(F.col("event_time") == reference).select(F.col("n").alias("n_ref"), F.col("mean").alias("mean_ref"))
-    coef = means.filter(F.col("event_time") != reference).crossJoin(F.broadcast(ref))  # one row
-    resid = panel.join(F.broadcast(means.select("event_time", "mean")), "event_time").withColumn("e", F.col("pair_diff") - F.col("mean"))  # a row an event time
-    at_ref = resid.filter(F.col("event_time") == reference).groupBy("match_group").agg(F.sum("e").alias("e_ref"))
-    at_k = resid.filter(F.col("event_time") != reference).groupBy("event_time").agg(F.sum(F.col("e") * F.col("e")).alias("ss"))
-    both = resid.filter(F.col("event_time") != reference).join(at_ref, "match_group").groupBy("event_time").agg(F.sum(F.col("e") * F.col("e_ref")).alias("cross"))
-    ss_ref = at_ref.agg(F.sum(F.col("e_ref") * F.col("e_ref")).alias("ss_ref"))
-    sizes = panel.agg(F.countDistinct("match_group").alias("g"), F.count("*").alias("rows"), F.countDistinct("event_time").alias("k"))
-    out = coef.join(at_k, "event_time").join(both, "event_time", "left").crossJoin(F.broadcast(ss_ref)).crossJoin(F.broadcast(sizes))  # one row each
-    var = F.col("ss") / (F.col("n") * F.col("n")) + F.col("ss_ref") / (F.col("n_ref") * F.col("n_ref")) - 2 * F.coalesce("cross", F.lit(0.0)) / (F.col("n") * F.col("n_ref"))
-    scale = F.col("g") / F.greatest(F.col("g") - 1, F.lit(1)) * (F.col("rows") - 1) / F.greatest(F.col("rows") - F.col("k"), F.lit(1))
-    return out.select("event_time", "n", (F.col("mean") - F.col("mean_ref")).alias("estimate"), F.sqrt(scale * var).alias("se"))
+    # a row an event time reaches the driver, of a window of a few years
+    means = {r.event_time: r for r in panel.groupBy("event_time").agg(F.count("*").alias("n"), F.avg("pair_diff").alias("mean")).collect()}
+    schema = "event_time int, n long, estimate double, se double"
+    if reference not in means:
+        return panel.sparkSession.createDataFrame([], schema)
+    at = F.create_map(*[F.lit(v) for k, r in means.items() for v in (k, float(r["mean"]))])
+    resid = panel.withColumn("e", F.col("pair_diff") - at[F.col("event_time")])
+    e_ref = F.coalesce(F.max(F.when(F.col("event_time") == reference, F.col("e"))).over(Window.partitionBy("match_group")), F.lit(0.0))
+    sums = resid.withColumn("e_ref", e_ref).groupBy("event_time").agg(F.sum(F.col("e") * F.col("e")).alias("ss"), F.sum(F.col("e") * F.col("e_ref")).alias("cross")).collect()
+    g = panel.agg(F.countDistinct("match_group")).first()[0]
+    rows, k, ref = sum(r.n for r in means.values()), len(means), means[reference]
+    ss_ref = next(r.ss for r in sums if r.event_time == reference)
+    scale = g / max(g - 1, 1) * (rows - 1) / max(rows - k, 1)
+    out = []
+    for r in sums:
+        if r.event_time != reference:
+            n = means[r.event_time].n
+            var = r.ss / n**2 + ss_ref / ref.n**2 - 2 * r.cross / (n * ref.n)
+            out.append((r.event_time, n, float(means[r.event_time]["mean"] - ref["mean"]), max(0.0, scale * var) ** 0.5))
+    return panel.sparkSession.createDataFrame(sorted(out), schema)
 
 
 def ipcw(rows: DataFrame, floor: float = 0.02, cap: float = 20.0) -> DataFrame:
