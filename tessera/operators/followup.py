@@ -92,6 +92,31 @@ def event_study(panel: DataFrame, reference: int = -1) -> DataFrame:
     return panel.sparkSession.createDataFrame(sorted(out), schema)
 
 
+def pretrend(panel: DataFrame, reference: int = -1) -> DataFrame:
+    """Joint Wald test that all coefficients before the reference are 0, with the pair-clustered covariance.
+
+    A pair's influence on coefficient k is its residual at k over n_k less that at the reference over n_ref; their
+    cross products by event times make the covariance in one aggregation."""
+    import numpy as np
+
+    from tessera.functions.stats import chi2_tail
+
+    means = {r.event_time: r for r in panel.groupBy("event_time").agg(F.count("*").alias("n"), F.avg("pair_diff").alias("mean")).collect()}  # a row an event time
+    early = sorted(k for k in means if k < reference)
+    schema = "chi2 double, df int, p double"
+    if reference not in means or not early:
+        return panel.sparkSession.createDataFrame([(None, 0, None)], schema)
+    e = lambda k: F.sum(F.when(F.col("event_time") == k, F.col("pair_diff") - float(means[k]["mean"])).otherwise(0.0))
+    per = panel.groupBy("match_group").agg(*((e(k) / means[k].n - e(reference) / means[reference].n).alias(f"f{i}") for i, k in enumerate(early)))
+    m = len(early)
+    sums = per.agg(F.count("*").alias("g"), *(F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"m{i}_{j}") for i in range(m) for j in range(i, m))).first()
+    rows, k = sum(r.n for r in means.values()), len(means)
+    cov = np.array([[sums[f"m{min(i, j)}_{max(i, j)}"] for j in range(m)] for i in range(m)]) * sums.g / max(sums.g - 1, 1) * (rows - 1) / max(rows - k, 1)
+    b = np.array([means[t]["mean"] - means[reference]["mean"] for t in early])
+    chi2, df = float(b @ np.linalg.pinv(cov) @ b), int(np.linalg.matrix_rank(cov))
+    return panel.sparkSession.createDataFrame([(chi2, df, chi2_tail(chi2, df) if df else None)], schema)
+
+
 def ipcw(rows: DataFrame, floor: float = 0.02, cap: float = 20.0) -> DataFrame:
     """Inverse probability weights: capped product of 1 / max(p, floor) over the years so far."""
     w = Window.partitionBy(*GROUP).orderBy("follow_year").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import exprs as x
 from tessera.functions import features
-from tessera.operators import disclosure, followup, models, pairs, panel
+from tessera.operators import disclosure, followup, gcomp, models, pairs, panel
 from tessera.sources.bindings import person_years, table
 
 CODES = [20, 30]
@@ -467,6 +467,19 @@ def gcomp_decomposition(s, d):
     return models.decomposition(followup.mediation_grid(_risk(s, d), _panel(s, d)), _panel(s, d))
 
 
+@query
+def gcomp_simulated(s, d):
+    p, risk = _panel(s, d), _risk(s, d)
+    deaths = p.groupBy("simple_id").agg(F.max("death_year").alias("dy"))
+    g = followup.mediation_grid(risk, p).join(risk.select("simple_id", "t0", F.col("lag1_age").alias("age")), ["simple_id", "t0"]).join(deaths, "simple_id", "left")
+    return gcomp.simulate(g.withColumn("y", F.coalesce((F.col("dy") == F.col("t0") + F.col("follow_year")).cast("int"), F.lit(0))))
+
+
+@query
+def pretrend_wald(s, d):
+    return followup.pretrend(_events(s, d)).select(_r("chi2").alias("chi2"), "df", _r("p").alias("p"))
+
+
 def queries():
     return QUERIES
 

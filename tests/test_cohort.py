@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.config import CohortConfig, changes, rebuild_from
-from tessera.functions import exprs, features
-from tessera.operators import disclosure, followup, models, pairs, panel
+from tessera.functions import exprs, features, stats
+from tessera.operators import disclosure, followup, gcomp, models, pairs, panel
 from tessera.plans import catalog
 from tessera.sources import align
 
@@ -39,7 +39,7 @@ def test_queries_equal_their_sql(spark):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"hash_partition_sample", "propensity_fit", "optimal_match", "hazard_logit", "cluster_bootstrap_ci", "gcomp_decomposition"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"hash_partition_sample", "propensity_fit", "optimal_match", "hazard_logit", "cluster_bootstrap_ci", "gcomp_decomposition", "gcomp_simulated", "pretrend_wald"}
 
 
 def best_matching(t, c, caliper):
@@ -159,6 +159,40 @@ def test_bootstrap_and_partitions(spark):
     assert abs(one.ci_low - two.ci_low) < 1e-12 and one.ci_low <= one.risk_difference <= one.ci_high
 
 
+def test_tails():
+    assert abs(stats.normal_two_sided(1.959963984540054) - 0.05) < 1e-12
+    for x in (0.1, 1.0, 5.0, 30.0):
+        assert abs(stats.chi2_tail(x, 2) - math.exp(-x / 2)) < 1e-12 and abs(stats.chi2_tail(x, 1) - stats.normal_two_sided(math.sqrt(x))) < 1e-12
+
+
+def test_pretrend(spark):
+    """With one early year the Wald statistic is the squared estimate over its variance."""
+    rng = random.Random(3)
+    rows = [(g, 1998, t, 0, 0, rng.choice((-1, 0, 0, 1, 1))) for g in range(80) for t in (-2, -1, 0, 1)]
+    df = spark.createDataFrame(rows, "match_group long, t0 int, event_time int, treated_rehab int, control_rehab int, pair_diff int")
+    one = {r.event_time: r for r in followup.event_study(df).collect()}[-2]
+    got = followup.pretrend(df).first()
+    assert got.df == 1 and abs(got.chi2 - (one.estimate / one.se) ** 2) < 1e-9
+
+
+def test_simulated_decomposition(spark):
+    """Treatment brings the mediator, and the mediator alone brings the outcome: the effect is indirect."""
+    rng, rows = random.Random(6), []
+    for i in range(1500):
+        treated, had = i % 2, 0
+        for t in (1, 2, 3):
+            new = int(not had and rng.random() < (0.5 if treated else 0.1))
+            now = max(had, new)
+            rows.append((i, 2000, treated, 40 + i % 20, t, None, had, new, now, int(rng.random() < (0.3 if now else 0.05))))
+            had = now
+    df = spark.createDataFrame(rows, "simple_id long, t0 int, treated int, age int, follow_year int, gap_year int, mediator_before int, mediator_new int, mediator_now int, y int")
+    got = {r.effect: r.value for r in gcomp.simulate(df, simulations=10).collect()}
+    assert got["total"] > 0.15 and abs(got["direct"]) < 0.07 and got["proportion"] > 0.7
+    again = {r.effect: r.value for r in gcomp.simulate(df.repartition(5), simulations=10).collect()}
+    assert all(abs(got[k] - again[k]) < 1e-4 for k in got)
+    assert all(r.value is None for r in gcomp.simulate(df.filter("false")).collect())
+
+
 def test_config():
     assert CohortConfig.from_yaml("lag_depth: 3\nmsk_codes: [20]").lag_depth == 3
     for bad in ({"lag_depth": 2}, {"caliper": 0}, {"msk_codes": (30,)}, {"outcome_bootstrap": 5}, {"sample_tag": "a/b"}, {"year_cap": 2022}):
