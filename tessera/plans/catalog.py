@@ -467,6 +467,11 @@ def gcomp_decomposition(s, d):
     return models.decomposition(followup.mediation_grid(_risk(s, d), _panel(s, d)), _panel(s, d))
 
 
+@query
+def subgroup_contrasts(s, d):
+    return models.contrasts(_follow(s, d).withColumn("grp", 1 + F.col("match_group") % 3), "grp")
+
+
 @query
 def gcomp_simulated(s, d):
     p, risk = _panel(s, d), _risk(s, d)

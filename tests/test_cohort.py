@@ -39,7 +39,7 @@ def test_queries_equal_their_sql(spark):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"hash_partition_sample", "propensity_fit", "optimal_match", "hazard_logit", "cluster_bootstrap_ci", "gcomp_decomposition", "gcomp_simulated", "pretrend_wald"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"hash_partition_sample", "propensity_fit", "optimal_match", "hazard_logit", "cluster_bootstrap_ci", "gcomp_decomposition", "gcomp_simulated", "pretrend_wald", "subgroup_contrasts"}
 
 
 def best_matching(t, c, caliper):
@@ -159,6 +159,16 @@ def test_bootstrap_and_partitions(spark):
     assert abs(one.ci_low - two.ci_low) < 1e-12 and one.ci_low <= one.risk_difference <= one.ci_high
 
 
+def test_contrasts(spark):
+    rng = random.Random(2)
+    rows = [(i, a, 1, int(rng.random() < (0.5 if a and i % 3 == 2 else 0.1)), i % 3) for i in range(900) for a in (0, 1)]
+    df = spark.createDataFrame(rows, "match_group long, treated int, follow_year int, event_type int, grp int")
+    got = {r.grp: r for r in models.contrasts(df, "grp", 100).collect()}
+    assert set(got) == {1, 2} and got[2].estimate > 0.25 and got[2].p_holm < 0.01 and got[1].p > 0.01
+    for r in got.values():
+        assert abs(r.p - stats.normal_two_sided(r.estimate / r.se)) < 1e-6 and r.p_holm >= r.p and r.ci_low <= r.estimate <= r.ci_high
+
+
 def test_tails():
     assert abs(stats.normal_two_sided(1.959963984540054) - 0.05) < 1e-12
     for x in (0.1, 1.0, 5.0, 30.0):
