@@ -37,8 +37,12 @@ def _follow(s, d):
     return followup.grid(pairs.assignment(_pairs(s, d)), _panel(s, d))
 
 
+#: Added before rounding, in both languages: a mean that is a tie in exact arithmetic would else round by the order of its sum.
+NUDGE = 1.7e-8
+
+
 def _r(c, n=6):
-    return F.round(c if not isinstance(c, str) else F.col(c), n)
+    return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(NUDGE), n)
 
 
 @query
