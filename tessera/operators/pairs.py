@@ -70,13 +70,36 @@ def solve(t: np.ndarray, c: np.ndarray, caliper: float) -> list[tuple[int, int]]
     return out[::-1]
 
 
-def match_year(scored: DataFrame, caliper: float = CALIPER) -> DataFrame:
-    """Optimal one-to-one pairs within each stratum (null-safe keys).  Controls that no treated score is near to are
-    dropped first, by the same range window as caliper_edges, so a stratum's task holds candidates only."""
-    w = Window.partitionBy(*STRATA).orderBy("score_ppm").rangeBetween(-int(caliper), int(caliper))
-    near = scored.withColumn("_n", F.sum("treated").over(w)).filter("treated = 1 or _n > 0").select(*STRATA, "treated", "simple_id", "score_ppm")
-
-    def solve_stratum(pdf: pd.DataFrame) -> pd.DataFrame:
+def candidates(scored: DataFrame, caliper: int = CALIPER) -> DataFrame:
+    """Treated rows, and the controls that a best matching can need, with `part`: no edge joins two parts of a stratum.
+
+    Take the controls between two neighbouring treated scores.  If a treated one on the left holds one of them while a
+    control nearer to the left end is free, or is held from the right, exchanging them keeps all pairs and never adds
+    distance.  So the left side needs the nearest controls only, and no more than there are treated ones within
+    the caliper left of that end; likewise the right side.  All others go.  Windows run over distinct scores (at most a
+    million a stratum), not over rows; of equal controls the least ids stay.
+    """
+    arms = scored.groupBy(*STRATA, "score_ppm").agg(F.sum("treated").alias("t"), F.sum(1 - F.col("treated")).alias("c"))
+    w = Window.partitionBy(*STRATA).orderBy("score_ppm")
+    within = lambda a, b: F.sum("t").over(w.rangeBetween(a, b))
+    some = arms.withColumns({"near": within(-caliper, caliper), "l": within(-caliper, 0), "r": within(0, caliper)})
+    end = F.when(F.col("t") > 0, F.struct("score_ppm", "l", "r"))
+    some = some.withColumns({"lo": F.last(end, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "hi": F.first(end, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    gap = Window.partitionBy(*STRATA, "lo.score_ppm", "hi.score_ppm").orderBy("score_ppm")
+    ahead = lambda win: F.coalesce(F.sum("c").over(win), F.lit(0))
+    left = F.coalesce("lo.l", F.lit(0)) - ahead(gap.rowsBetween(Window.unboundedPreceding, -1))
+    right = F.coalesce("hi.r", F.lit(0)) - ahead(gap.rowsBetween(1, Window.unboundedFollowing))
+    quota = some.withColumn("quota", F.when(F.col("near") > 0, F.least("c", F.greatest(F.lit(0), left) + F.greatest(F.lit(0), right))).otherwise(0)).filter("t > 0 or quota > 0")
+    parts = quota.withColumn("cut", (F.col("score_ppm") - F.lag("score_ppm").over(w) > caliper).cast("int")).select(*(F.col(k).alias(f"_{k}") for k in [*STRATA, "score_ppm"]), F.coalesce(F.sum("cut").over(w), F.lit(0)).alias("part"), "quota")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*STRATA, "score_ppm"]]
+    rank = F.row_number().over(Window.partitionBy(*STRATA, "score_ppm", "treated").orderBy("simple_id"))
+    return scored.select(*STRATA, "treated", "simple_id", "score_ppm").withColumn("k", rank).join(parts, same).filter("treated = 1 or k <= quota").select(*STRATA, "part", "treated", "simple_id", "score_ppm")
+
+
+def match_year(scored: DataFrame, caliper: int = CALIPER) -> DataFrame:
+    """Optimal one-to-one pairs within each stratum (null-safe keys), solved by part of a stratum on its candidates."""
+
+    def solve_part(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score_ppm", "simple_id"])
         t, c = pdf[pdf.treated == 1], pdf[pdf.treated == 0]
         got = solve(t.score_ppm.to_numpy(float), c.score_ppm.to_numpy(float), caliper)
@@ -84,7 +107,7 @@ def match_year(scored: DataFrame, caliper: float = CALIPER) -> DataFrame:
         a, b = t.iloc[i], c.iloc[j]
         return pd.DataFrame({"t_id": a.simple_id.to_numpy(), "c_id": b.simple_id.to_numpy(), "t0": a.t0.to_numpy(), "distance": np.abs(a.score_ppm.to_numpy() - b.score_ppm.to_numpy())})
 
-    return near.groupBy(*STRATA).applyInPandas(solve_stratum, "t_id long, c_id long, t0 int, distance long")
+    return candidates(scored, caliper).groupBy(*STRATA, "part").applyInPandas(solve_part, "t_id long, c_id long, t0 int, distance long")
 
 
 def match_without_reuse(scored: DataFrame, save) -> DataFrame:

@@ -61,23 +61,30 @@ def lag(panel: DataFrame, depth: int) -> DataFrame:
 STAGES = ("in_window", "exposure_rule", "alive", "no_msk_now", "has_lag", "valid_age", "no_prior_msk")
 
 
-def staged(panel: DataFrame, first: int = FIRST, last: int = LAST) -> DataFrame:
-    """Candidates of both arms with the number of the last rule that they pass, in order."""
+def staged(panel: DataFrame, first: int = FIRST, last: int = LAST, depth: int = 1) -> DataFrame:
+    """Candidates of both arms with the number of the last rule that they pass, in order.  depth: so many years before
+    t0 need a row; those beyond the first make one more rule."""
     base = panel.filter(F.col("ja").between(first, last)).withColumn("t0", F.col("ja"))
     joined = base.join(lag(panel, 1), ["simple_id", "t0"], "left")
+    if depth > 1:
+        # rows of the years before t0, on the person's partitioning; the panel has one row a person-year
+        back = Window.partitionBy("simple_id").orderBy("ja").rangeBetween(-depth, -2)
+        joined = joined.join(panel.select("simple_id", F.col("ja").alias("t0"), F.count("*").over(back).alias("_back")), ["simple_id", "t0"], "left")
     age = F.col("lag1_source_year") - F.col("lag1_gbja")
     out = joined.withColumns({"treated": F.coalesce((F.col("first_exposure_year") == F.col("t0")).cast("int"), F.lit(0)), "lag1_age": age})
     rules = [F.lit(True), F.col("first_exposure_year").isNull() | (F.col("first_exposure_year") >= F.col("t0")), F.col("death_year").isNull() | (F.col("death_year") > F.col("t0")), F.col("msk") == 0, F.col("lag1_source_year").isNotNull(), age.between(0, 125), F.col("lag1_cum_msk") == 0]
+    if depth > 1:
+        rules.append(F.col("_back") == depth - 1)
     passed, ok = F.lit(0), F.lit(True)
     for rule in rules:
         ok = ok & F.coalesce(rule, F.lit(False))
         passed = passed + ok.cast("int")
-    return out.withColumn("passed", passed)
+    return out.withColumn("passed", passed).drop("_back")
 
 
-def risk_set(panel: DataFrame) -> DataFrame:
+def risk_set(panel: DataFrame, first: int = FIRST, last: int = LAST, depth: int = 1) -> DataFrame:
     """Treated and control candidates that pass all rules; controls only of years with treated ones."""
-    all_ = staged(panel).filter(F.col("passed") == len(STAGES)).withColumn("lag1_ever_rehab", (F.col("lag1_cum_rehab") > 0).cast("int"))
+    all_ = staged(panel, first, last, depth).filter(F.col("passed") == len(STAGES) + (depth > 1)).withColumn("lag1_ever_rehab", (F.col("lag1_cum_rehab") > 0).cast("int"))
     years = all_.filter("treated = 1").select("t0").distinct()
     return all_.join(F.broadcast(years), "t0", "left_semi")  # at most one row a calendar year
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import exprs as x
 from tessera.functions import features
-from tessera.operators import disclosure, followup, gcomp, models, pairs, panel
+from tessera.operators import design, disclosure, followup, gcomp, models, pairs, panel
 from tessera.sources.bindings import person_years, table
 
 CODES = [20, 30]
@@ -438,6 +438,22 @@ def sex_incidence(s, d):
     return arm(1, "t").join(arm(0, "c"), "sex", "full").select("sex", _r("t").alias("treated_risk"), _r("c").alias("control_risk"), _r(F.col("t") - F.col("c")).alias("risk_difference"))
 
 
+@query
+def lag_comparison(s, d):
+    """Cohort sizes and follow-up events of three specifications: one lag year, the same over the common years, three lag years."""
+    p, out = _panel(s, d), None
+    for name, first, depth in (("lag1", 1998, 1), ("lag1_common", 1999, 1), ("lag3", 1999, 3)):
+        risk = panel.risk_set(p, first, 1999, depth)
+        size = risk.agg(F.count_if(F.col("treated") == 1).alias("treated"), F.count_if(F.col("treated") == 0).alias("controls"))
+        got = pairs.rank_pairs(risk)
+        arm = lambda a: F.count_if((F.col("treated") == a) & (F.col("event_type") == 1))
+        events = followup.grid(pairs.assignment(got), p).agg(F.countDistinct("match_group").alias("pairs"), arm(1).alias("treated_events"), arm(0).alias("control_events"))
+        # one row each
+        row = size.withColumn("specification", F.lit(name)).join(events.withColumn("specification", F.lit(name)), "specification")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # Without SQL: fits, optimal matching, draws and simulations; tests compare with brute force or fixed invariants.
 
 
@@ -484,6 +500,19 @@ def gcomp_simulated(s, d):
     return gcomp.simulate(g.withColumn("y", F.coalesce((F.col("dy") == F.col("t0") + F.col("follow_year")).cast("int"), F.lit(0))))
 
 
+@query
+def hazard_adjusted(s, d):
+    covariates = _risk(s, d).select("simple_id", "t0", "treated", "lag1_age", "lag1_entgelt", "lag1_ever_rehab", "lag1_ge")
+    rows = _follow(s, d).join(covariates, ["simple_id", "t0", "treated"]).withColumn("y", (F.col("event_type") == 1).cast("int"))
+    return design.logit(rows, "y", design.columns(rows, numeric=["lag1_age"], amounts=["lag1_entgelt"], binary=["lag1_ever_rehab"], categorical=["lag1_ge"]))
+
+
+@query
+def landmark_mediation(s, d):
+    age = _risk(s, d).select("simple_id", "t0", "treated", (F.col("lag1_age") / 10).alias("age"))
+    return gcomp.landmark(pairs.assignment(_pairs(s, d)).join(age, ["simple_id", "t0", "treated"]), _panel(s, d), ("age",))
+
+
 @query
 def pretrend_wald(s, d):
     return followup.pretrend(_events(s, d)).select(_r("chi2").alias("chi2"), "df", _r("p").alias("p"))

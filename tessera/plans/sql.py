@@ -212,6 +212,23 @@ r AS (SELECT *, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (PAR
 SELECT family, test, round(p, 6) AS p, round(max(least(1.0, (m - k + 1) * p)) OVER (PARTITION BY family ORDER BY k), 6) AS p_holm FROM r""",
 }
 
+#: One specification of lag_comparison: {n} its name, {y} its first year, {b} the rows needed in the second and third year before t0.
+SPECIFICATION = """
+{n}_all AS (SELECT * FROM passing WHERE t0 >= {y} AND (SELECT count(*) FROM bind_panel b WHERE b.simple_id = passing.simple_id AND b.ja IN (t0 - 2, t0 - 3)) >= {b}),
+{n}_risk AS (SELECT *, row_number() OVER (PARTITION BY t0, lag1_ge, lag1_ever_rehab, treated ORDER BY simple_id) AS k FROM {n}_all WHERE t0 IN (SELECT t0 FROM {n}_all WHERE treated = 1)),
+{n}_pairs AS (SELECT t.t0, t.simple_id AS t_id, c.simple_id AS c_id FROM {n}_risk t JOIN {n}_risk c USING (t0, lag1_ge, lag1_ever_rehab, k) WHERE t.treated = 1 AND c.treated = 0),
+{n}_years AS (
+  SELECT m.treated, m.simple_id, m.t0, p.ja FROM (SELECT t0, t_id AS simple_id, 1 AS treated FROM {n}_pairs UNION ALL SELECT t0, c_id, 0 FROM {n}_pairs) m
+  JOIN bind_panel p ON p.simple_id = m.simple_id AND p.ja BETWEEN m.t0 + 1 AND m.t0 + 3 WHERE p.rehab = 1),
+{n}_events AS (
+  SELECT treated, simple_id, t0 FROM (SELECT treated, simple_id, t0, min(ja) AS ja FROM {n}_years GROUP BY ALL) e LEFT JOIN deaths d USING (simple_id) WHERE d.dy IS NULL OR d.dy >= e.ja)"""
+SPECIFICATIONS = (("lag1", 1998, 0), ("lag1_common", 1999, 0), ("lag3", 1999, 2))
+SELECTS["lag_comparison"] = "".join("," + SPECIFICATION.format(n=n, y=y, b=b) for n, y, b in SPECIFICATIONS) + " UNION ALL ".join(
+    f" SELECT '{n}' AS specification, (SELECT count(*) FROM {n}_risk WHERE treated = 1) AS treated, (SELECT count(*) FROM {n}_risk WHERE treated = 0) AS controls, (SELECT count(*) FROM {n}_pairs) AS pairs,"
+    f" (SELECT count(*) FROM {n}_events WHERE treated = 1) AS treated_events, (SELECT count(*) FROM {n}_events WHERE treated = 0) AS control_events"
+    for n, _, _ in SPECIFICATIONS
+)
+
 
 def nudged(sql: str, by: float) -> str:
     """sql with `by` added to what each round(value, digits) rounds."""

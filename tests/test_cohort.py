@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.config import CohortConfig, changes, rebuild_from
 from tessera.functions import exprs, features, stats
-from tessera.operators import disclosure, followup, gcomp, models, pairs, panel
+from tessera.operators import design, disclosure, followup, gcomp, models, pairs, panel
 from tessera.plans import catalog
+from tessera.plans.run import Run
 from tessera.sources import align
 
 DATA = "/root/testdata/sf0.001"
@@ -39,7 +40,7 @@ def test_queries_equal_their_sql(spark):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"hash_partition_sample", "propensity_fit", "optimal_match", "hazard_logit", "cluster_bootstrap_ci", "gcomp_decomposition", "gcomp_simulated", "pretrend_wald", "subgroup_contrasts"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"hash_partition_sample", "propensity_fit", "optimal_match", "hazard_logit", "cluster_bootstrap_ci", "gcomp_decomposition", "gcomp_simulated", "hazard_adjusted", "landmark_mediation", "pretrend_wald", "subgroup_contrasts"}
 
 
 def best_matching(t, c, caliper):
@@ -70,6 +71,22 @@ def test_no_control_twice(spark):
     assert pairs.match_without_reuse(df.filter("false"), models.save) is None
 
 
+def test_candidates_keep_the_best_matching(spark):
+    """Each t0 is a case of its own: the reduced and split strata give the count and distance of the whole ones."""
+    rng, rows, want = random.Random(4), [], {}
+    for case in range(60):
+        scores = {a: [rng.randint(0, rng.choice((25, 120))) for _ in range(rng.randint(0, n))] for a, n in ((1, 6), (0, 60))}
+        rows += [(i + 1000 * (1 - a), case, a, None if case % 2 else 1, 0, v) for a in (0, 1) for i, v in enumerate(scores[a])]
+        t, c = (np.array(sorted(scores[a]), float) for a in (1, 0))
+        got = pairs.solve(t, c, 5)
+        want[case] = (len(got), sum(abs(t[i] - c[j]) for i, j in got))
+    df = spark.createDataFrame(rows, "simple_id long, t0 int, treated int, lag1_ge int, lag1_ever_rehab int, score_ppm long")
+    found = {r.t0: (r.n, r.d) for r in pairs.match_year(df, 5).groupBy("t0").agg(F.count("*").alias("n"), F.sum("distance").alias("d")).collect()}
+    assert {k: v for k, v in want.items() if v[0]} == found
+    left = pairs.candidates(df, 5)
+    assert left.filter("treated = 1").count() == df.filter("treated = 1").count() and left.filter("treated = 0").count() < df.filter("treated = 0").count() / 2
+
+
 def people(spark, spec):
     rows, k = [], 0
     for code, n in spec:
@@ -152,6 +169,41 @@ def test_hazard_model(spark):
     assert abs(got["treated"].odds_ratio - (30 / 70) / (10 / 90)) < 1e-5 and got["treated"].se > 0
 
 
+def test_adjusted_model(spark):
+    """Against Newton steps and the sandwich over all rows, with a constant, a doubled and a missing-flagged column."""
+    rng, rows = random.Random(9), []
+    for i in range(400):
+        age = rng.choice((None, 30.0, 41.0, 55.5, 60.0))
+        for a in (0, 1):
+            for y in (1, 2):
+                rows.append((i, a, y, age, rng.choice((0.0, 10.0, 500.0)), rng.choice((0, 1, None)), rng.choice(("a", "b", None)), int(rng.random() < 0.15 + 0.2 * a)))
+    df = spark.createDataFrame([(*r, r[3], 7) for r in rows], "match_group long, treated int, follow_year int, age double, pay double, flag int, kind string, y int, age2 double, same int")
+    got = {r.term: r for r in design.logit(df, "y", design.columns(df, ["age", "age2", "same"], ["pay"], ["flag"], ["kind"])).collect()}
+    assert set(got) == {"intercept", "treated", "year_2", "age", "pay", "flag", "age_missing", "flag_missing", "kind_a", "kind_b"}
+    ages = [r[3] for r in rows if r[3] is not None]
+    flags = [r[5] for r in rows if r[5] is not None]
+    mode = min((0, 1), key=lambda v: (-flags.count(v), v))
+    z = lambda v: (v - v.mean()) / v.std()
+    col = lambda f: np.array([float(f(r)) for r in rows])
+    x = np.stack([col(lambda r: 1), col(lambda r: r[1]), col(lambda r: r[2] == 2), z(col(lambda r: np.median(ages) if r[3] is None else r[3])), z(col(lambda r: math.log1p(r[4]))), col(lambda r: mode if r[5] is None else r[5]), col(lambda r: r[3] is None), col(lambda r: r[5] is None), col(lambda r: r[6] == "a"), col(lambda r: r[6] == "b")], 1)
+    y, g, b = col(lambda r: r[7]), np.array([r[0] for r in rows]), np.zeros(10)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ b))
+        h = (x * (p * (1 - p))[:, None]).T @ x
+        b = b + np.linalg.solve(h, x.T @ (y - p))
+    s = np.array([(x * (y - p)[:, None])[g == v].sum(0) for v in np.unique(g)])
+    cov = np.linalg.inv(h) @ (s.T @ s) @ np.linalg.inv(h) * 400 / 399 * (len(y) - 1) / (len(y) - 10)
+    for i, name in enumerate(("intercept", "treated", "year_2", "age", "pay", "flag", "age_missing", "flag_missing", "kind_a", "kind_b")):
+        assert abs(got[name].coefficient - b[i]) < 1e-6 and abs(got[name].se - cov[i, i] ** 0.5) < 1e-6, name
+    assert got["treated"].method == "newton" and got["treated"].p < 0.01
+    alone = df.withColumn("y", F.col("treated"))
+    assert design.logit(alone, "y", design.columns(alone)).first().method == "ridge"
+    assert design.logit(df.filter("false"), "y", {"intercept": F.lit(1.0)}).count() == 0
+    with pytest.raises(ValueError):
+        wide = spark.range(3000).select(F.col("id").alias("match_group"), F.lit(1).alias("treated"), F.lit(1).alias("follow_year"), F.col("id").cast("string").alias("k"))
+        design.columns(wide, categorical=["k"])
+
+
 def test_bootstrap_and_partitions(spark):
     rows = [(i, a, 1, int((i * 7 + a) % 5 == 0)) for i in range(200) for a in (0, 1)]
     df = spark.createDataFrame(rows, "match_group long, treated int, follow_year int, event_type int")
@@ -203,6 +255,63 @@ def test_simulated_decomposition(spark):
     assert all(r.value is None for r in gcomp.simulate(df.filter("false")).collect())
 
 
+def test_landmark(spark):
+    """Without covariates the logits are saturated, so the effects are those of plain cell means."""
+    rng, members, years = random.Random(8), [], []
+    for i in range(800):
+        a = i % 2
+        m = int(rng.random() < (0.5 if a else 0.2))
+        dead = rng.random() < (0.4 if m else 0.1)
+        members.append((i // 2, 2000, i, a))
+        if i != 7:
+            years.append((i, 2001, m, (2002 if dead else None) if i != 11 else 2001))
+    df = spark.createDataFrame(members, "match_group long, t0 int, simple_id long, treated int")
+    panel_ = spark.createDataFrame(years, "simple_id long, ja int, msk int, death_year int")
+    got = {r.effect: r.value for r in gcomp.landmark(df, panel_).collect()}
+    kept = [(i % 2, m, d == 2002) for i, _, m, d in years if i // 2 not in (3, 5)]
+    mean = lambda v: sum(v) / len(v)
+    p = {a: mean([m for b, m, _ in kept if b == a]) for a in (0, 1)}
+    r = {(a, m): mean([y for b, n, y in kept if (b, n) == (a, m)]) for a in (0, 1) for m in (0, 1)}
+    q = lambda a, b: p[b] * r[a, 1] + (1 - p[b]) * r[a, 0]
+    want = {"y0_m0": q(0, 0), "y1_m0": q(1, 0), "y1_m1": q(1, 1), "total": q(1, 1) - q(0, 0), "direct": q(1, 0) - q(0, 0), "indirect": q(1, 1) - q(1, 0)}
+    assert set(got) == set(want) and all(abs(got[k] - v) < 1e-4 for k, v in want.items())
+    assert all(r.value is None for r in gcomp.landmark(df.filter("false"), panel_).collect())
+
+
+def test_runs(spark, tmp_path):
+    made, raw = [], f"{tmp_path}/raw"
+    spark.range(5).coalesce(1).write.parquet(raw)
+
+    def stages(run):
+        step = lambda name, tier, f: run.stage(name, tier, lambda: made.append(name) or f())
+        p = step("panel", 0, lambda: spark.read.parquet(raw))
+        m = step("pairs", 2, lambda: p.filter("id > 1"))
+        return step("curves", 3, lambda: m.selectExpr("count(*) AS n")).first().n
+
+    start = lambda protect=False, **c: Run(spark, CohortConfig(output_dir=f"{tmp_path}/out", **c), [raw], protect)
+    assert stages(start()) == 3 and made == ["panel", "pairs", "curves"]
+    made.clear()
+    assert stages(start()) == 3 and made == []
+    assert stages(start(smd_threshold=0.2)) == 3 and made == ["curves"]
+    with pytest.raises(ValueError):
+        start(True, smd_threshold=0.2, caliper=0.02)
+    made.clear()
+    run = start(smd_threshold=0.2, caliper=0.02)
+    assert stages(run) == 3 and made == ["pairs", "curves"]
+    run.check_inputs()
+    spark.range(9).coalesce(1).write.mode("overwrite").parquet(raw)
+    with pytest.raises(RuntimeError):
+        run.check_inputs()
+    made.clear()
+    last = start(smd_threshold=0.2, caliper=0.02)
+    assert stages(last) == 7 and made == ["panel", "pairs", "curves"]
+    last.clear()
+    assert not Path(tmp_path, "out", "sample").exists()
+    for inside in (f"{tmp_path}/out/sample/raw", f"{tmp_path}"):
+        with pytest.raises(ValueError):
+            Run(spark, CohortConfig(output_dir=f"{tmp_path}/out"), [inside])
+
+
 def test_config():
     assert CohortConfig.from_yaml("lag_depth: 3\nmsk_codes: [20]").lag_depth == 3
     for bad in ({"lag_depth": 2}, {"caliper": 0}, {"msk_codes": (30,)}, {"outcome_bootstrap": 5}, {"sample_tag": "a/b"}, {"year_cap": 2022}):
