@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import MISSING
+from tessera.operators.models import save
 
 MOST_LEVELS = 1000
 
@@ -80,7 +81,8 @@ def logit(rows: DataFrame, outcome: str, design: dict[str, Column], cluster: str
     limits and p are null with no more clusters than columns + 1.  No rows: no terms.
     """
     names = list(design)
-    flat = rows.select(F.col(cluster).alias("g"), F.col(outcome).cast("double").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), *(c.alias(f"x{i}") for i, c in enumerate(design.values())))
+    # each Newton step is a pass: they read a table of the design
+    flat = save(rows.select(F.col(cluster).alias("g"), F.col(outcome).cast("double").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), *(c.alias(f"x{i}") for i, c in enumerate(design.values()))))
     schema = "term string, coefficient double, se double, odds_ratio double, ci_low double, ci_high double, p double, method string"
     every = [f"x{i}" for i in range(len(names))]
 

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.models import save
+
 HORIZON, REGISTRY_END = 3, 2001
 GROUP = ["match_group", "treated"]
 
@@ -70,6 +72,7 @@ def event_study(panel: DataFrame, reference: int = -1) -> DataFrame:
 
     A cluster's influence on the coefficient is its residual sum at k over n_k less that at the reference over
     n_ref, so the sandwich is a sum of squares over clusters, in two aggregations."""
+    panel = save(panel.select("match_group", "event_time", "pair_diff"))
     # a row an event time reaches the driver, of a window of a few years
     means = {r.event_time: r for r in panel.groupBy("event_time").agg(F.count("*").alias("n"), F.avg("pair_diff").alias("mean")).collect()}
     schema = "event_time int, n long, estimate double, se double"
@@ -101,6 +104,7 @@ def pretrend(panel: DataFrame, reference: int = -1) -> DataFrame:
 
     from tessera.functions.stats import chi2_tail
 
+    panel = save(panel.select("match_group", "event_time", "pair_diff"))
     means = {r.event_time: r for r in panel.groupBy("event_time").agg(F.count("*").alias("n"), F.avg("pair_diff").alias("mean")).collect()}  # a row an event time
     early = sorted(k for k in means if k < reference)
     schema = "chi2 double, df int, p double"

@@ -11,7 +11,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.exprs import MISSING
+
 FIT_CAP, CLIP = 500_000, 1e-6
+PROPENSITY_NUMBERS = ("lag1_age", "lag1_entgelt", "lag1_rtzb", "lag1_cum_rehab")
+LEAST_LEVEL, MOST_LEVELS, RARE = 10, 1000, "__RARE__"
 
 
 def save(df: DataFrame) -> DataFrame:
@@ -33,27 +37,45 @@ def hash_sample(risk: DataFrame, share: float, seed: int = 7) -> DataFrame:
     return risk.filter((F.col("treated") == 1) | (uniform("simple_id", F.lit(seed)) < share)).select("simple_id", "t0", "treated")
 
 
-def propensity(risk: DataFrame, cap: int = FIT_CAP) -> DataFrame:
-    """One logistic model a year with the objective of C = 1: median-imputed, unit-scaled numbers with missing flags.
-    Controls beyond the cap are hash-sampled and the margin gets log(share); scores are clipped."""
-    numbers = ["lag1_age", "lag1_entgelt", "lag1_rtzb", "lag1_cum_rehab"]
-    out = None
-    for row in risk.groupBy("t0").agg(F.count_if(F.col("treated") == 0).alias("c"), F.sum("treated").alias("t")).orderBy("t0").collect():
-        year = risk.filter(F.col("t0") == row.t0)
-        share = min(1.0, max(1, cap - row.t) / max(1, row.c))
-        fitted = hash_fit = year if share == 1.0 else year.filter((F.col("treated") == 1) | (uniform("simple_id", F.lit(7)) < share))
-        stats = hash_fit.agg(*(F.percentile(c, 0.5).alias(f"m_{c}") for c in numbers), *(F.max(F.col(c).isNull().cast("int")).alias(f"i_{c}") for c in numbers)).first()
-        filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(stats[f"m_{c}"] or 0.0))) for c in numbers}
-        flags = [c for c in numbers if stats[f"i_{c}"]]
-        spread = fitted.agg(*(F.stddev_pop(filled[c]).alias(c) for c in numbers)).first()
-        cols = {f"x_{c}": filled[c] / F.lit(float(spread[c]) or 1.0) for c in numbers} | {f"x_i_{c}": F.col(c).isNull().cast("double") for c in flags} | {"x_ge": (F.col("lag1_ge") == 1).cast("double")}
-        assemble = VectorAssembler(inputCols=list(cols), outputCol="features")
-        n = fitted.count()
+def _pooled(rows: DataFrame, name: str, least: int):
+    """The levels of a category that at least `least` rows have, in order, and the category as a column: null is a
+    level, and rarer levels are one more."""
+    level = F.coalesce(F.col(name).cast("string"), F.lit(MISSING))
+    kept = [r.level for r in rows.groupBy(level.alias("level")).count().filter(F.col("count") >= least).orderBy("level").limit(MOST_LEVELS + 1).collect()]
+    if len(kept) > MOST_LEVELS:
+        raise ValueError(f"too many levels: {name}")
+    return kept, F.when(level.isin(kept), level).otherwise(F.lit(RARE))
+
+
+def propensity(risk: DataFrame, cap: int = FIT_CAP, numbers: tuple[str, ...] = PROPENSITY_NUMBERS, binary: tuple[str, ...] = (), categories: tuple[str, ...] = ("lag1_ge",), least: int = LEAST_LEVEL, keep: tuple[str, ...] = ("lag1_ge", "lag1_ever_rehab")) -> DataFrame | None:
+    """One logistic model a year with the objective of C = 1, and each row's clipped score.
+
+    Numbers: nulls set to the median, unit scale without centring; binary: nulls set to the mode (the least of ties);
+    both get missing flags.  Categories: a flag a level, null being one, with levels of under `least` fitted rows as one;
+    a level that the fit has not seen counts as rare.  Controls beyond the cap are hash-sampled and the margin gets
+    log(share).  A year without both arms has no scores; no such year at all: None.
+    """
+    names = ["simple_id", "t0", "treated", *numbers, *binary, *categories, *keep]
+    risk, out = save(risk.select(*dict.fromkeys(names))), None
+    sizes = risk.groupBy("t0").agg(F.count_if(F.col("treated") == 0).alias("c"), F.sum("treated").alias("t")).orderBy("t0").collect()  # a row a year
+    for row in sizes:
         if not row.t or not row.c:
             continue
-        model = LogisticRegression(labelCol="treated", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-8).fit(assemble.transform(fitted.withColumns(cols)))
+        year = risk.filter(F.col("t0") == row.t0)
+        share = min(1.0, max(1, cap - row.t) / row.c)
+        fitted = year if share == 1.0 else year.filter((F.col("treated") == 1) | (uniform("simple_id", F.lit(7)) < share))
+        both = [*numbers, *binary]
+        stats = fitted.agg(F.count("*").alias("n"), *(F.percentile(c, 0.5).alias(f"m_{c}") for c in numbers), *(F.mode(F.col(c), True).alias(f"m_{c}") for c in binary), *(F.max(F.col(c).isNull().cast("int")).alias(f"i_{c}") for c in both)).first()
+        filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(stats[f"m_{c}"] or 0.0))) for c in both}
+        spread = fitted.agg(*(F.stddev_pop(filled[c]).alias(c) for c in numbers)).first() if numbers else {}
+        cols = {f"x_{c}": filled[c] / F.lit(float(spread[c] or 0.0) or 1.0) if c in numbers else filled[c] for c in both} | {f"x_i_{c}": F.col(c).isNull().cast("double") for c in both if stats[f"i_{c}"]}
+        for c in categories:
+            levels, value = _pooled(fitted, c, least)
+            cols |= {f"x_{c}_{i}": (value == v).cast("double") for i, v in enumerate([*levels, RARE])}
+        assemble = VectorAssembler(inputCols=list(cols), outputCol="features")
+        model = LogisticRegression(labelCol="treated", regParam=1.0 / stats.n, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-8).fit(assemble.transform(fitted.withColumns(cols)))
         margin = vector_to_array(F.col("rawPrediction"))[1] + F.lit(float(np.log(share)))
-        scored = model.transform(assemble.transform(year.withColumns(cols))).withColumn("pscore", F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), 1 / (1 + F.exp(-margin))))).select("simple_id", "t0", "treated", "lag1_ge", "lag1_ever_rehab", "pscore")
+        scored = model.transform(assemble.transform(year.withColumns(cols))).withColumn("pscore", F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), 1 / (1 + F.exp(-margin))))).select(*dict.fromkeys(["simple_id", "t0", "treated", *keep]), "pscore")
         out = scored if out is None else out.unionByName(scored)
     return out
 
@@ -63,6 +85,7 @@ def hazard(follow: DataFrame) -> DataFrame:
 
     Rows with equal covariates are counted first, so Newton steps and both sandwich parts are aggregations over
     year x arm; only those few counts, and k x k matrices, reach the driver."""
+    follow = save(follow.select("match_group", "treated", "follow_year", "event_type"))
     cells = follow.groupBy("follow_year", "treated").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == 1).alias("d")).orderBy("follow_year", "treated").collect()
     years = sorted({r.follow_year for r in cells})
     x = np.array([[float(r.follow_year == y) for y in years] + [float(r.treated)] for r in cells])

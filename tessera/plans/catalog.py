@@ -181,8 +181,9 @@ def _long(frame):
 
 
 def _arms(frame, key):
-    arm = lambda v, p: frame.filter(F.col("treated") == v).select(*key, F.col("mean").alias(f"m{p}"), F.col("var").alias(f"v{p}"), F.col("missing").alias(f"q{p}"))
-    return arm(1, "t").join(arm(0, "c"), key)
+    """Both arms of an aggregate side by side, where both are there: one pass, no join."""
+    arm = lambda v, p: [F.max(F.when(F.col("treated") == v, F.col(c))).alias(f"{n}{p}") for c, n in (("mean", "m"), ("var", "v"), ("missing", "q"))]
+    return frame.groupBy(*key).agg(*arm(1, "t"), *arm(0, "c"), F.countDistinct("treated").alias("arms")).filter("arms = 2").drop("arms")
 
 
 @query
@@ -503,7 +504,7 @@ def gcomp_simulated(s, d):
 @query
 def hazard_adjusted(s, d):
     covariates = _risk(s, d).select("simple_id", "t0", "treated", "lag1_age", "lag1_entgelt", "lag1_ever_rehab", "lag1_ge")
-    rows = _follow(s, d).join(covariates, ["simple_id", "t0", "treated"]).withColumn("y", (F.col("event_type") == 1).cast("int"))
+    rows = models.save(_follow(s, d).join(covariates, ["simple_id", "t0", "treated"]).withColumn("y", (F.col("event_type") == 1).cast("int")))
     return design.logit(rows, "y", design.columns(rows, numeric=["lag1_age"], amounts=["lag1_entgelt"], binary=["lag1_ever_rehab"], categorical=["lag1_ge"]))
 
 

@@ -169,6 +169,20 @@ def test_hazard_model(spark):
     assert abs(got["treated"].odds_ratio - (30 / 70) / (10 / 90)) < 1e-5 and got["treated"].se > 0
 
 
+def test_propensity_pools_rare_levels(spark):
+    """Levels of under ten rows share one flag: they get one score, as do unseen and null levels of their own."""
+    rng = random.Random(12)
+    rows = [(i, 1998, int(rng.random() < (0.6 if i % 3 == 0 else 0.2)), ["a", "b", None][i % 3] if i > 12 else f"rare{i % 3}", 1, 0) for i in range(600)]
+    df = spark.createDataFrame(rows, "simple_id long, t0 int, treated int, job string, flag int, lag1_ever_rehab int")
+    run = lambda least: models.propensity(df, numbers=(), binary=("flag",), categories=("job",), least=least, keep=("job",)).select("job", F.round("pscore", 9).alias("p")).distinct().collect()
+    pooled, apart = ({r.job: r.p for r in run(n)} for n in (10, 1))
+    assert len(pooled) == len(apart) == 6 and len(set(pooled.values())) == 4 and pooled["rare0"] == pooled["rare1"] == pooled["rare2"]
+    assert len(set(apart.values())) > 4 and pooled["a"] > pooled["b"] + 0.2
+    assert models.propensity(df.filter("treated = 0"), numbers=(), categories=(), keep=()) is None
+    numbers = df.withColumn("age", F.when(F.col("simple_id") % 5 > 0, F.col("simple_id") % 50))
+    assert models.propensity(numbers, numbers=("age",), categories=(), keep=()).filter("pscore > 0 and pscore < 1").count() == 600
+
+
 def test_adjusted_model(spark):
     """Against Newton steps and the sandwich over all rows, with a constant, a doubled and a missing-flagged column."""
     rng, rows = random.Random(9), []
