@@ -4,16 +4,23 @@ Each distinct line of a document counts for the document's site (source).  Hyper
 aggregation for each line's hash, so a line that a third of all documents hold costs one sketch a task.  Lines whose
 estimate is within a factor NEAR of the threshold get an exact distinct count; those above it are boilerplate, and
 go from every document.
+
+Boilerplate lines are few as a rule: up to MOST_HELD of them go into the plan as a table of hash buckets (about
+half a megabyte), and a document's lines are looked up where the document is read.  More of them are joined with the
+documents' lines by hash, with the same result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import fresh, materialize
 
 LEAST_SITES, LOG_SIZE, NEAR = 10, 10, 2.0
+MOST_HELD = 10_000
 
 
 def _lines(docs: DataFrame, *more: str) -> DataFrame:
@@ -50,23 +57,48 @@ def _marked(docs: DataFrame, found: DataFrame) -> DataFrame:
     return spread.groupBy("key").agg(F.collect_set(F.struct("h", "h2")).alias("gone"))
 
 
-def clean_lines(docs: DataFrame, least_sites: int = LEAST_SITES) -> DataFrame:
+def _held(found: list) -> Callable[[Column], Column]:
+    """Whether a bare line is one of the found rows (h, h2): each bucket is a string of its hash pairs."""
+    size = 4 * len(found) + 1
+    buckets = [""] * size
+    for h, h2 in sorted((r.h, r.h2) for r in found):
+        buckets[h % size] += f",{h}:{h2},"
+    table = F.split(F.lit("\n".join(buckets)), "\n")
+
+    def test(line: Column) -> Column:
+        of = F.get(table, F.pmod(_hash(line), F.lit(size)).cast("int"))
+        pair = F.concat(F.lit(","), _hash(line).cast("string"), F.lit(":"), F.xxhash64(line, F.lit(1)).cast("string"), F.lit(","))
+        return (of != "") & F.contains(of, pair)
+
+    return test
+
+
+def clean_lines(docs: DataFrame, least_sites: int = LEAST_SITES, most_held: int = MOST_HELD) -> DataFrame:
     """All rows and columns of docs, with text rid of boilerplate lines, and n_lines and n_removed added (a column of
     one of these names is replaced).
 
     A line is compared without blanks at its ends; lines without a word stay.  A null text stays null.  Rows with a
     null source are no site but are cleaned.  Repeated rows are cleaned alike.  No documents: no rows.
     """
-    key, gone_at, kept_at = (fresh(docs, c) for c in ("__key", "__gone", "__kept"))
+    found, text = materialize(boilerplate(docs, least_sites)), F.col("text").cast("string")
+    few = found.select("h", "h2").limit(most_held + 1).collect()
+    lines, kept_at = F.split(text, "\n"), fresh(docs, "__kept")
+    if len(few) <= most_held:
+        is_one = _held(few)
+        return _counted(docs.withColumn(kept_at, F.filter(lines, lambda x: (_bare(x) == "") | ~is_one(_bare(x)))), kept_at).drop(kept_at)
+    key, gone_at = (fresh(docs, c) for c in ("__key", "__gone"))
     own = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.col("text")))
-    found = materialize(boilerplate(docs, least_sites))
-    gone = _marked(own.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text")), found)
+    gone = _marked(own.select(F.col(key).alias("key"), text.alias("text")), found)
     joined = own.join(gone.select(F.col("key").alias(key), F.col("gone").alias(gone_at)), key, "left")
-    lines = F.split(F.col("text").cast("string"), "\n")
     is_gone = lambda x: F.array_contains(F.col(gone_at), F.struct(_hash(_bare(x)).alias("h"), F.xxhash64(_bare(x), F.lit(1)).alias("h2")))
     kept = F.when(F.col(gone_at).isNull(), lines).otherwise(F.filter(lines, lambda x: (_bare(x) == "") | ~is_gone(x)))
-    return joined.withColumn(kept_at, kept).withColumns({
-        "text": F.when(F.col(gone_at).isNull(), F.col("text").cast("string")).otherwise(F.array_join(kept_at, "\n")),
-        "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"),
-        "n_removed": F.coalesce(F.size(lines) - F.size(kept_at), F.lit(0)).cast("long"),
-    }).drop(key, gone_at, kept_at)
+    return _counted(joined.withColumn(kept_at, kept), kept_at).drop(key, gone_at, kept_at)
+
+
+def _counted(docs: DataFrame, kept_at: str) -> DataFrame:
+    lines = F.size(F.split(F.col("text").cast("string"), "\n"))
+    return docs.withColumns({
+        "text": F.array_join(kept_at, "\n"),
+        "n_lines": F.coalesce(lines, F.lit(0)).cast("long"),
+        "n_removed": F.coalesce(lines - F.size(kept_at), F.lit(0)).cast("long"),
+    })

@@ -264,12 +264,14 @@ def test_lines(spark, docs, empty):
     sources = {r.doc_id: r.source for r in df.collect()}
     for least in (3, 6):
         want = brute.boilerplate([(d, t, sources[d]) for d, t in rows], least)
-        got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in lines.clean_lines(df, least).collect()}
-        assert got == want
+        for held in (lines.MOST_HELD, 0):
+            got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in lines.clean_lines(df, least, held).collect()}
+            assert got == want
     assert any(w[1] for w in want.values())
     assert lines.clean_lines(empty).collect() == []
-    more = lines.clean_lines(repeated(df), 3)
-    assert more.count() == repeated(df).count() and set(df.columns) <= set(more.columns)
+    for held in (lines.MOST_HELD, 0):
+        more = lines.clean_lines(repeated(df), 3, held)
+        assert more.count() == repeated(df).count() and set(df.columns) <= set(more.columns)
 
 
 def test_licenses(spark, docs, empty):
