@@ -330,7 +330,7 @@ def ipcw_cumprod(s, d):
 
 @query
 def mediation_grid(s, d):
-    return followup.mediation_grid(_risk(s, d).filter("treated = 1 or simple_id % 5 = 0"), _panel(s, d))
+    return followup.mediation_grid(_risk(s, d), _panel(s, d))
 
 
 @query

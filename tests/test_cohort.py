@@ -337,3 +337,21 @@ def test_config():
     assert changes(a, c) == {"caliper": 2, "smd_threshold": 3} and rebuild_from(a, c) == 2 and rebuild_from(a, a) is None
     with pytest.raises(ValueError):
         rebuild_from(a, c, protect_matching=True)
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="needs the test tables")
+def test_mediation_grid_covers_the_risk_set(spark):
+    """All persons of the risk set have a row a year, as in the table that the SQL of both grid queries stands on."""
+    import duckdb
+
+    from tessera.plans import sql
+
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    want = con.execute(f"WITH {sql.BIND} SELECT * FROM med")
+    columns = [c[0] for c in want.description]
+    got = catalog.queries()["mediation_grid"](spark, DATA).select(*columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+    whole = {(r.simple_id, r.t0) for r in catalog._risk(spark, DATA).collect()}
+    assert {(r.simple_id, r.t0) for r in got} == whole and len(got) == followup.HORIZON * len(whole)
