@@ -284,6 +284,21 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(repeated(df), licenses.catalogue(spark)).count() == repeated(df).count()
 
 
+def test_known_licenses(spark):
+    """Whole texts as they stand on disk, filled in, without appendix; headers; SPDX tags."""
+    text = lambda i: (Path(licenses.__file__).parent / "texts" / f"{i}.txt").read_text()
+    bsd = licenses.BSD.format(third=licenses.THIRD.format("the copyright holder"), holders="COPYRIGHT HOLDERS", holder="COPYRIGHT HOLDER")
+    cases = [(i, text(i)) for i in licenses.IN_FILES]
+    cases += [("Apache-2.0", text("Apache-2.0").replace("[yyyy] [name of copyright owner]", "2021 A. Person")), ("GPL-3.0", text("GPL-3.0").split("How to Apply")[0])]
+    cases += [("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, A. Person\nAll rights reserved.\n\n" + bsd), ("BSD-3-Clause", "Copyright 2020 A. Person. All rights reserved.\n\n" + bsd), ("BSD-2-Clause", bsd.replace(licenses.THIRD.format("the copyright holder"), ""))]
+    cases += [("MIT", "The MIT License (MIT)\n" + licenses.MIT.split("\n", 1)[1]), ("MIT", licenses.MIT.split("\n\n", 1)[1]), ("Apache-2.0", licenses.APACHE)]
+    notices = [("Apache-2.0", '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file'), ("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;"), ("BSD-3-Clause", "/* SPDX-License-Identifier: BSD-3-Clause */\nint x;"), ("LGPL-2.1", "x\nReleased under the GNU LGPL v2.1\ny".replace("LGPL v", "LGPLv"))]
+    df = frame(spark, list(enumerate(t for _, t in cases + notices)))
+    got = {r.doc_id: r for r in licenses.scan(df, licenses.catalogue(spark)).collect()}
+    assert [got[k].license_id for k in range(len(cases))] == [i for i, _ in cases]
+    assert [got[len(cases) + k].notice_ids for k in range(len(notices))] == [i for i, _ in notices]
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(8)
     rows, labels = [], []
