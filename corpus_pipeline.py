@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the least doc_id."""
-    return _documents(docs.join(minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct(), "doc_id", "left_semi"))
+    """One row of each group of near-duplicates stays: the one with the least doc_id."""
+    return _documents(minhash.keep_one(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

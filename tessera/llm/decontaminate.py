@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as b
+from .storage import keyed
 
 RATE, BLOCK_CHARS, SHORTEST = 0.05, 4 << 20, 12
 
@@ -162,5 +163,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, bloc
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns.  Rows with a null doc_id are kept."""
-    return docs.join(contaminated(docs, benchmark, rate).select("doc_id").filter("doc_id is not null").distinct(), "doc_id", "left_anti")
+    """The rows that hold no benchmark item, with all their columns.  Each row is judged by its own text, whatever its
+    doc_id."""
+    rows, key = keyed(docs)
+    hit = contaminated(rows.select(F.col(key).alias("doc_id"), "text"), benchmark, rate).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(hit, key, "left_anti").drop(key)

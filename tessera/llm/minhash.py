@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as b
 from .components import connected_components
-from .storage import groups_for, materialize, text_bytes
+from .storage import groups_for, keyed, materialize, text_bytes
 
 BANDS, ROWS = 26, 5
 _A = b.stream(21, 1024) | np.uint64(1)
@@ -279,3 +279,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     return signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept")
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each group of near-duplicate rows, with all its columns: the one with the least doc_id, and one without
+    a doc_id only where no other is there.  Rows are compared by their texts, whatever their doc_ids: repeated rows are
+    reduced to one, and rows with other texts stay, though they share a doc_id or have none.  Texts without words have no
+    group, and stay."""
+    rows, key = keyed(docs)
+    found = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", key)
+    kept = found.join(rows.select(key, "doc_id"), key).groupBy("component_id").agg(F.min(order)[key].alias(key)).select(key)
+    return rows.join(kept, key, "left_semi").select(docs.columns)

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import blocks as b
 from .storage import materialize
@@ -143,14 +144,15 @@ def _mean(column: str, size: int):
 
 def _judge(docs: DataFrame, key: list[str], max_class: float, max_word: float) -> DataFrame:
     """docs has the columns of key, text and lang."""
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*key, "lang"]), FEATURES])
+    schema = StructType([*(docs.schema[c] for c in [*key, "lang"]), *StructType.fromDDL(FEATURES)])
     found = materialize(docs.mapInArrow(_features([*key, "lang"]), schema))
     found = found.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     long = (F.col("n_counted") >= MIN_CHARS) & (F.col("n_words") >= MIN_WORDS)
     far = (F.col("class_distance") > max_class) | (F.col("word_distance") > max_word)
     odd = (F.col("class_distance") > BOTH_CLASS) & (F.col("word_distance") > BOTH_WORD)
     reference = found.filter(long & ~F.col("base_failed") & F.col("lang").isNotNull()).groupBy("lang").agg(_mean("class_share", CLASSES).alias("class_ref"), _mean("word_share", len(BINS) + 1).alias("word_ref"))
-    return found.join(reference, "lang", "left").withColumns({
+    # a row a language
+    return found.join(F.broadcast(reference), "lang", "left").withColumns({
         "class_distance": F.round(jensen_shannon(F.col("class_share"), F.col("class_ref")), 9),
         "word_distance": F.round(jensen_shannon(F.col("word_share"), F.col("word_ref")), 9),
     }).withColumn("kept", ~F.col("base_failed") & ~(long & F.coalesce(far | (F.col("n_words") >= BOTH_WORDS) & odd, F.lit(False))))
@@ -168,7 +170,11 @@ def quality(docs: DataFrame, max_class: float = MOST_CLASS, max_word: float = MO
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that quality() keeps, with all their columns.  Rows that share a doc_id are judged together: all
-    must be kept.  Rows with a null doc_id are dropped, as they can't be referred to."""
-    bad = quality(docs).groupBy("doc_id").agg(F.min("kept").alias("_kept")).filter("_kept").select("doc_id")
-    return docs.join(bad, "doc_id", "left_semi")
+    """The rows that quality() keeps, with all their columns.  Each row has a verdict of its own, whatever its doc_id:
+    rows that share one are judged apart, and rows without one stay where they pass."""
+    name = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    own = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in name.items()), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    if docs.schema["text"].dataType.typeName() == "string":
+        own = own.drop("text").withColumnRenamed(name["text"], "text")
+        name["text"] = "text"
+    return _judge(own, list(name.values()), MOST_CLASS, MOST_WORD).filter("kept").select(*(F.col(n).alias(c) for c, n in name.items()))

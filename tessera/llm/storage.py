@@ -46,5 +46,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def keyed(df: DataFrame) -> tuple[DataFrame, str]:
+    """df, written with a number for each row, and that column's name: a verdict can go by row, whatever the ids are."""
+    key = fresh(df, "_row")
+    return materialize(df.withColumn(key, F.monotonically_increasing_id())), key
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

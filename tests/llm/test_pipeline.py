@@ -47,3 +47,26 @@ def test_stages_against_brute_force(spark, tmp_path):
         if name != "packing":
             assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         docs = out
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="needs the test tables")
+def test_stages_judge_rows_not_ids(spark):
+    """Rows without an id, and rows that share one, with equal texts or others."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = docs.collect()
+    verdict = {r.doc_id: r.kept for r in quality.quality(docs).collect()}
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").filter("text is not null").first().text
+    good = sorted((r.text for r in rows if verdict[r.doc_id] and r.lang == "en" and r.n_chars > 400), key=len)[:3]
+    bad = min((r.text for r in rows if not verdict[r.doc_id]), key=len)
+    make = lambda pairs: spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in pairs], docs.schema)
+    got = lambda df: sorted((str(r.doc_id), r.text) for r in df.collect())
+    said = lambda pairs: sorted((str(d), t) for d, t in pairs)
+    stages = {n: f for n, f in corpus_pipeline.STAGES}
+    own = [(None, good[0]), (7, good[1]), (7, bad), (None, bad)]
+    passed = [p for p in own if p[1] != bad]
+    assert got(stages["quality rules"](spark, docs.unionByName(make(own)), DATA)) == sorted(said((r.doc_id, r.text) for r in rows if verdict[r.doc_id]) + said(passed))
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    own = [(5, a), (5, a), (5, b), (None, b), (None, c), (None, c), (3, a)]
+    assert got(stages["MinHash near-dedup"](spark, make(own), DATA)) == said([(3, a), (5, b), (None, c)])
+    own = [(1, a), (1, f"{b} {item} {b}"), (None, c), (None, f"{c} {item} {c}")]
+    assert got(stages["benchmark decontamination"](spark, make(own), DATA)) == said([(1, a), (None, c)])
