@@ -84,6 +84,21 @@ def test_second_pass_of_near_duplicates(spark):
     assert got == brute.components(docs, 3, 85)
 
 
+def test_least_text_stands_for_a_repeated_id(spark):
+    """Ids with several texts: the result is that of their least texts alone, whichever of them has the least print."""
+    rng = random.Random(6)
+    texts = lambda k: " ".join(f"{k}{rng.randrange(10**6)}" for _ in range(80))
+    docs, alone = [], []
+    for i in range(0, 80, 2):
+        words = texts("a").split()
+        near = words[:40] + ["new"] + words[40:]
+        docs += [(i, " ".join(words)), (i, "z " + texts("z")), (i, ""), (i + 1, " ".join(near)), (i + 1, "y " + texts("y"))]
+        alone += [(i, " ".join(words)), (i + 1, " ".join(near))]
+    want = brute.components(alone, 3, 85)
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(frame(spark, docs), 3, 85).collect()}
+    assert got == {(d, c) for d, (_, c) in want.items()} and any(d != c for d, c in got)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 50), (50, 70), (70, 70), (1, 0), (200, 201)]
     got = dict(components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
