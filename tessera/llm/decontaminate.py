@@ -30,6 +30,11 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(x, item[x:y]) for x, y in zip(cut, cut[1:])]
 
 
+def bordered(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] cuts no word at either end."""
+    return not (start and text[start - 1].isalnum() and text[start].isalnum() or end < len(text) and text[end - 1].isalnum() and text[end].isalnum())
+
+
 class Pattern:
     def __init__(self, item: str):
         self.m = len(item)
@@ -64,7 +69,7 @@ class Automaton:
         import ahocorasick
 
         self.items = {i: t for i, t in items}
-        self.budget = {i: int(rate * len(t)) for i, t in items}
+        self.budget = {i: int(rate * len(t)) if len(t) >= SHORTEST else 0 for i, t in items}
         self.patterns: dict[int, Pattern] = {}
         self.words = ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int]]] = {}
@@ -80,16 +85,21 @@ class Automaton:
     def find(self, text: str) -> list[tuple[int, int, int]]:
         """(item, distance, end in text) of the best copy of each item that text holds within its budget."""
         windows: dict[int, list[list[int]]] = {}
+        short: dict[int, int] = {}
         for end, (n, places) in self.words.iter(text):
             for item, at in places:
                 k, start = self.budget[item], end + 1 - n - at
+                if len(self.items[item]) < SHORTEST:
+                    if item not in short and bordered(text, start, end + 1):
+                        short[item] = end + 1
+                    continue
                 low, high = max(0, start - k), min(len(text), start + len(self.items[item]) + k)
                 of = windows.setdefault(item, [])
                 if of and low <= of[-1][1]:
                     of[-1][0], of[-1][1] = min(low, of[-1][0]), max(high, of[-1][1])
                 else:
                     of.append([low, high])
-        out = []
+        out = [(item, 0, end) for item, end in short.items()]
         for item, of in windows.items():
             whole = self.items[item]
             exact = text.find(whole)
@@ -123,12 +133,12 @@ def _search(items: list[tuple[int, str]], rate: float):
 
 
 def item_blocks(benchmark: DataFrame, most: int = BLOCK_CHARS):
-    """Blocks of (item_id, normalised text) of at most `most` characters, or of one item; null ids or texts and texts
-    under SHORTEST characters are left out.  Items stream through the driver one partition at a time."""
+    """Blocks of (item_id, normalised text) of at most `most` characters, or of one item; null ids and null or blank
+    texts are left out.  Items stream through the driver one partition at a time."""
     block, size = [], 0
     for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id is not null and text is not null").distinct().toLocalIterator():
         t = normal(r[1])
-        if len(t) < SHORTEST:
+        if not t:
             continue
         if block and size + len(t) > most:
             yield sorted(block)
@@ -143,8 +153,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, bloc
     """One row per document row and benchmark item that it holds within the item's edit budget: doc_id, item_id,
     distance, budget, item_chars, end (of the best place, in the normalised text; the first of equals).
 
-    Both texts are compared in lower case with white space runs as one blank.  Items under 12 characters, null
-    texts and null items match nothing; items that share an item_id count one by one.  Repeated rows repeat.  Reads
+    Both texts are compared in lower case with white space runs as one blank.  Items under 12 characters
+    match exactly, and only where they cut no word; null or blank texts and items match nothing; items that share an item_id count one by one.  Repeated rows repeat.  Reads
     doc_id and text alone.  An empty table on either side: no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -241,6 +241,14 @@ def test_decontamination(spark, docs, empty):
     assert {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()} == {d for d, _ in texts} - {d for d, _ in want}
 
 
+def test_short_benchmark_items(spark):
+    """Items under 12 characters are met exactly, at word borders."""
+    bench = spark.createDataFrame([(1, "is  42 So?"), (2, "cat"), (3, " \n"), (4, "a long item of words")], "item_id long, text string")
+    df = frame(spark, [(0, "It is 42 so? Yes"), (1, "concat, cats. Cat!"), (2, "concat cats"), (3, "this 42 so?"), (4, "cat"), (5, "a long item of wards")])
+    got = sorted((r.doc_id, r.item_id, r.distance, r.budget, r.end) for r in decontaminate.contaminated(df, bench).collect())
+    assert got == [(0, 1, 0, 0, 12), (1, 2, 0, 0, 17), (4, 2, 0, 0, 3), (5, 4, 1, 1, 20)]
+
+
 def test_hilbert_steps():
     x = np.array(list(np.ndindex(8, 8, 8)))
     key = packing.hilbert(x, 3)
