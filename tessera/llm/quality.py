@@ -5,8 +5,8 @@ each document's histograms of character classes and of common words with the ref
 Jensen-Shannon distance (base 2, so from 0 to 1).  A reference is the mean histogram of all documents of the language
 that pass the base rules and are long enough; without such documents a language has none and rejects nothing.
 A document is rejected when one distance is far (MOST_CLASS, MOST_WORD), or both are unusual (BOTH_CLASS and
-BOTH_WORD).  Guards: under MIN_CHARS or MIN_WORDS a histogram says little and the base rules judge alone; the joint
-rule asks for BOTH_WORDS words.
+BOTH_WORD).  Guards: under MIN_CHARS or MIN_WORDS a histogram says little and the base rules judge alone; under
+BOTH_WORDS words the joint limit of words grows, as BOTH_WORD (BOTH_WORDS / words)^SHORT_POWER.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ BINS = {w.encode(): i for i, w in enumerate(dict.fromkeys(COMMON))}
 SYMBOLS = b"#*$%&|<>"
 MIN_CHARS, MIN_WORDS = 200, 40
 MOST_CLASS, MOST_WORD = 0.35, 0.75
-BOTH_CLASS, BOTH_WORD, BOTH_WORDS = 0.13, 0.28, 100
+BOTH_CLASS, BOTH_WORD, BOTH_WORDS, SHORT_POWER = 0.13, 0.28, 100, 0.35
 
 # Classes of bytes: lower case, upper case, digit, listed symbol, sentence mark, other ASCII mark, line end, other space, control, beyond ASCII.
 CLASSES = 10
@@ -149,13 +149,14 @@ def _judge(docs: DataFrame, key: list[str], max_class: float, max_word: float) -
     found = found.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     long = (F.col("n_counted") >= MIN_CHARS) & (F.col("n_words") >= MIN_WORDS)
     far = (F.col("class_distance") > max_class) | (F.col("word_distance") > max_word)
-    odd = (F.col("class_distance") > BOTH_CLASS) & (F.col("word_distance") > BOTH_WORD)
+    limit = BOTH_WORD * F.pow(BOTH_WORDS / F.least(F.greatest("n_words", F.lit(1)), F.lit(BOTH_WORDS)), F.lit(SHORT_POWER))
+    odd = (F.col("class_distance") > BOTH_CLASS) & (F.col("word_distance") > limit)
     reference = found.filter(long & ~F.col("base_failed") & F.col("lang").isNotNull()).groupBy("lang").agg(_mean("class_share", CLASSES).alias("class_ref"), _mean("word_share", len(BINS) + 1).alias("word_ref"))
     # a row a language
     return found.join(F.broadcast(reference), "lang", "left").withColumns({
         "class_distance": F.round(jensen_shannon(F.col("class_share"), F.col("class_ref")), 9),
         "word_distance": F.round(jensen_shannon(F.col("word_share"), F.col("word_ref")), 9),
-    }).withColumn("kept", ~F.col("base_failed") & ~(long & F.coalesce(far | (F.col("n_words") >= BOTH_WORDS) & odd, F.lit(False))))
+    }).withColumn("kept", ~F.col("base_failed") & ~(long & F.coalesce(far | odd, F.lit(False))))
 
 
 def quality(docs: DataFrame, max_class: float = MOST_CLASS, max_word: float = MOST_WORD) -> DataFrame:

@@ -165,6 +165,19 @@ def test_divergence(spark):
     assert not kept[99]
 
 
+def test_joint_limit_of_short_texts(spark):
+    """Junk of 40 to 99 words goes though neither distance is far; texts of the same length like the others stay."""
+    words = "the of and house tree water stone to in that".split()
+    text = lambda i, n: " ".join(random.Random(i).choices(words, k=n))
+    table = [(900 + n, text(n, n // 5) + " " + " ".join(f"stock{i % 7} |" if i % 2 else "carton" + "abcdefgh"[i % 8] for i in range(n // 2))) for n in (60, 80, 95)]
+    rows = [(i, text(i, 200)) for i in range(50)] + [(800 + n, text(n, n)) for n in (60, 80, 95)] + table
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame([(d, t, "en") for d, t in rows], "doc_id long, text string, lang string")).collect()}
+    for d, _ in table:
+        r = got[d]
+        assert 40 <= r.n_words < 100 and not r.base_failed and r.class_distance < quality.MOST_CLASS and r.word_distance < quality.MOST_WORD and not r.kept, r
+    assert all(got[800 + n].kept for n in (60, 80, 95))
+
+
 def test_personal_data(spark, docs, empty):
     texts = ["a@b", "x.y@mail.example.org, 10.0.0.1 999.1.1.1", "4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (555) 123-4567 +12 3", "a@b.c@d.e 1.2.3.4.5.6.7.8", "é@x.y +49 30 1234567", "a" * 5000 + "@b.co", "1" * 3000, "+" * 2000, None, ""]
     rows = [(1000 + i, t) for i, t in enumerate(texts)] + docs[0]
