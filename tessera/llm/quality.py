@@ -13,12 +13,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import blocks as b
-from .storage import materialize
+from .storage import lookup, materialize
 
 # Frequent words of English, German, French and Spanish; all other words are one more bin.
 COMMON = (
@@ -30,6 +31,7 @@ COMMON = (
 BINS = {w.encode(): i for i, w in enumerate(dict.fromkeys(COMMON))}
 SYMBOLS = b"#*$%&|<>"
 MIN_CHARS, MIN_WORDS = 200, 40
+MOST_LANGS = 5_000  # references (1.6 KB each) that are broadcast; more are joined by a salted hash
 MOST_CLASS, MOST_WORD = 0.35, 0.75
 BOTH_CLASS, BOTH_WORD, BOTH_WORDS, SHORT_POWER = 0.13, 0.28, 100, 0.35
 
@@ -48,7 +50,8 @@ COUNTED = (np.arange(256) & 0xC0) != 0x80  # a code point's first byte
 SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 
 _RAW = list(BINS)
-FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_counted long, class_share array<double>, word_share array<double>"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_counted")
+FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_counted long, class_n array<int>, bins array<int>, bin_n array<int>"
 
 
 def _hashes_of(values: list[bytes]) -> np.ndarray:
@@ -97,8 +100,7 @@ def measure(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     again[order[1:][key[order][1:] == key[order][:-1]]] = True
     out["n_dup_lines"] = np.bincount(line_doc[again], minlength=docs)
     byte_doc = np.repeat(np.arange(docs), np.diff(offs))
-    shares = np.bincount((byte_doc * CLASSES + CLASS[buf])[counted], minlength=docs * CLASSES).reshape(docs, CLASSES)
-    out["class_share"] = shares / np.maximum(1, shares.sum(1, keepdims=True))
+    out["class_n"] = np.bincount((byte_doc * CLASSES + CLASS[buf])[counted], minlength=docs * CLASSES).reshape(docs, CLASSES)
     # bare lower-case words against the list
     left = starts + (CLASS[buf[starts]] >= 3) * (CLASS[buf[starts]] <= 5) if len(starts) else starts
     right = ends - (CLASS[buf[ends - 1]] >= 3) * (CLASS[buf[ends - 1]] <= 5) if len(starts) else ends
@@ -107,11 +109,16 @@ def measure(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     by = np.argsort(known)
     place = by[np.minimum(np.searchsorted(known[by], h), len(known) - 1)]
     bins = np.where(known[place] == h, place, len(known))
-    counts = np.bincount(doc * (len(known) + 1) + bins, minlength=docs * (len(known) + 1)).reshape(docs, -1)
-    out["word_share"] = counts / np.maximum(1, n)[:, None]
+    # sparse counts: only the bins that a document has, (document, bin, count) in order
+    pairs, out["bin_n"] = np.unique(doc * (len(known) + 1) + bins, return_counts=True)
+    out["bins"], out["bin_at"] = pairs % (len(known) + 1), np.searchsorted(pairs, np.arange(docs + 1) * (len(known) + 1))
     return out
 
 
+def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
 def _features(carry: list[str]):
     def run(batches):
         for batch in batches:
@@ -119,9 +126,9 @@ def _features(carry: list[str]):
             for i, j, part, at in b.slices(buf, offs, 1 << 20):
                 m = measure(part, at)
                 made = {c: batch.column(c).slice(i, j - i) for c in carry}
-                for f in FEATURES.split(", "):
-                    name, kind = f.split(" ")
-                    made[name] = pa.array(m[name].astype(np.int64)) if kind == "long" else pa.array(m[name].tolist(), pa.list_(pa.float64()))
+                made |= {name: pa.array(m[name].astype(np.int64)) for name in COUNTS}
+                made["class_n"] = _lists(m["class_n"].ravel(), np.arange(j - i + 1) * CLASSES)
+                made |= {name: _lists(m[name], m["bin_at"]) for name in ("bins", "bin_n")}
                 yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
     return run
@@ -137,9 +144,50 @@ def jensen_shannon(p, q):
     return F.sqrt(F.greatest(F.lit(0.0), (_half(p, q) + _half(q, p)) / 2))
 
 
-def _mean(column: str, size: int):
-    # rounded before adding, so that the sum doesn't depend on the order of rows
-    return F.array(*[F.sum(F.round(F.col(column)[i] * 1e12).cast("decimal(38,0)")).cast("double") / F.count("*") / 1e12 for i in range(size)])
+def sparse_jensen_shannon(bins, counts, total, q):
+    """The same from sparse counts: bins (from 0) that occur and how often, their total, and all shares q.  A bin that
+    doesn't occur adds q."""
+    def part(i, c):
+        x, y = c / total, F.element_at(q, i + 1)
+        return x * F.log2(2 * x / (x + y)) + F.when(y > 0, y * F.log2(2 * y / (x + y))).otherwise(0.0) - y
+
+    add = lambda s, x: s + x
+    return F.sqrt(F.greatest(F.lit(0.0), (F.aggregate(F.zip_with(bins, counts, part), F.lit(0.0), add) + F.aggregate(q, F.lit(0.0), add)) / 2))
+
+
+SCALE = 10**12  # shares are added as integers, so that a sum doesn't depend on the order of rows
+
+
+def _sums(batches):
+    """Of each batch and language one row a bin: the sum of its shares, and (bin -1) the number of documents."""
+    for batch in batches:
+        langs = batch.column("lang").dictionary_encode()
+        lang = langs.indices.to_numpy(zero_copy_only=False)
+        n_words, n_counted = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_words", "n_counted"))
+        keys, values = [lang.astype(np.int64) * WIDTH], [np.ones(len(lang), np.int64)]
+        for first, bins, counts, total in ((1, None, "class_n", n_counted), (1 + CLASSES, "bins", "bin_n", n_words)):
+            rows = pc.list_parent_indices(batch.column(counts)).to_numpy()
+            found = pc.list_flatten(batch.column(counts)).to_numpy()
+            at = pc.list_flatten(batch.column(bins)).to_numpy() if bins else np.arange(len(found)) % CLASSES
+            keys.append(lang[rows].astype(np.int64) * WIDTH + first + at)
+            values.append(np.round(found / total[rows] * SCALE).astype(np.int64))
+        keys, place = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.zeros(len(keys), np.int64)
+        np.add.at(sums, place, np.concatenate(values))
+        yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(keys // WIDTH)), pa.array((keys % WIDTH - 1).astype(np.int32)), pa.array(sums)], names=["lang", "bin", "total"])
+
+
+WIDTH = 1 + CLASSES + len(BINS) + 1
+
+
+def references(found: DataFrame) -> DataFrame:
+    """lang, class_ref, word_ref: the mean shares of each language's documents in found."""
+    partial = found.select("lang", "n_words", "n_counted", "class_n", "bins", "bin_n").mapInArrow(_sums, "lang string, bin int, total long")
+    sums = partial.groupBy("lang", "bin").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total"))
+    # at most WIDTH entries a language
+    by_bin = sums.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("bin", "total"))).alias("m"))
+    share = lambda i: F.coalesce(F.element_at("m", i).cast("double"), F.lit(0.0)) / F.element_at("m", F.lit(-1)).cast("double") / SCALE
+    return by_bin.select("lang", F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), share).alias("class_ref"), F.transform(F.sequence(F.lit(CLASSES), F.lit(WIDTH - 2)), share).alias("word_ref"))
 
 
 def _judge(docs: DataFrame, key: list[str], max_class: float, max_word: float) -> DataFrame:
@@ -151,11 +199,12 @@ def _judge(docs: DataFrame, key: list[str], max_class: float, max_word: float) -
     far = (F.col("class_distance") > max_class) | (F.col("word_distance") > max_word)
     limit = BOTH_WORD * F.pow(BOTH_WORDS / F.least(F.greatest("n_words", F.lit(1)), F.lit(BOTH_WORDS)), F.lit(SHORT_POWER))
     odd = (F.col("class_distance") > BOTH_CLASS) & (F.col("word_distance") > limit)
-    reference = found.filter(long & ~F.col("base_failed") & F.col("lang").isNotNull()).groupBy("lang").agg(_mean("class_share", CLASSES).alias("class_ref"), _mean("word_share", len(BINS) + 1).alias("word_ref"))
-    # a row a language
-    return found.join(F.broadcast(reference), "lang", "left").withColumns({
-        "class_distance": F.round(jensen_shannon(F.col("class_share"), F.col("class_ref")), 9),
-        "word_distance": F.round(jensen_shannon(F.col("word_share"), F.col("word_ref")), 9),
+    reference = materialize(references(found.filter(long & ~F.col("base_failed") & F.col("lang").isNotNull())))
+    class_share = F.transform("class_n", lambda x: x / F.greatest(F.col("n_counted"), F.lit(1)))
+    judged = lookup(found, reference, ["lang"], ["n_words", "n_counted", "bin_n"], "left", MOST_LANGS)
+    return judged.withColumns({
+        "class_distance": F.round(jensen_shannon(class_share, F.col("class_ref")), 9),
+        "word_distance": F.round(sparse_jensen_shannon(F.col("bins"), F.col("bin_n"), F.greatest(F.col("n_words"), F.lit(1)), F.col("word_ref")), 9),
     }).withColumn("kept", ~F.col("base_failed") & ~(long & F.coalesce(far | odd, F.lit(False))))
 
 

@@ -10,25 +10,52 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir.  Where it is unset, a local session (tests) gets one of
+    its own; on a cluster that is an error, as no folder of one machine will do."""
     jsc = spark.sparkContext._jsc.sc()
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and jsc.getCheckpointDir().isDefined():
         found = jsc.getCheckpointDir().get()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.  The table
+    goes when the driver's file system closes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    delete_at_end(spark, path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have the driver's file system remove path when it closes, at the end of the application."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at.getParent())
+    fs.deleteOnExit(fs.makeQualified(at))
+
+
+def lookup(big: DataFrame, small: DataFrame, on: list[str], by: list[str], how: str = "inner", most_rows: int = 200_000, salts: int = 32) -> DataFrame:
+    """big joined with small, which has one row a key of a few numbers.
+
+    small is broadcast where it is measured to have at most most_rows rows.  Otherwise both are hashed on the key and a
+    salt: a hot key's rows of big (salted by the hash of their columns `by`) spread over salts, and small has every row once
+    a salt.  The result is the same.
+    """
+    if small.limit(most_rows + 1).count() <= most_rows:
+        return big.join(F.broadcast(small), on, how)
+    salt = fresh(big, "_salt")
+    spread = small.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return big.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(salts))).join(spread, [*on, salt], how).drop(salt)
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of all texts; sizes the number of groups, so that each stays small at any scale."""
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
