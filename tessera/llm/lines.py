@@ -1,33 +1,31 @@
 """op8: line dedup by distinct-site spread, with DataFrame functions alone.
 
-Each distinct line of a document counts for the document's site (source).  HyperLogLog sketches of sites merge by
-aggregation for each line's hash, so a line that a third of all documents hold costs one sketch a task.  Lines whose
+Each distinct line of a document counts for the document's site (source).  A first aggregation counts every line's documents
+by its hash, and drops lines that are too rare or on one site only.  HyperLogLog sketches of sites merge by aggregation
+for each line hash that is left, so a line that a third of all documents hold costs one sketch a task.  Lines whose
 estimate is within a factor NEAR of the threshold get an exact distinct count; those above it are boilerplate, and
 go from every document.
 
-Boilerplate lines are few as a rule: up to MOST_HELD of them go into the plan as a table of hash buckets (about
-half a megabyte), and a document's lines are looked up where the document is read.  More of them are joined with the
-documents' lines by hash, with the same result.
+Tables of line hashes are looked up by storage.lookup: broadcast under a measured number of rows (MOST_HELD), else by a salted
+hash join of hashes alone.  A document's text meets the hashes of its boilerplate lines in one join by document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import fresh, materialize
+from .storage import fresh, lookup, materialize
 
 LEAST_SITES, LOG_SIZE, NEAR = 10, 10, 2.0
-MOST_HELD = 10_000
+MOST_HELD = 200_000
 
 
 def _lines(docs: DataFrame, *more: str) -> DataFrame:
-    """Distinct lines with a word, by document: h is the pair of hashes of the line without blanks at its ends."""
+    """Distinct lines with a word, by document: h and h2 are two hashes of the line without blanks at its ends."""
     line = F.explode(F.array_distinct(F.split(F.col("text"), "\n")))
     out = docs.select(*more, line.alias("line")).withColumn("line", _bare("line")).filter("line != ''")
-    return out.withColumn("h", _hash("line")).withColumn("h2", F.xxhash64(F.col("line"), F.lit(1)))
+    return out.select(*more, _hash("line").alias("h"), _second("line").alias("h2"))
 
 
 def _bare(c):
@@ -38,59 +36,51 @@ def _hash(c):
     return F.xxhash64(F.col(c) if isinstance(c, str) else c)
 
 
-def boilerplate(docs: DataFrame, least_sites: int = LEAST_SITES, log_size: int = LOG_SIZE, near: float = NEAR) -> DataFrame:
+def _second(c):
+    # the literal comes first: the other way round the first hash would be all that the second one sees of the line
+    return F.xxhash64(F.lit(1), F.col(c) if isinstance(c, str) else c)
+
+
+def boilerplate(docs: DataFrame, least_sites: int = LEAST_SITES, log_size: int = LOG_SIZE, near: float = NEAR, most_held: int = MOST_HELD) -> DataFrame:
     """h, h2, n_sites: hashes of the lines on at least least_sites distinct sites.  n_sites is exact near the
     threshold and an estimate beyond near * least_sites."""
-    sited = _lines(docs.select(F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).filter("source is not null"), "source").select("h", "h2", "source")
-    sketched = sited.groupBy("h", "h2").agg(F.min("source").alias("lo"), F.max("source").alias("hi"), F.count("*").alias("n"), F.hll_sketch_agg("source", log_size).alias("sketch"))
+    key, site = ["h", "h2"], ["source"]
+    sited = _lines(docs.select(F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).filter("source is not null"), "source")
+    counted = sited.groupBy(key).agg(F.count("*").alias("n"), F.min(_hash("source")).alias("lo"), F.max(_hash("source")).alias("hi"))
     # a line of fewer than least_sites occurrences can't be on so many sites
-    estimated = materialize(sketched.filter((F.col("n") >= least_sites) & (F.col("lo") != F.col("hi"))).select("h", "h2", F.hll_sketch_estimate("sketch").alias("n_sites")).filter(F.col("n_sites") * near >= least_sites))
-    unsure = estimated.filter(F.col("n_sites") <= near * least_sites).select("h", "h2")
-    exact = sited.join(unsure, ["h", "h2"], "left_semi").distinct().groupBy("h", "h2").agg(F.count("*").alias("n_sites"))
+    enough = (F.col("n") >= least_sites) & ((F.col("lo") != F.col("hi")) | F.lit(least_sites < 2))
+    frequent = materialize(counted.filter(enough).select(key))
+    often = materialize(lookup(sited, frequent, key, site, "left_semi", most_held))
+    estimated = materialize(often.groupBy(key).agg(F.hll_sketch_estimate(F.hll_sketch_agg("source", log_size)).alias("n_sites")).filter(F.col("n_sites") * near >= least_sites))
+    unsure = estimated.filter(F.col("n_sites") <= near * least_sites).select(key)
+    exact = lookup(often, unsure, key, site, "left_semi", most_held).distinct().groupBy(key).agg(F.count("*").alias("n_sites"))
     sure = estimated.filter(F.col("n_sites") > near * least_sites)
     return sure.unionByName(exact.filter(F.col("n_sites") >= least_sites))
 
 
-def _marked(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """h values of each document's boilerplate lines, by a key that stands for doc_id and text."""
-    spread = _lines(docs.select("key", "text"), "key").join(found.select("h", "h2"), ["h", "h2"])
-    return spread.groupBy("key").agg(F.collect_set(F.struct("h", "h2")).alias("gone"))
-
-
-def _held(found: list) -> Callable[[Column], Column]:
-    """Whether a bare line is one of the found rows (h, h2): each bucket is a string of its hash pairs."""
-    size = 4 * len(found) + 1
-    buckets = [""] * size
-    for h, h2 in sorted((r.h, r.h2) for r in found):
-        buckets[h % size] += f",{h}:{h2},"
-    table = F.split(F.lit("\n".join(buckets)), "\n")
-
-    def test(line: Column) -> Column:
-        of = F.get(table, F.pmod(_hash(line), F.lit(size)).cast("int"))
-        pair = F.concat(F.lit(","), _hash(line).cast("string"), F.lit(":"), F.xxhash64(line, F.lit(1)).cast("string"), F.lit(","))
-        return (of != "") & F.contains(of, pair)
-
-    return test
+def _marked(docs: DataFrame, found: DataFrame, most_held: int) -> DataFrame:
+    """Hashes of each document's boilerplate lines, by a key that stands for doc_id and text.  Documents that share a
+    key by chance share the hashes, which are boilerplate in any document."""
+    return lookup(_lines(docs, "key"), found, ["h", "h2"], ["key"], "left_semi", most_held).groupBy("key").agg(F.collect_set(F.struct("h", "h2")).alias("gone"))
 
 
 def clean_lines(docs: DataFrame, least_sites: int = LEAST_SITES, most_held: int = MOST_HELD) -> DataFrame:
     """All rows and columns of docs, with text rid of boilerplate lines, and n_lines and n_removed added (a column of
     one of these names is replaced).
 
-    A line is compared without blanks at its ends; lines without a word stay.  A null text stays null.  Rows with a
-    null source are no site but are cleaned.  Repeated rows are cleaned alike.  No documents: no rows.
+    A line is compared without blanks at its ends; lines without a word stay.  A null text stays null and has 0 lines (SQL
+    that unnests lines has no row for it).  Rows with a null source are no site but are cleaned.  Repeated rows are
+    cleaned alike.  No documents: no rows.  most_held bounds the rows of what is broadcast; it doesn't change the result.
     """
-    found, text = materialize(boilerplate(docs, least_sites)), F.col("text").cast("string")
-    few = found.select("h", "h2").limit(most_held + 1).collect()
-    lines, kept_at = F.split(text, "\n"), fresh(docs, "__kept")
-    if len(few) <= most_held:
-        is_one = _held(few)
-        return _counted(docs.withColumn(kept_at, F.filter(lines, lambda x: (_bare(x) == "") | ~is_one(_bare(x)))), kept_at).drop(kept_at)
-    key, gone_at = (fresh(docs, c) for c in ("__key", "__gone"))
+    found, text = materialize(boilerplate(docs, least_sites, most_held=most_held).select("h", "h2")), F.col("text").cast("string")
+    key, gone_at, kept_at = (fresh(docs, c) for c in ("__key", "__gone", "__kept"))
     own = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.col("text")))
-    gone = _marked(own.select(F.col(key).alias("key"), text.alias("text")), found)
-    joined = own.join(gone.select(F.col("key").alias(key), F.col("gone").alias(gone_at)), key, "left")
-    is_gone = lambda x: F.array_contains(F.col(gone_at), F.struct(_hash(_bare(x)).alias("h"), F.xxhash64(_bare(x), F.lit(1)).alias("h2")))
+    marked = materialize(_marked(own.select(F.col(key).alias("key"), text.alias("text")), found, most_held)).select(F.col("key").alias(key), F.col("gone").alias(gone_at))
+    # texts are streamed past a hash table of the few marked documents, never sorted
+    few = marked.limit(most_held + 1).count() <= most_held
+    joined = own.join(F.broadcast(marked) if few else marked.hint("shuffle_hash"), key, "left")
+    is_gone = lambda x: F.array_contains(F.col(gone_at), F.struct(_hash(_bare(x)).alias("h"), _second(_bare(x)).alias("h2")))
+    lines = F.split(text, "\n")
     kept = F.when(F.col(gone_at).isNull(), lines).otherwise(F.filter(lines, lambda x: (_bare(x) == "") | ~is_gone(x)))
     return _counted(joined.withColumn(kept_at, kept), kept_at).drop(key, gone_at, kept_at)
 
