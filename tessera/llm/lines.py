@@ -77,7 +77,7 @@ def clean_lines(docs: DataFrame, least_sites: int = LEAST_SITES, most_held: int
     own = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.col("text")))
     marked = materialize(_marked(own.select(F.col(key).alias("key"), text.alias("text")), found, most_held)).select(F.col("key").alias(key), F.col("gone").alias(gone_at))
     # texts are streamed past a hash table of the few marked documents, never sorted
-    few = marked.limit(most_held + 1).count() <= most_held
+    few = (marked.agg(F.sum(F.size(gone_at))).first()[0] or 0) <= most_held // 10
     joined = own.join(F.broadcast(marked) if few else marked.hint("shuffle_hash"), key, "left")
     is_gone = lambda x: F.array_contains(F.col(gone_at), F.struct(_hash(_bare(x)).alias("h"), _second(_bare(x)).alias("h2")))
     lines = F.split(text, "\n")
