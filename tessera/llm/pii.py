@@ -1,11 +1,18 @@
 """op10: personal data by patterns and a skip-chain conditional random field.
 
-Patterns give the base spans.  The field labels tokens (O, email, ip, card, phone); its potentials are features of a
-token's shape, one matrix for neighbours in the text and one for distant tokens that are equal or similar (equal
-without case, punctuation and signs).  Loopy belief propagation passes messages along both kinds of edges, so one
-sure mention pulls a repeated doubtful one along.  Tokens with base spans are clamped.  Tokens without a digit and
-without @ can only be O and cut the chain, which makes the field small without leaving out text.  Weights are fitted
-by pseudo-likelihood on at most FIT_DOCS documents (least hash of doc_id) with the base labels as teacher.
+Patterns give the base spans.  The field labels all tokens (O, email, ip, card, phone, secret); its potentials are
+features of a token's shape, one matrix for neighbours in the text, and one each for distant tokens that are equal (without
+case, punctuation and signs) and that are similar (equal length, marks and kinds of characters).  Loopy belief
+propagation passes messages along all edges, so one sure mention pulls a doubtful one along.  Tokens with base spans are
+observed.  Plain tokens (no digit, no @) have one node potential and no distant edges; a run of them between two
+other tokens is summed out of the chain exactly (a matrix product; runs over MOST_GAP count as MOST_GAP, where the
+product has long been of rank one), so the field is small and no text is left out.  Plain tokens get no span.
+
+Teachers of the weights (pseudo-likelihood) are weak labels: base spans, and secrets that a word like "token" or "key" and
+a sign = or : announce.  For MASKED of the labelled tokens the evidence that the teachers went by is hidden, and of
+the tokens with an equal one elsewhere all features are, so that the weights of other features, neighbours and distant
+mentions are learned.  The fit takes at most FIT_DOCS documents
+(least hash of doc_id and text) of at most FIT_CHARS characters together.
 """
 
 from __future__ import annotations
@@ -19,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("O", *KINDS)
-FIT_DOCS, ROUNDS, SURE = 2000, 10, 0.9
+SPAN_KINDS = (*KINDS, "secret")
+LABELS = ("O", *SPAN_KINDS)
+FIT_DOCS, FIT_CHARS, ROUNDS, SURE, MASKED, MOST_GAP = 2000, 20_000_000, 10, 0.9, 0.5, 64
 
 # Equal to the contract's patterns; the looks-behind only spare starts that can't match.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -73,8 +81,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-EDGE = "\"'()[]{}<>,;:!?."
-FEATURES = 24
+EDGE = "\"'()[]{}<>,;:!?.#$%&*|"
+FEATURES = 30
+PLAIN = [0, 1, 18]  # features of a token of letters
+EVIDENCE = [9, 12, 14, 25, 28]  # what the teachers of weak labels go by
+SECRET = re.compile(r"[A-Za-z0-9_+/-]{20,}=*")
+# Words that announce a secret.
+CUE = re.compile(r"(?:token|key|secret|password|passwd|pwd|auth|bearer|credential)s?[\"']?[ ]?[=:][ ]?[\"']?$", re.IGNORECASE)
+
+
+def secret_in(token: str) -> re.Match | None:
+    """The last long run of letters and digits in a token, where it has both."""
+    found = None
+    for found in SECRET.finditer(token):
+        pass
+    return found if found and any(c.isdigit() for c in found[0]) and any(c.isalpha() for c in found[0]) else None
 
 
 def features(token: str, before: str) -> list[int]:
@@ -117,22 +138,49 @@ def features(token: str, before: str) -> list[int]:
         out.append(22)
     if len(core) > 24:
         out.append(23)
+    run = secret_in(token)
+    if run:
+        out.append(24)
+        if CUE.search(before[-14:] + " " + token[: run.start()]):
+            out.append(25)
+    if token[:1] in ("'", '"'):
+        out.append(26)
+    if 12 <= digits <= 19 and not letters:
+        out.append(28 if luhn(DIGITS.sub("", core)) else 27)
+    if at < 0 and run is None and len(core) >= 12 and letters and digits:
+        out.append(29)
     return out
 
 
+def signature(token: str) -> tuple | None:
+    """What similar tokens have in common: length, marks and kinds of characters; None for short tokens."""
+    if len(token) < 8:
+        return None
+    marks = "".join(sorted({c for c in token if not c.isalnum()}))
+    return len(token), marks, any(c.isalpha() for c in token), any(c.isdigit() for c in token)
+
+
 class Field:
-    """Tokens of one text that can be more than O, with their edges."""
+    """The tokens of one text that aren't plain, with their edges.
+
+    edges: (i, j, kind) with kind 0 for neighbours, 1 for equal, 2 for similar tokens; each token has an edge to the last
+    equal one and to the last similar one before it.  gaps: (i, j, plain tokens between them); ends: plain tokens before
+    the first and after the last.  taught: weak labels, which are base labels and announced secrets.
+    """
 
     def __init__(self, text: str, base: list[tuple[int, int, int]]):
-        self.spans, self.features, self.clamped = [], [], []
+        self.spans, self.features, self.clamped, self.taught = [], [], [], []
         self.edges: list[tuple[int, int, int]] = []
-        last_token, seen, k = -2, {}, 0
+        self.gaps: list[tuple[int, int, int]] = []
+        last_token, seen, alike, k, place = -1, {}, {}, 0, -1
+        known = {}
         for place, m in enumerate(TOKEN.finditer(text)):
             if not SHAPED.search(m[0]):
                 continue
             i = len(self.spans)
             self.spans.append((m.start(), m.end()))
-            self.features.append(features(m[0], text[max(0, m.start() - 14) : m.start()].rstrip(" ")))
+            on = features(m[0], text[max(0, m.start() - 14) : m.start()].rstrip(" "))
+            self.features.append(on)
             while k < len(base) and base[k][2] <= m.start():
                 k += 1
             j, label = k, 0
@@ -142,49 +190,97 @@ class Field:
                     break
                 j += 1
             self.clamped.append(label)
-            if last_token == place - 1:
+            if i == 0:
+                self.first = place
+            elif last_token == place - 1:
                 self.edges.append((i - 1, i, 0))
+            else:
+                self.gaps.append((i - 1, i, place - 1 - last_token))
             last_token = place
             key = re.sub(r"[^0-9a-z@]+", "", m[0].lower())
-            if key in seen and len(key) > 3:
-                self.edges.append((seen[key], i, 1))
+            if not label and 25 in on:
+                label = known[key] = len(LABELS) - 1
+            self.taught.append(label or key)
+            equal = seen.get(key) if len(key) > 3 else None
+            if equal is not None:
+                self.edges.append((equal, i, 1))
             seen[key] = i
+            like = signature(m[0])
+            if like is not None:
+                if alike.get(like, equal) != equal:
+                    self.edges.append((alike[like], i, 2))
+                alike[like] = i
+        self.taught = [t if isinstance(t, int) else known.get(t, 0) for t in self.taught]
+        self.ends = (self.first, place - last_token) if self.spans else (0, 0)
 
 
 class Crf:
     def __init__(self, node: np.ndarray, pair: np.ndarray):
-        self.node, self.pair = node, pair  # (features, labels), (2, labels, labels)
+        self.node, self.pair = node, pair  # (features, labels), (kinds of edges, labels, labels)
 
     @classmethod
     def untrained(cls):
         node = np.zeros((FEATURES, len(LABELS)))
         node[0, 0] = 8.0
-        return cls(node, np.zeros((2, len(LABELS), len(LABELS))))
+        return cls(node, np.zeros((3, len(LABELS), len(LABELS))))
 
     @classmethod
-    def fit(cls, fields: list[Field], rounds: int = 400, rate: float = 0.05, penalty: float = 1.0):
+    def fit(cls, fields: list[Field], rounds: int = 400, rate: float = 0.05, penalty: float = 1.0, masked: float = MASKED):
         fields = [f for f in fields if f.spans]
-        if not any(any(f.clamped) for f in fields):
+        if not any(any(f.taught) for f in fields):
             return cls.untrained()
-        x, y, edges = stack(fields)
-        n, k = len(y), len(LABELS)
+        x, _, edges = stack(fields)
+        y = np.concatenate([f.taught for f in fields])
+        hide = np.random.default_rng(0).random(len(y)) < masked
+        x[np.ix_(hide & (y > 0), EVIDENCE)] = 0
+        twins = np.zeros(len(y), bool)
+        twins[edges[edges[:, 2] == 1, :2]] = True
+        x[hide & twins, 1:] = 0
+        n, k, kinds = len(y), len(LABELS), 3
+        # plain tokens are O; those beside other tokens are told apart by the labels there, k for none, and all
+        # together weigh as much as the other tokens
+        sides = np.zeros((k + 1, k + 1))
+        at, near_o = 0, np.zeros((n, 2))  # whether a plain token stands before and after
+        for f in fields:
+            for i, j, gap in [(None, at, f.ends[0]), *((a + at, c + at, g) for a, c, g in f.gaps), (at + len(f.spans) - 1, None, f.ends[1])]:
+                if not gap:
+                    continue
+                if i is not None:
+                    near_o[i, 1] = 1
+                if j is not None:
+                    near_o[j, 0] = 1
+                if gap > 1:
+                    sides[k if i is None else y[i], 0] += 1
+                    sides[0, k if j is None else y[j]] += 1
+                    sides[0, 0] += gap - 2
+                else:
+                    sides[k if i is None else y[i], k if j is None else y[j]] += 1
+            at += len(f.spans)
+        sides *= n / max(1.0, sides.sum())
         target = np.eye(k)[y]
         u, v, kind = edges[:, 0], edges[:, 1], edges[:, 2]
-        node, pair = np.zeros((FEATURES, k)), np.zeros((2, k, k))
+        node, pair = np.zeros((FEATURES, k)), np.zeros((kinds, k, k))
         moments = [np.zeros_like(node), np.zeros_like(node), np.zeros_like(pair), np.zeros_like(pair)]
         for t in range(1, rounds + 1):
-            score = x @ node
-            for e in range(2):
+            score = x @ node + near_o[:, :1] * pair[0][0] + near_o[:, 1:] * pair[0][:, 0]
+            for e in range(kinds):
                 at = kind == e
                 np.add.at(score, v[at], pair[e][y[u[at]]])
                 np.add.at(score, u[at], pair[e].T[y[v[at]]])
-            score -= score.max(1, keepdims=True)
-            p = np.exp(score)
-            miss = target - p / p.sum(1, keepdims=True)
-            g_node = (x.T @ miss - penalty * node) / n
-            g_pair = np.stack([(target[u[kind == e]].T @ miss[v[kind == e]] + miss[u[kind == e]].T @ target[v[kind == e]] - penalty * pair[e]) for e in range(2)]) / n
-            g_pair[1] = (g_pair[1] + g_pair[1].T) / 2
-            for value, g, m, s in ((node, g_node, *moments[:2]), (pair, g_pair, *moments[2:])):
+            miss = target - _softmax(score)
+            g_node = x.T @ miss - penalty * node
+            g_pair = np.stack([target[u[kind == e]].T @ miss[v[kind == e]] + miss[u[kind == e]].T @ target[v[kind == e]] - penalty * pair[e] for e in range(kinds)])
+            g_pair[0][0] += near_o[:, 0] @ miss
+            g_pair[0][:, 0] += near_o[:, 1] @ miss
+            wide = np.zeros((k + 1, k + 1))
+            wide[:k, :k] = pair[0]
+            plain = -_softmax(node[PLAIN].sum(0) + wide[:, None, :k] + wide.T[None, :, :k])
+            plain[:, :, 0] += 1
+            plain *= sides[:, :, None]
+            g_node[PLAIN] += plain.sum((0, 1))
+            g_pair[0] += plain.sum(1)[:k] + plain.sum(0)[:k].T
+            g_pair[1:] = (g_pair[1:] + g_pair[1:].transpose(0, 2, 1)) / 2
+            for value, g, m, s in ((node, g_node / n, *moments[:2]), (pair, g_pair / n, *moments[2:])):
                 m *= 0.9
                 m += 0.1 * g
                 s *= 0.99
@@ -192,19 +288,40 @@ class Crf:
                 value += rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
         return cls(node, pair)
 
-    def marginals(self, x: np.ndarray, clamped: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """Loopy belief propagation: (tokens, labels) marginals.  clamped: labels over 0 are observed."""
+    def _runs(self) -> np.ndarray:
+        """[g]: the table of an edge over g plain tokens that are summed out, up to a factor."""
+        beside = np.exp(self.pair[0])
+        one = np.exp(self.node[PLAIN].sum(0) - self.node[PLAIN].sum(0).max())[:, None] * beside
+        out = [beside]
+        for _ in range(MOST_GAP):
+            out.append(out[-1] @ one / (out[-1] @ one).max())
+        return np.stack(out)
+
+    def marginals(self, x: np.ndarray, clamped: np.ndarray, edges: np.ndarray, gaps: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
+        """Loopy belief propagation: (tokens, labels) marginals.  clamped: labels over 0 are observed.  ends: (token, 0
+        before it or 1 after it, plain tokens there)."""
         local = x @ self.node
         seen = clamped > 0
         local[seen] = -50
         local[seen, clamped[seen]] = 0
-        if len(edges):
-            u, v, kind = edges[:, 0], edges[:, 1], edges[:, 2]
+        tables = np.exp(self.pair)[edges[:, 2]]
+        ends_at = edges[:, :2]
+        if gaps is not None:
+            runs = self._runs()
+            tables = np.concatenate([tables, runs[np.minimum(gaps[:, 2], MOST_GAP)]])
+            ends_at = np.concatenate([ends_at, gaps[:, :2]])
+            plain = np.exp(self.node[PLAIN].sum(0) - self.node[PLAIN].sum(0).max())
+            for token, after, gap in ends:
+                if gap:
+                    t = runs[min(gap, MOST_GAP) - 1]
+                    local[token] += np.log((t @ plain if after else plain @ t) + 1e-300)
+        if len(ends_at):
+            u, v = ends_at[:, 0], ends_at[:, 1]
             # both directions of every edge; a message's reverse is the other half's
             src, dst = np.concatenate([u, v]), np.concatenate([v, u])
-            table = np.exp(np.concatenate([self.pair[kind], self.pair[kind].transpose(0, 2, 1)]))
+            table = np.concatenate([tables, tables.transpose(0, 2, 1)])
             back = np.concatenate([np.arange(len(u)) + len(u), np.arange(len(u))])
-            messages = np.zeros((len(src), len(LABELS)))
+            messages = np.zeros((len(src), local.shape[1]))
             for _ in range(ROUNDS):
                 belief = local.copy()
                 np.add.at(belief, dst, messages)
@@ -214,8 +331,12 @@ class Crf:
                 new -= new.max(1, keepdims=True)
                 messages = 0.5 * messages + 0.5 * new
             np.add.at(local, dst, messages)
-        p = np.exp(local - local.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
+        return _softmax(local)
+
+
+def _softmax(score: np.ndarray) -> np.ndarray:
+    p = np.exp(score - score.max(-1, keepdims=True))
+    return p / p.sum(-1, keepdims=True)
 
 
 def stack(fields: list[Field]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,6 +351,17 @@ def stack(fields: list[Field]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, y, np.array(edges, np.int64).reshape(-1, 3)
 
 
+def stack_plain(fields: list[Field]) -> tuple[np.ndarray, np.ndarray]:
+    """The fields' gaps and ends, numbered as stack() numbers tokens."""
+    gaps, ends, at = [], [], 0
+    for f in fields:
+        if f.spans:
+            gaps += [(a + at, c + at, g) for a, c, g in f.gaps]
+            ends += [(at, 0, f.ends[0]), (at + len(f.spans) - 1, 1, f.ends[1])]
+        at += len(f.spans)
+    return np.array(gaps, np.int64).reshape(-1, 3), np.array(ends, np.int64).reshape(-1, 3)
+
+
 def added_spans(text: str, field: Field, p: np.ndarray, base: list[tuple[int, int, int]], sure: float = SURE) -> list[tuple[int, int, int]]:
     """Spans of the field beyond the base: runs of neighbouring tokens with one sure label, without edge marks."""
     label = p.argmax(1)
@@ -244,6 +376,10 @@ def added_spans(text: str, field: Field, p: np.ndarray, base: list[tuple[int, in
         while j < n and label[j] == label[i] and not field.clamped[j] and (j - 1, j) in near:
             j += 1
         start, end = field.spans[i][0], field.spans[j - 1][1]
+        if label[i] == len(LABELS) - 1:
+            j = i + 1  # each secret is a span of its own: its token's long run
+            run = secret_in(text[start : field.spans[i][1]])
+            start, end = (start + run.start(), start + run.end()) if run else (start, field.spans[i][1])
         while start < end and text[start] in EDGE:
             start += 1
         while end > start and text[end - 1] in EDGE:
@@ -254,56 +390,73 @@ def added_spans(text: str, field: Field, p: np.ndarray, base: list[tuple[int, in
     return out
 
 
-RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
+TOKENS_AT_ONCE = 50_000
 
 
 def _render(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
+    return ",".join(f"{SPAN_KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 def _find(crf: Crf, sure: float):
+    def settle(rows, waiting):
+        fields = [w[2] for w in waiting]
+        x, y, edges = stack(fields)
+        p, at = crf.marginals(x, y, edges, *stack_plain(fields)), 0
+        for k, text, field, base in waiting:
+            more = added_spans(text, field, p[at : at + len(field.spans)], base, sure)
+            at += len(field.spans)
+            count = [sum(s[1] == kind for s in base) for kind in range(len(KINDS))]
+            rows[k] = (rows[k], *count, hashlib.sha256(_render(base).encode()).hexdigest(), _render(base + more), len(more), len(base) + len(more))
+
     def run(batches):
         for batch in batches:
-            rows, open_ = [], []
+            rows, waiting, tokens = [], [], 0
             for doc, value in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 text = value.as_py()
                 if not text or not SHAPED.search(text):
-                    rows.append((doc, 0, 0, 0, 0, EMPTY, "", 0))
+                    rows.append((doc, 0, 0, 0, 0, EMPTY, "", 0, 0))
                     continue
                 base = base_spans(text)
-                open_.append((len(rows), text, Field(text, base), base))
+                waiting.append((len(rows), text, Field(text, base), base))
                 rows.append(doc)
-            if open_:
-                x, y, edges = stack([o[2] for o in open_])
-                p, at = crf.marginals(x, y, edges), 0
-                for k, text, field, base in open_:
-                    more = added_spans(text, field, p[at : at + len(field.spans)], base, sure)
-                    at += len(field.spans)
-                    count = [sum(s[1] == kind for s in base) for kind in range(4)]
-                    rows[k] = (rows[k], *count, hashlib.sha256(_render(base).encode()).hexdigest(), _render(base + more), len(more))
-            made = [pa.array([r[c] for r in rows], pa.string() if c in (5, 6) else pa.int64()) for c in range(8)]
+                tokens += len(waiting[-1][2].spans)
+                if tokens > TOKENS_AT_ONCE:
+                    settle(rows, waiting)
+                    waiting, tokens = [], 0
+            if waiting:
+                settle(rows, waiting)
+            made = [pa.array([r[c] for r in rows], pa.string() if c in (5, 6) else pa.int64()) for c in range(9)]
             yield pa.RecordBatch.from_arrays(made, names=[c.split()[0] for c in RESULT.split(", ")])
 
     return run
 
 
-def fit(docs: DataFrame, most_docs: int = FIT_DOCS) -> Crf:
-    """Fit on the texts of at most most_docs documents with a digit or @ (least hash of doc_id and text)."""
+def fit(docs: DataFrame, most_docs: int = FIT_DOCS, most_chars: int = FIT_CHARS) -> Crf:
+    """Fit on the texts of at most most_docs documents with a digit or @ (least hash of doc_id and text), as many of
+    them, in the order of hashes, as have most_chars characters together."""
     own = docs.select(F.xxhash64("doc_id", "text").alias("h"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    # only hashes meet for the choice; texts of the chosen few follow
-    last = own.select("h").orderBy("h").limit(most_docs).agg(F.max("h")).first()[0]
+    # only hashes and sizes meet for the choice; texts of the chosen few follow
+    last, total, taken = None, 0, set()
+    for r in own.select("h", F.length("text").alias("n")).orderBy("h", "n").limit(most_docs).collect():
+        total += 0 if r.h in taken else r.n
+        if total > most_chars:
+            break
+        taken.add(r.h)
+        last = r.h
     picked = own.filter(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).collect() if last is not None else []
     return Crf.fit([Field(r.text, base_spans(r.text)) for r in sorted(picked, key=lambda r: (r.h, r.text))])
 
 
 def find(docs: DataFrame, crf: Crf, sure: float = SURE) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added), n_added.
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added), n_added, n_spans.
 
-    Spans are kind:start:end in code points, end exclusive, by start, then kind, joined by commas.  One row per
-    input row; null or empty text: no spans.  Null ids and repeated rows are searched like others.
+    Spans are kind:start:end in code points, end exclusive, by start, then kind, joined by commas; added ones can be of
+    the kind secret.  One row per input row; null or empty text: no spans.  Null ids and repeated rows are searched like
+    others.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(_find(crf, sure), RESULT)
