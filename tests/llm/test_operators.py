@@ -222,6 +222,44 @@ def test_message_passing_is_exact_on_a_tree():
     assert np.abs(crf.marginals(x, np.zeros(4, int), edges) - want).max() < 1e-2
 
 
+def test_plain_tokens_are_summed_out_exactly():
+    """Marginals of a field with gaps equal those of the whole chain by enumeration."""
+    rng = np.random.default_rng(1)
+    k = len(pii.LABELS)
+    crf = pii.Crf(rng.normal(size=(pii.FEATURES, k)) / 2, rng.normal(size=(3, k, k)))
+    for text in ("a b +1 c d 22", "9 x y", "x 1-1 2@2 y"):
+        field = pii.Field(text, [])
+        x, y, edges = pii.stack([field])
+        got = crf.marginals(x, y, edges[edges[:, 2] == 0], *pii.stack_plain([field]))
+        tokens = list(pii.TOKEN.finditer(text))
+        node = [crf.node[field.features[field.spans.index(m.span())]].sum(0) if m.span() in field.spans else crf.node[pii.PLAIN].sum(0) for m in tokens]
+        score = np.zeros((k,) * len(tokens))
+        for at in np.ndindex(*score.shape):
+            score[at] = sum(node[i][at[i]] for i in range(len(tokens))) + sum(crf.pair[0][at[i], at[i + 1]] for i in range(len(tokens) - 1))
+        p = np.exp(score - score.max())
+        p /= p.sum()
+        want = [p.sum(tuple(j for j in range(len(tokens)) if j != i)) for i, m in enumerate(tokens) if m.span() in field.spans]
+        assert np.abs(got - np.stack(want)).max() < 1e-2
+
+
+def test_field_finds_secrets(spark):
+    """Announced secrets teach the field; it finds them, also without the announcement, and adds nothing to clean texts."""
+    rng = random.Random(7)
+    code = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(36)) + "a1b2"
+    quote = lambda i, c: f'"{c}"' if i % 2 else c
+    rows = [(i, f"some words here {rng.randrange(100)} token = {quote(i, code())} and more words at {i}.") for i in range(60)]
+    rows += [(100 + i, f"plain words about {rng.randrange(3000)} things, no secret {i}.") for i in range(100)]
+    again = code()
+    rows += [(300, f"the key = {again} " + "word " * 30 + f"then {again} once more"), (301, f"x {code()}!! y")]
+    df = frame(spark, rows)
+    got = {r.doc_id: r for r in pii.find(df, pii.fit(df)).collect()}
+    texts = dict(rows)
+    cut = {d: [texts[d][int(s.split(":")[1]) : int(s.split(":")[2])] for s in r.spans.split(",") if s.startswith("secret")] for d, r in got.items()}
+    assert all(len(cut[i]) == 1 and len(cut[i][0]) == 40 and cut[i][0] in texts[i] for i in range(60))
+    assert cut[300] == [again, again] and len(cut[301]) == 1 and not any(got[100 + i].n_spans for i in range(100))
+    assert all(r.n_spans == r.n_added + r.n_email + r.n_ip + r.n_card + r.n_phone for r in got.values())
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(5)
     items = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(60, 150))).strip() for _ in range(6)] + ["short", None]
@@ -335,6 +373,39 @@ def test_known_licenses(spark):
     assert [got[len(cases) + k].notice_ids for k in range(len(notices))] == [i for i, _ in notices]
 
 
+def test_chain_equals_a_plain_loop():
+    """Out-of-fold probabilities and weights against models fitted one by one."""
+    rng = np.random.default_rng(3)
+    x, fold = rng.integers(0, 2, (90, 4)).astype(float), rng.integers(0, toxicity.FOLDS, 90)
+    y = np.column_stack([x[:, 0] * (rng.random(90) < 0.8), x[:, 1], x[:, 0]]).astype(int)
+    chain = toxicity.Chain(np.arange(4, dtype=np.uint64), np.ones(4, np.int64), x, y, fold)
+    wide, weights = x.tolist(), []
+    for k in range(3):
+        new = [0.0] * 90
+        for f in range(toxicity.FOLDS):
+            rest = [i for i in range(90) if fold[i] != f]
+            w = toxicity.fit_logistic(np.array([wide[i] for i in rest]), y[rest, k].astype(float))
+            for i in range(90):
+                if fold[i] == f:
+                    new[i] = 1 / (1 + np.exp(-(sum(a * c for a, c in zip(wide[i], w)) + w[-1])))
+        weights.append(toxicity.fit_logistic(np.array(wide), y[:, k].astype(float)))
+        wide = [[*r, v] for r, v in zip(wide, new)]
+    assert all(np.allclose(a, c, atol=1e-6) for a, c in zip(chain.weights, weights))
+    out = []
+    for row in x.tolist():
+        for w in weights:
+            row = [*row, 1 / (1 + np.exp(-(sum(a * c for a, c in zip(row, w)) + w[-1])))]
+        out.append(row[-3:])
+    assert np.allclose(chain.score(x), out, atol=1e-6)
+
+
+def test_categories_come_from_the_data():
+    x = np.array([[1, 1, 0, 0]] * 5 + [[0, 0, 1, 1]] * 8 + [[0, 0, 0, 0]] * 6, float)
+    y = toxicity.categories(x, np.array([1] * 13 + [0] * 6))
+    assert y.tolist() == [[0, 1, 1]] * 5 + [[1, 0, 1]] * 8 + [[0, 0, 0]] * 6
+    assert toxicity.categories(x[:3], np.array([1, 1, 1])).tolist() == [[1, 0, 1]] * 3 and toxicity.categories(x[:0], np.zeros(0, int)).shape == (0, 3)
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(8)
     rows, labels = [], []
