@@ -99,11 +99,11 @@ def ids_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.asarray(pc.fill_null(column.cast(pa.int64()), NO_ID).to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else pc.fill_null(column.cast(pa.int64()), NO_ID).to_numpy(), np.int64)
 
 
-def slices(buf: np.ndarray, offs: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole documents of about `most` bytes: (first, last + 1, bytes, offsets)."""
+def slices(buf: np.ndarray, offs: np.ndarray, most: int = BLOCK, most_docs: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole documents of about `most` bytes, and of at most most_docs: (first, last + 1, bytes, offsets)."""
     i, n = 0, len(offs) - 1
     while i < n:
-        j = max(i + 1, min(n, int(np.searchsorted(offs, offs[i] + most, "right")) - 1))
+        j = max(i + 1, min(n, i + most_docs, int(np.searchsorted(offs, offs[i] + most, "right")) - 1))
         yield i, j, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
 

@@ -20,6 +20,7 @@ from .storage import materialize
 
 MOST_ROWS, FOLDS, MOST_FEATURES, LEAST_Z, LEAST_DOCS, PENALTY = 3000, 5, 400, 5.0, 5, 0.5
 GROUPS, STEPS = 2, 50
+AT_ONCE, MOST_DOCS = 1 << 20, 2048  # bytes and documents of a block of work; short texts make wide tables
 LEVELS, BEGINNINGS = (1, 2, 3), (5, 6, 7, 8, 9)
 
 NOT_LETTER = np.ones(256, bool)
@@ -88,9 +89,11 @@ class Chain:
             x = np.column_stack([x, out])
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        for w in self.weights:
-            x = np.column_stack([x, predict(x, w)])
-        return x[:, -len(self.weights) :]
+        wide, out = x.shape[1], np.zeros((len(x), len(self.weights)))
+        for k, w in enumerate(self.weights):
+            earlier = out[:, :k] @ w[wide : wide + k]
+            out[:, k] = 1 / (1 + np.exp(-np.clip(x @ w[:wide] + earlier + w[-1], -30, 30)))
+        return out
 
     def presence(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         return _presence(self.hashes, self.column, self.levels, buf, offs)
@@ -98,7 +101,7 @@ class Chain:
 
 def _presence(hashes: np.ndarray, column: np.ndarray, levels: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """(documents, features): 1 where a document has the feature at least as often as its level."""
-    count = np.zeros((len(offs) - 1, len(hashes)), np.int64)
+    count = np.zeros((len(offs) - 1, len(hashes)), np.int32)
     if len(hashes):
         for h, doc in grams(buf, offs):
             at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
@@ -148,7 +151,7 @@ def _features(batches):
         buf, offs = b.texts_of(batch.column("text"))
         label = np.asarray(batch.column("label").to_numpy(zero_copy_only=False), int)
         keys, counts = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), int)]
-        for i, j, part, at in b.slices(buf, offs):
+        for i, j, part, at in b.slices(buf, offs, AT_ONCE, MOST_DOCS):
             both = np.column_stack([np.ones(j - i, int), label[i:j]])
             for h, doc in grams(part, at):
                 order = np.lexsort((h, doc))
@@ -176,7 +179,7 @@ def _matrix(hashes: np.ndarray, column: np.ndarray, levels: np.ndarray):
         for batch in batches:
             buf, offs = b.texts_of(batch.column("text"))
             xs = []
-            for _, _, part, at in b.slices(buf, offs):
+            for _, _, part, at in b.slices(buf, offs, AT_ONCE, MOST_DOCS):
                 xs += [r.tobytes() for r in np.packbits(_presence(hashes, column, levels, part, at).astype(bool), axis=1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(xs, pa.binary())], names=["doc_id", "label", "x"])
 
@@ -219,7 +222,7 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
         for batch in batches:
             buf, offs = b.texts_of(batch.column("text"))
             got = [np.zeros((0, len(names)))]
-            for _, _, part, at in b.slices(buf, offs):
+            for _, _, part, at in b.slices(buf, offs, AT_ONCE, MOST_DOCS):
                 got.append(chain.score(chain.presence(part, at)))
             p = np.round(np.concatenate(got), 6)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, k]) for k in range(len(names))), pa.array(p[:, -1] >= threshold)], names=["doc_id", *names, "toxic"])
