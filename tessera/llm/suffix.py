@@ -1,9 +1,11 @@
 """op3: remove byte strings that a document with a smaller doc_id has, by suffix arrays.
 
 Bucket-pointer refinement: suffixes are first bucketed by their q-gram; every suffix has a pointer to its
-bucket.  A bucket is refined by sorting its members on the bucket pointers at the offset that the buckets
-already cover, which doubles the depth; pointers are updated and the next level works on them.  Buckets with one
-member are final and leave.  Refinement stops at the wanted depth: suffixes in one bucket then share that many bytes.
+bucket, and every bucket knows how many bytes its members share.  A bucket is refined by sorting its members on the
+pointers at that offset; the new buckets' pointers are written at once, and they are refined in turn before buckets that
+wait, so that whatever refers to them later finds finer pointers and gains more bytes a step.  Buckets go through in
+portions (whole arrays of them), the latest first.  Buckets with one member are final, and so are those that share
+the wanted depth; neighbours in the order that were told apart beyond that depth are put together again by comparing bytes.
 """
 
 from __future__ import annotations
@@ -17,43 +19,68 @@ from pyspark.sql import DataFrame
 from .anchored import Group, Segments, Unit, covered, removed_by_document, steps
 
 Q = 8
+PORTION = 1 << 16
+DONE = np.iinfo(np.int32).max
 
 
-def bucket_pointers(data: np.ndarray, depth: int, q: int = Q) -> np.ndarray:
+def bucket_pointers(data: np.ndarray, depth: int, q: int = Q, portion: int = PORTION) -> np.ndarray:
     """For each position the pointer to its bucket of suffixes with equal first `depth` bytes (zeros follow the end).
 
     Pointers are ranks in the suffix array: buckets' order is the suffixes' order.  depth >= q, q at most 8.
     """
     n = len(data)
-    padded = np.zeros(n + 8, np.uint8)
+    if n >= 2**31 - depth:
+        raise ValueError("a shard has over 2^31 bytes")
+    padded = np.zeros(n + depth + 8, np.uint8)
     padded[:n] = data
-    gram = np.ndarray((n,), ">u8", padded.data, strides=(1,)).astype(np.uint64) >> np.uint64(8 * (8 - q))
-    order = np.argsort(gram).astype(np.int32 if n < 2**31 else np.int64)
-    sorted_gram = gram[order]
-    new = np.ones(n + 1, bool)
-    new[1:n] = sorted_gram[1:] != sorted_gram[:-1]
-    slot = np.arange(n, dtype=order.dtype)
-    head = np.maximum.accumulate(np.where(new[:n], slot, 0))
-    pointer = np.empty(n + depth, order.dtype)
-    pointer[n:] = 0
-    pointer[order] = head + 1  # 0 is the end
-    alone = new[:n] & new[1:]
-    members, at = order[~alone], slot[~alone]
-    del gram, sorted_gram, head, order, slot, new, alone
-    reach = q
-    while reach < depth and len(members):
-        step = min(reach, depth - reach)
-        key = (pointer[members].astype(np.uint64) << np.uint64(32)) | pointer[members + step].astype(np.uint64) if n < 2**31 else None
-        assert key is not None, "a shard has over 2^31 bytes"
+    eight = np.ndarray((n + depth,), ">u8", padded.data, strides=(1,))
+    gram = eight[:n].astype(np.uint64) >> np.uint64(8 * (8 - q))
+    order = np.argsort(gram).astype(np.int32)
+    gram = gram[order]
+    head = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[:n]).astype(np.int32)
+    size = np.diff(np.append(head, n)).astype(np.int32)
+    pointer = np.zeros(n + depth, np.int32)  # 0 is the end
+    pointer[order] = np.repeat(head, size) + 1
+    shared = np.full(n + 1, DONE, np.int32)  # by pointer: bytes that the bucket's members share; nothing follows the end
+    shared[head + 1] = q
+    del gram
+    waiting = [(head[size > 1], size[size > 1])]
+    while waiting:
+        heads, sizes = waiting.pop()
+        while waiting and sizes.sum(dtype=np.int64) < portion // 4:
+            more = waiting.pop()
+            heads, sizes = np.concatenate([heads, more[0]]), np.concatenate([sizes, more[1]])
+        if len(heads) > 1 and sizes.sum(dtype=np.int64) > portion:
+            last = max(1, int(np.searchsorted(np.cumsum(sizes, dtype=np.int64), portion, "right")))
+            waiting.append((heads[last:], sizes[last:]))
+            heads, sizes = heads[:last], sizes[:last]
+        which, step = steps(sizes)
+        slots = heads[which] + step
+        members, bytes_shared = order[slots], shared[heads + 1]
+        beyond = pointer[members + bytes_shared[which]]
+        key = (which.astype(np.uint64) << np.uint64(32)) | beyond.astype(np.uint64)
         by = np.argsort(key)
-        members, key = members[by], key[by]
-        new = np.ones(len(members) + 1, bool)
-        new[1:-1] = key[1:] != key[:-1]
-        # a bucket's members keep its slots, so the slots stay as they were
-        pointer[members] = np.maximum.accumulate(np.where(new[:-1], at, 0)) + 1
-        alone = new[:-1] & new[1:]
-        members, at = members[~alone], at[~alone]
-        reach += step
+        members, key, beyond = members[by], key[by], beyond[by]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        count = np.diff(np.append(first, len(key))).astype(np.int32)
+        # a bucket's members keep its slots
+        order[slots] = members
+        new = slots[first].astype(np.int32)
+        pointer[members] = np.repeat(new, count) + 1
+        gained = np.minimum(shared[beyond[first]], DONE - depth)
+        shared[new + 1] = bytes_shared[which[first]] + gained
+        open_ = (count > 1) & (shared[new + 1] < depth)
+        if open_.any():
+            waiting.append((new[open_], count[open_]))
+    # buckets that differ only beyond the depth become one
+    apart = np.append(True, pointer[order[1:]] != pointer[order[:-1]])[:n]
+    same = np.flatnonzero(apart)[1:]
+    for at in range(0, depth, 8):
+        shift = np.uint64(8 * max(0, at + 8 - depth))
+        left, right = (eight[order[same - k] + at].astype(np.uint64) >> shift for k in (1, 0))
+        same = same[left == right]
+    apart[same] = False
+    pointer[order] = np.maximum.accumulate(np.where(apart, np.arange(n, dtype=np.int32), 0)) + 1
     return pointer[:n]
 
 
