@@ -277,23 +277,30 @@ def _portions(part: np.ndarray, size: np.ndarray, some: np.ndarray, most: int =
 
 
 def once(index: Index, seg: Segments) -> np.ndarray:
-    """The index's answer, with equal segments indexed once, under the least of their documents."""
+    """The index's answer, with equal segments indexed once, under the least of their documents.  Segments meet by
+    hash and are compared byte by byte; should one hash stand for different segments, all are indexed as they are."""
     size = np.diff(seg.offs)
     key = b.mix(b.hashes(seg.data, seg.offs) + seg.n_windows.astype(np.uint64) * b.COEFF[50])
     _, first, same = np.unique(key, return_index=True, return_inverse=True)
     doc = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(doc, same, seg.doc)
     lone = _cut(seg.data, seg.offs[:-1][first], seg.offs[:-1][first] + size[first], doc, seg.n_windows[first])
+    if not (size == size[first][same]).all() or not (seg.n_windows == seg.n_windows[first][same]).all() or not (seg.data == lone.data[_places(lone.offs[:-1][same], size)]).all():
+        return index(seg)
     least = index(lone)
     which, step = steps(seg.n_windows)
     return least[(np.cumsum(lone.n_windows) - lone.n_windows)[same[which]] + step]
 
 
+def _places(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of stretches that start at low, one stretch after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - size), size)
+
+
 def _cut(buf: np.ndarray, low: np.ndarray, high: np.ndarray, doc: np.ndarray, n: np.ndarray) -> Segments:
     size = high - low
-    offs = np.append(0, np.cumsum(size))
-    at = np.arange(offs[-1]) + np.repeat(low - offs[:-1], size)
-    return Segments(buf[at], offs, np.asarray(doc, np.int64), np.asarray(n, np.int64))
+    return Segments(buf[_places(low, size)], np.append(0, np.cumsum(size)), np.asarray(doc, np.int64), np.asarray(n, np.int64))
 
 
 SPANS = "q int, spans binary"

@@ -119,6 +119,18 @@ class FmIndex:
         return reached, low, high
 
 
+def _numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each word, the same for equal words.  Words meet by hash and are compared byte by byte; should one
+    hash stand for different words, they are numbered by their bytes."""
+    _, first, number = np.unique(b.Spans(data)(starts, ends), return_index=True, return_inverse=True)
+    size, like = ends - starts, first[number]
+    which, step = steps(size)
+    if (size == size[like]).all() and (data[starts[which] + step] == data[starts[like][which] + step]).all():
+        return number
+    _, number = np.unique(np.array([data[i:j].tobytes() for i, j in zip(starts, ends)], object), return_inverse=True)
+    return number
+
+
 def least_document(length: int):
     """Index for segments of words: the smallest doc_id that has each window."""
 
@@ -126,7 +138,7 @@ def least_document(length: int):
         starts, ends, bounds = b.words(seg.data, seg.offs)
         if not len(starts):
             return np.zeros(0, np.int64)
-        _, number = np.unique(b.Spans(seg.data)(starts, ends), return_inverse=True)
+        number = _numbers(seg.data, starts, ends)
         # one separator after each segment
         place = np.arange(len(starts)) + np.repeat(np.arange(len(seg.doc)), np.diff(bounds))
         text = np.zeros(len(starts) + len(seg.doc), np.int64)
@@ -140,6 +152,8 @@ def least_document(length: int):
         got = b.chain(b.mix(text.astype(np.uint64)), length)
         runs[: len(got)] = got
         _, first, same = np.unique(runs[begin], return_index=True, return_inverse=True)
+        if not all((text[begin + j] == text[begin[first][same] + j]).all() for j in range(length)):
+            first = same = np.arange(len(begin))
         reached, low, high = fm.matching(text, begin[first], length)
         full = reached == length
         least = owner[begin[first]].copy()

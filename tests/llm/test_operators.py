@@ -10,7 +10,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from tessera.llm import components, decontaminate, fmindex, licenses, lines, minhash, packing, pii, quality, suffix, toxicity  # noqa: E402
+from tessera.llm import anchored, components, decontaminate, fmindex, licenses, lines, minhash, packing, pii, quality, suffix, toxicity  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, q int, u long, bucket string, key string, __key string, kept boolean, label int"
 
@@ -114,6 +114,28 @@ def test_bucket_pointers_are_ranks():
         assert [sorted(keys).index(k) + 1 for k in keys] == got.tolist()
 
 
+def test_refinement_in_small_portions():
+    """Periodic and repetitive data, deep and shallow, with portions down to single buckets."""
+    rng = random.Random(9)
+    for text in (b"a" * 300, b"abcabd" * 60, b"ab" * 40 + b"ba" * 40, bytes(rng.choice(b"abc") for _ in range(50)) * 6, bytes(rng.randrange(1, 256) for _ in range(400))):
+        for depth in (8, 9, 20, 50):
+            keys = [text[i : i + depth].ljust(depth, b"\0") for i in range(len(text))]
+            want = [sorted(keys).index(k) + 1 for k in keys]
+            for portion in (1, 64, 1 << 16):
+                assert suffix.bucket_pointers(np.frombuffer(text, np.uint8), depth, 8, portion).tolist() == want
+
+
+def test_equal_hashes_are_no_equality(monkeypatch):
+    """With a hash that tells little apart, results stay exact, as bytes are compared."""
+    docs = [(0, b"alpha beta gamma delta eps zeta"), (1, b"alpha betb gamma delta eps zetb")]
+    data = np.frombuffer(b"".join(t for _, t in docs), np.uint8)
+    offs = np.append(0, np.cumsum([len(t) for _, t in docs]))
+    monkeypatch.setattr(anchored.b, "hashes", lambda buf, offs: np.zeros(len(offs) - 1, np.uint64))
+    monkeypatch.setattr(fmindex.b.Spans, "__call__", lambda self, starts, ends: np.zeros(len(starts), np.uint64))
+    least = anchored.once(fmindex.least_document(3), anchored.Segments(data, offs, np.array([5, 7]), np.array([4, 4])))
+    assert least.tolist() == [5, 5, 5, 5, 7, 7, 5, 7]
+
+
 @pytest.mark.parametrize("by_word", [False, True])
 def test_repeats(spark, docs, empty, by_word):
     rows, df = docs
