@@ -1,6 +1,6 @@
 """Column expressions with the semantics of annual panels: null-safe sums, bands, codes, dates."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MISSING = "__MISSING__"
@@ -23,10 +23,15 @@ def count_values(c: Column) -> Column:
     return F.countDistinct(c) + F.max(c.isNull().cast("int"))
 
 
-def quantile_nearest(c: str, q: float) -> Column:
-    """The value nearest to rank q * (n - 1) of the sorted values."""
-    values = F.array_sort(F.collect_list(c))
-    return F.element_at(values, (F.round(F.lit(q) * (F.size(values) - 1)) + 1).cast("int"))
+def nearest_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
+    """By group, the values nearest to rank q * (n - 1) of the sorted values that aren't null, for each named q.
+    Values are counted first, so windows run over distinct values."""
+    by = [F.col(k) for k in keys] or [F.lit(0)]
+    w = Window.partitionBy(*by)
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    ranked = counted.withColumns({"_upto": F.sum("_n").over(w.orderBy(value)), "_all": F.sum("_n").over(w)})
+    at = lambda q: F.round(F.lit(q) * (F.col("_all") - 1))
+    return ranked.groupBy(*keys).agg(*(F.max(F.when((F.col("_upto") > at(q)) & (F.col("_upto") - F.col("_n") <= at(q)), F.col(value))).alias(name) for name, q in probabilities.items()))
 
 
 def age_band(age: Column) -> Column:

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import exprs as x
+
 POOLED = "pooled"
 
 
@@ -14,8 +16,10 @@ def pool_small(people: DataFrame, keys: list[str], code: str, least: int) -> Dat
     rank = F.row_number().over(w.orderBy((F.col("people") < least).cast("int"), "people", "events", code))
     marked = cells.withColumns({"small": F.sum((F.col("people") < least).cast("int")).over(w), "rank": rank})
     marked = marked.withColumn("to", F.when((F.col("people") < least) | ((F.col("small") == 1) & (F.col("people") >= least) & (F.col("rank") == 1)), F.lit(POOLED)).otherwise(F.col(code)))
-    joined = people.join(marked.select(*keys, code, "to"), [*keys, code])
-    out = joined.groupBy(*keys, "to").agg(F.countDistinct("simple_id").alias("people"), F.count("*").alias("events"), F.countDistinct(code).alias("codes"))
+    # null keys and codes are values
+    named = marked.select(*(F.col(c).alias(f"_{c}") for c in (*keys, code)), "to")
+    joined = people.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, code)])
+    out = joined.groupBy(*keys, "to").agg(F.countDistinct("simple_id").alias("people"), F.count("*").alias("events"), x.count_values(F.col(code)).alias("codes"))
     hide = (F.col("to") == POOLED) & (F.col("people") < least)
     return out.select(*keys, F.col("to").alias(code), F.when(~hide, F.col("people")).alias("people"), F.when(~hide, F.col("events")).alias("events"), "codes")
 

@@ -33,7 +33,8 @@ def rank_pairs(risk: DataFrame) -> DataFrame:
     ranked = risk.select(*STRATA, "treated", "simple_id", F.row_number().over(w).alias("k"))
     t = ranked.filter("treated = 1").select(*STRATA, "k", F.col("simple_id").alias("t_id"))
     c = ranked.filter("treated = 0").select(*STRATA, "k", F.col("simple_id").alias("c_id"))
-    return t.join(c, [*STRATA, "k"]).select((F.col("t_id") * 10_000 + F.col("t0")).alias("match_group"), "t0", "t_id", "c_id")
+    c = c.select("c_id", *(F.col(k).alias(f"_{k}") for k in (*STRATA, "k")))
+    return t.join(c, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*STRATA, "k")]).select((F.col("t_id") * 10_000 + F.col("t0")).alias("match_group"), "t0", "t_id", "c_id")
 
 
 def assignment(pairs: DataFrame) -> DataFrame:

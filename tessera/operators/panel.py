@@ -31,10 +31,10 @@ def flags(df: DataFrame, codes: list[int] = MSK) -> DataFrame:
 
 
 def history(df: DataFrame) -> DataFrame:
-    """Running counts, first exposure, ever flags and years since the last event."""
+    """Running counts, first exposure, ever flags and years since the last event.  exposed: 1 in a year of exposure."""
     person = Window.partitionBy("simple_id")
     so_far = person.orderBy("ja").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    start = F.when((F.col("simple_id") % 6 == 0) & (F.col("ja") >= 1998 + F.floor(F.col("simple_id") / 6) % 3), F.col("ja"))
+    start = F.when(F.col("exposed") == 1, F.col("ja"))
     return df.withColumns({
         "first_exposure_year": F.min(start).over(person),
         "cum_rehab": F.sum("rehab").over(so_far),
@@ -43,8 +43,58 @@ def history(df: DataFrame) -> DataFrame:
     })
 
 
+def without_conflicts(raw: DataFrame) -> DataFrame:
+    """raw without the persons that have several death years; on the person's partitioning, so dedup needs no exchange
+    of its own."""
+    person = Window.partitionBy("simple_id")
+    two = F.min("death_year").over(person) != F.max("death_year").over(person)
+    return raw.repartition("simple_id").withColumn("_two", F.coalesce(two, F.lit(False))).filter(~F.col("_two")).drop("_two")
+
+
 def build(raw: DataFrame, codes: list[int] = MSK) -> DataFrame:
-    return history(flags(dedup(raw, ["simple_id", "ja"], ["ord"]), codes))
+    """The panel: persons with conflicting death years go, one row a person-year stays, flags and history follow.
+    Raises ValueError where a needed column is absent."""
+    if absent := [c for c in REQUIRED if c not in raw.columns]:
+        raise ValueError(f"columns are absent: {', '.join(absent)}")
+    return history(flags(dedup(without_conflicts(raw), ["simple_id", "ja"], ["ord"]), codes))
+
+
+REQUIRED = ("simple_id", "ja", "ord", "gbja", "ge", "entgelt", "rtzb", "code", "death_year", "exposed")
+
+
+def diagnostics(raw: DataFrame) -> DataFrame:
+    """metric, value: repeated person-years and their excess rows, persons with conflicting death years, and the share of
+    ever exposed persons among those and among the others."""
+    keys = raw.groupBy("simple_id", "ja").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("duplicate_keys"), F.coalesce(F.sum("n") - F.count("*"), F.lit(0)).alias("excess_rows"))
+    person = raw.groupBy("simple_id").agg((F.min("death_year") != F.max("death_year")).alias("two"), F.max("exposed").alias("exposed"))
+    person = person.withColumn("two", F.coalesce("two", F.lit(False)))
+    share = lambda c: F.avg(F.when(c, F.col("exposed")))
+    persons = person.agg(F.count("*").alias("persons"), F.count_if("two").alias("conflicted_persons"), share(F.col("two")).alias("exposed_share_excluded"), share(~F.col("two")).alias("exposed_share_retained"))
+    rows = [f.select([F.col(c).cast("double").alias(c) for c in f.columns]).unpivot([], f.columns, "metric", "value") for f in (keys, persons)]
+    return rows[0].unionByName(rows[1])
+
+
+def definition_audit(members: DataFrame, panel: DataFrame) -> DataFrame:
+    """Matched people, by arm, whom the codes now in force would have kept out: an msk event before t0, or in it."""
+    events = panel.filter("msk = 1").select("simple_id", "ja")
+    per = members.join(events, "simple_id", "left").groupBy("simple_id", "t0", "match_group", "treated").agg(x.any_true(F.col("ja") < F.col("t0")).alias("before"), x.any_true(F.col("ja") == F.col("t0")).alias("now"))
+    return per.groupBy("treated").agg(F.count("*").alias("matched"), F.count_if("before").alias("before_t0"), F.count_if("now").alias("in_t0"), F.count_if(F.col("before") | F.col("now")).alias("would_fail"))
+
+
+def recover_codes(raw: DataFrame, keys: DataFrame, code: str = "code") -> DataFrame:
+    """The code of each wanted person-year by the panel's own row rule, how many rows it has, and whether their codes
+    disagree.  Only wanted rows are sorted; a key without a row keeps a null code and no rows."""
+    wanted = keys.select("simple_id", "ja").distinct()
+    rows = raw.join(wanted, ["simple_id", "ja"], "left_semi")
+    kept = dedup(rows, ["simple_id", "ja"], ["ord"]).select("simple_id", "ja", F.col(code).alias("code"))
+    many = rows.groupBy("simple_id", "ja").agg(F.count("*").alias("n_rows"), x.count_values(F.col(code)).alias("n_codes"))
+    return wanted.join(kept, ["simple_id", "ja"], "left").join(many, ["simple_id", "ja"], "left").select("simple_id", "ja", "code", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce(F.col("n_codes") > 1, F.lit(False)).alias("disagree"))
+
+
+def last_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of each group."""
+    w = Window.partitionBy(*keys).orderBy(*(F.desc_nulls_first(c) for c in order))
+    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
 def relabel(panel: DataFrame, codes: list[int]) -> DataFrame:
@@ -91,7 +141,8 @@ def risk_set(panel: DataFrame, first: int = FIRST, last: int = LAST, depth: int
 
 def attrition(panel: DataFrame) -> DataFrame:
     """Rows and persons left after each rule, by arm, in one pass."""
-    per = staged(panel).groupBy("treated").agg(*(F.count_if(F.col("passed") > k).alias(f"r{k}") for k in range(len(STAGES))), *(F.countDistinct(F.when(F.col("passed") > k, F.col("simple_id"))).alias(f"p{k}") for k in range(len(STAGES))))
+    person = staged(panel).groupBy("treated", "simple_id").agg(F.max("passed").alias("most"), *(F.count_if(F.col("passed") > k).alias(f"n{k}") for k in range(len(STAGES))))
+    per = person.groupBy("treated").agg(*(F.sum(f"n{k}").alias(f"r{k}") for k in range(len(STAGES))), *(F.count_if(F.col("most") > k).alias(f"p{k}") for k in range(len(STAGES))))
     long = per.select("treated", F.explode(F.array(*(F.struct(F.lit(k).alias("ord"), F.lit(s).alias("stage"), F.col(f"r{k}").alias("n_rows"), F.col(f"p{k}").alias("n_persons")) for k, s in enumerate(STAGES)))).alias("s")).select("treated", "s.*")
     w = Window.partitionBy("treated").orderBy("ord")
     return long.withColumn("removed", F.coalesce(F.lag("n_rows").over(w) - F.col("n_rows"), F.lit(0))).select("treated", "stage", "n_rows", "n_persons", "removed")

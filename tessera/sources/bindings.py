@@ -21,4 +21,6 @@ def person_years(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_totalprice") * 0.4).alias("rtzb"),
         F.when((F.col("o_orderstatus") == "P") & (key % 3 == 0), F.when(key % 4 == 0, 20).when(key % 4 == 1, 30).otherwise(10)).alias("code"),
         F.when(person % 29 == 0, 2000).alias("death_year"),
+        # a sixth of the customers is exposed from one of three years on
+        ((person % 6 == 0) & (F.year("o_orderdate") >= 1998 + F.floor(person / 6) % 3)).cast("int").alias("exposed"),
     )
