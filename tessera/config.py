@@ -39,6 +39,10 @@ class CohortConfig:
     ipcw_floor: float = 0.02
     ipcw_cap: float = 20.0
     minimum_cell_people: int = 20
+    exact_columns: tuple[str, ...] = ("lag1_ge_cat", "lag1_age_band", "lag1_ever_rehab_to_date")
+    propensity_numeric: tuple[str, ...] = ("lag1_age", "lag1_cum_rehabs_by_year", "lag1_cum_mental_health_rehabs_by_year", "lag1_years_since_last_rehab", "lag1_byvlgs_value", "lag1_bygmgs_value", "lag1_entgelt_value", "lag1_rtzb_value")
+    propensity_binary: tuple[str, ...] = ("lag1_ever_rehab_to_date", "lag1_ever_mental_health_rehab_to_date", "lag1_non_success_app_this_year", "lag1_byvlgs_missing", "lag1_bygmgs_missing")
+    propensity_categorical: tuple[str, ...] = ("lag1_whot_bland_cat", "lag1_occ_l1_cat", "lag1_income_source_status", "lag1_fmsd_cat")
     extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
@@ -79,7 +83,7 @@ class CohortConfig:
 
 
 #: The first stage that a parameter's change rebuilds: 0 panel, 1 risk sets, 2 matching, 3 all that follows.
-TIERS = {"raw_glob": 0, "data_profile": 0, "source_has_entgelt": 0, "first_marriage_source": 0, "year_start": 1, "year_cap": 1, "lag_depth": 1, "control_pool": 1, "caliper": 2, "exact_covariates": 2, "controls_per_treated": 2, "max_iter": 2, "tol": 2, "propensity_fit_cap": 2, "min_category": 2}
+TIERS = {"raw_glob": 0, "data_profile": 0, "source_has_entgelt": 0, "first_marriage_source": 0, "year_start": 1, "year_cap": 1, "lag_depth": 1, "control_pool": 1, "caliper": 2, "exact_covariates": 2, "controls_per_treated": 2, "max_iter": 2, "tol": 2, "propensity_fit_cap": 2, "min_category": 2, "exact_columns": 2, "propensity_numeric": 2, "propensity_binary": 2, "propensity_categorical": 2}
 IGNORED = {"output_dir"}
 
 

@@ -1,5 +1,7 @@
 """Row-level feature expressions of a person-year with two spell slots, as lists of named columns."""
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,3 +63,66 @@ def decode_occupation(code: Column, labels: dict[int, str], special: list[int])
     """Status of an occupation code: missing, zero, special, invalid width, known or unknown."""
     group = F.create_map(*[F.lit(v) for kv in labels.items() for v in kv]) if labels else F.create_map()
     return F.when(code.isNull(), x.MISSING).when(code == 0, "zero").when(code.isin(special), "special").when(F.length(code.cast("string")) > 3, "invalid_width").when(group[code].isNotNull(), "known").otherwise("unknown")
+
+
+def application_activity(failed: Column, withdrawn: Column, forwarded: Column, starts: Column, subset: Column) -> dict[str, Column]:
+    """non_subset: more starts than subset starts; non_success: any application that came to nothing; n_types: kinds of
+    activity, null where a flag is."""
+    return {"non_subset": (starts > subset).cast("byte"), "non_success": F.greatest(failed, withdrawn, forwarded).cast("byte"), "n_types": (failed + withdrawn + forwarded + (starts > 0).cast("int")).cast("short")}
+
+
+def first_marriage_ends(source: str, divorcing: Column, start: Column, first_start: Column, is_first: Column) -> Column:
+    """Whether a year's divorce ends a first marriage, by dates (date_fields) or by a flag (is_first_marriage)."""
+    if source not in ("date_fields", "is_first_marriage"):
+        raise ValueError("source: date_fields or is_first_marriage")
+    same = (start == first_start) if source == "date_fields" else (is_first == 1)
+    return F.coalesce((divorcing == 1) & same, F.lit(False))
+
+
+def first_marriage_dates(is_first: Column, start: Column, end: Column, decision: Column) -> dict[str, Column]:
+    """Dates of the first marriage where a flag alone tells that this is one; a court's decision ends it."""
+    return {"first_marriage_start": F.when(is_first == 1, start), "first_marriage_end": F.when(is_first == 1, F.coalesce(decision, end))}
+
+
+def normal_sex(value: Column) -> Column:
+    text = value.cast("string")
+    return F.when(text.isin("1", "1.0"), "1").when(text.isin("2", "2.0"), "2").otherwise("unknown")
+
+
+def normal_codes(codes) -> list[int]:
+    """Sorted distinct whole numbers of a scalar or a list; texts like '20.0' count, all else is left out."""
+    found = set()
+    for code in [codes] if isinstance(codes, (int, float, str)) else codes or []:
+        try:
+            found.add(int(float(str(code).strip())))
+        except (ValueError, OverflowError):
+            continue
+    return sorted(found)
+
+
+def original_code(value: Column, known: list[int], special: list[int], unspecified: list[int]) -> dict[str, Column]:
+    """display, status and broad group of a source's occupation code, which may be text; missing is no occupation."""
+    text = F.trim(value.cast("string"))
+    number = text.try_cast("double")
+    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < 1e300)
+    whole = F.when(finite, number.try_cast("bigint"))
+    narrow = whole.between(-(2**31), 2**31 - 1)
+    group = F.when(whole < 0, "-").otherwise(F.substring(F.lpad(whole.cast("string"), F.greatest(F.lit(3), F.length(whole.cast("string"))), F.lit("0")), 1, 1))
+    coded = finite & (number == whole) & whole.between(0, 999)
+    status = (
+        F.when(value.isNull(), "missing").when(~F.coalesce(finite, F.lit(False)), "invalid_value").when(~F.coalesce(coded, F.lit(False)), "invalid_width_or_value")
+        .when(whole == 0, "zero_no_information").when(whole == 999, "no_information_999").when(whole.isin(special), "special_status")
+        .when(whole.isin(unspecified), "occupation_unspecified").when(whole.isin(known), "occupation").otherwise("unrecognised_three_digit_code")
+    )
+    display = F.when(value.isNull(), x.MISSING).when(F.coalesce(coded, F.lit(False)), F.lpad(whole.cast("string"), 3, "0")).otherwise(text)
+    return {"display": display, "status": status, "broad": F.when(F.coalesce(narrow, F.lit(False)), group).otherwise(x.MISSING)}
+
+
+def lag_columns(columns: list[str], skip: tuple[str, ...] = ("_source_year",)) -> list[str]:
+    """The lagged columns, but for those with one of the endings."""
+    return [c for c in columns if re.match(r"lag[123]_", c) and not c.endswith(skip)]
+
+
+def prefixed(df: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
+    """All columns but the keys with a prefix."""
+    return df.select(*keys, *(F.col(c).alias(f"{prefix}{c}") for c in df.columns if c not in keys))

@@ -33,8 +33,11 @@ def mortality_grid(members: DataFrame, panel: DataFrame, horizon: int = 5, end:
     return rows.withColumn("ja", F.explode(F.sequence(F.col("t0") + 1, F.col("last")))).select(*GROUP, "t0", "simple_id", "ja", (F.col("ja") - F.col("t0")).alias("follow_year"), F.coalesce((F.col("death_year") == F.col("ja")).cast("int"), F.lit(0)).alias("death_event"))
 
 
-def counts(follow: DataFrame) -> DataFrame:
-    return follow.groupBy("treated", "follow_year").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == 1).alias("d1"), F.count_if(F.col("event_type") == 2).alias("d2"))
+def counts(follow: DataFrame, weight: str | None = None) -> DataFrame:
+    if weight is None:
+        return follow.groupBy("treated", "follow_year").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == 1).alias("d1"), F.count_if(F.col("event_type") == 2).alias("d2"))
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("event_type") == kind, F.col(weight))), F.lit(0))
+    return follow.groupBy("treated", "follow_year").agg(F.sum(weight).alias("n"), of(1).alias("d1"), of(2).alias("d2"))
 
 
 def survival(c: DataFrame, hazard, group: str = "treated") -> DataFrame:
@@ -46,9 +49,9 @@ def survival(c: DataFrame, hazard, group: str = "treated") -> DataFrame:
     return h.withColumns({"surv": factor(upto), "surv_before": factor(before)})
 
 
-def incidence(follow: DataFrame) -> DataFrame:
-    """Aalen-Johansen incidence of event 1 against competing event 2."""
-    s = survival(counts(follow), (F.col("d1") + F.col("d2")) / F.col("n"))
+def incidence(follow: DataFrame, weight: str | None = None) -> DataFrame:
+    """Aalen-Johansen incidence of event 1 against competing event 2, of rows or of their weights."""
+    s = survival(counts(follow, weight), (F.col("d1") + F.col("d2")) / F.col("n"))
     w = Window.partitionBy("treated").orderBy("follow_year").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return s.withColumn("cif", F.sum(F.col("surv_before") * F.col("d1") / F.col("n")).over(w))
 
@@ -67,6 +70,19 @@ def event_panel(pairs: DataFrame, panel: DataFrame, low: int = -2, high: int = 2
     return wide.filter("arms = 2").select("match_group", "t0", "event_time", "treated_rehab", "control_rehab", (F.col("treated_rehab") - F.col("control_rehab")).alias("pair_diff"))
 
 
+def pair_means(panel: DataFrame, least: int = 20) -> DataFrame:
+    """Means of both arms and pairs by event time, and whether a count that made them is small: under `least` pairs, or
+    from 1 to least - 1 positive or zero values of an arm."""
+    arms = ("treated_rehab", "control_rehab")
+    some = panel.filter(" and ".join(f"{a} is not null" for a in arms))
+    g = some.groupBy("event_time").agg(*(F.avg(a).alias(a.replace("rehab", "mean")) for a in arms), F.count("*").alias("n_pairs"), *(F.count_if(F.col(a) > 0).alias(f"_p_{a}") for a in arms), *(F.count_if(F.col(a) == 0).alias(f"_z_{a}") for a in arms))
+    few = F.col("n_pairs") < least
+    for a in arms:
+        for k in ("p", "z"):
+            few = few | F.col(f"_{k}_{a}").between(1, least - 1)
+    return g.select("event_time", "treated_mean", "control_mean", "n_pairs", few.alias("review"))
+
+
 def event_study(panel: DataFrame, reference: int = -1) -> DataFrame:
     """OLS of pair differences on event-time dummies: mean_k - mean_reference, with errors clustered by pair.
 

@@ -20,20 +20,30 @@ PROPENSITY_NUMBERS = ("lag1_age", "lag1_entgelt", "lag1_rtzb", "lag1_cum_rehab")
 LEAST_LEVEL, MOST_LEVELS, RARE = 10, 1000, "__RARE__"
 
 
-def save(df: DataFrame) -> DataFrame:
-    """df as a table in spark.checkpoint.dir, read again, and deleted at the end of the application; where that is
-    unset, a local session (tests) uses its warehouse, and on a cluster it is an error."""
-    spark = df.sparkSession
+def root_of(spark) -> str:
+    """The folder for tables between stages: spark.checkpoint.dir; where that is unset, a local session (tests) uses its
+    warehouse, and on a cluster it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/saved-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def delete_at_end(spark, path: str) -> str:
+    """path, which the driver's file system removes at the end of the application."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(at)
     fs.deleteOnExit(fs.makeQualified(at))
+    return path
+
+
+def save(df: DataFrame) -> DataFrame:
+    """df as a table of the shared folder, read again."""
+    spark = df.sparkSession
+    path = delete_at_end(spark, f"{root_of(spark)}/saved-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -126,6 +136,19 @@ def hazard(follow: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows_out, "term string, coefficient double, se double, odds_ratio double, ci_low double, ci_high double")
 
 
+def hazard_scores(follow: DataFrame) -> DataFrame:
+    """term, score: the sum of residuals times the term's column at the hazard's estimates, from counts by cell."""
+    terms = {r.term: r.coefficient for r in hazard(follow).collect()}  # a row a year, and treatment
+    margin = F.col("treated") * F.lit(terms["treated"])
+    for name, c in terms.items():
+        if name != "treated":
+            margin = margin + (F.col("follow_year") == int(name.removeprefix("year_"))).cast("int") * F.lit(c)
+    cells = follow.groupBy("follow_year", "treated").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == 1).alias("d"))
+    left = cells.withColumn("e", F.col("d") - F.col("n") / (1 + F.exp(-margin)))
+    by_year = left.groupBy(F.concat(F.lit("year_"), "follow_year").alias("term")).agg(F.sum("e").alias("score"))
+    return by_year.unionByName(left.agg(F.lit("treated").alias("term"), F.sum(F.col("e") * F.col("treated")).alias("score")))
+
+
 def bootstrap_curves(follow: DataFrame, groups: list[str], replicates: int = 200, seed: int = 11) -> DataFrame:
     """Risk difference of the last year by group and replicate (replicate -1 is the sample itself).
 

@@ -111,7 +111,7 @@ def match_year(scored: DataFrame, caliper: int = CALIPER) -> DataFrame:
     return candidates(scored, caliper).groupBy(*STRATA, "part").applyInPandas(solve_part, "t_id long, c_id long, t0 int, distance long")
 
 
-def match_without_reuse(scored: DataFrame, save) -> DataFrame:
+def match_without_reuse(scored: DataFrame, save, caliper: int = CALIPER) -> DataFrame:
     """Years in order; a control that an earlier year used is out.  save writes a frame and reads it back, which cuts
     the lineage of the year loop (at most as many rounds as calendar years)."""
     years = [r.t0 for r in scored.select("t0").distinct().orderBy("t0").collect()]
@@ -120,7 +120,7 @@ def match_without_reuse(scored: DataFrame, save) -> DataFrame:
         left = scored.filter(F.col("t0") == year)
         if done is not None:
             left = left.join(done.select(F.col("c_id").alias("simple_id"), F.lit(0).alias("treated")), ["simple_id", "treated"], "left_anti")
-        now = match_year(left)
+        now = match_year(left, caliper)
         done = save(now if done is None else done.unionByName(now))
     return done
 

@@ -536,6 +536,8 @@ def pretrend_wald(s, d):
 
 
 def queries():
+    from tessera.plans import tables  # noqa: F401  registers its queries
+
     return QUERIES
 
 

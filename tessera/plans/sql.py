@@ -250,6 +250,7 @@ def nudged(sql: str, by: float) -> str:
 
 def oracle_sql() -> dict[str, str]:
     """SELECTS stand on the common table expressions of BIND; a leading comma adds more of them."""
+    from tessera.plans import sql_tables
     from tessera.plans.catalog import NUDGE
 
-    return {k: f"WITH {BIND}{nudged(v, NUDGE)}" for k, v in SELECTS.items()} | {k: nudged(v, NUDGE) for k, v in PLAIN.items()}
+    return {k: f"WITH {BIND}{nudged(v, NUDGE)}" for k, v in (SELECTS | sql_tables.SELECTS).items()} | {k: nudged(v, NUDGE) for k, v in (PLAIN | sql_tables.PLAIN).items()}

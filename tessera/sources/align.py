@@ -47,3 +47,31 @@ def write_panel(df: DataFrame, path: str, partition: str | None = None, key: str
     """One distributed zstd write; the output committer makes it atomic.  partition: a column with few values."""
     writer = (df.repartition(partition, key) if partition else df).write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
+
+
+# Kinds of columns that a source may lack.
+OPTIONAL_FLOATS = ("entgelt", "rtzb", "byvlgs", "bygmgs", "mcdams_succeed_1", "mcdams_succeed_2")
+OPTIONAL_INTS = ("rtwf_jjjj", "ge", "divorcing", "is_first_marriage", "whot_bland", "whot_skt", "ttsc1_kldb1988", "mcdggr_succeed_1", "mcdggr_succeed_2")
+
+
+def optional_nulls(df: DataFrame, wanted: list[str], dates: tuple[str, ...] = (), union: dict[str, T.DataType] | None = None) -> DataFrame:
+    """df with typed nulls for wanted columns that it lacks: dates, listed numbers, else the union's type, else text."""
+    def kind(c: str):
+        return T.DateType() if c in dates else T.DoubleType() if c in OPTIONAL_FLOATS else T.IntegerType() if c in OPTIONAL_INTS else (union or {}).get(c, T.StringType())
+
+    return df.withColumns({c: F.lit(None).cast(kind(c)) for c in wanted if c not in df.columns})
+
+
+def present(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """The wanted columns that df has, in the wanted order."""
+    return df.select(*(c for c in dict.fromkeys(wanted) if c in df.columns))
+
+
+def first_present(columns: list[str], candidates: list[str]) -> str | None:
+    """The first of several spellings of a column that a source has."""
+    return next((c for c in candidates if c in columns), None)
+
+
+def row_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, n_rows of each file that has rows; no column is read."""
+    return spark.read.parquet(*paths).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n_rows"))
