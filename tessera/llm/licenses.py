@@ -116,7 +116,8 @@ def _notices() -> list[tuple[str, str]]:
 
 KNOWN = _whole_texts() + _notices()
 
-COPYRIGHT = "(?m)^[^a-z0-9\n]*(copyright|©|\\(c\\))[^\n]*$"
+# A line that names a holder: with a sign or a year after the word (wrapped sentences can begin with the word too).
+COPYRIGHT = "(?m)^[^a-z0-9©\n]*(copyright([^a-z0-9©\n]+by)?[^a-z0-9©\n]*(c\\)|©|year|yyyy|[0-9]{4})|©|\\(c\\)[^a-z0-9\n]*(year|yyyy|[0-9]{4}))[^\n]*$"
 # Equivalent spellings, replaced in this order in lower-cased text.
 SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("merchantibility", "merchantability"), ("acknowledgement", "acknowledgment"), ("&", " and "), ("https:", "http:")]
 
@@ -147,7 +148,7 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     has.  Repeated rows and null ids keep their own rows.  Reads doc_id and text alone.
     """
     text = F.col("text").cast("string")
-    own = docs.select("doc_id", F.xxhash64(text).alias("at"), F.xxhash64(text, F.lit(1)).alias("at2"), canonical(text).alias("lines"))
+    own = docs.select("doc_id", F.xxhash64(text).alias("at"), F.xxhash64(F.lit(1), text).alias("at2"), canonical(text).alias("lines"))
     entry = lambda digest, is_whole: F.struct(digest.alias("digest"), F.lit(is_whole).alias("is_whole"))
     lines = F.filter(F.array_distinct(F.transform(F.split("lines", "\n"), lambda x: F.btrim(x))), lambda x: x != "")
     looked_up = own.select("doc_id", "at", "at2", F.explode(F.concat(F.array(entry(F.sha2(whole(F.col("lines")), 256), True)), F.coalesce(F.transform(lines, lambda x: entry(F.sha2(x, 256), False)), F.array().cast("array<struct<digest:string,is_whole:boolean>>")))).alias("e"))
