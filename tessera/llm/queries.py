@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fmindex, licenses, lines, minhash, packing, pii, quality, suffix, toxicity
+from . import decontaminate, fmindex, licenses, lines, minhash, packing, pii, quality, sql, suffix, toxicity
 from .storage import documents
 
 
@@ -15,43 +15,53 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, distance, budget, item_chars, end: documents and the benchmark items that they hold."""
     return decontaminate.contaminated(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: components of documents with 85 % of their 3-word shingles in common."""
     return minhash.near_duplicates(documents(spark, sf_dir), width=3, percent=85)
 
 
 def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: documents without 50-byte strings of smaller doc_ids."""
     return suffix.remove_repeated_bytes(documents(spark, sf_dir), keep_text=False).drop("kept")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, digest, license_id, notice_ids: the licence whose text a document is, and those that its lines name."""
     return licenses.scan(documents(spark, sf_dir), licenses.catalogue(spark))
 
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of documents in sequences of at most 2048 tokens, along the Hilbert curve."""
     return packing.pack(documents(spark, sf_dir), *tokenizer_files(), keep_ids=False).drop("ids")
 
 
 def op6_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256: documents without 13-word windows of smaller doc_ids."""
     return fmindex.remove_repeated_words(documents(spark, sf_dir), keep_text=False).drop("kept")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base verdict, divergences and the verdict of every document."""
     return quality.quality(documents(spark, sf_dir))
 
 
 def op8_boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_sha256: documents without the lines that stand on many sites."""
     return lines.clean_lines(documents(spark, sf_dir)).selectExpr("doc_id", "n_lines", "n_removed", "sha2(text, 256) AS kept_sha256")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the chain's probabilities and the verdict of every document, by a chain fitted on labelled ones."""
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts and digest of base spans, and all spans with those that the field adds."""
     docs = documents(spark, sf_dir)
     return pii.find(docs, pii.fit(docs))
 
@@ -112,4 +122,4 @@ FROM marked GROUP BY doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": op4_sql(), "op8_boilerplate_lines": op8_sql()}
+    return {"op2_near_duplicates": sql.near_duplicates(), "op3_repeated_bytes": sql.repeated_bytes(), "op4_license_scan": op4_sql(), "op6_repeated_words": sql.repeated_words(), "op8_boilerplate_lines": op8_sql()}

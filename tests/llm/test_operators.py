@@ -395,6 +395,45 @@ def test_known_licenses(spark):
     assert [got[len(cases) + k].notice_ids for k in range(len(notices))] == [i for i, _ in notices]
 
 
+def test_wrapped_licenses(spark):
+    """Whole texts broken over lines anew, at several widths, and in other case: lines that begin with the word
+    copyright, and lists that begin with (c), are no lines of rights then."""
+    import textwrap
+
+    text = lambda i: (Path(licenses.__file__).parent / "texts" / f"{i}.txt").read_text()
+    own = [("MIT", licenses.MIT), ("ISC", licenses.ISC), ("Zlib", licenses.ZLIB), ("BSD-3-Clause", licenses.BSD.format(third=licenses.THIRD.format("the copyright holder"), holders="COPYRIGHT HOLDERS", holder="COPYRIGHT HOLDER"))]
+    own = [(i, t.replace("<year> <copyright holders>", "2020 A. Person").replace("<year> <owner>", "2020 A. Person")) for i, t in own]
+    own += [(i, text(i)) for i in ("Apache-2.0", "CC0-1.0", "MPL-2.0")]
+
+    def wrapped(t, width):
+        return "\n\n".join(textwrap.fill(" ".join(part.split()), width, break_long_words=False, break_on_hyphens=False) for part in t.split("\n\n"))
+
+    cases = [(i, f(wrapped(t, width))) for i, t in own for width in (60, 72, 79, 400) for f in (str, str.upper)]
+    got = {r.doc_id: r.license_id for r in licenses.scan(frame(spark, list(enumerate(t for _, t in cases))), licenses.catalogue(spark)).collect()}
+    missed = [(i, k) for k, (i, _) in enumerate(cases) if got[k] != i]
+    assert not missed
+
+
+def test_queries_equal_their_sql(spark):
+    """Every query with SQL against DuckDB, on the smallest tables."""
+    import duckdb
+
+    from tessera.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    if not Path(data).exists():
+        pytest.skip("needs the test tables")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    made = queries.queries()
+    for name, text in queries.oracle_sql().items():
+        found = con.execute(text)
+        columns = [c[0] for c in found.description]
+        df = made[name](spark, data)
+        assert sorted(df.columns) == sorted(columns), name
+        assert sorted(tuple(r[c] for c in columns) for r in df.fillna("").collect()) == sorted(tuple("" if v is None else v for v in r) for r in found.fetchall()), name
+
+
 def test_chain_equals_a_plain_loop():
     """Out-of-fold probabilities and weights against models fitted one by one."""
     rng = np.random.default_rng(3)
