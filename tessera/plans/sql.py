@@ -180,7 +180,7 @@ SELECT treated, follow_year, n, d, round(1 - (SELECT product(1.0 - b.d / b.n) FR
     "event_study_cluster_se": f", {EVENT} SELECT event_time, round(sqrt(sum(f * f) * max(g) / greatest(max(g) - 1, 1) * (max(nrow) - 1) / greatest(max(nrow) - max(k), 1)), 6) AS se FROM infl, g GROUP BY 1",
     "ipcw_cumprod": """, w AS (SELECT match_group, treated, follow_year, 1 / greatest(0.02, 0.01 + ((simple_id + follow_year) % 10) / 10.0) AS f FROM follow)
 SELECT match_group, treated, follow_year, round(least(20.0, product(f) OVER (PARTITION BY match_group, treated ORDER BY follow_year)), 5) AS weight FROM w""",
-    "mediation_grid": "SELECT * FROM med WHERE treated = 1 OR simple_id % 5 = 0",
+    "mediation_grid": "SELECT * FROM med",
     "event_cells": "SELECT treated, follow_year, mediator_now, count(*) AS n, count(*) FILTER (gap_year <= follow_year) AS gaps, CAST(sum(mediator_new) AS BIGINT) AS new_events FROM med GROUP BY ALL",
     "cluster_row_constancy": "SELECT n, count(*) AS persons FROM (SELECT simple_id, count(DISTINCT (ge, gbja)) AS n FROM bind_panel GROUP BY 1) GROUP BY 1",
 }
