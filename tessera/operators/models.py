@@ -149,8 +149,9 @@ def hazard_scores(follow: DataFrame) -> DataFrame:
     return by_year.unionByName(left.agg(F.lit("treated").alias("term"), F.sum(F.col("e") * F.col("treated")).alias("score")))
 
 
-def bootstrap_curves(follow: DataFrame, groups: list[str], replicates: int = 200, seed: int = 11) -> DataFrame:
-    """Risk difference of the last year by group and replicate (replicate -1 is the sample itself).
+def replicate_curves(follow: DataFrame, groups: list[str], replicates: int = 200, seed: int = 11) -> DataFrame:
+    """rep, groups, treated, follow_year, n, d1, d2, risk (the year's share of the incidence): curves by replicate, where
+    replicate -1 is the sample itself.
 
     A pair's weight in a replicate is a Poisson(1) number by hash of (seed, replicate, pair): no numbering of pairs,
     no join, and weighted counts combine before the one exchange.  All groups of a pair share its draws."""
@@ -163,8 +164,21 @@ def bootstrap_curves(follow: DataFrame, groups: list[str], replicates: int = 200
     c = rows.groupBy("rep", *groups, "treated", "follow_year").agg(*(F.sum(F.col("w") * F.col(v)).alias(v) for v in ("n", "d1", "d2")))
     w = Window.partitionBy("rep", *groups, "treated").orderBy("follow_year").rowsBetween(Window.unboundedPreceding, -1)
     h = (F.col("d1") + F.col("d2")) / F.col("n")
-    part = c.withColumn("risk", F.exp(F.coalesce(F.sum(F.ln(F.greatest(F.lit(1e-12), 1 - h))).over(w), F.lit(0.0))) * F.col("d1") / F.col("n"))
-    return part.groupBy("rep", *groups).agg((F.sum(F.when(F.col("treated") == 1, F.col("risk"))) - F.sum(F.when(F.col("treated") == 0, F.col("risk")))).alias("rd"))
+    return c.withColumn("risk", F.exp(F.coalesce(F.sum(F.ln(F.greatest(F.lit(1e-12), 1 - h))).over(w), F.lit(0.0))) * F.col("d1") / F.col("n"))
+
+
+def bootstrap_curves(follow: DataFrame, groups: list[str], replicates: int = 200, seed: int = 11) -> DataFrame:
+    """Risk difference and ratio of the last year by group and replicate; the ratio is null without control events."""
+    risk = lambda arm: F.sum(F.when(F.col("treated") == arm, F.col("risk")))
+    return replicate_curves(follow, groups, replicates, seed).groupBy("rep", *groups).agg((risk(1) - risk(0)).alias("rd"), F.when(risk(0) > 0, risk(1) / risk(0)).alias("rr"))
+
+
+def pointwise_curves(follow: DataFrame, groups: tuple[str, ...] = (), replicates: int = 200, seed: int = 11) -> DataFrame:
+    """groups, treated, follow_year, estimate, ci_low, ci_high, n_at_risk, replicates: the incidence of event 1 with a
+    percentile interval at every year.  A replicate that has no row of an arm and year doesn't count there."""
+    curves = replicate_curves(follow, list(groups), replicates, seed)
+    w = Window.partitionBy("rep", *groups, "treated").orderBy("follow_year").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return curves.withColumn("cif", F.sum("risk").over(w)).groupBy(*groups, "treated", "follow_year").agg(*_interval("cif"), F.max(F.when(F.col("rep") < 0, F.col("n"))).alias("n_at_risk"))
 
 
 def _interval(value: str, *keys: str):
@@ -173,8 +187,9 @@ def _interval(value: str, *keys: str):
 
 
 def bootstrap_risk_difference(follow: DataFrame, replicates: int = 200, seed: int = 11) -> DataFrame:
-    """The sample's risk difference with its percentile interval."""
-    return bootstrap_curves(follow, [], replicates, seed).agg(*_interval("rd")).withColumnRenamed("estimate", "risk_difference")
+    """The sample's risk difference and ratio with their percentile intervals."""
+    ratio = [c.alias(n) for c, n in zip(_interval("rr"), ("risk_ratio", "ratio_low", "ratio_high", "ratio_replicates"))]
+    return bootstrap_curves(follow, [], replicates, seed).agg(*_interval("rd"), *ratio).withColumnRenamed("estimate", "risk_difference")
 
 
 def contrasts(follow: DataFrame, group: str, replicates: int = 200, seed: int = 11) -> DataFrame:

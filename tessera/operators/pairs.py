@@ -97,6 +97,53 @@ def candidates(scored: DataFrame, caliper: int = CALIPER) -> DataFrame:
     return scored.select(*STRATA, "treated", "simple_id", "score_ppm").withColumn("k", rank).join(parts, same).filter("treated = 1 or k <= quota").select(*STRATA, "part", "treated", "simple_id", "score_ppm")
 
 
+def nearest_available(t: np.ndarray, c: np.ndarray, caliper: float) -> tuple[int, float]:
+    """Pairs and total distance where each treated score, in order, takes the nearest control that is still free (the
+    lower one of equals).  Both arrays are sorted; links skip taken controls, so all treated together take near-linear time."""
+    # control i is below[i + 1] and above[i]; a taken one points to its neighbour, and below[0] and above[-1] stand for "none"
+    below, above = list(range(len(c) + 1)), list(range(len(c) + 1))
+
+    def free(links: list[int], i: int) -> int:
+        root = i
+        while links[root] != root:
+            root = links[root]
+        while i != root:
+            links[i], i = root, links[i]
+        return root
+
+    pairs, total = 0, 0.0
+    for score, place in zip(t.tolist(), np.searchsorted(c, t).tolist()):
+        low, high = free(below, place) - 1, free(above, place)
+        gap_low = score - c[low] if low >= 0 else np.inf
+        gap_high = c[high] - score if high < len(c) else np.inf
+        gap, taken = (gap_low, low) if gap_low <= gap_high else (gap_high, high)
+        if gap <= caliper:
+            pairs, total = pairs + 1, total + float(gap)
+            below[taken + 1], above[taken] = taken, taken + 1
+    return pairs, total
+
+
+def greedy_benchmark(scored: DataFrame, caliper: int = CALIPER) -> DataFrame:
+    """t0, strata keys, n_matched, distance of nearest-available matching by stratum: a yardstick for the optimal pairs.
+
+    Strata are cut where neighbouring scores are over a caliper apart, which no pair crosses; such a part is a
+    task's unit.  Strata without both arms have no row."""
+    w = Window.partitionBy(*STRATA).orderBy("score_ppm")
+    cut = F.coalesce((F.col("score_ppm") - F.lag("score_ppm").over(w) > caliper).cast("int"), F.lit(0))
+    scores = scored.select(*STRATA, "score_ppm").distinct().withColumn("cut", cut).select(*(F.col(k).alias(f"_{k}") for k in [*STRATA, "score_ppm"]), F.sum("cut").over(w).alias("part"))
+    rows = scored.select(*STRATA, "treated", "score_ppm").join(scores, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*STRATA, "score_ppm"]])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        arm = [np.sort(pdf.score_ppm[pdf.treated == v].to_numpy(float)) for v in (1, 0)]
+        n, distance = nearest_available(*arm, caliper)
+        return pdf[STRATA].head(1).assign(n_matched=n, distance=int(distance))
+
+    kinds = ", ".join(f"{k} {scored.schema[k].dataType.simpleString()}" for k in STRATA)
+    parts = rows.select(*STRATA, "part", "treated", "score_ppm").groupBy(*STRATA, "part").applyInPandas(run, f"{kinds}, n_matched long, distance long")
+    both = scored.groupBy(*STRATA).agg(F.countDistinct("treated").alias("arms")).filter("arms = 2").select(*(F.col(k).alias(f"_{k}") for k in STRATA))
+    return parts.groupBy(*STRATA).agg(F.sum("n_matched").alias("n_matched"), F.sum("distance").alias("distance")).join(both, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in STRATA], "left_semi")
+
+
 def match_year(scored: DataFrame, caliper: int = CALIPER) -> DataFrame:
     """Optimal one-to-one pairs within each stratum (null-safe keys), solved by part of a stratum on its candidates."""
 

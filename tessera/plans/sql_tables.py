@@ -1,6 +1,6 @@
 """SQL of the queries in tables.py, on the common table expressions of sql.BIND, written apart from the operators."""
 
-from tessera.plans.sql import P, SMD, SPELLS
+from tessera.plans.sql import CIF, P, SMD, SPELLS
 
 INCOME = "CASE WHEN lag1_entgelt IS NOT NULL AND lag1_rtzb IS NOT NULL THEN 'both' WHEN lag1_entgelt IS NOT NULL THEN 'earnings_only' WHEN lag1_rtzb IS NOT NULL THEN 'pension_only' ELSE 'neither' END"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -141,6 +141,10 @@ SELECT treated, follow_year, n, d1, d2, round(sum(before * d1 / n) OVER (PARTITI
     "event_pair_means": f"""SELECT event_time, round(avg(treated_rehab), 6) AS treated_mean, round(avg(control_rehab), 6) AS control_mean, count(*) AS n_pairs,
   count(*) < 20 OR {" OR ".join(f"count(*) FILTER ({a}_rehab {c} 0) BETWEEN 1 AND 19" for a in ("treated", "control") for c in (">", "="))} AS review FROM events2 WHERE treated_rehab IS NOT NULL AND control_rehab IS NOT NULL GROUP BY 1""",
     "hazard_score_checks": "SELECT DISTINCT 'year_' || follow_year AS term, true AS solved FROM follow UNION ALL SELECT 'treated', true",
+    "greedy_checks": "SELECT t0, lag1_ge, lag1_ever_rehab, true AS bounded, true AS \"some\", true AS near FROM scored GROUP BY ALL HAVING count(DISTINCT treated) = 2",
+    "pointwise_estimates": f", {CIF} SELECT treated, follow_year, round(sum(before * d1 / n) OVER (PARTITION BY treated ORDER BY follow_year), 6) AS cif, n AS n_at_risk, true AS ordered FROM s",
+    "history_checks": "SELECT 'n_rows' AS rule, count(*) AS value FROM bind_panel a JOIN bind_panel b ON b.simple_id = a.simple_id AND b.ja = a.ja - 1"
+    + "".join(f" UNION ALL SELECT '{r}', 0" for r in ("unknown_status", "earnings_without_status", "pension_without_status", "negative_amount", "not_binary", "state_not_carried", "null_draw")),
     "chain_checks": "SELECT 'eligible_treated' AS \"check\", CAST(coalesce(sum(treated), 0) AS BIGINT) AS value FROM risk UNION ALL SELECT 'eligible_controls', CAST(coalesce(sum(1 - treated), 0) AS BIGINT) FROM risk"
     " UNION ALL SELECT 'scored', count(*) FROM risk WHERE t0 IN (SELECT t0 FROM risk GROUP BY 1 HAVING count(DISTINCT treated) = 2)"
     + "".join(f" UNION ALL SELECT '{r}', 0" for r in ("scores_outside", "treated_twice", "control_twice", "no_candidate", "strata_differ", "over_caliper", "null_cell", "unknown_value", "year_index", "outside_window", "repeated_arm_year", "second_event", "changing_person", "years_after_event", "repeated_pair", "own_partner", "other_person", "without_followup")),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.config import CohortConfig
 from tessera.functions import exprs as x
 from tessera.functions import features
-from tessera.operators import checks, covariates, followup, models, pairs, panel, release
+from tessera.operators import checks, covariates, followup, histories, models, pairs, panel, release
 from tessera.plans import chain
 from tessera.plans.catalog import CODES, _arms, _events, _follow, _long, _pairs, _panel, _r, _risk, _samples, _spells, query
 from tessera.sources import align, files
@@ -295,6 +295,67 @@ def hazard_score_checks(s, d):
     return models.hazard_scores(_follow(s, d)).select("term", (F.abs("score") < 1e-3).alias("solved"))
 
 
+@query
+def greedy_benchmark(s, d):
+    """Nearest-available matching by stratum, beside the number of controls that it can't exceed."""
+    return pairs.greedy_benchmark(_scored(s, d))
+
+
+@query
+def greedy_checks(s, d):
+    """Greedy pairs never exceed the smaller arm, nor the treated with a control within the caliper."""
+    found, edges = pairs.greedy_benchmark(_scored(s, d)), pairs.caliper_edges(_scored(s, d))
+    both = found.join(edges.select(*(F.col(k).alias(f"_{k}") for k in pairs.STRATA), "n_treated", "n_controls", "n_matchable"), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in pairs.STRATA])
+    return both.select(*pairs.STRATA, (F.col("n_matched") <= F.least("n_treated", "n_controls", "n_matchable")).alias("bounded"), ((F.col("n_matchable") > 0) == (F.col("n_matched") > 0)).alias("some"), (F.col("distance") <= F.col("n_matched") * pairs.CALIPER).alias("near"))
+
+
+@query
+def pointwise_curves(s, d):
+    """Incidence by arm and year with a bootstrap interval at each year."""
+    return models.pointwise_curves(_follow(s, d))
+
+
+@query
+def pointwise_curves_by_sex(s, d):
+    return models.pointwise_curves(_follow(s, d).withColumn("sex", 1 + F.col("simple_id") % 2), ("sex",))
+
+
+@query
+def pointwise_estimates(s, d):
+    """The curves' estimates and risk sets, and whether each interval is in order."""
+    c = models.pointwise_curves(_follow(s, d))
+    return c.select("treated", "follow_year", _r("estimate").alias("cif"), F.col("n_at_risk").cast("long").alias("n_at_risk"), (F.col("ci_low") <= F.col("ci_high")).alias("ordered"))
+
+
+def _years(s, d):
+    """Person-years with the year before beside them."""
+    p = _panel(s, d)
+    state = lambda when: [x.income_status(F.col("entgelt"), F.col("rtzb")).alias(f"{when}_income"), *(F.col(c).alias(f"{when}_{c}") for c in ("entgelt", "rtzb", "rehab"))]
+    before = p.select("simple_id", (F.col("ja") + 1).alias("ja"), (F.col("cum_msk") > 0).cast("int").alias("mediator_prev"), *state("prior"))
+    now = p.select("simple_id", "ja", F.col("ja").alias("follow_year"), "ge", (F.col("ja") - F.col("gbja")).alias("age"), F.coalesce((F.col("first_exposure_year") <= F.col("ja")).cast("int"), F.lit(0)).alias("treated"), F.col("msk").alias("mediator_now"), *state("current"))
+    return now.join(before, ["simple_id", "ja"])
+
+
+@query
+def history_checks(s, d):
+    """A year drawn for all person-years by the fitted histories: rows, and violations of what a drawn year keeps to."""
+    rows = models.save(_years(s, d))
+    model = histories.fit(rows, histories.specs({"numeric": ["age"], "categorical": ["ge"]}))
+    drawn = model.update(rows, 3, "simple_id", "ja")
+    status = F.col("current_income")
+    rules = {
+        "unknown_status": ~status.isin("both", "earnings_only", "pension_only", "neither"),
+        "earnings_without_status": ~status.isin(*histories.EARNED) & (F.col("current_entgelt") != 0),
+        "pension_without_status": ~status.isin(*histories.PENSIONED) & (F.col("current_rtzb") != 0),
+        "negative_amount": (F.col("current_entgelt") < 0) | (F.col("current_rtzb") < 0),
+        "not_binary": ~F.col("current_rehab").isin(0, 1),
+        "state_not_carried": ~(F.col("prior_income").eqNullSafe(status) & F.col("prior_entgelt").eqNullSafe(F.col("current_entgelt")) & F.col("prior_rehab").eqNullSafe(F.col("current_rehab"))),
+        "null_draw": status.isNull() | F.col("current_entgelt").isNull() | F.col("current_rtzb").isNull() | F.col("current_rehab").isNull(),
+    }
+    found = drawn.agg(F.count("*").alias("n_rows"), *(F.count_if(r).alias(n) for n, r in rules.items()))
+    return found.unpivot([], found.columns, "rule", "value")
+
+
 @query
 def chain_checks(s, d):
     """Panel, risk set, fitted scores, optimal pairs and follow-up as one run: sizes that the rules fix, and violations."""
