@@ -295,12 +295,6 @@ def hazard_score_checks(s, d):
     return models.hazard_scores(_follow(s, d)).select("term", (F.abs("score") < 1e-3).alias("solved"))
 
 
-@query
-def greedy_benchmark(s, d):
-    """Nearest-available matching by stratum, beside the number of controls that it can't exceed."""
-    return pairs.greedy_benchmark(_scored(s, d))
-
-
 @query
 def greedy_checks(s, d):
     """Greedy pairs never exceed the smaller arm, nor the treated with a control within the caliper."""
@@ -309,17 +303,6 @@ def greedy_checks(s, d):
     return both.select(*pairs.STRATA, (F.col("n_matched") <= F.least("n_treated", "n_controls", "n_matchable")).alias("bounded"), ((F.col("n_matchable") > 0) == (F.col("n_matched") > 0)).alias("some"), (F.col("distance") <= F.col("n_matched") * pairs.CALIPER).alias("near"))
 
 
-@query
-def pointwise_curves(s, d):
-    """Incidence by arm and year with a bootstrap interval at each year."""
-    return models.pointwise_curves(_follow(s, d))
-
-
-@query
-def pointwise_curves_by_sex(s, d):
-    return models.pointwise_curves(_follow(s, d).withColumn("sex", 1 + F.col("simple_id") % 2), ("sex",))
-
-
 @query
 def pointwise_estimates(s, d):
     """The curves' estimates and risk sets, and whether each interval is in order."""
