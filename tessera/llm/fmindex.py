@@ -1,10 +1,13 @@
 """op6: remove word sequences that a document with a smaller doc_id has, by compressed FM-indexes.
 
 A shard's text is kept as the Burrows-Wheeler transform of its word numbers in a wavelet matrix: one bit vector a
-level with popcount ranks.  Backward search narrows the suffix interval of a pattern word by word from its end;
-the interval's width is the pattern's number of occurrences.  All windows of the streamed segments are searched
-together, level by level, in whole arrays.  A window's search ends early once its interval has shrunk to one place
-(itself): its matching statistic stays below the threshold.
+level with popcount ranks.  A second wavelet matrix holds the document of each suffix, in suffix order; the suffix
+array itself is only needed to build the two and isn't kept.  Backward search narrows the suffix interval of a
+pattern word by word from its end; the interval's width is the pattern's number of occurrences.  For each end of a
+window the length reached is the matching statistic, up to the threshold: the longest run of words ending there that
+occurs twice.  Its search ends early once its interval has shrunk to one place (itself).  Where the threshold is
+reached, the least document of the interval comes from the second matrix.  All ends are searched together, level by
+level, in whole arrays.
 """
 
 from __future__ import annotations
@@ -57,6 +60,17 @@ class WaveletMatrix:
             at = np.where(bit, self.zeros[level] + ones, at - ones)
         return at
 
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The least value in each interval [low, high); none may be empty."""
+        found = np.zeros(len(low), np.int64)
+        for level in range(self.levels):
+            before, until = self._ones(level, low), self._ones(level, high)
+            bit = until - before == high - low  # only ones are left
+            found = found << 1 | bit
+            low = np.where(bit, self.zeros[level] + before, low - before)
+            high = np.where(bit, self.zeros[level] + until, high - until)
+        return found
+
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes sorted by their first `depth` numbers, by doubling; singletons leave early."""
@@ -85,14 +99,16 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class FmIndex:
-    """Of a text of numbers from 1; 0 separates.  Suffixes are sorted to `depth`, enough for patterns up to it."""
+    """Of a text of numbers from 1; 0 separates.  Suffixes are sorted to `depth`, enough for patterns up to it.  document
+    has each place's document, as numbers from 0 in the order of the ids."""
 
-    def __init__(self, text: np.ndarray, depth: int):
-        self.places = suffix_order(text, depth)
+    def __init__(self, text: np.ndarray, document: np.ndarray, depth: int):
+        places = suffix_order(text, depth)
         self.levels = max(1, int(text.max(initial=0)).bit_length())
         counts = np.bincount(text, minlength=(1 << self.levels) + 1)
         self.smaller = np.append(0, np.cumsum(counts))
-        self.wavelet = WaveletMatrix(text[self.places - 1], self.levels)  # place 0 wraps to the last
+        self.wavelet = WaveletMatrix(text[places - 1], self.levels)  # place 0 wraps to the last
+        self.documents = WaveletMatrix(document[places], max(1, int(document.max(initial=0)).bit_length()))
         self.leaf = self.wavelet.leaves(np.arange(len(counts) - 1))
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,10 +159,11 @@ def least_document(length: int):
         place = np.arange(len(starts)) + np.repeat(np.arange(len(seg.doc)), np.diff(bounds))
         text = np.zeros(len(starts) + len(seg.doc), np.int64)
         text[place] = number + 1
-        owner = np.repeat(seg.doc, np.diff(bounds) + 1)
+        ids, rank = np.unique(seg.doc, return_inverse=True)
+        owner = np.repeat(rank, np.diff(bounds) + 1)
         which, step = steps(seg.n_windows)
         begin = bounds[:-1][which] + which + step
-        fm = FmIndex(text, length)
+        fm = FmIndex(text, owner, length)
         # equal windows are searched once
         runs = np.zeros(len(text), np.uint64)
         got = b.chain(b.mix(text.astype(np.uint64)), length)
@@ -155,15 +172,10 @@ def least_document(length: int):
         if not all((text[begin + j] == text[begin[first][same] + j]).all() for j in range(length)):
             first = same = np.arange(len(begin))
         reached, low, high = fm.matching(text, begin[first], length)
-        full = reached == length
-        least = owner[begin[first]].copy()
-        wide = np.flatnonzero(full & (high - low > 1))
-        if len(wide):
-            by_place = np.append(owner[fm.places], np.iinfo(np.int64).max)
-            edges = np.stack([low[wide], high[wide]], 1)
-            order = np.argsort(edges[:, 0])
-            least[wide[order]] = np.minimum.reduceat(by_place, edges[order].ravel())[::2]
-        return least[same]
+        least = owner[begin[first]]
+        wide = np.flatnonzero((reached == length) & (high - low > 1))
+        least[wide] = fm.documents.least(low[wide], high[wide])
+        return ids[least][same]
 
     return index
 

@@ -125,6 +125,21 @@ def test_refinement_in_small_portions():
                 assert suffix.bucket_pointers(np.frombuffer(text, np.uint8), depth, 8, portion).tolist() == want
 
 
+def test_index_of_words_and_documents():
+    rng = np.random.default_rng(3)
+    for n, words, docs, length in ((1, 1, 1, 2), (7, 2, 3, 3), (200, 3, 9, 4), (500, 40, 70, 3)):
+        text, document = rng.integers(1, words + 1, n), np.sort(rng.integers(0, docs, n))
+        text[-1] = 0
+        fm = fmindex.FmIndex(text, document, length)
+        starts = np.arange(max(0, n - length))
+        reached, low, high = fm.matching(text, starts, length)
+        for i, r, lo, hi in zip(starts, reached, low, high):
+            runs = [[j for j in range(n - k + 1) if (text[j : j + k] == text[i + length - k : i + length]).all()] for k in range(1, length + 1)]
+            assert r == next((k for k, found in enumerate(runs, 1) if len(found) == 1), length)
+            assert hi - lo == len(runs[r - 1])
+            assert fm.documents.least(np.array([lo]), np.array([hi])) == min(document[j] for j in runs[r - 1])
+
+
 def test_equal_hashes_are_no_equality(monkeypatch):
     """With a hash that tells little apart, results stay exact, as bytes are compared."""
     docs = [(0, b"alpha beta gamma delta eps zeta"), (1, b"alpha betb gamma delta eps zetb")]
