@@ -25,14 +25,14 @@ EMPTY_SCORES = "simple_id long, t0 int, treated int, lag1_ge int, lag1_ever_reha
 EMPTY_PAIRS = "t_id long, c_id long, t0 int, distance long"
 
 
-def study(spark: SparkSession, built: DataFrame, save: Callable[[DataFrame], DataFrame], first: int = panel.FIRST, last: int = panel.LAST, depth: int = 1, caliper: int = pairs.CALIPER, horizon: int = followup.HORIZON, cap: int = models.FIT_CAP, stage: Callable | None = None) -> Study:
+def study(spark: SparkSession, built: DataFrame, save: Callable[[DataFrame], DataFrame], first: int = panel.FIRST, last: int = panel.LAST, depth: int = 1, caliper: int = pairs.CALIPER, horizon: int = followup.HORIZON, cap: int = models.FIT_CAP, stage: Callable | None = None, least: int = models.LEAST_LEVEL, mortality_horizon: int = 5, registry_end: int = followup.REGISTRY_END) -> Study:
     """All stages on a built panel.  stage(name, tier, build) keeps a stage's table (Run.stage); without it save does.
 
     Scores are the fitted ones in millionths.  A panel without both arms in any year gives empty pairs and grids.
     """
     keep = stage or (lambda name, tier, build: save(build()))
     risk = keep("risk", 1, lambda: panel.risk_set(built, first, last, depth))
-    fitted = lambda: models.propensity(risk, cap)
+    fitted = lambda: models.propensity(risk, cap, least=least)
 
     def scores():
         found = fitted()
@@ -42,7 +42,7 @@ def study(spark: SparkSession, built: DataFrame, save: Callable[[DataFrame], Dat
     matched = keep("pairs", 2, lambda: _numbered(pairs.match_without_reuse(scored, save, caliper) or spark.createDataFrame([], EMPTY_PAIRS)))
     members = pairs.assignment(matched)
     follow = keep("follow", 3, lambda: followup.grid(members, built, horizon))
-    mortality = keep("mortality", 3, lambda: followup.mortality_grid(members, built))
+    mortality = keep("mortality", 3, lambda: followup.mortality_grid(members, built, mortality_horizon, registry_end))
     return Study(built, risk, scored, matched, follow, mortality)
 
 
@@ -50,7 +50,7 @@ def _numbered(matched: DataFrame) -> DataFrame:
     return matched.withColumn("match_group", F.col("t_id") * 10_000 + F.col("t0"))
 
 
-def checks_of(s: Study, first: int, last: int) -> DataFrame:
+def checks_of(s: Study, first: int, last: int, caliper: int = pairs.CALIPER, horizon: int = followup.HORIZON) -> DataFrame:
     """check, value: sizes of the stages that the rules alone fix, and violations of matching and follow-up."""
     sizes = s.risk.agg(F.coalesce(F.sum("treated"), F.lit(0)).alias("eligible_treated"), F.coalesce(F.sum(1 - F.col("treated")), F.lit(0)).alias("eligible_controls"))
     scored = s.scored.agg(F.count("*").alias("scored"), F.count_if(~F.coalesce(F.col("pscore").between(models.CLIP, 1 - models.CLIP), F.lit(False))).alias("scores_outside"))
@@ -58,6 +58,6 @@ def checks_of(s: Study, first: int, last: int) -> DataFrame:
     for one in (sizes, scored):
         rows = one.select([F.col(c).cast("long").alias(c) for c in one.columns]).unpivot([], one.columns, "rule", "violations")
         out = rows if out is None else out.unionByName(rows)
-    out = out.unionByName(checks.matching(s.pairs, s.scored, pairs.STRATA, pairs.CALIPER))
-    found = checks.followup(s.follow, s.pairs, followup.HORIZON, first, last, last + followup.HORIZON)
+    out = out.unionByName(checks.matching(s.pairs, s.scored, pairs.STRATA, caliper))
+    found = checks.followup(s.follow, s.pairs, horizon, first, last, last + horizon)
     return out.unionByName(found).select(F.col("rule").alias("check"), F.col("violations").alias("value"))
