@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from . import blocks as b
 from .components import connected_components
-from .storage import groups_for, keyed, materialize, text_bytes
+from .storage import groups_for, keyed, lookup, materialize, text_bytes
 
 BANDS, ROWS = 26, 5
+SALTS = 8  # shares of a hot bucket or set beyond the size of a broadcast
 _A = b.stream(21, 1024) | np.uint64(1)
 _B = b.stream(22, 1024)
 _BAND = b.stream(23, 1024)
@@ -245,15 +246,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         least_text = materialize(own.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(worded).alias("text")))
         some = some.join(again, "doc_id", "left_anti").unionByName(materialize(least_text.mapInArrow(_sign(width, bands, rows), SIGNED)).filter("print is not null"))
         own = own.join(again, "doc_id", "left_anti").unionByName(least_text)
-    leader = some.groupBy("print").agg(F.min("doc_id").alias("leader"))
-    prints = some.select("doc_id", "print")
-    exact = prints.join(leader, "print").filter("doc_id != leader").select(F.col("leader").alias("u"), F.col("doc_id").alias("v")).distinct()
-    # one row a set
-    single = some.join(leader.withColumnRenamed("leader", "doc_id"), ["print", "doc_id"], "left_semi").dropDuplicates(["print"])
-    members = materialize(single.select("doc_id", F.explode("bands").alias("bucket")))
-    least = members.groupBy("bucket").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("top")).filter("u != top").select("bucket", "u")
-    crowded = materialize(members.join(least, "bucket").select("bucket", "u", F.col("doc_id").alias("v")))
-    sketches = single.groupBy("doc_id").agg(F.min_by("sketch", "print").alias("sketch"))
+    leader = materialize(some.groupBy("print").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("top")))
+    shared = leader.filter("leader != top").select("print", "leader")
+    exact = lookup(some.select("doc_id", "print"), shared, ["print"], ["doc_id"], salts=SALTS).filter("doc_id != leader").select(F.col("leader").alias("u"), F.col("doc_id").alias("v")).distinct()
+    # one row a set; a doc_id has one row by now
+    single = materialize(some.join(leader.select(F.col("leader").alias("doc_id")), "doc_id", "left_semi"))
+    members = single.select("doc_id", F.explode("bands").alias("bucket"))
+    least = materialize(members.groupBy("bucket").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("top")).filter("u != top").select("bucket", "u"))
+    crowded = materialize(lookup(members, least, ["bucket"], ["doc_id"], salts=SALTS).select("bucket", "u", F.col("doc_id").alias("v")))
+    sketches = single.select("doc_id", "sketch")
     # the texts of both passes: of documents that share a bucket with another
     crowd = crowded.filter("u != v").select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     texts = materialize(own.join(crowd, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
@@ -261,16 +262,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     links = materialize(_confirm(crowded.filter("u != v").select("u", "v"), sketches, texts, width, percent, hashes).unionByName(exact))
     found = connected_components(links)
     # second pass: only across components
-    placed = crowded.select("bucket", F.col("v").alias("node")).join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("bucket")
-    placed = materialize(placed.join(mixed, "bucket", "left_semi"))
+    placed = materialize(crowded.select("bucket", F.col("v").alias("node")).join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")))
+    mixed = materialize(placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("bucket"))
+    placed = materialize(lookup(placed, mixed, ["bucket"], ["node"], "left_semi", salts=SALTS))
     left = texts.join(placed.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     shards = groups_for(text_bytes(left), 8 << 20)
     sizes = left.mapInArrow(_own_shingles(width, shards), OWN).groupBy("p").applyInArrow(_count_own, "doc_id long, own long, n long").groupBy("doc_id").agg(F.sum("n").alias("n"), (F.sum("n") - F.sum("own")).alias("r"))
-    sized = placed.join(sizes.withColumnRenamed("doc_id", "node"), "node")
-    smallest = sized.groupBy("bucket").agg(F.min("n").alias("least_n"))
-    able = sized.join(smallest, "bucket").filter(F.expr(f"{100 + percent} * r >= {percent} * (n + least_n)")).drop("least_n")
-    bands_of = single.groupBy("doc_id").agg(F.min_by("bands", "print").alias("all")).withColumnRenamed("doc_id", "node")
+    sized = materialize(placed.join(sizes.withColumnRenamed("doc_id", "node"), "node"))
+    smallest = materialize(sized.groupBy("bucket").agg(F.min("n").alias("least_n")))
+    able = lookup(sized, smallest, ["bucket"], ["node"], salts=SALTS).filter(F.expr(f"{100 + percent} * r >= {percent} * (n + least_n)")).drop("least_n")
+    bands_of = single.select(F.col("doc_id").alias("node"), F.col("bands").alias("all"))
     fine = left.mapInArrow(_fine(width), "node long, fine array<long>")
     able = materialize(able.join(bands_of, "node").join(fine, "node"))
     one, two = (able.select("bucket", F.col("node").alias(x), *(F.col(c).alias(f"{c[0]}{x}") for c in ("component", "n", "r", "all", "fine"))) for x in "uv")

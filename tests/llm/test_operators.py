@@ -1,3 +1,4 @@
+import functools
 import random
 import sys
 import zlib
@@ -70,7 +71,7 @@ def test_near_duplicates(spark, docs, empty):
     assert [r.kept for r in twice if r.doc_id is None] == [True]
 
 
-def test_second_pass_of_near_duplicates(spark):
+def test_second_pass_of_near_duplicates(spark, monkeypatch):
     """Two near copies whose bucket leader is too far from both."""
     rng = random.Random(4)
     base = [f"w{i}" for i in range(300)]
@@ -80,8 +81,12 @@ def test_second_pass_of_near_duplicates(spark):
         for _ in range(rng.choice((2, 6, 12, 20))):
             w[rng.randrange(300)] = f"e{rng.randrange(40)}"
         docs.append((d, " ".join(w)))
+    docs += [(d + 40, t) for d, t in docs[:3] for _ in range(2)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, docs), 3, 85).collect()}
     assert got == brute.components(docs, 3, 85)
+    # and with all joins by bucket or set salted
+    monkeypatch.setattr(minhash, "lookup", functools.partial(minhash.lookup, most_rows=0))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, docs), 3, 85).collect()} == got
 
 
 def test_least_text_stands_for_a_repeated_id(spark):
