@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, fmindex, licenses, lines, minhash, packing, pii, quality, sql, suffix, toxicity
+from . import decontaminate, fim, fmindex, licenses, lines, minhash, packing, pii, quality, secrets, sql, suffix, toxicity
 from .storage import documents
 
 
@@ -66,6 +67,21 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.fit(docs))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n, form, prefix_chars, middle_chars and digests of every document's output and of the text rebuilt from it."""
+    output, form = F.col("output"), F.col("form")
+    digests = (F.sha2(output, 256).alias("output_sha256"), F.sha2(fim.restored(output, form), 256).alias("restored_sha256"))
+    made = fim.transform(documents(spark, sf_dir))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts and digest of base spans, and the spans of all rules."""
+    counts = (F.col("counts")[i].alias(f"n_{rule.kind}") for i, rule in enumerate(secrets.BASE))
+    found = secrets.find(documents(spark, sf_dir))
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
 def tokenizer_files() -> tuple[str, str]:
     """The installed public tokenizer's file, and its ranks."""
     import public_tokenizers
@@ -76,8 +92,9 @@ def tokenizer_files() -> tuple[str, str]:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    named = (op1_decontaminate, op2_near_duplicates, op3_repeated_bytes, op4_license_scan, op5_pack, op6_repeated_words, op7_quality, op8_boilerplate_lines, op9_toxicity, op10_personal_data)
-    return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
+    first = (op1_decontaminate, op2_near_duplicates, op3_repeated_bytes, op4_license_scan, op5_pack, op6_repeated_words)
+    then = (op7_quality, op8_boilerplate_lines, op9_toxicity, op10_personal_data, op11_fill_in_middle, op12_secrets)
+    return {f.__name__: f for f in first + then} | {"pipeline": corpus_pipeline.run}
 
 
 def _quoted(text: str) -> str:
@@ -122,4 +139,12 @@ FROM marked GROUP BY doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_duplicates": sql.near_duplicates(), "op3_repeated_bytes": sql.repeated_bytes(), "op4_license_scan": op4_sql(), "op6_repeated_words": sql.repeated_words(), "op8_boilerplate_lines": op8_sql()}
+    return {
+        "op2_near_duplicates": sql.near_duplicates(),
+        "op3_repeated_bytes": sql.repeated_bytes(),
+        "op4_license_scan": op4_sql(),
+        "op6_repeated_words": sql.repeated_words(),
+        "op8_boilerplate_lines": op8_sql(),
+        "op11_fill_in_middle": sql.fill_in_middle(),
+        "op12_secrets": sql.secret_spans(secrets.RULES, len(secrets.BASE)),
+    }

@@ -8,6 +8,7 @@ from __future__ import annotations
 import string
 
 WORD = r"[^\x20\x09-\x0D]+"
+UNIT = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
 BYTES, CHUNK, WORDS = 50, 1000, 13
 
 
@@ -80,3 +81,51 @@ found AS (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, coalesce(f.component_id, d.doc_id) AS component_id,
   coalesce(f.component_id, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN found f ON f.doc_id = d.doc_id"""
+
+
+def fill_in_middle(seed: int = 42, cut: int = 50, suffix_first: int = 80) -> str:
+    """op11: units are matched one by one; prefix, middle and suffix are joined units."""
+    draw = [f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4)]
+    return f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '{UNIT}') AS u FROM documents),
+drawn AS (SELECT doc_id, t, u, len(u) AS n, {", ".join(draw)} FROM texts),
+cuts AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= {cut} THEN 'plain'
+      WHEN h4 % 100 < {suffix_first} THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+pieces AS (
+  SELECT doc_id, t, n, form, array_to_string(list_slice(u, 1, a), '') AS p, array_to_string(list_slice(u, a + 1, b), '') AS m,
+    array_to_string(list_slice(u, b + 1, n), '') AS s FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m
+    ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM pieces"""
+
+
+def secret_spans(rules, n_base: int) -> str:
+    """op12: every rule on every text.  A match starts after the text between matches and the matches before it."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    one = []
+    for i, r in enumerate(rules):
+        pattern = quote(r.pattern)
+        tests = [f"length(g) >= {r.least}"] + [f"regexp_matches(m, {quote(h)})" for h in r.has]
+        one.append(f"""
+SELECT doc_id, {i} AS rule, {quote(r.kind)} AS kind, m, start FROM (
+  SELECT doc_id, unnest(ms) AS m, unnest(gs) AS g,
+    unnest([list_sum([length(x) FOR x IN between[1:k]]) + coalesce(list_sum([length(x) FOR x IN ms[1:k - 1]]), 0) FOR k IN range(1, len(ms) + 1)]) AS start
+  FROM (
+    SELECT doc_id, regexp_extract_all(text, {pattern}) AS ms, regexp_extract_all(text, {pattern}, {r.group}) AS gs,
+      string_split_regex(text, {pattern}) AS between FROM documents WHERE regexp_matches(text, {pattern})))
+WHERE {" AND ".join(tests)}""")
+    counts = ", ".join(f"count(s.rule) FILTER (s.rule = {i}) AS n_{r.kind}" for i, r in enumerate(rules[:n_base]))
+    said = "string_agg(kind || ':' || start || ':' || (start + length(m)), ',' ORDER BY start, rule)"
+    return f"""
+WITH spans AS ({" UNION ALL ".join(one)}),
+told AS (SELECT doc_id, rule, kind, m, CAST(start AS BIGINT) AS start FROM spans)
+SELECT d.doc_id, {counts}, sha256(coalesce({said} FILTER (s.rule < {n_base}), '')) AS base_sha256,
+  coalesce({said}, '') AS spans, count(s.rule) FILTER (s.rule >= {n_base}) AS n_added
+FROM documents d LEFT JOIN told s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
