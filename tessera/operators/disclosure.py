@@ -10,18 +10,23 @@ POOLED = "pooled"
 
 def pool_small(people: DataFrame, keys: list[str], code: str, least: int) -> DataFrame:
     """people: a row an event, with simple_id.  Codes with under `least` people are pooled; where just one is, the
-    smallest other code joins it (by people, events, code).  People of the pool are recounted; withheld if still few."""
+    smallest other code joins it (by people, events, code).  People of the pool are recounted; withheld if still few.
+    The pool's row has POOLED as its code and is told from a real code of that spelling by `pooled`."""
     cells = people.groupBy(*keys, code).agg(F.countDistinct("simple_id").alias("people"), F.count("*").alias("events"))
     w = Window.partitionBy(*keys)
     rank = F.row_number().over(w.orderBy((F.col("people") < least).cast("int"), "people", "events", code))
     marked = cells.withColumns({"small": F.sum((F.col("people") < least).cast("int")).over(w), "rank": rank})
-    marked = marked.withColumn("to", F.when((F.col("people") < least) | ((F.col("small") == 1) & (F.col("people") >= least) & (F.col("rank") == 1)), F.lit(POOLED)).otherwise(F.col(code)))
+    extra = (F.col("small") == 1) & (F.col("people") >= least) & (F.col("rank") == 1)
+    marked = marked.withColumn("pooled", (F.col("people") < least) | extra)
     # null keys and codes are values
-    named = marked.select(*(F.col(c).alias(f"_{c}") for c in (*keys, code)), "to")
+    named = marked.select(*(F.col(c).alias(f"_{c}") for c in (*keys, code)), "pooled")
     joined = people.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, code)])
-    out = joined.groupBy(*keys, "to").agg(F.countDistinct("simple_id").alias("people"), F.count("*").alias("events"), x.count_values(F.col(code)).alias("codes"))
-    hide = (F.col("to") == POOLED) & (F.col("people") < least)
-    return out.select(*keys, F.col("to").alias(code), F.when(~hide, F.col("people")).alias("people"), F.when(~hide, F.col("events")).alias("events"), "codes")
+    to = F.when(F.col("pooled"), F.lit(POOLED)).otherwise(F.col(code)).alias("_to")
+    counts = F.countDistinct("simple_id").alias("people"), F.count("*").alias("events"), x.count_values(F.col(code)).alias("codes")
+    out = joined.groupBy(*keys, to, "pooled").agg(*counts)
+    hide = F.col("pooled") & (F.col("people") < least)
+    shown = (F.when(~hide, F.col(c)).alias(c) for c in ("people", "events"))
+    return out.select(*keys, F.col("_to").alias(code), "pooled", *shown, "codes")
 
 
 def protect(cells: DataFrame, group: list[str], cell: str, value: str, least: int) -> DataFrame:

@@ -43,6 +43,41 @@ def history(df: DataFrame) -> DataFrame:
     })
 
 
+#: What is known of a person after the years so far, and how it is gathered: each is a least or a greatest value.
+STATE = {"cum_rehab": F.max, "cum_msk": F.max, "last_rehab": F.max, "exposed_since": F.min, "death_low": F.min, "death_high": F.max}
+
+
+def onward(rows: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """The history of new years (one row a person-year, with flags) as known in each of them, from the state that the
+    years before left.
+
+    Unlike history(), no year looks ahead: exposed_since and death_conflict say what was known by then.  The state (one row a
+    person, carry()) is joined by person, which the rows' dedup and all windows share as partitioning.
+    """
+    known = state.select("simple_id", *(F.col(c).alias(f"_{c}") for c in STATE)) if state is not None else None
+    both = rows.join(known, "simple_id", "left") if known is not None else rows.withColumns({f"_{c}": F.lit(None).cast("int") for c in STATE})
+    so_far = Window.partitionBy("simple_id").orderBy("ja").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = lambda c: F.coalesce(f"_cum_{c}", F.lit(0)) + F.sum(c).over(so_far)
+    year = lambda flag, f: f(F.when(F.col(flag) == 1, F.col("ja"))).over(so_far)
+    out = both.withColumns({
+        "cum_rehab": total("rehab").cast("long"),
+        "cum_msk": total("msk").cast("long"),
+        "last_rehab": F.coalesce(year("rehab", F.max), "_last_rehab").cast("int"),
+        "exposed_since": F.coalesce("_exposed_since", year("exposed", F.min)).cast("int"),
+        "death_low": F.least("_death_low", F.min("death_year").over(so_far)).cast("int"),
+        "death_high": F.greatest("_death_high", F.max("death_year").over(so_far)).cast("int"),
+    })
+    conflict = F.coalesce(F.col("death_low") != F.col("death_high"), F.lit(False))
+    return out.withColumns({"years_since_rehab": F.col("ja") - F.col("last_rehab"), "death_conflict": conflict}).drop(*(f"_{c}" for c in STATE))
+
+
+def carry(rows: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """The state after rows of onward(): one row for each person of them or of the state before."""
+    new = rows.select("simple_id", *STATE)
+    both = new if state is None else new.unionByName(state.select("simple_id", *STATE))
+    return both.groupBy("simple_id").agg(*(f(c).alias(c) for c, f in STATE.items()))
+
+
 def without_conflicts(raw: DataFrame) -> DataFrame:
     """raw without the persons that have several death years; on the person's partitioning, so dedup needs no exchange
     of its own."""

@@ -199,7 +199,7 @@ lone AS (SELECT seg, count(*) FILTER (people < 3) AS small FROM c GROUP BY 1),
 extra AS (SELECT seg, code FROM (SELECT c.*, row_number() OVER (PARTITION BY seg ORDER BY people, events, code) AS r FROM c WHERE people >= 3) JOIN lone USING (seg) WHERE small = 1 AND r = 1),
 t AS (SELECT c.seg, c.code, CASE WHEN people < 3 OR extra.code IS NOT NULL THEN 'pooled' ELSE c.code END AS grp FROM c LEFT JOIN extra ON extra.seg = c.seg AND extra.code = c.code),
 o AS (SELECT seg, grp, count(DISTINCT id) AS people, count(*) AS events, count(DISTINCT code) AS codes FROM p JOIN t USING (seg, code) GROUP BY ALL)
-SELECT seg, grp AS code, CASE WHEN grp = 'pooled' AND people < 3 THEN NULL ELSE people END AS people, CASE WHEN grp = 'pooled' AND people < 3 THEN NULL ELSE events END AS events, codes FROM o""",
+SELECT seg, grp AS code, grp = 'pooled' AS pooled, CASE WHEN grp = 'pooled' AND people < 3 THEN NULL ELSE people END AS people, CASE WHEN grp = 'pooled' AND people < 3 THEN NULL ELSE events END AS events, codes FROM o""",
     "complementary_suppression": """
 WITH c AS (SELECT c_nationkey AS grp, c_mktsegment AS cell, count(*) FILTER (c_acctbal > 7000) AS v FROM customer GROUP BY ALL),
 h AS (SELECT *, v > 0 AND v < 3 AS hid, count(*) FILTER (v > 0 AND v < 3) OVER (PARTITION BY grp) AS n FROM c),

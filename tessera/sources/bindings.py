@@ -10,8 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def person_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw person-years with repeated keys; ord is the physical order that settles ties."""
+    return from_orders(table(spark, sf_dir, "orders"))
+
+
+def from_orders(orders: DataFrame) -> DataFrame:
+    """person_years() of any table of orders."""
     key, person = F.col("o_orderkey"), F.col("o_custkey")
-    return table(spark, sf_dir, "orders").select(
+    return orders.select(
         person.alias("simple_id"),
         F.year("o_orderdate").alias("ja"),
         key.alias("ord"),
