@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.config import CohortConfig
 from tessera.functions import exprs as x
 from tessera.functions import features
-from tessera.operators import design, disclosure, followup, gcomp, models, pairs, panel
+from tessera.operators import covariates, design, disclosure, followup, gcomp, models, pairs, panel
 from tessera.sources.bindings import person_years, table
 
 CODES = [20, 30]
@@ -517,11 +518,18 @@ def gcomp_simulated(s, d):
     return gcomp.simulate(g.withColumn("y", F.coalesce((F.col("dy") == F.col("t0") + F.col("follow_year")).cast("int"), F.lit(0))))
 
 
+ADJUSTED = CohortConfig(propensity_numeric=("lag1_age", "lag1_entgelt"), propensity_binary=("lag1_ever_rehab",), propensity_categorical=("lag1_ge",))
+
+
 @query
 def hazard_adjusted(s, d):
-    covariates = _risk(s, d).select("simple_id", "t0", "treated", "lag1_age", "lag1_entgelt", "lag1_ever_rehab", "lag1_ge")
-    rows = models.save(_follow(s, d).join(covariates, ["simple_id", "t0", "treated"]).withColumn("y", (F.col("event_type") == 1).cast("int")))
-    return design.logit(rows, "y", design.columns(rows, numeric=["lag1_age"], amounts=["lag1_entgelt"], binary=["lag1_ever_rehab"], categorical=["lag1_ge"]))
+    names = ["lag1_age", "lag1_entgelt", "lag1_ever_rehab", "lag1_ge"]
+    base = _risk(s, d).select("simple_id", "t0", "treated", *names)
+    rows = models.save(_follow(s, d).join(base, ["simple_id", "t0", "treated"]).withColumn("y", (F.col("event_type") == 1).cast("int")))
+    roles = covariates.by_role(ADJUSTED, names)
+    amounts = [c for c in roles["numeric"] if c.endswith("entgelt")]
+    numbers = [c for c in roles["numeric"] if c not in amounts]
+    return design.logit(rows, "y", design.columns(rows, numeric=numbers, amounts=amounts, binary=roles["binary"], categorical=roles["categorical"]))
 
 
 @query

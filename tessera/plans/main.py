@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import CohortConfig
 from tessera.operators import followup, gcomp, models, pairs, panel, release
+from tessera.operators import mediation as longitudinal
 from tessera.plans import chain
 from tessera.plans.run import Run
 from tessera.sources import align, files
@@ -72,14 +73,18 @@ def outcome_tables(s: chain.Study, c: CohortConfig) -> dict[str, Build]:
     }
 
 
-def mediation_tables(s: chain.Study, c: CohortConfig) -> dict[str, Build]:
-    def simulated() -> DataFrame:
-        deaths = s.panel.groupBy("simple_id").agg(F.max("death_year").alias("dy"))
-        grid = followup.mediation_grid(s.risk, s.panel, c.gcomp_horizon).join(s.risk.select("simple_id", "t0", F.col("lag1_age").alias("age")), ["simple_id", "t0"])
-        died = F.coalesce((F.col("dy") == F.col("t0") + F.col("follow_year")).cast("int"), F.lit(0))
-        return gcomp.simulate(grid.join(deaths, "simple_id", "left").withColumn("y", died), c.gcomp_horizon, c.gcomp_simulations, floor=c.ipcw_floor, cap=c.ipcw_cap)
-
-    return {"internal/gcomputation": simulated, "internal/landmark": lambda: gcomp.landmark(pairs.assignment(s.pairs), s.panel)}
+def mediation_tables(s: chain.Study, c: CohortConfig, checkpoint: str) -> dict[str, Build]:
+    plan = longitudinal.Plan(
+        horizon=c.gcomp_horizon, simulations=c.gcomp_simulations, floor=c.ipcw_floor, cap=c.ipcw_cap, least_level=c.min_category
+    )
+    members = pairs.assignment(s.pairs)
+    # the second call finds all replicates of the first
+    both = lambda: longitudinal.mediation(members, s.panel, s.risk, plan, c.mediation_bootstrap, checkpoint)
+    return {
+        "internal/mediation": lambda: both()[0],
+        "internal/mediation_models": lambda: both()[1],
+        "internal/landmark": lambda: gcomp.landmark(members, s.panel),
+    }
 
 
 def write(run: Run, tables: dict[str, Build]) -> dict[str, DataFrame]:
@@ -99,7 +104,7 @@ def main(spark: SparkSession, config: CohortConfig, built: DataFrame | None = No
     run = open_run(spark, config)
     s = study_of(run, built if built is not None else panel_of(run))
     tables = matching_tables(s, config)
-    return write(run, tables if s.pairs.isEmpty() else tables | outcome_tables(s, config) | mediation_tables(s, config))
+    return write(run, tables if s.pairs.isEmpty() else tables | outcome_tables(s, config) | mediation_tables(s, config, f"{run.root}/replicates"))
 
 
 def specifications(config: CohortConfig) -> dict[str, CohortConfig]:
@@ -135,7 +140,7 @@ def mediation(spark: SparkSession, config: CohortConfig) -> dict[str, DataFrame]
     run = open_run(spark, config, protect_matching=True)
     if absent := {"panel", "risk", "scores", "pairs"} - set(run.stages):
         raise ValueError(f"stages are absent: {', '.join(sorted(absent))}")
-    return write(run, mediation_tables(study_of(run, panel_of(run)), config))
+    return write(run, mediation_tables(study_of(run, panel_of(run)), config, f"{run.root}/replicates"))
 
 
 ENTRIES = {"main": main, "second": second, "compare": compare, "mediation": mediation}

@@ -152,7 +152,11 @@ SELECT treated, follow_year, n, d1, d2, round(sum(before * d1 / n) OVER (PARTITI
 
 PLAIN = {
     "source_row_counts": " UNION ALL ".join(f"SELECT '{t}' AS source, count(*) AS n_rows FROM {t}" for t in TABLES),
-    "column_inventory": f"SELECT table_name AS source, column_name AS \"column\" FROM information_schema.columns WHERE table_name IN ({', '.join(repr(t) for t in TABLES)}) AND regexp_matches(column_name, 'date|price|segment')",
+    "column_inventory": " UNION ALL ".join(
+        f"SELECT '{s}' AS source, '{c}' AS \"column\", count({c}) AS n_values FROM {s}"
+        for s, c in (("customer", "c_mktsegment"), ("part", "p_retailprice"), ("orders", "o_totalprice"), ("orders", "o_orderdate"),
+                     ("lineitem", "l_extendedprice"), ("lineitem", "l_shipdate"))
+    ),
     "application_activity": """WITH f AS (SELECT (o_orderkey % 5 = 0)::INT AS a, (o_orderkey % 7 = 0)::INT AS b, CASE WHEN o_orderkey % 13 <> 0 THEN (o_orderkey % 11 = 0)::INT END AS c, o_orderkey % 3 AS starts, (o_orderkey % 4 = 0)::INT AS sub FROM orders)
 SELECT (starts > sub)::INT AS non_subset, greatest(a, b, coalesce(c, 0)) AS non_success, a + b + c + (starts > 0)::INT AS n_types, count(*) AS n FROM f GROUP BY ALL""",
     "original_codes": """WITH c AS (
@@ -167,8 +171,46 @@ s AS (SELECT CASE WHEN raw IS NULL THEN '__MISSING__' WHEN v = i AND i <= 999 TH
 SELECT display, status, broad, count(*) AS n FROM s GROUP BY ALL""",
     "normal_sex": "SELECT CASE c_custkey % 4 WHEN 0 THEN '1' WHEN 1 THEN '2' ELSE 'unknown' END AS sex, count(*) AS n FROM customer GROUP BY 1",
     "validated_merge": """SELECT CASE WHEN c_custkey IS NULL THEN 'left_only' WHEN o_orderkey IS NULL THEN 'right_only' ELSE 'both' END AS side, c_nationkey, count(*) AS n
-FROM (SELECT * FROM orders WHERE year(o_orderdate) = 1997) FULL JOIN customer ON c_custkey = o_custkey GROUP BY ALL""",
-    "feature_plan": """SELECT * FROM (VALUES (true, 'numeric', 0, 'lag1_age'), (true, 'numeric', 1, 'lag1_entgelt_value'), (true, 'numeric', 2, 'lag2_rtzb_value'), (true, 'numeric', 3, 'lag3_entgelt_value'),
-  (true, 'binary', 0, 'lag1_entgelt_missing'), (true, 'binary', 1, 'lag3_non_success_app_this_year'), (true, 'categorical', 0, 'lag1_income_source_status'), (true, 'categorical', 1, 'lag2_income_source_status'), (true, 'exact', 0, 'lag1_ge'), (true, 'exact', 1, 'lag1_ever_rehab'),
-  (false, 'numeric', 0, 'lag1_age'), (false, 'numeric', 1, 'lag2_rtzb_value'), (false, 'binary', 0, 'lag3_non_success_app_this_year'), (false, 'exact', 0, 'lag1_ge'), (false, 'exact', 1, 'lag1_ever_rehab')) v(earnings, role, place, "column")""",
+FROM orders FULL JOIN customer ON c_custkey = o_custkey GROUP BY ALL""",
 }
+
+#: Covariates of feature_plan: role, place, column, and whether a source without earnings has it (and at which place).
+PLANNED = (
+    ("numeric", 0, "lag1_age", 0), ("numeric", 1, "lag1_entgelt_value", None), ("numeric", 2, "lag2_entgelt_value", None),
+    ("numeric", 3, "lag2_rtzb_value", 1), ("numeric", 4, "lag3_entgelt_value", None), ("numeric", 5, "lag3_rtzb_value", 2),
+    ("binary", 0, "lag1_entgelt_missing", None), ("categorical", 0, "lag1_income_source_status", None),
+    ("categorical", 1, "lag2_income_source_status", None), ("categorical", 2, "lag3_income_source_status", None),
+    ("exact", 0, "lag1_ge", 0), ("exact", 1, "lag1_ever_rehab", 1),
+)
+_STATUS = "CASE WHEN {b}.entgelt IS NOT NULL AND {b}.rtzb IS NOT NULL THEN 'both' WHEN {b}.entgelt IS NOT NULL THEN 'earnings_only' WHEN {b}.rtzb IS NOT NULL THEN 'pension_only' ELSE 'neither' END"
+SELECTS["feature_plan"] = f""", lags AS (
+  SELECT r.lag1_ge, r.lag1_ever_rehab, r.lag1_age, r.lag1_entgelt AS lag1_entgelt_value, (r.lag1_entgelt IS NULL)::INT AS lag1_entgelt_missing,
+    {INCOME} AS lag1_income_source_status, b.rtzb AS lag2_rtzb_value, b.entgelt AS lag2_entgelt_value, c.rtzb AS lag3_rtzb_value, c.entgelt AS lag3_entgelt_value,
+    CASE WHEN b.ja IS NOT NULL THEN {_STATUS.format(b="b")} END AS lag2_income_source_status, CASE WHEN c.ja IS NOT NULL THEN {_STATUS.format(b="c")} END AS lag3_income_source_status
+  FROM risk r LEFT JOIN bind_panel b ON b.simple_id = r.simple_id AND b.ja = r.t0 - 2 LEFT JOIN bind_panel c ON c.simple_id = r.simple_id AND c.ja = r.t0 - 3)
+""" + " UNION ALL ".join(
+    f"SELECT {str(earned).lower()} AS earnings, '{role}' AS role, {place} AS place, '{c}' AS \"column\", count({c}) AS n, count(DISTINCT {c}) AS levels FROM lags"
+    for role, first, c, other in PLANNED
+    for earned, place in ((True, first), (False, other))
+    if place is not None
+)
+_LAST = "CASE WHEN follow_year = 1 THEN {first} ELSE lag({c}) OVER o END"
+SELECTS["mediation_lives"] = f""", years AS (
+  SELECT m.*, y.follow_year, m.t0 + y.follow_year AS ja, r.lag1_age, r.lag1_cum_rehab, r.lag1_ever_rehab, r.lag1_ge, {INCOME} AS first_income,
+    coalesce(r.lag1_entgelt, 0.0) AS first_entgelt, coalesce(r.lag1_rtzb, 0.0) AS first_rtzb, d.dy
+  FROM members m JOIN risk r USING (simple_id, t0, treated) LEFT JOIN deaths d USING (simple_id), (SELECT unnest([1, 2, 3]) AS follow_year) y),
+seen AS (
+  SELECT y.*, coalesce((dy = y.ja)::INT, 0) AS death, (p.ja IS NOT NULL OR coalesce(dy = y.ja, false))::INT AS observed, coalesce(p.msk, 0) AS m, dy IS NULL OR dy >= y.ja AS alive,
+    {_STATUS.format(b="p")} AS income, coalesce(p.entgelt, 0.0) AS entgelt, coalesce(p.rtzb, 0.0) AS rtzb, CAST(coalesce((p.rehab = 1 AND p.msk = 0)::INT, 0) AS DOUBLE) AS other_rehab
+  FROM years y LEFT JOIN bind_panel p ON p.simple_id = y.simple_id AND p.ja = y.ja),
+so_far AS (
+  SELECT *, coalesce(min(observed) OVER b, 1) = 1 AS no_gap, coalesce(max(m) OVER b, 0) AS prev, {_LAST.format(first="first_income", c="income")} AS prior_income,
+    {_LAST.format(first="first_entgelt", c="entgelt")} AS prior_entgelt, {_LAST.format(first="first_rtzb", c="rtzb")} AS prior_rtzb, {_LAST.format(first="0.0", c="other_rehab")} AS prior_other_rehab
+  FROM seen WINDOW o AS (PARTITION BY match_group, treated ORDER BY follow_year),
+    b AS (PARTITION BY match_group, treated ORDER BY follow_year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT match_group, treated, simple_id, t0, follow_year, death, observed, lag1_age, lag1_cum_rehab, lag1_ever_rehab, lag1_ge, (alive AND no_gap)::INT AS at_risk,
+  (alive AND no_gap AND observed = 1)::INT AS used, prev AS mediator_prev, (prev = 0 AND m = 1)::INT AS mediator_new, greatest(prev, m) AS mediator_now, prior_income,
+  round(prior_entgelt, 4) AS prior_entgelt, round(prior_rtzb, 4) AS prior_rtzb, prior_other_rehab, income AS current_income, round(entgelt, 4) AS current_entgelt,
+  round(rtzb, 4) AS current_rtzb, other_rehab AS current_other_rehab FROM so_far"""
+SELECTS["resampled_pairs"] = """ SELECT r.lag1_ge AS sex, k.replicate, CAST(count(*) AS BIGINT) AS draws, count(*) AS pairs
+FROM pairs p JOIN risk r ON r.simple_id = p.t_id AND r.t0 = p.t0 AND r.treated = 1, (SELECT unnest(range(1, 11)) AS replicate) k GROUP BY ALL"""

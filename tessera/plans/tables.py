@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.config import CohortConfig
 from tessera.functions import exprs as x
 from tessera.functions import features
-from tessera.operators import checks, covariates, followup, histories, models, pairs, panel, release
+from tessera.operators import checks, covariates, followup, histories, mediation, models, pairs, panel, release, resample
 from tessera.plans import chain
 from tessera.plans.catalog import CODES, _arms, _events, _follow, _long, _pairs, _panel, _r, _risk, _samples, _spells, query
 from tessera.sources import align, files
@@ -36,11 +39,20 @@ def source_row_counts(s, d):
 
 @query
 def column_inventory(s, d):
-    return files.inventory(s, {t: table(s, d, t) for t in TABLES}, "date|price|segment").select("source", "column")
+    """Columns about dates, prices and segments, with the values that each has."""
+    out = None
+    for t in TABLES:
+        found = files.matching(table(s, d, t), "date|price|segment")
+        if found:
+            one = table(s, d, t).agg(*(F.count(c).alias(c) for c in found)).unpivot([], found, "column", "n_values")
+            one = one.select(F.lit(t).alias("source"), "column", "n_values")
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _on_disk(s, name):
-    return f"{models.root_of(s)}/{name}-{s.sparkContext.applicationId}"
+    """A place of its own for each call: a result is read when it is asked for."""
+    return f"{models.root_of(s)}/{name}-{uuid.uuid4().hex}"
 
 
 @query
@@ -136,7 +148,7 @@ def recovered_codes(s, d):
 
 @query
 def validated_merge(s, d):
-    orders = table(s, d, "orders").filter(F.year("o_orderdate") == 1997).select(F.col("o_custkey").alias("k"), "o_orderkey")
+    orders = table(s, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey")
     people = table(s, d, "customer").select(F.col("c_custkey").alias("k"), "c_nationkey")
     return checks.merge(orders, people, ["k"], "full", "m:1", "side").groupBy("side", "c_nationkey").agg(F.count("*").alias("n"))
 
@@ -158,17 +170,38 @@ def final_stage(s, d):
 PLAN = CohortConfig(lag_depth=3, source_has_entgelt=True, exact_columns=("lag1_ge", "lag1_ever_rehab"), propensity_numeric=("lag1_age", "lag1_entgelt_value", "lag1_absent", "lag1_ge"), propensity_binary=("lag1_ever_rehab", "lag1_entgelt_missing"), propensity_categorical=("lag1_income_source_status",))
 
 
+def _three_lags(s, d):
+    """The risk set with the names of a study's covariates, and measures of years two and three before t0."""
+    risk, p = _risk(s, d), _panel(s, d)
+    own = risk.select(
+        *("simple_id", "t0", "lag1_ge", "lag1_ever_rehab", "lag1_age"),
+        F.col("lag1_entgelt").alias("lag1_entgelt_value"),
+        F.col("lag1_entgelt").isNull().cast("int").alias("lag1_entgelt_missing"),
+        x.income_status(F.col("lag1_entgelt"), F.col("lag1_rtzb")).alias("lag1_income_source_status"),
+    )
+    for k in (2, 3):
+        pension, earned = F.col(f"lag{k}_rtzb"), F.col(f"lag{k}_entgelt")
+        more = (pension.alias(f"lag{k}_rtzb_value"), earned.alias(f"lag{k}_entgelt_value"))
+        seen = F.when(F.col(f"lag{k}_source_year").isNotNull(), x.income_status(earned, pension))
+        lagged = panel.lag(p, k).select("simple_id", "t0", *more, seen.alias(f"lag{k}_income_source_status"))
+        own = own.join(lagged, ["simple_id", "t0"], "left")
+    return own
+
+
 @query
 def feature_plan(s, d):
-    """The covariates that a plan finds among columns, with and without earnings in the source."""
-    columns = ["lag1_ge", "lag1_ever_rehab", "lag1_age", "lag1_entgelt_value", "lag1_entgelt_missing", "lag1_income_source_status", "lag2_rtzb_value", "lag3_entgelt_value", "lag3_non_success_app_this_year", "lag2_income_source_status"]
-    rows = []
+    """The covariates that a plan finds in the risk set, with and without earnings: role, place, rows that have a value, distinct values."""
+    rows, out = _three_lags(s, d), []
+    used = [c for c in rows.columns if c not in ("simple_id", "t0")]
+    # one pass for all columns; a row of a few numbers
+    counts = rows.agg(*(f(c).alias(f"{n}_{c}") for c in used for n, f in (("some", F.count), ("levels", F.countDistinct))))
     for earnings in (True, False):
-        from dataclasses import replace
-
-        plan = covariates.resolve(replace(PLAN, source_has_entgelt=earnings), columns)
-        rows += [(earnings, role, i, c) for role, names in plan.items() for i, c in enumerate(names)]
-    return s.createDataFrame(rows, "earnings boolean, role string, place int, column string")
+        plan = covariates.resolve(replace(PLAN, source_has_entgelt=earnings), used)
+        for role, names in plan.items():
+            for i, c in enumerate(names):
+                said = F.lit(earnings).alias("earnings"), F.lit(role).alias("role"), F.lit(i).alias("place"), F.lit(c).alias("column")
+                out.append(F.struct(*said, F.col(f"some_{c}").alias("n"), F.col(f"levels_{c}").alias("levels")))
+    return counts.select(F.explode(F.array(*out)).alias("r")).select("r.*")
 
 
 @query
@@ -343,3 +376,26 @@ def history_checks(s, d):
 def chain_checks(s, d):
     """Panel, risk set, fitted scores, optimal pairs and follow-up as one run: sizes that the rules fix, and violations."""
     return chain.checks_of(chain.study(s, _panel(s, d), models.save), panel.FIRST, panel.LAST)
+
+
+@query
+def mediation_lives(s, d):
+    """Years of matched people as the mediation models take them."""
+    rows = mediation.lives(pairs.assignment(_pairs(s, d)), _panel(s, d), _risk(s, d))
+    return rows.withColumns({f"{when}_{a}": _r(f"{when}_{a}", 4) for when in ("prior", "current") for a in mediation.AMOUNTS})
+
+
+@query
+def mediation_effects(s, d):
+    """Interventional effects of the matched treated, with intervals from 20 replicates."""
+    return mediation.mediation(pairs.assignment(_pairs(s, d)), _panel(s, d), _risk(s, d), replicates=20)[0]
+
+
+@query
+def resampled_pairs(s, d):
+    """Draws of 10 replicates by sex: as many as there are pairs."""
+    sex = _risk(s, d).filter("treated = 1").select(F.col("simple_id").alias("t_id"), "t0", F.col("lag1_ge").alias("sex"))
+    clusters = models.save(_pairs(s, d).join(sex, ["t_id", "t0"]).select("match_group", "sex"))
+    drawn = resample.weights(clusters, "match_group", range(1, 11), strata="sex").join(clusters, "match_group")
+    each = drawn.select("sex", F.posexplode("weights").alias("k", "w"))
+    return each.groupBy("sex", (F.col("k") + 1).alias("replicate")).agg(F.sum("w").alias("draws"), F.count("*").alias("pairs"))

@@ -74,14 +74,15 @@ def stata_labels(path: str) -> dict[str, str]:
         return dict(reader.variable_labels())
 
 
+def matching(df: DataFrame, pattern: str, labels: dict[str, str] | None = None) -> list[str]:
+    """The columns whose name or label matches a pattern."""
+    return [c for c in df.columns if re.search(pattern, c) or re.search(pattern, (labels or {}).get(c) or "")]
+
+
 def inventory(spark: SparkSession, tables: dict[str, DataFrame], pattern: str, labels: dict[str, dict[str, str]] | None = None) -> DataFrame:
     """source, column, label of the columns whose name or label matches a pattern, by schemas alone."""
-    found, labels = [], labels or {}
-    for source, df in tables.items():
-        for c in df.columns:
-            label = labels.get(source, {}).get(c)
-            if re.search(pattern, c) or (label and re.search(pattern, label)):
-                found.append((source, c, label))
+    labels = labels or {}
+    found = [(s, c, labels.get(s, {}).get(c)) for s, df in tables.items() for c in matching(df, pattern, labels.get(s))]
     return spark.createDataFrame(found, "source string, column string, label string")
 
 

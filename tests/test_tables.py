@@ -115,7 +115,10 @@ def test_covariates():
     for some in (["lag1_age"], ["lag1_ge_cat"]):
         with pytest.raises(KeyError):
             covariates.resolve(CohortConfig(), some)
-    assert [covariates.role(CohortConfig(), c) for c in ("lag1_age", "lag2_fmsd_cat", "lag1_x_missing", "lag2_rtzb_value")] == ["numeric", "categorical", "binary", "numeric"]
+    assert [covariates.role(CohortConfig(), c) for c in ("lag1_age", "lag2_fmsd_cat", "lag1_x_missing", "lag2_rtzb_value")] == ["numeric", "categorical", "categorical", "numeric"]
+    others = ("lag2_rehab_starts_this_year", "unlisted", "lag2_ever_rehab_to_date", "lag3_byvlgs_missing", "lag1_byvlgs_missing", "lag4_rtzb_value")
+    assert [covariates.role(CohortConfig(), c) for c in others] == ["categorical", "categorical", "categorical", "binary", "binary", "categorical"]
+    assert covariates.by_role(CohortConfig(), ["lag2_ge", "lag1_age", "lag3_cum_rehabs_by_year"]) == {"numeric": ["lag1_age", "lag3_cum_rehabs_by_year"], "binary": [], "categorical": ["lag2_ge"]}
 
 
 def test_files(spark, tmp_path):
