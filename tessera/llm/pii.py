@@ -11,8 +11,9 @@ product has long been of rank one), so the field is small and no text is left ou
 Teachers of the weights (pseudo-likelihood) are weak labels: base spans, and secrets that a word like "token" or "key" and
 a sign = or : announce.  For MASKED of the labelled tokens the evidence that the teachers went by is hidden, and of
 the tokens with an equal one elsewhere all features are, so that the weights of other features, neighbours and distant
-mentions are learned.  The fit takes at most FIT_DOCS documents
-(least hash of doc_id and text) of at most FIT_CHARS characters together.
+mentions are learned.  How far they carry is measured by hidden_mentions(), against without_distance().  The fit takes at most
+FIT_DOCS documents (least hash of doc_id and text) of at most FIT_CHARS characters together.  A very long text is one field, in
+memory linear in its tokens with a digit or @.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ KINDS = ("email", "ip", "card", "phone")
 SPAN_KINDS = (*KINDS, "secret")
 LABELS = ("O", *SPAN_KINDS)
 FIT_DOCS, FIT_CHARS, ROUNDS, SURE, MASKED, MOST_GAP = 2000, 20_000_000, 10, 0.9, 0.5, 64
+#: Of the squared weights.  At 1.0 the potentials of distant mentions stayed too weak to carry a label to a mention without evidence.
+PENALTY = 0.1
 
 # Equal to the contract's patterns; the looks-behind only spare starts that can't match.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -225,7 +228,7 @@ class Crf:
         return cls(node, np.zeros((3, len(LABELS), len(LABELS))))
 
     @classmethod
-    def fit(cls, fields: list[Field], rounds: int = 400, rate: float = 0.05, penalty: float = 1.0, masked: float = MASKED):
+    def fit(cls, fields: list[Field], rounds: int = 400, rate: float = 0.05, penalty: float = PENALTY, masked: float = MASKED):
         fields = [f for f in fields if f.spans]
         if not any(any(f.taught) for f in fields):
             return cls.untrained()
@@ -436,21 +439,50 @@ def _find(crf: Crf, sure: float):
 
 
 def fit(docs: DataFrame, most_docs: int = FIT_DOCS, most_chars: int = FIT_CHARS) -> Crf:
-    """Fit on the texts of at most most_docs documents with a digit or @ (least hash of doc_id and text), as many of
-    them, in the order of hashes, as have most_chars characters together."""
+    """Fit on the texts of at most most_docs documents with a digit or @ (least hash of doc_id and text): those of them, in
+    the order of hashes, that together have at most most_chars characters.  A text that would pass the bound is left out and the
+    next one taken."""
     own = docs.select(F.xxhash64("doc_id", "text").alias("h"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
     # only hashes and sizes meet for the choice; texts of the chosen few follow
-    last, total, taken = None, 0, set()
+    total, taken = 0, set()
     for r in own.select("h", F.length("text").alias("n")).orderBy("h", "n").limit(most_docs).collect():
-        total += 0 if r.h in taken else r.n
-        if total > most_chars:
-            break
-        taken.add(r.h)
-        last = r.h
-    picked = own.filter(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).collect() if last is not None else []
+        if r.h not in taken and total + r.n <= most_chars:
+            total += r.n
+            taken.add(r.h)
+    picked = own.filter(F.col("h").isin(sorted(taken))).dropDuplicates(["h"]).collect() if taken else []
     return Crf.fit([Field(r.text, base_spans(r.text)) for r in sorted(picked, key=lambda r: (r.h, r.text))])
 
 
+def without_distance(crf: Crf) -> Crf:
+    """The same field, with potentials between neighbours only: a plain chain, to compare with."""
+    near = crf.pair.copy()
+    near[1:] = 0
+    return Crf(crf.node, near)
+
+
+def hidden_mentions(texts: list[str], crf: Crf, everything: bool = True, sure: float = SURE) -> tuple[int, int]:
+    """(found, asked): labelled tokens (base or announced) that an earlier mention equals, with what tells their label hidden: their base
+    span and evidence, or all their features.  What is found comes from other mentions and neighbours."""
+    found = asked = 0
+    for text in texts:
+        field = Field(text, base_spans(text))
+        pairs = [(a, b) for a, b, kind in field.edges if kind == 1]
+        hide: set[int] = set()
+        for a, b in sorted(pairs, key=lambda p: p[1]):
+            if field.taught[b] and a not in hide:
+                hide.add(b)
+        if not hide:
+            continue
+        x, clamped, edges = stack([field])
+        at = sorted(hide)
+        clamped[at] = 0
+        x[np.ix_(at, range(1, FEATURES) if everything else EVIDENCE)] = 0
+        p = crf.marginals(x, clamped, edges, *stack_plain([field]))
+        found += sum(int(p[i].argmax() == field.taught[i] and p[i].max() >= sure) for i in at)
+        asked += len(at)
+    return found, asked
+
+
 def find(docs: DataFrame, crf: Crf, sure: float = SURE) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added), n_added, n_spans.
 
