@@ -9,12 +9,15 @@
    What is left are documents that were edited too much; their edits are shingles that no other document left has, and
    these bound what a pair can share: with r shingles that are not its own alone, a pair of sizes n and m shares at
    most the lesser r, so (100 + percent) * r >= percent * (n + m) must hold.  1024 further minima, a bit of each, are
-   compared in the join itself, and a pair is taken in the first bucket that both have.  Few pairs pass.
+   compared in the join itself, and a pair is taken in the first bucket that both have.  Few pairs pass.  Buckets with many such
+   members are compared in cells of CELL x CELL, so no task holds more of one.
 4. Components are joined anew over all links.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +29,7 @@ from .storage import groups_for, keyed, lookup, materialize, text_bytes
 
 BANDS, ROWS = 26, 5
 SALTS = 8  # shares of a hot bucket or set beyond the size of a broadcast
+CELL = 2000  # members of a side that a task compares at once
 _A = b.stream(21, 1024) | np.uint64(1)
 _B = b.stream(22, 1024)
 _BAND = b.stream(23, 1024)
@@ -91,7 +95,6 @@ def _sign(width: int, bands: int, rows: int):
                 some = np.flatnonzero(n)
                 keys = np.zeros((len(n), bands), np.uint64)
                 low = np.zeros((len(n), bands * rows), np.uint8)
-                prints = np.zeros((len(n), 2), np.uint64)
                 if len(some):
                     packed = np.append(bounds[:-1][some], bounds[-1])
                     m = minima(values, packed, bands * rows)
@@ -99,12 +102,13 @@ def _sign(width: int, bands: int, rows: int):
                     for k in range(bands):
                         part_of = m[:, k * rows : (k + 1) * rows]
                         keys[some, k] = b.mix((part_of * b.COEFF[:rows]).sum(1, dtype=np.uint64) + _BAND[k])
-                    prints[some, 0] = np.add.reduceat(values * b.COEFF[1], packed[:-1])
-                    prints[some, 1] = np.add.reduceat(b.mix(values * b.COEFF[2]), packed[:-1])
+                # of the whole set, in order: equal prints are equal sets
+                raw = values.tobytes()
+                prints = [hashlib.blake2b(raw[8 * x : 8 * y], digest_size=16).hexdigest() if y > x else None for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 made = {
                     "doc_id": ids.slice(i, j - i).cast(pa.int64()),
                     "n_shingles": pa.array(n.astype(np.int64)),
-                    "print": pa.array([f"{x:016x}{y:016x}{z}" if z else None for (x, y), z in zip(prints.tolist(), n.tolist())], pa.string()),
+                    "print": pa.array(prints, pa.string()),
                     "bands": pa.array([r if z else [] for r, z in zip(keys.view(np.int64).tolist(), n.tolist())], pa.list_(pa.int64())),
                     "sketch": pa.array([r.tobytes() for r in low], pa.binary()),
                 }
@@ -226,7 +230,7 @@ def _count_own(key, table):
     return pa.table({"doc_id": np.concatenate([ids, of]), "own": np.concatenate([count.astype(np.int64), np.zeros(len(of), np.int64)]), "n": np.concatenate([np.zeros(len(ids), np.int64), sizes])})
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, cell: int = CELL) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Links: documents whose sets of `width`-word shingles have 100 * intersection >= percent * union.  component_id:
@@ -274,13 +278,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     bands_of = single.select(F.col("doc_id").alias("node"), F.col("bands").alias("all"))
     fine = left.mapInArrow(_fine(width), "node long, fine array<long>")
     able = materialize(able.join(bands_of, "node").join(fine, "node"))
-    one, two = (able.select("bucket", F.col("node").alias(x), *(F.col(c).alias(f"{c[0]}{x}") for c in ("component", "n", "r", "all", "fine"))) for x in "uv")
+    # a bucket with many members is cut into cells of CELL x CELL; its rows go to all cells of their row or column
+    cuts = materialize(able.groupBy("bucket").agg(F.ceil(F.count("*") / cell).alias("cuts")).filter("cuts > 1"))
+    able = lookup(able, cuts, ["bucket"], ["node"], "left", salts=SALTS)
+    own = F.pmod(F.xxhash64("node"), F.coalesce("cuts", F.lit(1)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("cuts", F.lit(1)) - 1))
+    side = lambda x, place: able.select("bucket", *place, F.col("node").alias(x), *(F.col(c).alias(f"{c[0]}{x}") for c in ("component", "n", "r", "all", "fine")))
+    one, two = side("u", (own.alias("row"), every.alias("column"))), side("v", (every.alias("row"), own.alias("column")))
     # four and a half standard deviations of the bits; then a pair counts in the first bucket that both have
     p = (1 + percent / 100) / 2
     least_bits = int(FINE * p - 4.5 * (FINE * p * (1 - p)) ** 0.5)
     same_bits = " + ".join(f"64 - bit_count(fu[{k}] ^ fv[{k}])" for k in range(FINE // 64))
     first = "bucket = filter(au, x -> array_contains(av, x))[0]"
-    across = one.join(two, "bucket").filter(F.expr(f"u < v and cu != cv and {100 + percent} * least(ru, rv) >= {percent} * (nu + nv) and {same_bits} >= {least_bits} and {first}")).select("u", "v").join(crowded.select("u", "v"), ["u", "v"], "left_anti")
+    across = one.join(two, ["bucket", "row", "column"]).filter(F.expr(f"u < v and cu != cv and {100 + percent} * least(ru, rv) >= {percent} * (nu + nv) and {same_bits} >= {least_bits} and {first}")).select("u", "v").join(crowded.select("u", "v"), ["u", "v"], "left_anti")
     more = materialize(_full(across.distinct(), texts, width, percent))
     if more.limit(1).count():
         found = connected_components(links.unionByName(more))

@@ -56,6 +56,26 @@ def lookup(big: DataFrame, small: DataFrame, on: list[str], by: list[str], how:
     return big.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(salts))).join(spread, [*on, salt], how).drop(salt)
 
 
+def by_hub(big: DataFrame, small: DataFrame, on: str, by: str, degree: str, most: int = 100_000, most_hubs: int = 200_000) -> DataFrame:
+    """big joined with small, which has one row a key and says how many rows of big have it (degree, dropped).
+
+    Keys with more than `most` rows (hubs) are spread over as many salts as they have portions of `most`, by the hash of `by`; all
+    others are joined plainly.  Hubs are told to big by a broadcast of at most most_hubs rows, measured; only beyond does every
+    key get salts (lookup).
+    """
+    small = materialize(small)
+    hubs = small.filter(F.col(degree) > most).select(on, F.ceil(F.col(degree) / most).alias("_shares"))
+    n = hubs.limit(most_hubs + 1).count()
+    if not n:
+        return big.join(small.drop(degree), on)
+    if n > most_hubs:
+        return lookup(big, small.drop(degree), [on], [by])
+    salt = F.pmod(F.xxhash64(by), F.coalesce("_shares", F.lit(1))).alias("_salt")
+    spread = big.join(F.broadcast(hubs), on, "left").select(*big.columns, salt)
+    shares = F.sequence(F.lit(0).cast("long"), F.ceil(F.greatest(F.col(degree), F.lit(1)) / most) - 1)
+    return spread.join(small.withColumn("_salt", F.explode(shares)).drop(degree), [on, "_salt"]).drop("_salt")
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of all texts; sizes the number of groups, so that each stays small at any scale."""
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)

@@ -11,7 +11,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from tessera.llm import anchored, components, decontaminate, fmindex, licenses, lines, minhash, packing, pii, quality, suffix, toxicity  # noqa: E402
+from tessera.llm import anchored, components, decontaminate, fmindex, licenses, lines, minhash, packing, pii, quality, storage, suffix, toxicity  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, q int, u long, bucket string, key string, __key string, kept boolean, label int"
 
@@ -84,6 +84,8 @@ def test_second_pass_of_near_duplicates(spark, monkeypatch):
     docs += [(d + 40, t) for d, t in docs[:3] for _ in range(2)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, docs), 3, 85).collect()}
     assert got == brute.components(docs, 3, 85)
+    # in cells of few members
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, docs), 3, 85, cell=3).collect()} == got
     # and with all joins by bucket or set salted
     monkeypatch.setattr(minhash, "lookup", functools.partial(minhash.lookup, most_rows=0))
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, docs), 3, 85).collect()} == got
@@ -108,6 +110,19 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 50), (50, 70), (70, 70), (1, 0), (200, 201)]
     got = dict(components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert got == {i: 0 for i in range(31)} | {50: 50, 70: 50, 100: 50, 200: 200, 201: 200}
+    # a hub is joined in portions, and so is everything where hubs are too many
+    star = spark.createDataFrame(edges + [(0, 300 + i) for i in range(40)] + [(400 + i, 339) for i in range(9)], "u long, v long")
+    want = got | {300 + i: 0 for i in range(40)} | {400 + i: 0 for i in range(9)}
+    assert dict(components.connected_components(star, hub=4).collect()) == want
+
+
+def test_hubs_are_spread(spark):
+    big = spark.createDataFrame([(k, v) for k in range(6) for v in range(k * k * 3)], "u long, v long")
+    small = big.groupBy("u").count().withColumn("m", big.u * 10)
+    want = sorted((r.u, r.v, r.u * 10) for r in big.collect())
+    for most, hubs in ((10_000, 10), (5, 10), (5, 1)):
+        got = storage.by_hub(big, small, "u", "v", "count", most, hubs).select("u", "v", "m")
+        assert sorted(map(tuple, got.collect())) == want
 
 
 def test_bucket_pointers_are_ranks():
