@@ -157,9 +157,13 @@ def _unpack(model: Model, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _solve(h: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """The least-norm solution: dependent columns share their effect."""
-    scale = np.sqrt(np.maximum(np.diag(h), 1e-300))
-    return np.linalg.lstsq(h / np.outer(scale, scale), g / scale, rcond=1e-9)[0] / scale
+    """The least-norm solution: dependent columns share their effect, and columns without a value have none."""
+    d = np.diag(h)
+    on = d > 1e-12 * d.max(initial=0)
+    scale = np.sqrt(d[on])
+    out = np.zeros(len(g))
+    out[on] = np.linalg.lstsq(h[np.ix_(on, on)] / np.outer(scale, scale), g[on] / scale, rcond=1e-9)[0] / scale
+    return out
 
 
 @dataclass

@@ -74,6 +74,12 @@ def test_fits_of_many_replicates(spark, prepare):
     assert "p" not in set(k[w[:, 3] > 0]) or fits["k"].converged[3]
 
 
+def test_columns_without_a_value_have_no_effect():
+    h, g = np.array([[4.0, 0, 2], [0, 0, 0], [2, 0, 1]]), np.array([2.0, 0, 1])  # the third is half of the first
+    b = batched._solve(h, g)
+    assert np.allclose(h @ b, g) and b[1] == 0 and np.abs(b).max() < 1
+
+
 def test_separable_rows_take_a_rung(spark, prepare):
     rows = [(float(i), "a", int(i >= 20), "p", 1.0, [1, int(i % 2)]) for i in range(40)]
     df = spark.createDataFrame(rows, "x double, g string, y int, k string, amount double, w array<int>")
