@@ -42,32 +42,94 @@ def assignment(pairs: DataFrame) -> DataFrame:
     return arm("t_id", 1).unionByName(arm("c_id", 0))
 
 
+def edges(scored: DataFrame, caliper: int = CALIPER) -> DataFrame:
+    """strata keys, t_id, c_id, distance: every treated and control row of a stratum (null-safe) whose scores are within the caliper.
+
+    Scores fall into cells as wide as the caliper, so a treated row meets the controls of its own cell and of both neighbours only:
+    an equi-join by stratum and cell, with no product of a stratum.  Both sides are plain exchanges, which adaptive execution
+    splits where a cell is hot.
+    """
+    cell = F.floor(F.col("score_ppm") / F.lit(max(1, caliper)))
+    own = scored.select(*STRATA, "treated", "simple_id", "score_ppm")
+    near = F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell")
+    t = own.filter("treated = 1").select(*STRATA, F.col("simple_id").alias("t_id"), F.col("score_ppm").alias("_t"), near)
+    keys = [F.col(k).alias(f"_{k}") for k in STRATA]
+    c = own.filter("treated = 0").select(*keys, F.col("simple_id").alias("c_id"), F.col("score_ppm").alias("_c"), cell.alias("_own"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in STRATA] + [F.col("_cell") == F.col("_own")]
+    distance = F.abs(F.col("_t") - F.col("_c"))
+    return t.join(c, same).withColumn("distance", distance).filter(F.col("distance") <= caliper).select(*STRATA, "t_id", "c_id", "distance")
+
+
+class _Rows:
+    """The matching program's rows, each over its treated score's window of controls only.
+
+    best[i][j]: the most that the first i treated and the first j controls are worth.  Row i differs from the row before only from its
+    window's first control on, is constant behind the window, and no later row looks before its own window's start; so a row is its
+    window's values (edge of the window first) and the constant behind.
+    """
+
+    def __init__(self, t: np.ndarray, c: np.ndarray, caliper: float):
+        kind = np.int64 if t.dtype.kind == c.dtype.kind == "i" else float
+        self.t, self.c, self.caliper = t.astype(kind), c.astype(kind), caliper
+        self.low, self.high = np.searchsorted(c, t - caliper, "left"), np.searchsorted(c, t + caliper, "right")
+        self.big = (len(t) + 1) * (caliper + (1 if kind is np.int64 else 1e-9))
+
+    def start(self) -> tuple[int, np.ndarray]:
+        """(first control of the window, values from there on)"""
+        return 0, np.zeros(1, self.t.dtype)
+
+    def before(self, i: int, state: tuple[int, np.ndarray]) -> np.ndarray:
+        """The row before i over i's window, from its edge on."""
+        base, values = state
+        low, high = int(self.low[i]), int(self.high[i])
+        inner = values[min(low - base, len(values) - 1) : high - base + 1]
+        return np.concatenate([inner, np.full(high - low + 1 - len(inner), values[-1])])
+
+    def step(self, i: int, state: tuple[int, np.ndarray]) -> tuple[tuple[int, np.ndarray], np.ndarray, np.ndarray]:
+        """Row i, and for each control of its window whether the row rises there, and by taking that control."""
+        low, high = int(self.low[i]), int(self.high[i])
+        if low >= high:
+            none = np.zeros(0, bool)
+            return state, none, none
+        old = self.before(i, state)
+        gain = old[:-1] + self.big - np.abs(self.c[low:high] - self.t[i])
+        new = np.maximum.accumulate(np.concatenate([old[:1], np.maximum(old[1:], gain)]))
+        rises = new[1:] != new[:-1]
+        return (low, new), rises, rises & (gain == new[1:]) & (gain > old[1:])
+
+
 def solve(t: np.ndarray, c: np.ndarray, caliper: float) -> list[tuple[int, int]]:
     """Maximum number of pairs within the caliper, then least total distance, of two sorted score arrays.
 
     An optimal matching of points on a line need not cross, so a row-by-row program over (treated, controls) is exact:
-    best(i, j) = max(best(i, j-1), best(i-1, j), best(i-1, j-1) + BIG - distance).  Two bits a cell are kept to trace back.
+    best(i, j) = max(best(i, j-1), best(i-1, j), best(i-1, j-1) + BIG - distance).  It runs twice over the pairs within the caliper:
+    forwards, keeping every so many rows, then backwards from block to block, with two flags a pair for one block.  Memory is the
+    square root of the rows times the widest window, time is in proportion to the pairs within the caliper.  Whole numbers are
+    added exactly.
     """
-    m, n = len(t), len(c)
-    big = (m + 1) * (caliper + 1e-9)
-    row, stays, takes = np.zeros(n + 1), [], []
+    rows, m = _Rows(t, c, caliper), len(t)
+    every = max(1, int(m**0.5))
+    state, kept = rows.start(), []
     for i in range(m):
-        d = np.abs(c - t[i])
-        gain = np.where(d <= caliper, row[:-1] + big - d, -np.inf)
-        new = np.maximum.accumulate(np.concatenate([[0.0], np.maximum(row[1:], gain)]))
-        stay = new[1:] == new[:-1]
-        stays.append(np.packbits(stay))
-        takes.append(np.packbits(~stay & (gain == new[1:]) & (gain > row[1:])))
-        row = new
-    out, j = [], n
-    for i in range(m - 1, -1, -1):
-        moved = np.flatnonzero(np.unpackbits(stays[i], count=n)[:j] == 0)
-        if not len(moved):
-            break  # nothing is matched up to here
-        j = int(moved[-1]) + 1
-        if np.unpackbits(takes[i], count=n)[j - 1]:
-            out.append((i, j - 1))
-            j -= 1
+        if i % every == 0:
+            kept.append(state)
+        state, _, _ = rows.step(i, state)
+    out, j = [], len(c)
+    for block in range(len(kept) - 1, -1, -1):
+        state, flags = kept[block], []
+        for i in range(block * every, min(m, (block + 1) * every)):
+            state, rises, takes = rows.step(i, state)
+            flags.append((i, rises, takes))
+        for i, rises, takes in reversed(flags):
+            low = int(rows.low[i])
+            inside = min(j, int(rows.high[i])) - low
+            if inside <= 0:
+                continue
+            at = np.flatnonzero(rises[:inside])
+            j = low + (int(at[-1]) + 1 if len(at) else 0)
+            if len(at) and takes[at[-1]]:
+                out.append((i, j - 1))
+                j -= 1
     return out[::-1]
 
 
@@ -150,7 +212,7 @@ def match_year(scored: DataFrame, caliper: int = CALIPER) -> DataFrame:
     def solve_part(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score_ppm", "simple_id"])
         t, c = pdf[pdf.treated == 1], pdf[pdf.treated == 0]
-        got = solve(t.score_ppm.to_numpy(float), c.score_ppm.to_numpy(float), caliper)
+        got = solve(t.score_ppm.to_numpy(np.int64), c.score_ppm.to_numpy(np.int64), caliper)
         i, j = [g[0] for g in got], [g[1] for g in got]
         a, b = t.iloc[i], c.iloc[j]
         return pd.DataFrame({"t_id": a.simple_id.to_numpy(), "c_id": b.simple_id.to_numpy(), "t0": a.t0.to_numpy(), "distance": np.abs(a.score_ppm.to_numpy() - b.score_ppm.to_numpy())})

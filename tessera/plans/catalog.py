@@ -261,6 +261,12 @@ def caliper_edges(s, d):
     return pairs.caliper_edges(pairs.score(_risk(s, d)))
 
 
+@query
+def caliper_edge_list(s, d):
+    """Every edge within half of the usual caliper."""
+    return pairs.edges(pairs.score(_risk(s, d)), 5_000)
+
+
 def _state(c="ja"):
     return (1 + (F.col("simple_id") + F.col(c)) % 3).cast("int")
 

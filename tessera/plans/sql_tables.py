@@ -214,3 +214,6 @@ SELECT match_group, treated, simple_id, t0, follow_year, death, observed, lag1_a
   round(rtzb, 4) AS current_rtzb, other_rehab AS current_other_rehab FROM so_far"""
 SELECTS["resampled_pairs"] = """ SELECT r.lag1_ge AS sex, k.replicate, CAST(count(*) AS BIGINT) AS draws, count(*) AS pairs
 FROM pairs p JOIN risk r ON r.simple_id = p.t_id AND r.t0 = p.t0 AND r.treated = 1, (SELECT unnest(range(1, 11)) AS replicate) k GROUP BY ALL"""
+SELECTS["caliper_edge_list"] = """ SELECT t.t0, t.lag1_ge, t.lag1_ever_rehab, t.simple_id AS t_id, c.simple_id AS c_id, abs(t.score_ppm - c.score_ppm) AS distance
+FROM scored t JOIN scored c ON c.t0 = t.t0 AND c.lag1_ge IS NOT DISTINCT FROM t.lag1_ge AND c.lag1_ever_rehab IS NOT DISTINCT FROM t.lag1_ever_rehab
+  AND c.score_ppm BETWEEN t.score_ppm - 5000 AND t.score_ppm + 5000 WHERE t.treated = 1 AND c.treated = 0"""

@@ -40,7 +40,7 @@ def test_queries_equal_their_sql(spark):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"hash_partition_sample", "propensity_fit", "optimal_match", "hazard_logit", "cluster_bootstrap_ci", "gcomp_decomposition", "gcomp_simulated", "hazard_adjusted", "landmark_mediation", "pretrend_wald", "subgroup_contrasts"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"hash_partition_sample", "propensity_fit", "optimal_match", "hazard_logit", "cluster_bootstrap_ci", "gcomp_decomposition", "gcomp_simulated", "hazard_adjusted", "landmark_mediation", "mediation_effects", "pretrend_wald", "subgroup_contrasts"}
 
 
 def best_matching(t, c, caliper):
@@ -63,6 +63,44 @@ def test_matching_is_optimal():
         assert (len(got), sum(abs(t[i] - c[j]) for i, j in got)) == best_matching(t, c, 5)
 
 
+def dense(t, c, caliper):
+    """Number and total distance by the whole table."""
+    best = [[(0, 0)] * (len(c) + 1) for _ in range(len(t) + 1)]
+    for i, x in enumerate(t):
+        for j, y in enumerate(c):
+            ways = [best[i][j + 1], best[i + 1][j]]
+            if abs(x - y) <= caliper:
+                ways.append((best[i][j][0] + 1, best[i][j][1] - abs(x - y)))
+            best[i + 1][j + 1] = max(ways)
+    n, d = best[-1][-1]
+    return n, -d
+
+
+def test_windowed_matching_equals_the_whole_table():
+    rng = np.random.default_rng(2)
+    for case in range(120):
+        top = int(rng.choice((20, 300, 5000)))
+        t, c = (np.sort(rng.integers(0, top, int(rng.integers(0, n)))) for n in (60, 90))
+        for caliper in (0, 3, 40):
+            got = pairs.solve(t, c, caliper)
+            assert len({i for i, _ in got}) == len({j for _, j in got}) == len(got) and got == sorted(got)
+            assert all(abs(t[i] - c[j]) <= caliper for i, j in got)
+            assert (len(got), sum(abs(int(t[i] - c[j])) for i, j in got)) == dense(t.tolist(), c.tolist(), caliper)
+    # 100,000 x 200,000 rows, with 20 million pairs within the caliper
+    t, c = np.sort(rng.integers(0, 10**6, 100_000)), np.sort(rng.integers(0, 10**6, 200_000))
+    got = pairs.solve(t, c, 500)
+    assert len(got) == 100_000 and len({j for _, j in got}) == len(got)
+
+
+def test_edges(spark):
+    rng = random.Random(8)
+    rows = [(i, 1998 + i % 2, int(rng.random() < 0.4), rng.choice((1, None)), rng.choice((0, None)), rng.choice((None, *range(-30, 90)))) for i in range(200)]
+    df = spark.createDataFrame(rows, "simple_id long, t0 int, treated int, lag1_ge int, lag1_ever_rehab int, score_ppm long")
+    for caliper in (0, 1, 7, 500):
+        want = sorted((a[0], b[0], abs(a[5] - b[5])) for a in rows for b in rows if a[2] == 1 and b[2] == 0 and a[1] == b[1] and a[3:5] == b[3:5] and None not in (a[5], b[5]) and abs(a[5] - b[5]) <= caliper)
+        assert sorted((r.t_id, r.c_id, r.distance) for r in pairs.edges(df, caliper).collect()) == want
+
+
 def test_no_control_twice(spark):
     rows = [(i, t0, int(i < 20), 1, 0, 1000 * (i % 37)) for t0 in (1998, 1999) for i in range(60)]
     df = spark.createDataFrame(rows, "simple_id long, t0 int, treated int, lag1_ge int, lag1_ever_rehab int, score_ppm long")
