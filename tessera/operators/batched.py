@@ -33,15 +33,16 @@ class Design:
     binary: dict[str, tuple[float, bool]] = field(default_factory=dict)  # mode, flag
     levels: dict[str, list[str]] = field(default_factory=dict)  # all but the first
     known: dict[str, list[str]] = field(default_factory=dict)
+    intercept: bool = True
 
     def names(self) -> list[str]:
-        out = ["intercept"]
+        out = ["intercept"] * self.intercept
         out += [n for c, v in self.numeric.items() for n in ([c, f"{c}__missing"] if v[3] else [c])]
         out += [n for c, v in self.binary.items() for n in ([c, f"{c}__missing"] if v[1] else [c])]
         return out + [f"{c}={v}" for c, vs in self.levels.items() for v in vs]
 
     def matrix(self, frame: Frame, n: int) -> np.ndarray:
-        out = [np.ones(n)]
+        out = [np.ones(n)] * self.intercept
         for c, (median, mean, sd, flag) in self.numeric.items():
             v = np.asarray(frame[c], float)
             out.append((np.where(np.isnan(v), median, v) - mean) / sd)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import MISSING
+from tessera.operators import batched, resample
 from tessera.operators.models import save
 
 MOST_LEVELS = 1000
@@ -60,25 +61,69 @@ def _sums(frame: DataFrame, part) -> np.ndarray:
     return np.array([r.v for r in got])
 
 
-def independent(gram: np.ndarray, tolerance: float = 1e-9) -> list[int]:
-    """Columns, in order, that earlier kept ones don't span: what is left of a column's length after projection on
-    them is over tolerance times its length."""
-    keep: list[int] = []
-    for j in range(len(gram)):
-        if gram[j, j] <= 0:
-            continue
-        left = gram[j, j] - (gram[j, keep] @ np.linalg.solve(gram[np.ix_(keep, keep)], gram[keep, j]) if keep else 0.0)
-        if left > tolerance * gram[j, j]:
-            keep.append(j)
-    return keep
+def pivoted(gram: np.ndarray, always: int | None = None, constant: tuple[int, ...] = (), tolerance: float = 1e-9) -> list[int]:
+    """Columns of full rank, in their order, by the pivots of a QR decomposition with column exchange, read off the Gram matrix
+    (its Cholesky decomposition with the same exchange): the next column is the one with the longest rest beyond the columns chosen, until
+    rests are within tolerance of their columns' squared lengths.
 
+    always: a column that takes the last one's place where it isn't chosen, and comes first of all where it depends on the others.
+    constant: columns that don't vary (none is chosen).
+    """
 
-def logit(rows: DataFrame, outcome: str, design: dict[str, Column], cluster: str = "match_group", weight: str | None = None, steps: int = 50) -> DataFrame:
+    def exchange(first: int | None = None) -> list[int]:
+        left, chosen = gram.astype(float).copy(), []
+        while len(chosen) < len(gram):
+            rest = np.where(np.diag(left) > tolerance * np.diag(gram), np.diag(left), 0.0)
+            rest[[*chosen, *constant]] = 0.0
+            j = int(np.argmax(rest)) if chosen or first is None else first
+            if rest[j] <= 0:
+                break
+            chosen.append(j)
+            left -= np.outer(left[:, j], left[j]) / left[j, j]
+        return chosen
+
+    chosen = exchange()
+    if always is not None and always not in chosen and gram[always, always] > 0:
+        chosen = [*chosen[:-1], always]
+        own = gram[np.ix_(chosen, chosen)] / np.sqrt(np.outer(np.diag(gram)[chosen], np.diag(gram)[chosen]))
+        if np.linalg.eigvalsh(own)[0] <= tolerance:
+            chosen = exchange(always)
+    return sorted(chosen)
+
+
+def unvaried(gram: np.ndarray, intercept: int = 0) -> tuple[int, ...]:
+    """Columns but the intercept whose variance is nothing, by sums and squares."""
+    n = gram[intercept, intercept]
+    mean = gram[intercept] / max(n, 1)
+    return tuple(j for j in range(len(gram)) if j != intercept and gram[j, j] / max(n, 1) - mean[j] ** 2 <= 1e-12)
+
+
+def resampled(flat: DataFrame, xs: list[str], which: str, replicates: int, seed: int) -> tuple[float, float, float, int] | None:
+    """(standard deviation, 2.5 % and 97.5 % quantile, fits) of a coefficient over resamples of clusters g, all fitted together by
+    passes over the rows; None with fewer than half of the replicates, or 20."""
+    clusters = save(flat.select("g").distinct())
+    data = save(flat.join(resample.weights(clusters, "g", range(1, replicates + 1), seed), "g"))
+
+    def prepare(batch):
+        frame = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in [*xs, "y"]} | {"all": np.ones(batch.num_rows, bool)}
+        drawn = batch.column("weights").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        return frame, drawn * batch.column("w").to_numpy(zero_copy_only=False)[:, None]
+
+    plain = batched.Design(binary={c: (0.0, False) for c in xs}, intercept=False)
+    fit = batched.fit(data, prepare, [batched.Model("y", "binary", "y", "all", plain)], replicates)["y"]
+    got = fit.coefficients[:, xs.index(which)][fit.converged]
+    if len(got) < max(20, replicates // 2):
+        return None
+    return float(got.std(ddof=1)), float(np.quantile(got, 0.025)), float(np.quantile(got, 0.975)), len(got)
+
+
+def logit(rows: DataFrame, outcome: str, design: dict[str, Column], cluster: str = "match_group", weight: str | None = None, steps: int = 50, replicates: int = 200, seed: int = 13) -> DataFrame:
     """term, coefficient, se, odds_ratio, ci_low, ci_high, p, method: one row per design column that is kept.
 
-    Columns spanned by earlier ones are left out (treated stands second, so it stays unless it is constant).
-    method is `newton`, or `ridge` where the likelihood has no finite maximum and a tiny penalty took its place.  se,
-    limits and p are null with no more clusters than columns + 1.  No rows: no terms.
+    Columns are kept by pivoting, the treatment always.  method is `newton`; where the likelihood has no finite maximum, the rung of
+    batched.LADDER that settled.  Where that is so, or there are no more clusters than columns + 1, the clustered covariance doesn't
+    hold: the treatment's se and limits are then of `replicates` resamples of clusters (method ends in `bootstrap`), and
+    null where too few of them can be fitted; other terms have none.  No rows: no terms.
     """
     names = list(design)
     # each Newton step is a pass: they read a table of the design
@@ -93,7 +138,9 @@ def logit(rows: DataFrame, outcome: str, design: dict[str, Column], cluster: str
     gram = _sums(flat, squares)
     if not len(gram):
         return rows.sparkSession.createDataFrame([], schema)
-    keep = independent(gram.reshape(len(names), -1))
+    gram = gram.reshape(len(names), -1)
+    treated = names.index("treated") if "treated" in names else None
+    keep = pivoted(gram, treated, tuple(j for j in unvaried(gram) if j != treated))
     xs, k = [every[i] for i in keep], len(keep)
     flat = flat.select("g", "y", "w", *xs)
 
@@ -111,12 +158,16 @@ def logit(rows: DataFrame, outcome: str, design: dict[str, Column], cluster: str
             step = np.linalg.pinv(h) @ (both[k * k :] - ridge * b)
             b = b + np.clip(step, -2, 2)
             if np.abs(step).max() < 1e-8:
-                return b, h, bool(np.abs(b).max() < 15)
+                return b, h, bool(ridge or np.abs(b).max() < 15)
         return b, h, False
 
-    method, (b, h, done) = "newton", fit(0.0)
-    if not done:
-        method, (b, h, _) = "ridge", fit(1e-3)
+    for penalty, name in batched.LADDER:
+        b, h, done = fit(penalty)
+        method = name if penalty else "newton"
+        if done:
+            break
+    else:
+        method += ", not settled"
     margin = sum((F.col(c) * float(v) for c, v in zip(xs, b)), F.lit(0.0))
     e = F.col("w") * (F.col("y") - 1 / (1 + F.exp(-margin)))
     scores = flat.groupBy("g").agg(F.count("*").alias("n"), *(F.sum(e * F.col(c)).alias(c) for c in xs))
@@ -128,12 +179,20 @@ def logit(rows: DataFrame, outcome: str, design: dict[str, Column], cluster: str
     both = _sums(scores, outer)
     groups, n = both[-2:]
     se = [None] * k
-    if groups > k + 1:
+    if method == "newton" and groups > k + 1:
         bread = np.linalg.pinv(h)
         cov = bread @ both[:-2].reshape(k, k) @ bread * groups / (groups - 1) * (n - 1) / max(n - k, 1)
         se = [float(math.sqrt(max(v, 0.0))) or None for v in np.diag(cov)]
-    out = []
+    drawn = None
+    if treated in keep and se[keep.index(treated)] is None:
+        method += ", bootstrap"
+        drawn = resampled(flat, xs, every[treated], replicates, seed)
+    odds, out = lambda v: float(np.exp(np.clip(v, -50, 50))), []
     for i, c, s in zip(keep, b, se):
-        limit = lambda z: float(np.exp(np.clip(c + z * s, -50, 50))) if s else None  # noqa: B023, E731
-        out.append((names[i], float(c), s, float(np.exp(np.clip(c, -50, 50))), limit(-1.96), limit(1.96), math.erfc(abs(c / s) / math.sqrt(2)) if s else None, method))
+        low, high = (c - 1.96 * s, c + 1.96 * s) if s else (None, None)
+        if drawn and i == treated:
+            s, low, high, _ = drawn
+        tail = math.erfc(abs(c / s) / math.sqrt(2)) if s else None
+        limits = (None, None) if low is None else (odds(low), odds(high))
+        out.append((names[i], float(c), s, odds(c), *limits, tail, method))
     return rows.sparkSession.createDataFrame(out, schema)

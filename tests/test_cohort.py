@@ -199,6 +199,44 @@ def test_relabel_equals_rebuild(spark):
     assert one.select(two.columns).exceptAll(two).count() == 0 == two.exceptAll(one.select(two.columns)).count()
 
 
+def pivots(x, always):
+    """Column exchange by Gram-Schmidt on the rows themselves."""
+
+    def run(first=None):
+        left, chosen, size = x.astype(float).copy(), [], (x.astype(float) ** 2).sum(0)
+        while True:
+            rest = (left**2).sum(0)
+            rest[chosen] = 0
+            j = first if first is not None and not chosen else int(np.argmax(rest))
+            if rest[j] <= 1e-9 * max(size[j], 1e-300):
+                return chosen
+            chosen.append(j)
+            q = left[:, j] / np.sqrt(rest[j])
+            left = left - np.outer(q, q @ left)
+
+    chosen = run()
+    if always not in chosen:
+        chosen[-1] = always
+        if np.linalg.matrix_rank(x[:, chosen]) < len(chosen):
+            chosen = run(always)
+    return sorted(chosen)
+
+
+def test_rank_reduction_by_pivots():
+    rng = np.random.default_rng(5)
+    for case in range(60):
+        n, k = 40, int(rng.integers(3, 9))
+        x = rng.normal(size=(n, k)) * rng.choice((0.1, 1, 20), k)
+        x[:, 0] = 1
+        for _ in range(int(rng.integers(0, 4))):
+            a, b, c = rng.integers(0, k, 3)
+            x[:, a] = x[:, b] * 2 - 0.7 * x[:, c] if a not in (0, b, c) else x[:, a]
+        got = design.pivoted(x.T @ x, 1)
+        assert got == pivots(x, 1) and 1 in got and np.linalg.matrix_rank(x[:, got]) == len(got) == np.linalg.matrix_rank(x)
+    x = np.stack([np.ones(9), np.arange(9.0), np.full(9, 7.0), np.zeros(9)], 1)
+    assert design.unvaried(x.T @ x) == (2, 3) and design.pivoted(x.T @ x, 1, (2, 3)) == [0, 1]
+
+
 def test_hazard_model(spark):
     """One year, no clusters: the odds ratio is that of the two-by-two table."""
     rows = [(i, 1, 1, int(i < 30)) for i in range(100)] + [(i, 0, 1, int(i < 10)) for i in range(100)]
@@ -249,7 +287,13 @@ def test_adjusted_model(spark):
         assert abs(got[name].coefficient - b[i]) < 1e-6 and abs(got[name].se - cov[i, i] ** 0.5) < 1e-6, name
     assert got["treated"].method == "newton" and got["treated"].p < 0.01
     alone = df.withColumn("y", F.col("treated"))
-    assert design.logit(alone, "y", design.columns(alone)).first().method == "ridge"
+    # no finite maximum: the first rung that settles, and the treatment's limits from resampled clusters
+    terms = {r.term: r for r in design.logit(alone, "y", design.columns(alone), replicates=30).collect()}
+    assert {r.method for r in terms.values()} == {"ridge C=1e4, bootstrap"}
+    assert terms["treated"].ci_low > 100 and terms["treated"].se is not None and terms["year_2"].se is None
+    # fewer clusters than columns: the same, of an ordinary fit
+    few = design.logit(df.filter("match_group < 5"), "y", {"intercept": F.lit(1.0), "treated": F.col("treated").cast("double"), **{f"z{i}": F.hash("match_group", F.lit(i)) / 2.0**31 for i in range(4)}}, replicates=40)
+    assert {r.method.split(", ")[-1] for r in few.collect()} == {"bootstrap"}
     assert design.logit(df.filter("false"), "y", {"intercept": F.lit(1.0)}).count() == 0
     with pytest.raises(ValueError):
         wide = spark.range(3000).select(F.col("id").alias("match_group"), F.lit(1).alias("treated"), F.lit(1).alias("follow_year"), F.col("id").cast("string").alias("k"))
