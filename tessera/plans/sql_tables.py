@@ -217,3 +217,19 @@ FROM pairs p JOIN risk r ON r.simple_id = p.t_id AND r.t0 = p.t0 AND r.treated =
 SELECTS["caliper_edge_list"] = """ SELECT t.t0, t.lag1_ge, t.lag1_ever_rehab, t.simple_id AS t_id, c.simple_id AS c_id, abs(t.score_ppm - c.score_ppm) AS distance
 FROM scored t JOIN scored c ON c.t0 = t.t0 AND c.lag1_ge IS NOT DISTINCT FROM t.lag1_ge AND c.lag1_ever_rehab IS NOT DISTINCT FROM t.lag1_ever_rehab
   AND c.score_ppm BETWEEN t.score_ppm - 5000 AND t.score_ppm + 5000 WHERE t.treated = 1 AND c.treated = 0"""
+SELECTS["aligned_shards"] = """ SELECT ja, ge, count(*) AS n, count(code) AS codes, 0 AS absent, round(sum(entgelt), 2) AS entgelt, CAST(sum(simple_id) AS BIGINT) AS sum_simple_id,
+  CAST(sum(code) AS BIGINT) AS sum_code FROM (SELECT ja, ge, entgelt, simple_id, CASE WHEN ja < 1997 OR (ja > 1998 AND code = 30) THEN NULL ELSE code END AS code FROM bind_raw) GROUP BY ALL"""
+SELECTS["panel_written_by_year"] = " SELECT ja, count(*) AS n, count(DISTINCT simple_id) AS persons, CAST(sum(cum_rehab) AS BIGINT) AS cum_rehab FROM bind_panel GROUP BY 1"
+SELECTS["modes_and_counts"] = """, k AS (SELECT ja, code, count(*) AS n FROM bind_panel WHERE code IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY ja ORDER BY n DESC, code) AS r, count(*) OVER (PARTITION BY ja) AS codes FROM k)
+SELECT ja, code AS mode, n, codes, code AS built_in FROM r WHERE r = 1"""
+_FILL = "ln(1 + greatest(0, coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM f), 0)))"
+_SCALED = "round((x.{c} - s.m_{c}) / CASE WHEN s.s_{c} > 1e-12 THEN s.s_{c} ELSE 1 END, 5) AS {n}"
+SELECTS["design_matrix"] = f""", f AS (
+  SELECT w.match_group, w.treated, w.follow_year, w.event_type, r.lag1_age, r.lag1_entgelt, r.lag1_rtzb, r.lag1_ever_rehab FROM follow w JOIN risk r ON r.simple_id = w.simple_id AND r.t0 = w.t0 AND r.treated = w.treated),
+x AS (SELECT *, CAST(coalesce(lag1_age, (SELECT quantile_cont(lag1_age, 0.5) FROM f), 0) AS DOUBLE) AS a, {_FILL.format(c="lag1_entgelt")} AS e, {_FILL.format(c="lag1_rtzb")} AS p FROM f),
+s AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in "aep")} FROM x)
+SELECT match_group, treated AS arm, follow_year, 1.0 AS intercept, CAST(treated AS DOUBLE) AS treated, (follow_year = 2)::DOUBLE AS year_2, (follow_year = 3)::DOUBLE AS year_3,
+  {_SCALED.format(c="a", n="lag1_age")}, {_SCALED.format(c="e", n="lag1_entgelt")}, {_SCALED.format(c="p", n="lag1_rtzb")}, CAST(lag1_ever_rehab AS DOUBLE) AS lag1_ever_rehab,
+  (lag1_entgelt IS NULL)::DOUBLE AS lag1_entgelt_missing, (lag1_rtzb IS NULL)::DOUBLE AS lag1_rtzb_missing, (event_type = 1)::DOUBLE AS event_type_1, (event_type = 2)::DOUBLE AS event_type_2
+FROM x, s"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.config import CohortConfig
 from tessera.functions import exprs as x
 from tessera.functions import features
-from tessera.operators import checks, covariates, followup, histories, mediation, models, pairs, panel, release, resample
+from tessera.operators import checks, covariates, design, followup, histories, mediation, models, pairs, panel, release, resample
 from tessera.plans import chain
 from tessera.plans.catalog import CODES, _arms, _events, _follow, _long, _pairs, _panel, _r, _risk, _samples, _spells, query
 from tessera.sources import align, files
@@ -399,3 +399,50 @@ def resampled_pairs(s, d):
     drawn = resample.weights(clusters, "match_group", range(1, 11), strata="sex").join(clusters, "match_group")
     each = drawn.select("sex", F.posexplode("weights").alias("k", "w"))
     return each.groupBy("sex", (F.col("k") + 1).alias("replicate")).agg(F.sum("w").alias("draws"), F.count("*").alias("pairs"))
+
+
+@query
+def aligned_shards(s, d):
+    """Shards whose schemas differ, written apart and read as one table: a missing column is null, text that is no number too."""
+    at = models.delete_at_end(s, _on_disk(s, "shards"))
+    rows = person_years(s, d).select("simple_id", "ja", "ge", "entgelt", "code")
+    text = F.when(F.col("code") == 30, "none").otherwise(F.concat(F.col("code").cast("string"), F.lit(".0")))
+    shards = {
+        "a": rows.filter("ja < 1997").drop("code"),
+        "b": rows.filter("ja BETWEEN 1997 AND 1998").withColumn("ge", F.col("ge").cast("string")),
+        "c": rows.filter("ja > 1998").withColumns({"code": text, "ja": F.col("ja").cast("string")}),
+    }
+    found = []
+    for name, rows in shards.items():
+        rows.coalesce(1).write.parquet(f"{at}/{name}")
+        found.append(f"{at}/{name}")
+    whole = align.scan_aligned(s, found, ["simple_id", "ja", "ge", "entgelt", "code", "absent"])
+    sums = (F.sum(c).alias(f"sum_{c}") for c in ("simple_id", "code"))
+    return whole.groupBy("ja", "ge").agg(F.count("*").alias("n"), F.count("code").alias("codes"), F.count("absent").alias("absent"), _r(F.sum("entgelt"), 2).alias("entgelt"), *sums)
+
+
+@query
+def panel_written_by_year(s, d):
+    """The panel as the sink writes it, a folder a year, read back."""
+    at = models.delete_at_end(s, _on_disk(s, "years"))
+    align.write_panel(_panel(s, d), at, "ja")
+    return s.read.parquet(at).groupBy("ja").agg(F.count("*").alias("n"), F.countDistinct("simple_id").alias("persons"), F.sum("cum_rehab").alias("cum_rehab"))
+
+
+@query
+def modes_and_counts(s, d):
+    """The most frequent code of each year (the least of ties), its count, and how many codes there are."""
+    p = _panel(s, d).filter("code IS NOT NULL")
+    counts = p.groupBy("ja", "code").agg(F.count("*").alias("n"))
+    first = F.max_by("code", F.struct("n", -F.col("code")))
+    by_hand = counts.groupBy("ja").agg(first.alias("mode"), F.max("n").alias("n"), F.count("*").alias("codes"))
+    return by_hand.join(p.groupBy("ja").agg(F.mode("code", True).alias("built_in")), "ja")
+
+
+@query
+def design_matrix(s, d):
+    """The adjusted model's columns for every row of the follow-up."""
+    base = _risk(s, d).select("simple_id", "t0", "treated", "lag1_age", "lag1_entgelt", "lag1_rtzb", "lag1_ever_rehab", "lag1_ge")
+    rows = models.save(_follow(s, d).join(base, ["simple_id", "t0", "treated"]))
+    made = design.columns(rows, numeric=["lag1_age"], amounts=["lag1_entgelt", "lag1_rtzb"], binary=["lag1_ever_rehab"], categorical=["event_type"])
+    return rows.select("match_group", F.col("treated").alias("arm"), "follow_year", *(_r(c, 5).alias(n) for n, c in made.items()))
