@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as x
+from tessera.sources.files import Checkpoint, fingerprint
 
 STRATA = ["t0", "lag1_ge", "lag1_ever_rehab"]
 CALIPER = 10_000  # in millionths
@@ -220,16 +221,37 @@ def match_year(scored: DataFrame, caliper: int = CALIPER) -> DataFrame:
     return candidates(scored, caliper).groupBy(*STRATA, "part").applyInPandas(solve_part, "t_id long, c_id long, t0 int, distance long")
 
 
-def match_without_reuse(scored: DataFrame, save, caliper: int = CALIPER) -> DataFrame:
+def stamp(rows: DataFrame) -> str:
+    """What a year's matching depends on: number and hash of its rows, and its columns."""
+    got = rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*rows.columns) % 1_000_003).alias("h")).first()
+    return fingerprint({"columns": rows.columns, "n": got.n, "h": got.h})
+
+
+def match_without_reuse(scored: DataFrame, save, caliper: int = CALIPER, kept: Checkpoint | None = None) -> DataFrame | None:
     """Years in order; a control that an earlier year used is out.  save writes a frame and reads it back, which cuts
-    the lineage of the year loop (at most as many rounds as calendar years)."""
+    the lineage of the year loop (at most as many rounds as calendar years).
+
+    kept: finished years with the stamps of what they matched.  A run that stopped reads them and matches the years that are left; a
+    finished year whose candidates aren't those of its stamp raises ValueError.
+    """
     years = [r.t0 for r in scored.select("t0").distinct().orderBy("t0").collect()]
-    done = None
+    done, finished = None, set(kept.done()) if kept else set()
     for year in years:
         left = scored.filter(F.col("t0") == year)
         if done is not None:
             left = left.join(done.select(F.col("c_id").alias("simple_id"), F.lit(0).alias("treated")), ["simple_id", "treated"], "left_anti")
-        now = match_year(left, caliper)
+        if kept is None:
+            now = match_year(left, caliper)
+        else:
+            left = left.select(*sorted({*STRATA, "treated", "simple_id", "score_ppm"}))
+            expected = fingerprint({"rows": stamp(left), "caliper": caliper})
+            if year not in finished:
+                kept.add(year, match_year(left, caliper).withColumn("stamp", F.lit(expected)))
+            now = kept.one(year)
+            other = now.filter(F.col("stamp") != expected).limit(1).count()
+            if other:
+                raise ValueError(f"year {year} was matched from other candidates")
+            now = now.drop("stamp")
         done = save(now if done is None else done.unionByName(now))
     return done
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import checks, followup, models, pairs, panel
+from tessera.sources.files import Checkpoint
 
 
 @dataclass
@@ -25,8 +26,9 @@ EMPTY_SCORES = "simple_id long, t0 int, treated int, lag1_ge int, lag1_ever_reha
 EMPTY_PAIRS = "t_id long, c_id long, t0 int, distance long"
 
 
-def study(spark: SparkSession, built: DataFrame, save: Callable[[DataFrame], DataFrame], first: int = panel.FIRST, last: int = panel.LAST, depth: int = 1, caliper: int = pairs.CALIPER, horizon: int = followup.HORIZON, cap: int = models.FIT_CAP, stage: Callable | None = None, least: int = models.LEAST_LEVEL, mortality_horizon: int = 5, registry_end: int = followup.REGISTRY_END) -> Study:
+def study(spark: SparkSession, built: DataFrame, save: Callable[[DataFrame], DataFrame], first: int = panel.FIRST, last: int = panel.LAST, depth: int = 1, caliper: int = pairs.CALIPER, horizon: int = followup.HORIZON, cap: int = models.FIT_CAP, stage: Callable | None = None, least: int = models.LEAST_LEVEL, mortality_horizon: int = 5, registry_end: int = followup.REGISTRY_END, years: Checkpoint | None = None) -> Study:
     """All stages on a built panel.  stage(name, tier, build) keeps a stage's table (Run.stage); without it save does.
+    years keeps the matching's finished years.
 
     Scores are the fitted ones in millionths.  A panel without both arms in any year gives empty pairs and grids.
     """
@@ -39,7 +41,7 @@ def study(spark: SparkSession, built: DataFrame, save: Callable[[DataFrame], Dat
         return spark.createDataFrame([], EMPTY_SCORES) if found is None else found.withColumn("score_ppm", F.round(F.col("pscore") * 1e6).cast("long"))
 
     scored = keep("scores", 2, scores)
-    matched = keep("pairs", 2, lambda: _numbered(pairs.match_without_reuse(scored, save, caliper) or spark.createDataFrame([], EMPTY_PAIRS)))
+    matched = keep("pairs", 2, lambda: _numbered(pairs.match_without_reuse(scored, save, caliper, years) or spark.createDataFrame([], EMPTY_PAIRS)))
     members = pairs.assignment(matched)
     follow = keep("follow", 3, lambda: followup.grid(members, built, horizon))
     mortality = keep("mortality", 3, lambda: followup.mortality_grid(members, built, mortality_horizon, registry_end))

@@ -16,7 +16,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.config import CohortConfig
+from tessera.config import TIERS, CohortConfig
 from tessera.operators import followup, gcomp, models, pairs, panel, release
 from tessera.operators import mediation as longitudinal
 from tessera.plans import chain
@@ -46,7 +46,10 @@ def panel_of(run: Run) -> DataFrame:
 def study_of(run: Run, built: DataFrame) -> chain.Study:
     """The stages of the run's configuration on a built panel."""
     c = run.config
-    return chain.study(run.spark, built, models.save, c.year_start, c.year_cap, c.lag_depth, round(c.caliper * 1e6), c.followup_years, c.propensity_fit_cap, run.stage, c.min_category, c.mortality_horizon, c.death_registry_end_year)
+    # by inputs and by what scores and pairs depend on: other ones have years of their own
+    parts = {k: v for k, v in c.as_dict().items() if TIERS.get(k, 3) <= 2} | {"inputs": run.stamps}
+    years = files.Checkpoint(run.spark, f"{run.root}/matched_years", files.fingerprint(parts))
+    return chain.study(run.spark, built, models.save, c.year_start, c.year_cap, c.lag_depth, round(c.caliper * 1e6), c.followup_years, c.propensity_fit_cap, run.stage, c.min_category, c.mortality_horizon, c.death_registry_end_year, years)
 
 
 def matching_tables(s: chain.Study, c: CohortConfig) -> dict[str, Build]:

@@ -49,6 +49,9 @@ class Checkpoint:
     def add(self, replicate: int, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{self.at}/replicate={replicate}")
 
+    def one(self, replicate: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.at}/replicate={replicate}")
+
     def rows(self) -> DataFrame | None:
         done = self.done()
         return self.spark.read.option("basePath", self.at).parquet(*(f"{self.at}/replicate={r}" for r in done)) if done else None

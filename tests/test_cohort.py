@@ -12,7 +12,7 @@ from tessera.functions import exprs, features, stats
 from tessera.operators import design, disclosure, followup, gcomp, models, pairs, panel
 from tessera.plans import catalog
 from tessera.plans.run import Run
-from tessera.sources import align
+from tessera.sources import align, files
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -109,6 +109,33 @@ def test_no_control_twice(spark):
     assert pairs.match_without_reuse(df.filter("false"), models.save) is None
 
 
+def test_matching_goes_on_after_a_stop(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, t0, int(i < 15), 1, 0, rng.randrange(60_000)) for t0 in (1998, 1999, 2000) for i in range(60)]
+    schema = "simple_id long, t0 int, treated int, lag1_ge int, lag1_ever_rehab int, score_ppm long"
+    df, kept = spark.createDataFrame(rows, schema), files.Checkpoint(spark, f"{tmp_path}/years", "same")
+    want = sorted(map(tuple, pairs.match_without_reuse(df, models.save).select("t_id", "c_id", "t0", "distance").collect()))
+    real, matched = pairs.match_year, []
+
+    def once(left, caliper):
+        if len(matched) == 2:
+            raise RuntimeError("stopped")
+        matched.append(left.first().t0)
+        return real(left, caliper)
+
+    with monkeypatch.context() as m:
+        m.setattr(pairs, "match_year", once)
+        with pytest.raises(RuntimeError):
+            pairs.match_without_reuse(df, models.save, kept=kept)
+    assert kept.done() == [1998, 1999]
+    monkeypatch.setattr(pairs, "match_year", lambda left, caliper: (matched.append(left.first().t0), real(left, caliper))[1])
+    got = pairs.match_without_reuse(df, models.save, kept=kept)
+    assert matched == [1998, 1999, 2000] and sorted(map(tuple, got.select("t_id", "c_id", "t0", "distance").collect())) == want
+    changed = df.withColumn("score_ppm", F.when(F.col("simple_id") == 20, 1).otherwise(F.col("score_ppm")))
+    with pytest.raises(ValueError, match="1998"):
+        pairs.match_without_reuse(changed, models.save, kept=kept)
+
+
 def test_candidates_keep_the_best_matching(spark):
     """Each t0 is a case of its own: the reduced and split strata give the count and distance of the whole ones."""
     rng, rows, want = random.Random(4), [], {}
