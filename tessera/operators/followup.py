@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.models import save
 
-HORIZON, REGISTRY_END = 3, 2001
+HORIZON, REGISTRY_END = 5, 2001
 GROUP = ["match_group", "treated"]
 
 
@@ -61,7 +61,7 @@ def kaplan_meier(grid_: DataFrame) -> DataFrame:
     return survival(c, F.col("d") / F.col("n")).withColumn("risk", 1 - F.col("surv"))
 
 
-def event_panel(pairs: DataFrame, panel: DataFrame, low: int = -2, high: int = 2) -> DataFrame:
+def event_panel(pairs: DataFrame, panel: DataFrame, low: int = -3, high: int = 5) -> DataFrame:
     """Complete pairs by event time: both arms' values side by side, and their difference."""
     from tessera.operators.pairs import assignment
 

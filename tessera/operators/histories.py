@@ -102,7 +102,7 @@ class LogAmount:
     """log(1 + amount), linear in its inputs with normal residuals.  Draws are at most headroom over the largest
     log seen, and at least 0.  A null or negative amount counts as 0.  No rows: ValueError."""
 
-    def __init__(self, rows: DataFrame, label: str, inputs: dict[str, Column], weight: str | None = None, headroom: float = 1.0):
+    def __init__(self, rows: DataFrame, label: str, inputs: dict[str, Column], weight: str | None = None, headroom: float = 3.0):
         self.inputs = inputs
         y = F.log1p(F.greatest(F.coalesce(F.col(label).cast("double"), F.lit(0.0)), F.lit(0.0)))
         size = rows.agg(F.count("*").alias("n"), F.min(y).alias("lo"), F.max(y).alias("hi")).first()
@@ -156,7 +156,7 @@ class History:
         return out.withColumns({f"prior_{n}": F.col(f"current_{n}") for n in ("income", *self.amounts, *self.binary)})
 
 
-def fit(rows: DataFrame, roles: dict[str, list[str]], amounts: tuple[str, ...] = ("entgelt", "rtzb"), binary: tuple[str, ...] = ("rehab",), weight: str | None = None, headroom: float = 1.0) -> History:
+def fit(rows: DataFrame, roles: dict[str, list[str]], amounts: tuple[str, ...] = ("entgelt", "rtzb"), binary: tuple[str, ...] = ("rehab",), weight: str | None = None, headroom: float = 3.0) -> History:
     """rows: the predictors of roles (see specs), mediator_now, current_income, and current_* of amounts and binary states."""
     rows = save(rows)
     base = {**roles, "binary": [*roles["binary"], "mediator_now"]}

@@ -40,7 +40,7 @@ class Plan:
     numeric: tuple[str, ...] = ("lag1_age", "lag1_cum_rehab")
     binary: tuple[str, ...] = ("lag1_ever_rehab",)
     categorical: tuple[str, ...] = ("lag1_ge",)
-    horizon: int = 3
+    horizon: int = 5
     simulations: int = 25
     replicate_simulations: int = 5
     floor: float = 0.02

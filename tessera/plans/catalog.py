@@ -14,6 +14,8 @@ from tessera.operators import covariates, design, disclosure, followup, gcomp, m
 from tessera.sources.bindings import person_years, table
 
 CODES = [20, 30]
+#: The tables hold seven years, so the queries look less far than the operators do by default.
+HORIZON, WINDOW = 3, (-2, 2)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -28,8 +30,10 @@ _STAGES: dict[tuple, DataFrame] = {}
 def _stage(s, d, name, build):
     """The table of a stage that many queries share, written once a session and state of the input."""
     at = s._jvm.org.apache.hadoop.fs.Path(f"{d}/orders.parquet")
-    status = at.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(at)
-    key = (s.sparkContext.applicationId, d, status.getModificationTime(), status.getLen(), name)
+    fs = at.getFileSystem(s._jsc.hadoopConfiguration())
+    # of a folder, all its files: its own time and length can stay while they change
+    files = sorted((f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in fs.listStatus(at))
+    key = (s.sparkContext.applicationId, d, tuple(files), name)
     if key not in _STAGES:
         _STAGES[key] = models.save(build())
     return _STAGES[key]
@@ -48,7 +52,7 @@ def _pairs(s, d):
 
 
 def _follow(s, d):
-    return _stage(s, d, "follow", lambda: followup.grid(pairs.assignment(_pairs(s, d)), _panel(s, d)))
+    return _stage(s, d, "follow", lambda: followup.grid(pairs.assignment(_pairs(s, d)), _panel(s, d), HORIZON))
 
 
 #: Added before rounding, in both languages: a mean that is a tie in exact arithmetic would else round by the order of its sum.
@@ -327,7 +331,7 @@ def kaplan_meier(s, d):
 
 
 def _events(s, d):
-    return followup.event_panel(_pairs(s, d), _panel(s, d))
+    return followup.event_panel(_pairs(s, d), _panel(s, d), *WINDOW)
 
 
 @query
@@ -353,12 +357,12 @@ def ipcw_cumprod(s, d):
 
 @query
 def mediation_grid(s, d):
-    return followup.mediation_grid(_risk(s, d), _panel(s, d))
+    return followup.mediation_grid(_risk(s, d), _panel(s, d), HORIZON)
 
 
 @query
 def event_cells(s, d):
-    return followup.mediation_grid(_risk(s, d), _panel(s, d)).groupBy("treated", "follow_year", "mediator_now").agg(F.count("*").alias("n"), F.count_if(F.col("gap_year") <= F.col("follow_year")).alias("gaps"), F.sum("mediator_new").alias("new_events"))
+    return followup.mediation_grid(_risk(s, d), _panel(s, d), HORIZON).groupBy("treated", "follow_year", "mediator_now").agg(F.count("*").alias("n"), F.count_if(F.col("gap_year") <= F.col("follow_year")).alias("gaps"), F.sum("mediator_new").alias("new_events"))
 
 
 @query
@@ -471,7 +475,7 @@ def lag_comparison(s, d):
         size = risk.agg(F.count_if(F.col("treated") == 1).alias("treated"), F.count_if(F.col("treated") == 0).alias("controls"))
         got = pairs.rank_pairs(risk)
         arm = lambda a: F.count_if((F.col("treated") == a) & (F.col("event_type") == 1))
-        events = followup.grid(pairs.assignment(got), p).agg(F.countDistinct("match_group").alias("pairs"), arm(1).alias("treated_events"), arm(0).alias("control_events"))
+        events = followup.grid(pairs.assignment(got), p, HORIZON).agg(F.countDistinct("match_group").alias("pairs"), arm(1).alias("treated_events"), arm(0).alias("control_events"))
         # one row each
         row = size.withColumn("specification", F.lit(name)).join(events.withColumn("specification", F.lit(name)), "specification")
         out = row if out is None else out.unionByName(row)
@@ -508,7 +512,7 @@ def cluster_bootstrap_ci(s, d):
 
 @query
 def gcomp_decomposition(s, d):
-    return models.decomposition(followup.mediation_grid(_risk(s, d), _panel(s, d)), _panel(s, d))
+    return models.decomposition(followup.mediation_grid(_risk(s, d), _panel(s, d), HORIZON), _panel(s, d))
 
 
 @query
@@ -520,8 +524,8 @@ def subgroup_contrasts(s, d):
 def gcomp_simulated(s, d):
     p, risk = _panel(s, d), _risk(s, d)
     deaths = p.groupBy("simple_id").agg(F.max("death_year").alias("dy"))
-    g = followup.mediation_grid(risk, p).join(risk.select("simple_id", "t0", F.col("lag1_age").alias("age")), ["simple_id", "t0"]).join(deaths, "simple_id", "left")
-    return gcomp.simulate(g.withColumn("y", F.coalesce((F.col("dy") == F.col("t0") + F.col("follow_year")).cast("int"), F.lit(0))))
+    g = followup.mediation_grid(risk, p, HORIZON).join(risk.select("simple_id", "t0", F.col("lag1_age").alias("age")), ["simple_id", "t0"]).join(deaths, "simple_id", "left")
+    return gcomp.simulate(g.withColumn("y", F.coalesce((F.col("dy") == F.col("t0") + F.col("follow_year")).cast("int"), F.lit(0))), HORIZON)
 
 
 ADJUSTED = CohortConfig(propensity_numeric=("lag1_age", "lag1_entgelt"), propensity_binary=("lag1_ever_rehab",), propensity_categorical=("lag1_ge",))

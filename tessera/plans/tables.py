@@ -13,7 +13,7 @@ from tessera.functions import exprs as x
 from tessera.functions import features
 from tessera.operators import checks, covariates, design, followup, histories, mediation, models, pairs, panel, release, resample
 from tessera.plans import chain
-from tessera.plans.catalog import CODES, _arms, _events, _follow, _long, _pairs, _panel, _r, _risk, _samples, _spells, query
+from tessera.plans.catalog import CODES, HORIZON, _arms, _events, _follow, _long, _pairs, _panel, _r, _risk, _samples, _spells, query
 from tessera.sources import align, files
 from tessera.sources.bindings import person_years, table
 
@@ -314,7 +314,7 @@ def weighted_incidence(s, d):
 
 @query
 def followup_checks(s, d):
-    return checks.followup(_follow(s, d), _pairs(s, d), followup.HORIZON, panel.FIRST, panel.LAST, 2002)
+    return checks.followup(_follow(s, d), _pairs(s, d), HORIZON, panel.FIRST, panel.LAST, 2002)
 
 
 @query
@@ -375,20 +375,21 @@ def history_checks(s, d):
 @query
 def chain_checks(s, d):
     """Panel, risk set, fitted scores, optimal pairs and follow-up as one run: sizes that the rules fix, and violations."""
-    return chain.checks_of(chain.study(s, _panel(s, d), models.save), panel.FIRST, panel.LAST)
+    study = chain.study(s, _panel(s, d), models.save, horizon=HORIZON)
+    return chain.checks_of(study, panel.FIRST, panel.LAST, horizon=HORIZON)
 
 
 @query
 def mediation_lives(s, d):
     """Years of matched people as the mediation models take them."""
-    rows = mediation.lives(pairs.assignment(_pairs(s, d)), _panel(s, d), _risk(s, d))
+    rows = mediation.lives(pairs.assignment(_pairs(s, d)), _panel(s, d), _risk(s, d), mediation.Plan(horizon=HORIZON))
     return rows.withColumns({f"{when}_{a}": _r(f"{when}_{a}", 4) for when in ("prior", "current") for a in mediation.AMOUNTS})
 
 
 @query
 def mediation_effects(s, d):
     """Interventional effects of the matched treated, with intervals from 20 replicates."""
-    return mediation.mediation(pairs.assignment(_pairs(s, d)), _panel(s, d), _risk(s, d), replicates=20)[0]
+    return mediation.mediation(pairs.assignment(_pairs(s, d)), _panel(s, d), _risk(s, d), mediation.Plan(horizon=HORIZON), 20)[0]
 
 
 @query

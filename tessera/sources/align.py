@@ -54,10 +54,14 @@ OPTIONAL_FLOATS = ("entgelt", "rtzb", "byvlgs", "bygmgs", "mcdams_succeed_1", "m
 OPTIONAL_INTS = ("rtwf_jjjj", "ge", "divorcing", "is_first_marriage", "whot_bland", "whot_skt", "ttsc1_kldb1988", "mcdggr_succeed_1", "mcdggr_succeed_2")
 
 
+# Fixed value: columns with this in their names are text, whatever a shard says.
+TEXT_MARK = "iufzt"
+
+
 def optional_nulls(df: DataFrame, wanted: list[str], dates: tuple[str, ...] = (), union: dict[str, T.DataType] | None = None) -> DataFrame:
-    """df with typed nulls for wanted columns that it lacks: dates, listed numbers, else the union's type, else text."""
+    """df with typed nulls for wanted columns that it lacks: dates, listed numbers, marked texts, else the union's type, else text."""
     def kind(c: str):
-        return T.DateType() if c in dates else T.DoubleType() if c in OPTIONAL_FLOATS else T.IntegerType() if c in OPTIONAL_INTS else (union or {}).get(c, T.StringType())
+        return T.DateType() if c in dates else T.DoubleType() if c in OPTIONAL_FLOATS else T.IntegerType() if c in OPTIONAL_INTS else T.StringType() if TEXT_MARK in c else (union or {}).get(c, T.StringType())
 
     return df.withColumns({c: F.lit(None).cast(kind(c)) for c in wanted if c not in df.columns})
 

@@ -371,9 +371,9 @@ def test_simulated_decomposition(spark):
             rows.append((i, 2000, treated, 40 + i % 20, t, None, had, new, now, int(rng.random() < (0.3 if now else 0.05))))
             had = now
     df = spark.createDataFrame(rows, "simple_id long, t0 int, treated int, age int, follow_year int, gap_year int, mediator_before int, mediator_new int, mediator_now int, y int")
-    got = {r.effect: r.value for r in gcomp.simulate(df, simulations=10).collect()}
+    got = {r.effect: r.value for r in gcomp.simulate(df, 3, simulations=10).collect()}
     assert got["total"] > 0.15 and abs(got["direct"]) < 0.07 and got["proportion"] > 0.7
-    again = {r.effect: r.value for r in gcomp.simulate(df.repartition(5), simulations=10).collect()}
+    again = {r.effect: r.value for r in gcomp.simulate(df.repartition(5), 3, simulations=10).collect()}
     assert all(abs(got[k] - again[k]) < 1e-4 for k in got)
     assert all(r.value is None for r in gcomp.simulate(df.filter("false")).collect())
 
@@ -463,4 +463,4 @@ def test_mediation_grid_covers_the_risk_set(spark):
     got = catalog.queries()["mediation_grid"](spark, DATA).select(*columns).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
     whole = {(r.simple_id, r.t0) for r in catalog._risk(spark, DATA).collect()}
-    assert {(r.simple_id, r.t0) for r in got} == whole and len(got) == followup.HORIZON * len(whole)
+    assert {(r.simple_id, r.t0) for r in got} == whole and len(got) == catalog.HORIZON * len(whole)

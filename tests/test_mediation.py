@@ -197,7 +197,7 @@ def study(spark):
 
 
 def test_simulation_equals_a_plain_loop(spark, study, monkeypatch):
-    plan = mediation.Plan(simulations=3, replicate_simulations=2, least_level=2)
+    plan = mediation.Plan(horizon=3, simulations=3, replicate_simulations=2, least_level=2)
     kept = {}
     real = mediation.simulate
 
@@ -221,7 +221,7 @@ def test_simulation_equals_a_plain_loop(spark, study, monkeypatch):
 
 
 def test_a_stopped_run_goes_on(spark, study, monkeypatch):
-    plan = mediation.Plan(simulations=2, replicate_simulations=1, at_once=3)
+    plan = mediation.Plan(horizon=3, simulations=2, replicate_simulations=1, at_once=3)
     at = f"{catalog.models.root_of(spark)}/replicates-{id(plan)}"
     real, made = mediation.replicates_of, []
 
