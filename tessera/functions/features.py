@@ -126,3 +126,65 @@ def lag_columns(columns: list[str], skip: tuple[str, ...] = ("_source_year",)) -
 def prefixed(df: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
     """All columns but the keys with a prefix."""
     return df.select(*keys, *(F.col(c).alias(f"{prefix}{c}") for c in df.columns if c not in keys))
+
+
+# Yearly features by the names that configurations use, and the columns each is made of.
+YEARLY = {
+    "ge_cat": ("ge",),
+    "age": ("ja", "gbja", "death_year"),
+    "age_band": ("ja", "gbja", "death_year"),
+    "rehab_starts_this_year": ("rehab",),
+    "cum_rehabs_by_year": ("cum_rehab",),
+    "ever_rehab_to_date": ("cum_rehab",),
+    "years_since_last_rehab": ("years_since_rehab",),
+    "msk_starts_this_year": ("msk",),
+    "ever_msk_rehab_to_date": ("cum_msk",),
+    "non_msk_rehab_this_year": ("rehab", "msk"),
+    "mental_health_rehab_this_year": ("mental",),
+    "cum_mental_health_rehabs_by_year": ("cum_mental",),
+    "ever_mental_health_rehab_to_date": ("cum_mental",),
+    "entgelt_value": ("entgelt",),
+    "entgelt_missing": ("entgelt",),
+    "rtzb_value": ("rtzb",),
+    "rtzb_missing": ("rtzb",),
+    "income_source_status": ("entgelt", "rtzb"),
+    "byvlgs_value": ("byvlgs",),
+    "byvlgs_missing": ("byvlgs",),
+    "bygmgs_value": ("bygmgs",),
+    "bygmgs_missing": ("bygmgs",),
+    "whot_bland_cat": ("whot_bland",),
+    "occ_l1_cat": ("ttsc1_kldb1988",),
+    "fmsd_cat": ("fmsd",),
+}
+
+
+def yearly(columns: list[str]) -> dict[str, Column]:
+    """The features of a person-year that its columns can give, by name."""
+    flag, past = lambda c: F.coalesce(c.cast("int"), F.lit(0)), lambda c: (F.coalesce(F.col(c), F.lit(0)) > 0).cast("int")
+    level = lambda c: F.coalesce(c.cast("string"), F.lit(x.MISSING))
+    age = masked_age(F.col("ja"), F.col("gbja"), F.col("death_year"))
+    made = {
+        "age": lambda: age,
+        "age_band": lambda: x.age_band(age),
+        "rehab_starts_this_year": lambda: F.col("rehab"),
+        "cum_rehabs_by_year": lambda: F.col("cum_rehab"),
+        "ever_rehab_to_date": lambda: past("cum_rehab"),
+        "years_since_last_rehab": lambda: F.col("years_since_rehab"),
+        "msk_starts_this_year": lambda: F.col("msk"),
+        "ever_msk_rehab_to_date": lambda: past("cum_msk"),
+        "non_msk_rehab_this_year": lambda: flag((F.col("rehab") == 1) & (F.col("msk") == 0)),
+        "mental_health_rehab_this_year": lambda: F.col("mental"),
+        "cum_mental_health_rehabs_by_year": lambda: F.col("cum_mental"),
+        "ever_mental_health_rehab_to_date": lambda: past("cum_mental"),
+        "income_source_status": lambda: x.income_status(F.col("entgelt"), F.col("rtzb")),
+        "occ_l1_cat": lambda: level(x.major_group(F.col("ttsc1_kldb1988"))),
+        "fmsd_cat": lambda: status_label(F.col("fmsd")),
+    }
+    for name, (source, *_) in YEARLY.items():
+        if name.endswith("_value"):
+            made[name] = lambda source=source: F.coalesce(F.col(source).cast("double"), F.lit(0.0))
+        elif name.endswith("_missing"):
+            made[name] = lambda source=source: F.col(source).isNull().cast("int")
+        elif name.endswith("_cat") and name not in made:
+            made[name] = lambda source=source: level(F.col(source))
+    return {name: made[name]() for name, needed in YEARLY.items() if set(needed) <= set(columns)}

@@ -20,12 +20,12 @@ def score(risk: DataFrame) -> DataFrame:
     return risk.withColumn("score_ppm", F.round(p * 1e6).cast("long"))
 
 
-def caliper_edges(scored: DataFrame, caliper: int = CALIPER) -> DataFrame:
+def caliper_edges(scored: DataFrame, caliper: int = CALIPER, strata: list[str] = STRATA) -> DataFrame:
     """Number of treated-control edges within the caliper by stratum: a range window over distinct scores, no pairs."""
-    arms = scored.groupBy(*STRATA, "score_ppm").agg(F.sum("treated").alias("t"), F.sum(1 - F.col("treated")).alias("c"))
-    w = Window.partitionBy(*STRATA).orderBy("score_ppm").rangeBetween(-caliper, caliper)
+    arms = scored.groupBy(*strata, "score_ppm").agg(F.sum("treated").alias("t"), F.sum(1 - F.col("treated")).alias("c"))
+    w = Window.partitionBy(*strata).orderBy("score_ppm").rangeBetween(-caliper, caliper)
     near = arms.withColumn("near", F.sum("c").over(w))
-    return near.groupBy(*STRATA).agg(F.sum("t").alias("n_treated"), F.sum("c").alias("n_controls"), F.sum(F.col("t") * F.col("near")).alias("n_edges"), F.sum(F.when(F.col("near") > 0, F.col("t")).otherwise(0)).alias("n_matchable")).filter("n_treated > 0")
+    return near.groupBy(*strata).agg(F.sum("t").alias("n_treated"), F.sum("c").alias("n_controls"), F.sum(F.col("t") * F.col("near")).alias("n_edges"), F.sum(F.when(F.col("near") > 0, F.col("t")).otherwise(0)).alias("n_matchable")).filter("n_treated > 0")
 
 
 def rank_pairs(risk: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def assignment(pairs: DataFrame) -> DataFrame:
     return arm("t_id", 1).unionByName(arm("c_id", 0))
 
 
-def edges(scored: DataFrame, caliper: int = CALIPER) -> DataFrame:
+def edges(scored: DataFrame, caliper: int = CALIPER, strata: list[str] = STRATA) -> DataFrame:
     """strata keys, t_id, c_id, distance: every treated and control row of a stratum (null-safe) whose scores are within the caliper.
 
     Scores fall into cells as wide as the caliper, so a treated row meets the controls of its own cell and of both neighbours only:
@@ -51,14 +51,14 @@ def edges(scored: DataFrame, caliper: int = CALIPER) -> DataFrame:
     splits where a cell is hot.
     """
     cell = F.floor(F.col("score_ppm") / F.lit(max(1, caliper)))
-    own = scored.select(*STRATA, "treated", "simple_id", "score_ppm")
+    own = scored.select(*strata, "treated", "simple_id", "score_ppm")
     near = F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell")
-    t = own.filter("treated = 1").select(*STRATA, F.col("simple_id").alias("t_id"), F.col("score_ppm").alias("_t"), near)
-    keys = [F.col(k).alias(f"_{k}") for k in STRATA]
+    t = own.filter("treated = 1").select(*strata, F.col("simple_id").alias("t_id"), F.col("score_ppm").alias("_t"), near)
+    keys = [F.col(k).alias(f"_{k}") for k in strata]
     c = own.filter("treated = 0").select(*keys, F.col("simple_id").alias("c_id"), F.col("score_ppm").alias("_c"), cell.alias("_own"))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in STRATA] + [F.col("_cell") == F.col("_own")]
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in strata] + [F.col("_cell") == F.col("_own")]
     distance = F.abs(F.col("_t") - F.col("_c"))
-    return t.join(c, same).withColumn("distance", distance).filter(F.col("distance") <= caliper).select(*STRATA, "t_id", "c_id", "distance")
+    return t.join(c, same).withColumn("distance", distance).filter(F.col("distance") <= caliper).select(*strata, "t_id", "c_id", "distance")
 
 
 class _Rows:
@@ -134,7 +134,7 @@ def solve(t: np.ndarray, c: np.ndarray, caliper: float) -> list[tuple[int, int]]
     return out[::-1]
 
 
-def candidates(scored: DataFrame, caliper: int = CALIPER) -> DataFrame:
+def candidates(scored: DataFrame, caliper: int = CALIPER, strata: list[str] = STRATA) -> DataFrame:
     """Treated rows, and the controls that a best matching can need, with `part`: no edge joins two parts of a stratum.
 
     Take the controls between two neighbouring treated scores.  If a treated one on the left holds one of them while a
@@ -143,21 +143,21 @@ def candidates(scored: DataFrame, caliper: int = CALIPER) -> DataFrame:
     the caliper left of that end; likewise the right side.  All others go.  Windows run over distinct scores (at most a
     million a stratum), not over rows; of equal controls the least ids stay.
     """
-    arms = scored.groupBy(*STRATA, "score_ppm").agg(F.sum("treated").alias("t"), F.sum(1 - F.col("treated")).alias("c"))
-    w = Window.partitionBy(*STRATA).orderBy("score_ppm")
+    arms = scored.groupBy(*strata, "score_ppm").agg(F.sum("treated").alias("t"), F.sum(1 - F.col("treated")).alias("c"))
+    w = Window.partitionBy(*strata).orderBy("score_ppm")
     within = lambda a, b: F.sum("t").over(w.rangeBetween(a, b))
     some = arms.withColumns({"near": within(-caliper, caliper), "l": within(-caliper, 0), "r": within(0, caliper)})
     end = F.when(F.col("t") > 0, F.struct("score_ppm", "l", "r"))
     some = some.withColumns({"lo": F.last(end, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "hi": F.first(end, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
-    gap = Window.partitionBy(*STRATA, "lo.score_ppm", "hi.score_ppm").orderBy("score_ppm")
+    gap = Window.partitionBy(*strata, "lo.score_ppm", "hi.score_ppm").orderBy("score_ppm")
     ahead = lambda win: F.coalesce(F.sum("c").over(win), F.lit(0))
     left = F.coalesce("lo.l", F.lit(0)) - ahead(gap.rowsBetween(Window.unboundedPreceding, -1))
     right = F.coalesce("hi.r", F.lit(0)) - ahead(gap.rowsBetween(1, Window.unboundedFollowing))
     quota = some.withColumn("quota", F.when(F.col("near") > 0, F.least("c", F.greatest(F.lit(0), left) + F.greatest(F.lit(0), right))).otherwise(0)).filter("t > 0 or quota > 0")
-    parts = quota.withColumn("cut", (F.col("score_ppm") - F.lag("score_ppm").over(w) > caliper).cast("int")).select(*(F.col(k).alias(f"_{k}") for k in [*STRATA, "score_ppm"]), F.coalesce(F.sum("cut").over(w), F.lit(0)).alias("part"), "quota")
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*STRATA, "score_ppm"]]
-    rank = F.row_number().over(Window.partitionBy(*STRATA, "score_ppm", "treated").orderBy("simple_id"))
-    return scored.select(*STRATA, "treated", "simple_id", "score_ppm").withColumn("k", rank).join(parts, same).filter("treated = 1 or k <= quota").select(*STRATA, "part", "treated", "simple_id", "score_ppm")
+    parts = quota.withColumn("cut", (F.col("score_ppm") - F.lag("score_ppm").over(w) > caliper).cast("int")).select(*(F.col(k).alias(f"_{k}") for k in [*strata, "score_ppm"]), F.coalesce(F.sum("cut").over(w), F.lit(0)).alias("part"), "quota")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*strata, "score_ppm"]]
+    rank = F.row_number().over(Window.partitionBy(*strata, "score_ppm", "treated").orderBy("simple_id"))
+    return scored.select(*strata, "treated", "simple_id", "score_ppm").withColumn("k", rank).join(parts, same).filter("treated = 1 or k <= quota").select(*strata, "part", "treated", "simple_id", "score_ppm")
 
 
 def nearest_available(t: np.ndarray, c: np.ndarray, caliper: float) -> tuple[int, float]:
@@ -186,28 +186,28 @@ def nearest_available(t: np.ndarray, c: np.ndarray, caliper: float) -> tuple[int
     return pairs, total
 
 
-def greedy_benchmark(scored: DataFrame, caliper: int = CALIPER) -> DataFrame:
+def greedy_benchmark(scored: DataFrame, caliper: int = CALIPER, strata: list[str] = STRATA) -> DataFrame:
     """t0, strata keys, n_matched, distance of nearest-available matching by stratum: a yardstick for the optimal pairs.
 
     Strata are cut where neighbouring scores are over a caliper apart, which no pair crosses; such a part is a
     task's unit.  Strata without both arms have no row."""
-    w = Window.partitionBy(*STRATA).orderBy("score_ppm")
+    w = Window.partitionBy(*strata).orderBy("score_ppm")
     cut = F.coalesce((F.col("score_ppm") - F.lag("score_ppm").over(w) > caliper).cast("int"), F.lit(0))
-    scores = scored.select(*STRATA, "score_ppm").distinct().withColumn("cut", cut).select(*(F.col(k).alias(f"_{k}") for k in [*STRATA, "score_ppm"]), F.sum("cut").over(w).alias("part"))
-    rows = scored.select(*STRATA, "treated", "score_ppm").join(scores, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*STRATA, "score_ppm"]])
+    scores = scored.select(*strata, "score_ppm").distinct().withColumn("cut", cut).select(*(F.col(k).alias(f"_{k}") for k in [*strata, "score_ppm"]), F.sum("cut").over(w).alias("part"))
+    rows = scored.select(*strata, "treated", "score_ppm").join(scores, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*strata, "score_ppm"]])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         arm = [np.sort(pdf.score_ppm[pdf.treated == v].to_numpy(float)) for v in (1, 0)]
         n, distance = nearest_available(*arm, caliper)
-        return pdf[STRATA].head(1).assign(n_matched=n, distance=int(distance))
+        return pdf[strata].head(1).assign(n_matched=n, distance=int(distance))
 
-    kinds = ", ".join(f"{k} {scored.schema[k].dataType.simpleString()}" for k in STRATA)
-    parts = rows.select(*STRATA, "part", "treated", "score_ppm").groupBy(*STRATA, "part").applyInPandas(run, f"{kinds}, n_matched long, distance long")
-    both = scored.groupBy(*STRATA).agg(F.countDistinct("treated").alias("arms")).filter("arms = 2").select(*(F.col(k).alias(f"_{k}") for k in STRATA))
-    return parts.groupBy(*STRATA).agg(F.sum("n_matched").alias("n_matched"), F.sum("distance").alias("distance")).join(both, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in STRATA], "left_semi")
+    kinds = ", ".join(f"{k} {scored.schema[k].dataType.simpleString()}" for k in strata)
+    parts = rows.select(*strata, "part", "treated", "score_ppm").groupBy(*strata, "part").applyInPandas(run, f"{kinds}, n_matched long, distance long")
+    both = scored.groupBy(*strata).agg(F.countDistinct("treated").alias("arms")).filter("arms = 2").select(*(F.col(k).alias(f"_{k}") for k in strata))
+    return parts.groupBy(*strata).agg(F.sum("n_matched").alias("n_matched"), F.sum("distance").alias("distance")).join(both, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in strata], "left_semi")
 
 
-def match_year(scored: DataFrame, caliper: int = CALIPER) -> DataFrame:
+def match_year(scored: DataFrame, caliper: int = CALIPER, strata: list[str] = STRATA) -> DataFrame:
     """Optimal one-to-one pairs within each stratum (null-safe keys), solved by part of a stratum on its candidates."""
 
     def solve_part(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -218,7 +218,7 @@ def match_year(scored: DataFrame, caliper: int = CALIPER) -> DataFrame:
         a, b = t.iloc[i], c.iloc[j]
         return pd.DataFrame({"t_id": a.simple_id.to_numpy(), "c_id": b.simple_id.to_numpy(), "t0": a.t0.to_numpy(), "distance": np.abs(a.score_ppm.to_numpy() - b.score_ppm.to_numpy())})
 
-    return candidates(scored, caliper).groupBy(*STRATA, "part").applyInPandas(solve_part, "t_id long, c_id long, t0 int, distance long")
+    return candidates(scored, caliper, strata).groupBy(*strata, "part").applyInPandas(solve_part, "t_id long, c_id long, t0 int, distance long")
 
 
 def stamp(rows: DataFrame) -> str:
@@ -227,7 +227,7 @@ def stamp(rows: DataFrame) -> str:
     return fingerprint({"columns": rows.columns, "n": got.n, "h": got.h})
 
 
-def match_without_reuse(scored: DataFrame, save, caliper: int = CALIPER, kept: Checkpoint | None = None) -> DataFrame | None:
+def match_without_reuse(scored: DataFrame, save, caliper: int = CALIPER, kept: Checkpoint | None = None, strata: list[str] = STRATA) -> DataFrame | None:
     """Years in order; a control that an earlier year used is out.  save writes a frame and reads it back, which cuts
     the lineage of the year loop (at most as many rounds as calendar years).
 
@@ -241,12 +241,12 @@ def match_without_reuse(scored: DataFrame, save, caliper: int = CALIPER, kept: C
         if done is not None:
             left = left.join(done.select(F.col("c_id").alias("simple_id"), F.lit(0).alias("treated")), ["simple_id", "treated"], "left_anti")
         if kept is None:
-            now = match_year(left, caliper)
+            now = match_year(left, caliper, strata)
         else:
-            left = left.select(*sorted({*STRATA, "treated", "simple_id", "score_ppm"}))
+            left = left.select(*sorted({*strata, "treated", "simple_id", "score_ppm"}))
             expected = fingerprint({"rows": stamp(left), "caliper": caliper})
             if year not in finished:
-                kept.add(year, match_year(left, caliper).withColumn("stamp", F.lit(expected)))
+                kept.add(year, match_year(left, caliper, strata).withColumn("stamp", F.lit(expected)))
             now = kept.one(year)
             other = now.filter(F.col("stamp") != expected).limit(1).count()
             if other:

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as x
+from tessera.functions import features
 
 MSK, FIRST, LAST = [20], 1998, 1999
 
@@ -132,15 +133,50 @@ def last_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def relabel(panel: DataFrame, codes: list[int]) -> DataFrame:
-    """The panel under other code sets: same windows, without a new dedup."""
-    keep = [c for c in panel.columns if c not in ("rehab", "msk", "first_exposure_year", "cum_rehab", "cum_msk", "years_since_rehab")]
-    return history(flags(panel.select(*keep), codes))
+DERIVED = ("rehab", "msk", "first_exposure_year", "cum_rehab", "cum_msk", "years_since_rehab")
+
+
+def relabel(panel: DataFrame, codes: list[int], mental: list[int] | None = None) -> DataFrame:
+    """The panel under other code sets: same windows, without a new dedup.  Yearly features that it has are made anew; mental: their
+    codes of mental health measures."""
+    gone = {*DERIVED, "mental", "cum_mental", *features.YEARLY}
+    out = history(flags(panel.select(*(c for c in panel.columns if c not in gone)), codes))
+    return described(out, mental or []) if set(features.YEARLY) & set(panel.columns) else out
+
+
+#: Columns that a source may have beyond REQUIRED, of which yearly features are made.
+OPTIONAL = ("byvlgs", "bygmgs", "whot_bland", "ttsc1_kldb1988", "fmsd", "divorcing", "marriage_start", "first_marriage_start", "is_first_marriage")
+
+
+def described(panel: DataFrame, mental: list[int], first_marriage: str | None = None) -> DataFrame:
+    """The panel with all yearly features that its columns can give (features.YEARLY), under the names of configurations.
+
+    first_marriage: a rule of features.first_marriage_ends; where the source has its columns, the panel says so of each year.
+    """
+    so_far = Window.partitionBy("simple_id").orderBy("ja").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = panel.withColumn("mental", x.code_in(F.col("code"), mental).cast("int"))
+    out = out.withColumn("cum_mental", F.sum("mental").over(so_far))
+    out = out.withColumns(features.yearly(out.columns))
+    dates, proxy = {"divorcing", "marriage_start", "first_marriage_start"}, {"divorcing", "is_first_marriage"}
+    if first_marriage and (dates if first_marriage == "date_fields" else proxy) <= set(panel.columns):
+        col = lambda c: F.col(c) if c in panel.columns else F.lit(None)
+        ends = features.first_marriage_ends(first_marriage, col("divorcing"), col("marriage_start"), col("first_marriage_start"), col("is_first_marriage"))
+        out = out.withColumn("first_marriage_ends", ends)
+    return out
 
 
 def lag(panel: DataFrame, depth: int) -> DataFrame:
-    """lag{depth}_* of each person-year by a join on the shifted year: a gap gives null, unlike a row offset."""
-    return panel.select("simple_id", (F.col("ja") + depth).alias("t0"), F.col("ja").alias(f"lag{depth}_source_year"), *(F.col(c).alias(f"lag{depth}_{c}") for c in ("ge", "gbja", "entgelt", "rtzb", "cum_rehab", "cum_msk", "rehab")))
+    """lag{depth}_* of each person-year by a join on the shifted year: a gap gives null, unlike a row offset.  Yearly features that
+    the panel has are lagged too."""
+    lagged = [*("ge", "gbja", "entgelt", "rtzb", "cum_rehab", "cum_msk", "rehab"), *(c for c in features.YEARLY if c in panel.columns)]
+    return panel.select("simple_id", (F.col("ja") + depth).alias("t0"), F.col("ja").alias(f"lag{depth}_source_year"), *(F.col(c).alias(f"lag{depth}_{c}") for c in lagged))
+
+
+def stages(panel: DataFrame, depth: int = 1) -> list[str]:
+    """The rules of a risk set, in order: those of STAGES, of the treated one on their first marriage where the panel knows it, and one on
+    years before the first lag."""
+    marriage = ["first_marriage"] * ("first_marriage_ends" in panel.columns)
+    return [*STAGES[:2], *marriage, *STAGES[2:], *["has_all_lags"] * (depth > 1)]
 
 
 STAGES = ("in_window", "exposure_rule", "alive", "no_msk_now", "has_lag", "valid_age", "no_prior_msk")
@@ -155,9 +191,14 @@ def staged(panel: DataFrame, first: int = FIRST, last: int = LAST, depth: int =
         # rows of the years before t0, on the person's partitioning; the panel has one row a person-year
         back = Window.partitionBy("simple_id").orderBy("ja").rangeBetween(-depth, -2)
         joined = joined.join(panel.select("simple_id", F.col("ja").alias("t0"), F.count("*").over(back).alias("_back")), ["simple_id", "t0"], "left")
+        known = [c for c in features.YEARLY if c in panel.columns]
+        for k in range(2, depth + 1) if known else ():
+            joined = joined.join(lag(panel, k).select("simple_id", "t0", *(f"lag{k}_{c}" for c in known)), ["simple_id", "t0"], "left")
     age = F.col("lag1_source_year") - F.col("lag1_gbja")
     out = joined.withColumns({"treated": F.coalesce((F.col("first_exposure_year") == F.col("t0")).cast("int"), F.lit(0)), "lag1_age": age})
     rules = [F.lit(True), F.col("first_exposure_year").isNull() | (F.col("first_exposure_year") >= F.col("t0")), F.col("death_year").isNull() | (F.col("death_year") > F.col("t0")), F.col("msk") == 0, F.col("lag1_source_year").isNotNull(), age.between(0, 125), F.col("lag1_cum_msk") == 0]
+    if "first_marriage_ends" in panel.columns:
+        rules.insert(2, (F.col("treated") == 0) | F.col("first_marriage_ends"))
     if depth > 1:
         rules.append(F.col("_back") == depth - 1)
     passed, ok = F.lit(0), F.lit(True)
@@ -169,15 +210,16 @@ def staged(panel: DataFrame, first: int = FIRST, last: int = LAST, depth: int =
 
 def risk_set(panel: DataFrame, first: int = FIRST, last: int = LAST, depth: int = 1) -> DataFrame:
     """Treated and control candidates that pass all rules; controls only of years with treated ones."""
-    all_ = staged(panel, first, last, depth).filter(F.col("passed") == len(STAGES) + (depth > 1)).withColumn("lag1_ever_rehab", (F.col("lag1_cum_rehab") > 0).cast("int"))
+    all_ = staged(panel, first, last, depth).filter(F.col("passed") == len(stages(panel, depth))).withColumn("lag1_ever_rehab", (F.col("lag1_cum_rehab") > 0).cast("int"))
     years = all_.filter("treated = 1").select("t0").distinct()
     return all_.join(F.broadcast(years), "t0", "left_semi")  # at most one row a calendar year
 
 
 def attrition(panel: DataFrame) -> DataFrame:
     """Rows and persons left after each rule, by arm, in one pass."""
-    person = staged(panel).groupBy("treated", "simple_id").agg(F.max("passed").alias("most"), *(F.count_if(F.col("passed") > k).alias(f"n{k}") for k in range(len(STAGES))))
-    per = person.groupBy("treated").agg(*(F.sum(f"n{k}").alias(f"r{k}") for k in range(len(STAGES))), *(F.count_if(F.col("most") > k).alias(f"p{k}") for k in range(len(STAGES))))
-    long = per.select("treated", F.explode(F.array(*(F.struct(F.lit(k).alias("ord"), F.lit(s).alias("stage"), F.col(f"r{k}").alias("n_rows"), F.col(f"p{k}").alias("n_persons")) for k, s in enumerate(STAGES)))).alias("s")).select("treated", "s.*")
+    names = stages(panel)
+    person = staged(panel).groupBy("treated", "simple_id").agg(F.max("passed").alias("most"), *(F.count_if(F.col("passed") > k).alias(f"n{k}") for k in range(len(names))))
+    per = person.groupBy("treated").agg(*(F.sum(f"n{k}").alias(f"r{k}") for k in range(len(names))), *(F.count_if(F.col("most") > k).alias(f"p{k}") for k in range(len(names))))
+    long = per.select("treated", F.explode(F.array(*(F.struct(F.lit(k).alias("ord"), F.lit(s).alias("stage"), F.col(f"r{k}").alias("n_rows"), F.col(f"p{k}").alias("n_persons")) for k, s in enumerate(names)))).alias("s")).select("treated", "s.*")
     w = Window.partitionBy("treated").orderBy("ord")
     return long.withColumn("removed", F.coalesce(F.lag("n_rows").over(w) - F.col("n_rows"), F.lit(0))).select("treated", "stage", "n_rows", "n_persons", "removed")

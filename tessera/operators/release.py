@@ -26,14 +26,14 @@ def distances(pairs: DataFrame, scored: DataFrame) -> DataFrame:
     return pairs.join(side(1, "t_id"), ["t_id", "t0"]).join(side(0, "c_id"), ["c_id", "t0"]).withColumn("distance", F.abs(F.col("s_t_id") - F.col("s_c_id"))).drop("s_t_id", "s_c_id")
 
 
-def _strata(scored: DataFrame) -> DataFrame:
-    return scored.groupBy(*STRATA).agg(F.sum("treated").alias("t"), F.sum(1 - F.col("treated")).alias("c"))
+def _strata(scored: DataFrame, strata: list[str] = STRATA) -> DataFrame:
+    return scored.groupBy(*strata).agg(F.sum("treated").alias("t"), F.sum(1 - F.col("treated")).alias("c"))
 
 
-def matching_overall(scored: DataFrame, pairs: DataFrame, caliper: int) -> DataFrame:
+def matching_overall(scored: DataFrame, pairs: DataFrame, caliper: int, strata: list[str] = STRATA) -> DataFrame:
     """metric, value of the whole matching.  pairs: t_id, c_id, t0, distance (millionths); shares of distances are the
     nearest values, the median lies between."""
-    sizes = _strata(scored).agg(F.sum("t").alias("eligible_treated"), F.coalesce(F.sum(F.when(F.col("c") == 0, F.col("t"))), F.lit(0)).alias("treated_without_exact_control"))
+    sizes = _strata(scored, strata).agg(F.sum("t").alias("eligible_treated"), F.coalesce(F.sum(F.when(F.col("c") == 0, F.col("t"))), F.lit(0)).alias("treated_without_exact_control"))
     used = pairs.agg(F.count("*").alias("matched_pairs"), F.countDistinct("t_id").alias("unique_matched_treated"), F.countDistinct("c_id").alias("unique_matched_controls"), F.avg("distance").alias("mean_distance"), F.percentile("distance", 0.5).alias("median_distance"), F.max("distance").alias("max_distance"))
     ranks = x.nearest_quantiles(pairs, [], "distance", {"p90_distance": 0.9, "p95_distance": 0.95})
     # one row each
@@ -56,8 +56,8 @@ def release_overall(metrics: DataFrame, least: int = LEAST) -> DataFrame:
     return metrics.withColumn("note", note).withColumn("value", F.when(F.col("note").isNull(), F.col("value")))
 
 
-def matching_by_year(scored: DataFrame, pairs: DataFrame) -> DataFrame:
-    per = _strata(scored).groupBy("t0").agg(F.sum("t").alias("n_treated"), F.sum("c").alias("n_controls"), F.coalesce(F.sum(F.when(F.col("c") == 0, F.col("t"))), F.lit(0)).alias("n_without_exact"))
+def matching_by_year(scored: DataFrame, pairs: DataFrame, strata: list[str] = STRATA) -> DataFrame:
+    per = _strata(scored, strata).groupBy("t0").agg(F.sum("t").alias("n_treated"), F.sum("c").alias("n_controls"), F.coalesce(F.sum(F.when(F.col("c") == 0, F.col("t"))), F.lit(0)).alias("n_without_exact"))
     got = pairs.groupBy("t0").agg(F.count("*").alias("n_matched"))
     out = per.join(got, "t0", "left").withColumn("n_matched", F.coalesce("n_matched", F.lit(0)))
     return out.withColumns({"n_unmatched_after": F.col("n_treated") - F.col("n_matched") - F.col("n_without_exact"), "match_rate": F.expr("try_divide(n_matched, n_treated)")})

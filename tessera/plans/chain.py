@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import checks, followup, models, pairs, panel
+from tessera.config import CohortConfig
+from tessera.operators import checks, covariates, followup, models, pairs, panel
 from tessera.sources.files import Checkpoint
 
 
@@ -20,32 +21,60 @@ class Study:
     pairs: DataFrame
     follow: DataFrame
     mortality: DataFrame
+    strata: list[str]
+    plan: dict[str, list[str]] | None
 
 
-EMPTY_SCORES = "simple_id long, t0 int, treated int, lag1_ge int, lag1_ever_rehab int, pscore double, score_ppm long"
 EMPTY_PAIRS = "t_id long, c_id long, t0 int, distance long"
 
 
-def study(spark: SparkSession, built: DataFrame, save: Callable[[DataFrame], DataFrame], first: int = panel.FIRST, last: int = panel.LAST, depth: int = 1, caliper: int = pairs.CALIPER, horizon: int = followup.HORIZON, cap: int = models.FIT_CAP, stage: Callable | None = None, least: int = models.LEAST_LEVEL, mortality_horizon: int = 5, registry_end: int = followup.REGISTRY_END, years: Checkpoint | None = None) -> Study:
+def study(
+    spark: SparkSession,
+    built: DataFrame,
+    save: Callable[[DataFrame], DataFrame],
+    first: int = panel.FIRST,
+    last: int = panel.LAST,
+    depth: int = 1,
+    caliper: int = pairs.CALIPER,
+    horizon: int = followup.HORIZON,
+    cap: int = models.FIT_CAP,
+    stage: Callable | None = None,
+    least: int = models.LEAST_LEVEL,
+    mortality_horizon: int = 5,
+    registry_end: int = followup.REGISTRY_END,
+    years: Checkpoint | None = None,
+    config: CohortConfig | None = None,
+) -> Study:
     """All stages on a built panel.  stage(name, tier, build) keeps a stage's table (Run.stage); without it save does.
     years keeps the matching's finished years.
 
-    Scores are the fitted ones in millionths.  A panel without both arms in any year gives empty pairs and grids.
+    config: its covariates (covariates.resolve, of a panel with yearly features) fit the scores and its exact columns are the
+    strata; without it the panel's basic columns are.  Scores are the fitted ones in millionths.  A panel without both arms in any
+    year gives empty pairs and grids.
     """
     keep = stage or (lambda name, tier, build: save(build()))
     risk = keep("risk", 1, lambda: panel.risk_set(built, first, last, depth))
-    fitted = lambda: models.propensity(risk, cap, least=least)
+    plan = covariates.resolve(config, risk.columns) if config else None
+    strata = ["t0", *plan["exact"]] if plan else pairs.STRATA
 
     def scores():
-        found = fitted()
-        return spark.createDataFrame([], EMPTY_SCORES) if found is None else found.withColumn("score_ppm", F.round(F.col("pscore") * 1e6).cast("long"))
+        own = {"numbers": plan["numeric"], "binary": plan["binary"], "categories": plan["categorical"], "keep": plan["exact"]} if plan else {}
+        found = models.propensity(risk, cap, least=least, **{k: tuple(v) for k, v in own.items()})
+        if found is None:
+            none = risk.select("simple_id", "t0", "treated", *strata[1:]).filter("false")
+            return none.withColumns({"pscore": F.lit(0.0), "score_ppm": F.lit(0).cast("long")})
+        return found.withColumn("score_ppm", F.round(F.col("pscore") * 1e6).cast("long"))
+
+    def matched_pairs():
+        found = pairs.match_without_reuse(scored, save, caliper, years, strata)
+        return _numbered(spark.createDataFrame([], EMPTY_PAIRS) if found is None else found)
 
     scored = keep("scores", 2, scores)
-    matched = keep("pairs", 2, lambda: _numbered(pairs.match_without_reuse(scored, save, caliper, years) or spark.createDataFrame([], EMPTY_PAIRS)))
+    matched = keep("pairs", 2, matched_pairs)
     members = pairs.assignment(matched)
     follow = keep("follow", 3, lambda: followup.grid(members, built, horizon))
     mortality = keep("mortality", 3, lambda: followup.mortality_grid(members, built, mortality_horizon, registry_end))
-    return Study(built, risk, scored, matched, follow, mortality)
+    return Study(built, risk, scored, matched, follow, mortality, strata, plan)
 
 
 def _numbered(matched: DataFrame) -> DataFrame:
@@ -60,6 +89,6 @@ def checks_of(s: Study, first: int, last: int, caliper: int = pairs.CALIPER, hor
     for one in (sizes, scored):
         rows = one.select([F.col(c).cast("long").alias(c) for c in one.columns]).unpivot([], one.columns, "rule", "violations")
         out = rows if out is None else out.unionByName(rows)
-    out = out.unionByName(checks.matching(s.pairs, s.scored, pairs.STRATA, caliper))
+    out = out.unionByName(checks.matching(s.pairs, s.scored, s.strata, caliper))
     found = checks.followup(s.follow, s.pairs, horizon, first, last, last + horizon)
     return out.unionByName(found).select(F.col("rule").alias("check"), F.col("violations").alias("value"))

@@ -32,7 +32,8 @@ def raw_rows(run: Run) -> DataFrame:
     optional = set() if run.config.source_has_entgelt else {"entgelt"}
     if absent := set(needed) - optional - set(align.schema_union(run.spark, shards)):
         raise ValueError(f"columns are absent: {', '.join(sorted(absent))}")
-    return align.scan_aligned(run.spark, shards, needed).withColumn("ord", F.struct("src_file", "src_row")).drop("src_file", "src_row")
+    more = [c for c in panel.OPTIONAL if c in align.schema_union(run.spark, shards)]
+    return align.scan_aligned(run.spark, shards, needed + more).withColumn("ord", F.struct("src_file", "src_row")).drop("src_file", "src_row")
 
 
 def open_run(spark: SparkSession, config: CohortConfig, protect_matching: bool = False) -> Run:
@@ -40,7 +41,9 @@ def open_run(spark: SparkSession, config: CohortConfig, protect_matching: bool =
 
 
 def panel_of(run: Run) -> DataFrame:
-    return run.stage("panel", 0, lambda: panel.build(raw_rows(run), list(run.config.msk_codes)))
+    c = run.config
+    built = lambda: panel.build(raw_rows(run), list(c.msk_codes))
+    return run.stage("panel", 0, lambda: panel.described(built(), list(c.mental_codes), c.first_marriage_source))
 
 
 def study_of(run: Run, built: DataFrame) -> chain.Study:
@@ -49,13 +52,13 @@ def study_of(run: Run, built: DataFrame) -> chain.Study:
     # by inputs and by what scores and pairs depend on: other ones have years of their own
     parts = {k: v for k, v in c.as_dict().items() if TIERS.get(k, 3) <= 2} | {"inputs": run.stamps}
     years = files.Checkpoint(run.spark, f"{run.root}/matched_years", files.fingerprint(parts))
-    return chain.study(run.spark, built, models.save, c.year_start, c.year_cap, c.lag_depth, round(c.caliper * 1e6), c.followup_years, c.propensity_fit_cap, run.stage, c.min_category, c.mortality_horizon, c.death_registry_end_year, years)
+    return chain.study(run.spark, built, models.save, c.year_start, c.year_cap, c.lag_depth, round(c.caliper * 1e6), c.followup_years, c.propensity_fit_cap, run.stage, c.min_category, c.mortality_horizon, c.death_registry_end_year, years, c)
 
 
 def matching_tables(s: chain.Study, c: CohortConfig) -> dict[str, Build]:
     caliper, least = round(c.caliper * 1e6), c.minimum_cell_people
-    overall = lambda: release.matching_overall(s.scored, s.pairs, caliper)
-    years = lambda: release.matching_by_year(s.scored, s.pairs)
+    overall = lambda: release.matching_overall(s.scored, s.pairs, caliper, s.strata)
+    years = lambda: release.matching_by_year(s.scored, s.pairs, s.strata)
     return {
         "internal/checks": lambda: chain.checks_of(s, c.year_start, c.year_cap, caliper, c.followup_years),
         "internal/matching_overall": overall,
@@ -77,7 +80,9 @@ def outcome_tables(s: chain.Study, c: CohortConfig) -> dict[str, Build]:
 
 
 def mediation_tables(s: chain.Study, c: CohortConfig, checkpoint: str) -> dict[str, Build]:
+    roles = {"numeric": s.plan["numeric"], "binary": s.plan["binary"], "categorical": [*s.plan["categorical"], *s.plan["exact"]]}
     plan = longitudinal.Plan(
+        **{r: tuple(names) for r, names in roles.items()},
         horizon=c.gcomp_horizon, simulations=c.gcomp_simulations, floor=c.ipcw_floor, cap=c.ipcw_cap, least_level=c.min_category
     )
     members = pairs.assignment(s.pairs)

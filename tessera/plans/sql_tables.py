@@ -233,3 +233,16 @@ SELECT match_group, treated AS arm, follow_year, 1.0 AS intercept, CAST(treated
   {_SCALED.format(c="a", n="lag1_age")}, {_SCALED.format(c="e", n="lag1_entgelt")}, {_SCALED.format(c="p", n="lag1_rtzb")}, CAST(lag1_ever_rehab AS DOUBLE) AS lag1_ever_rehab,
   (lag1_entgelt IS NULL)::DOUBLE AS lag1_entgelt_missing, (lag1_rtzb IS NULL)::DOUBLE AS lag1_rtzb_missing, (event_type = 1)::DOUBLE AS event_type_1, (event_type = 2)::DOUBLE AS event_type_2
 FROM x, s"""
+_MENTAL = "coalesce((code = {c})::INT, 0)"
+SELECTS["panel_features"] = f""", m AS (SELECT *, {_MENTAL.format(c=30)} AS mental, CAST(sum({_MENTAL.format(c=30)}) OVER (PARTITION BY simple_id ORDER BY ja) AS BIGINT) AS cum_mental,
+  CASE WHEN (death_year IS NULL OR ja <= death_year) AND ja - gbja BETWEEN 0 AND 125 THEN ja - gbja END AS age FROM bind_panel)
+SELECT simple_id, ja, CAST(ge AS VARCHAR) AS ge_cat, age, CASE WHEN age < 20 THEN '<20' WHEN age >= 90 THEN '90+' ELSE CAST(age // 5 * 5 AS VARCHAR) || '-' || CAST(age // 5 * 5 + 4 AS VARCHAR) END AS age_band,
+  rehab AS rehab_starts_this_year, cum_rehab AS cum_rehabs_by_year, (cum_rehab > 0)::INT AS ever_rehab_to_date, years_since_rehab AS years_since_last_rehab, msk AS msk_starts_this_year,
+  (cum_msk > 0)::INT AS ever_msk_rehab_to_date, (rehab = 1 AND msk = 0)::INT AS non_msk_rehab_this_year, mental AS mental_health_rehab_this_year, cum_mental AS cum_mental_health_rehabs_by_year,
+  (cum_mental > 0)::INT AS ever_mental_health_rehab_to_date, round(coalesce(entgelt, 0.0), 4) AS entgelt_value, (entgelt IS NULL)::INT AS entgelt_missing, round(coalesce(rtzb, 0.0), 4) AS rtzb_value,
+  (rtzb IS NULL)::INT AS rtzb_missing, {_STATUS.format(b="m")} AS income_source_status FROM m"""
+SELECTS["relabelled_features"] = f""", m AS (SELECT simple_id, ja, code, coalesce((code IN (20, 30))::INT, 0) AS msk, {_MENTAL.format(c=10)} AS mental, (code IS NOT NULL)::INT AS rehab FROM bind_panel),
+c AS (SELECT *, sum(msk) OVER w AS cum_msk, sum(mental) OVER w AS cum_mental, sum(rehab) OVER w AS cum_rehab FROM m WINDOW w AS (PARTITION BY simple_id ORDER BY ja))
+SELECT ja, CAST(sum(msk) AS BIGINT) AS msk_starts_this_year, CAST(sum((cum_msk > 0)::INT) AS BIGINT) AS ever_msk_rehab_to_date, CAST(sum((rehab = 1 AND msk = 0)::INT) AS BIGINT) AS non_msk_rehab_this_year,
+  CAST(sum(mental) AS BIGINT) AS mental_health_rehab_this_year, CAST(sum(cum_mental) AS BIGINT) AS cum_mental_health_rehabs_by_year,
+  CAST(sum((cum_mental > 0)::INT) AS BIGINT) AS ever_mental_health_rehab_to_date, CAST(sum(cum_rehab) AS BIGINT) AS cum_rehabs_by_year FROM c GROUP BY 1"""

@@ -447,3 +447,20 @@ def design_matrix(s, d):
     rows = models.save(_follow(s, d).join(base, ["simple_id", "t0", "treated"]))
     made = design.columns(rows, numeric=["lag1_age"], amounts=["lag1_entgelt", "lag1_rtzb"], binary=["lag1_ever_rehab"], categorical=["event_type"])
     return rows.select("match_group", F.col("treated").alias("arm"), "follow_year", *(_r(c, 5).alias(n) for n, c in made.items()))
+
+
+@query
+def panel_features(s, d):
+    """Every yearly feature that the panel's columns can give, under its configured name."""
+    rows = panel.described(_panel(s, d), [30])
+    named = [c for c in features.YEARLY if c in rows.columns]
+    return rows.select("simple_id", "ja", *(_r(c, 4).alias(c) if c.endswith("_value") else F.col(c) for c in named))
+
+
+@query
+def relabelled_features(s, d):
+    """The features under other code sets, by year."""
+    rows = panel.relabel(panel.described(_panel(s, d), [30]), [20, 30], [10])
+    summed = ("msk_starts_this_year", "ever_msk_rehab_to_date", "non_msk_rehab_this_year", "mental_health_rehab_this_year")
+    summed += ("cum_mental_health_rehabs_by_year", "ever_mental_health_rehab_to_date", "cum_rehabs_by_year")
+    return rows.groupBy("ja").agg(*(F.sum(c).alias(c) for c in summed))

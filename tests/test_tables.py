@@ -147,8 +147,8 @@ def test_files(spark, tmp_path):
 
 
 def test_columns_of_sources(spark):
-    df = align.optional_nulls(spark.createDataFrame([(1,)], "a int"), ["a", "entgelt", "ge", "day", "text", "u"], ("day",), {"u": spark.createDataFrame([], "u long").schema["u"].dataType})
-    assert dict(df.dtypes) == {"a": "int", "entgelt": "double", "ge": "int", "day": "date", "text": "string", "u": "bigint"}
+    df = align.optional_nulls(spark.createDataFrame([(1,)], "a int"), ["a", "entgelt", "ge", "day", "text", "u", "m1_iufzt"], ("day",), {"m1_iufzt": spark.createDataFrame([], "u long").schema["u"].dataType, "u": spark.createDataFrame([], "u long").schema["u"].dataType})
+    assert dict(df.dtypes) == {"a": "int", "entgelt": "double", "ge": "int", "day": "date", "text": "string", "u": "bigint", "m1_iufzt": "string"}
     assert align.present(df, ["ge", "no", "a", "ge"]).columns == ["ge", "a"] and align.first_present(["x"], ["y"]) is None
 
 
@@ -163,3 +163,32 @@ def test_weighted_incidence_of_equal_weights(spark):
     f = spark.createDataFrame(rows, FOLLOW).withColumn("w", F.lit(2))
     a, c = ([(r.treated, r.follow_year, round(r.cif, 12)) for r in followup.incidence(f, w).orderBy("treated", "follow_year").collect()] for w in (None, "w"))
     assert a == c
+
+
+def test_features_of_what_a_source_has(spark):
+    columns = RAW + ", byvlgs double, whot_bland int, ttsc1_kldb1988 int, fmsd int, divorcing int, is_first_marriage int"
+    rows = [(1, 1997, 1, 1950, 1, 1.0, None, 30, None, 0, None, 5, 781, 2, 0, 1), (1, 1998, 2, 1950, 1, None, 3.0, 20, None, 0, 7.0, None, None, None, 1, 1), (1, 1999, 3, 1950, 1, 1.0, None, None, None, 1, 7.0, 5, 11, 1, 1, 0)]
+    built = panel.described(panel.build(spark.createDataFrame(rows, columns)), [30], "is_first_marriage")
+    got = {r.ja: r for r in built.collect()}
+    assert [(got[y].byvlgs_value, got[y].byvlgs_missing, got[y].whot_bland_cat, got[y].occ_l1_cat, got[y].fmsd_cat) for y in (1997, 1998)] == [(0.0, 1, "5", "7", "divorced"), (7.0, 0, "__MISSING__", "__MISSING__", "missing")]
+    assert [got[y].cum_mental_health_rehabs_by_year for y in (1997, 1998, 1999)] == [1, 1, 1] and [got[y].first_marriage_ends for y in (1997, 1998, 1999)] == [False, True, False]
+    assert "bygmgs_value" not in built.columns and "first_marriage_ends" not in panel.described(panel.build(spark.createDataFrame(rows, columns)), [30], "date_fields").columns
+    again = panel.relabel(built, [30], [20])
+    assert {r.ja: (r.msk, r.mental, r.cum_mental_health_rehabs_by_year) for r in again.collect()} == {1997: (1, 0, 0), 1998: (0, 1, 1), 1999: (0, 0, 1)}
+    lagged = {r.t0: r for r in panel.lag(built, 2).collect()}
+    assert lagged[1999].lag2_occ_l1_cat == "7" and lagged[2001].lag2_fmsd_cat == "married"
+
+
+def test_first_marriage_is_a_rule_of_the_risk_set(spark):
+    """Two exposed people, of whom one ends a second marriage; a control needs no marriage."""
+    person = lambda p, first, exposed: [(p, y, 10 * p + y, 1950, 1, 1.0, None, None, None, int(exposed and y == 1998), int(y == 1998), first) for y in (1996, 1997, 1998)]
+    rows = person(1, 1, True) + person(2, 0, True) + person(3, 0, False)
+    df = spark.createDataFrame(rows, RAW + ", divorcing int, is_first_marriage int")
+    built = panel.build(df)
+    plain, ruled = built, panel.described(built, [30], "is_first_marriage")
+    found = lambda p: sorted((r.simple_id, r.treated) for r in panel.risk_set(p, 1998, 1998).collect())
+    assert found(plain) == [(1, 1), (2, 1), (3, 0)] and found(ruled) == [(1, 1), (3, 0)]
+    stages = {(r.treated, r.stage): r.n_rows for r in panel.attrition(ruled).collect()}
+    assert stages[1, "exposure_rule"] == 2 and stages[1, "first_marriage"] == 1 and stages[0, "first_marriage"] == 1 and "first_marriage" not in panel.stages(plain)
+    deep = panel.risk_set(ruled, 1998, 1998, 2)
+    assert {"lag1_ge_cat", "lag2_entgelt_value", "lag2_income_source_status"} <= set(deep.columns) and deep.filter("treated = 1").first().lag2_entgelt_value == 1.0
