@@ -169,3 +169,96 @@ def imbalanced(balance: DataFrame, allowed: list[str], threshold: float = 0.1) -
     base = F.regexp_replace("variable", "__missing$", "")
     rows = balance.filter((F.col("sample") == "post") & (F.abs("smd") > threshold)).select(base.alias("base"), "variable", F.abs("smd").alias("size")).filter(F.col("base").isin(allowed))
     return rows.groupBy("base").agg(F.max("size").alias("max_abs_smd"), F.min_by("variable", F.struct(-F.col("size"), "variable")).alias("component")).select(F.col("base").alias("variable"), "component", "max_abs_smd")
+
+
+COMPARED = ("variable", "level", "kind", "matched_value", "unmatched_value", "smd", "matched_count", "unmatched_count", "matched_rest", "unmatched_rest")
+POOLED_LEVELS = "__POOLED_LEVELS_BELOW_THRESHOLD__"
+
+
+def _proportion_smd(a: Column, b: Column) -> Column:
+    return x.smd(a, a * (1 - a), b, b * (1 - b))
+
+
+def _long(rows: DataFrame, names: list[str], kind: str) -> DataFrame:
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).cast(kind).alias("value")) for c in names)))
+    return rows.select("matched", each.alias("e")).select("matched", "e.*")
+
+
+def compare_groups(rows: DataFrame, numeric: list[str], binary: list[str], categorical: list[str]) -> DataFrame:
+    """COMPARED: matched (1) against unmatched (0) rows, for numbers their means and shares of missing ones, for flags the shares of 1, for
+    categories those of each level (null is a level), with the rows behind each value and their complement.
+
+    Each kind of variable is one unpivot and one aggregation; a variable's levels are few."""
+    arm = lambda a, c: F.count_if((F.col("matched") == a) & F.coalesce(c, F.lit(False)))
+    value, out = F.col("value"), []
+    if numeric or binary:
+        stats = [f(F.when(F.col("matched") == a, value)).alias(f"{n}{a}") for a in (1, 0) for n, f in (("mean", F.avg), ("var", F.var_pop))]
+        stats += [arm(a, c).alias(f"{n}{a}") for a in (1, 0) for n, c in (("some", value.isNotNull()), ("none", value.isNull()), ("one", value == 1), ("zero", value == 0))]
+        per = _long(rows, [*numeric, *binary], "double").groupBy("variable").agg(*stats)
+        numbers, flags = per.filter(F.col("variable").isin(numeric)), per.filter(F.col("variable").isin(binary))
+        gone = {a: F.col(f"none{a}") / F.greatest(F.col(f"none{a}") + F.col(f"some{a}"), F.lit(1)) for a in (1, 0)}
+        shown = lambda df, name, level, kind, v, smd, n, rest: df.select(name.alias("variable"), F.lit(level).cast("string").alias("level"), F.lit(kind).alias("kind"), v[1].alias("matched_value"), v[0].alias("unmatched_value"), smd.alias("smd"), *(F.col(f"{c}{a}").alias(f"{g}_{s}") for c, s in ((n, "count"), (rest, "rest")) for a, g in ((1, "matched"), (0, "unmatched"))))
+        means = {a: F.col(f"mean{a}") for a in (1, 0)}
+        whole = x.smd(F.col("mean1"), F.col("var1"), F.col("mean0"), F.col("var0"))
+        out.append(shown(numbers, F.col("variable"), None, "continuous", means, whole, "some", "none"))
+        out.append(shown(numbers, F.concat("variable", F.lit("__missing")), "missing", "binary_missingness", gone, _proportion_smd(gone[1], gone[0]), "none", "some"))
+        out.append(shown(flags, F.col("variable"), "1", "binary", means, _proportion_smd(means[1], means[0]), "one", "zero"))
+    if categorical:
+        level = F.coalesce("value", F.lit(x.MISSING))
+        counts = _long(rows, categorical, "string").groupBy("variable", level.alias("level")).agg(*(arm(a, F.lit(True)).alias(f"n{a}") for a in (1, 0)))
+        out.append(_levels(counts))
+    result = out[0]
+    for more in out[1:]:
+        result = result.unionByName(more)
+    return result.select(*COMPARED)
+
+
+def _levels(counts: DataFrame, *more: str) -> DataFrame:
+    """counts (variable, level, n1, n0) as rows of COMPARED."""
+    w = Window.partitionBy("variable")
+    rest = {a: F.sum(f"n{a}").over(w) - F.col(f"n{a}") for a in (1, 0)}
+    share = {a: F.col(f"n{a}") / F.greatest(F.sum(f"n{a}").over(w), F.lit(1)) for a in (1, 0)}
+    columns = {"matched_value": share[1], "unmatched_value": share[0], "smd": _proportion_smd(share[1], share[0]), "matched_count": F.col("n1")}
+    columns |= {"unmatched_count": F.col("n0"), "matched_rest": rest[1], "unmatched_rest": rest[0], "kind": F.lit("categorical_level")}
+    return counts.select(*counts.columns, *(c.alias(n) for n, c in columns.items())).select(*COMPARED, *more)
+
+
+def pool_jointly(counts: DataFrame, least: int) -> DataFrame:
+    """counts (variable, level, n1, n0) with one relabelling for both groups: levels that are small in either are pooled, and where that is
+    just one, the smallest other level too (by its lesser count, then its sum, then name).  pooled: levels behind a pool, else null."""
+    w = Window.partitionBy("variable")
+    few = (F.col("n1") < least) | (F.col("n0") < least)
+    order = [few.cast("int"), F.least("n1", "n0"), F.col("n1") + F.col("n0"), F.col("level")]
+    marked = counts.withColumns({"_few": few, "_n": F.sum(few.cast("int")).over(w), "_rank": F.row_number().over(w.orderBy(*order))})
+    pool = F.col("_few") | ((F.col("_n") == 1) & (F.col("_rank") == 1))
+    named = marked.withColumns({"_pool": pool, "level": F.when(pool, F.lit(POOLED_LEVELS)).otherwise(F.col("level"))})
+    sums = [F.sum(c).alias(c) for c in ("n1", "n0")]
+    return named.groupBy("variable", "level", "_pool").agg(*sums, F.when(F.col("_pool"), F.count("*")).alias("pooled")).drop("_pool")
+
+
+def release_groups(rows: DataFrame, numeric: list[str], binary: list[str], categorical: list[str], least: int = LEAST) -> DataFrame:
+    """COMPARED, pooled and note of what may be told: nothing where a group has under `least` rows; a number where both groups have
+    enough values; a share where neither it nor its complement is small in either group; levels pooled jointly."""
+    size = rows.agg(*(F.count_if(F.col("matched") == a).alias(f"_size{a}") for a in (1, 0)))
+    plain = compare_groups(rows, numeric, binary, []) if numeric or binary else None
+    counts = _long(rows, categorical, "string").groupBy("variable", F.coalesce("value", F.lit(x.MISSING)).alias("level"))
+    counts = counts.agg(*(F.count_if(F.col("matched") == a).alias(f"n{a}") for a in (1, 0)))
+    out = _levels(pool_jointly(counts, least), "pooled") if categorical else None
+    if plain is not None:
+        plain = plain.withColumn("pooled", F.lit(None).cast("long"))
+        out = plain if out is None else plain.unionByName(out)
+    cells = {g: (F.col(f"{g}_count"), F.col(f"{g}_rest")) for g in ("matched", "unmatched")}
+    enough = (F.col("matched_count") >= least) & (F.col("unmatched_count") >= least)
+    two_sided = F.lit(True)
+    for pair in cells.values():
+        for c in pair:
+            two_sided = two_sided & (c >= least)
+    of_level = F.col("kind") == "categorical_level"
+    # a group of few rows: one row, told to every line
+    sized = out.withColumn("_", F.lit(1)).join(F.broadcast(size.withColumn("_", F.lit(1))), "_").drop("_")
+    small_group = (F.col("_size1") < least) | (F.col("_size0") < least)
+    allowed = ~small_group & F.when((F.col("kind") == "continuous") | of_level, enough).otherwise(two_sided)
+    note = F.when(F.col("_size0") == 0, "no unmatched rows").when(small_group, "a group is under the limit")
+    note = note.when(~allowed, "a cell or its complement is under the limit").when(F.col("pooled").isNotNull(), F.concat(F.col("pooled").cast("string"), F.lit(" levels pooled")))
+    told = [F.when(allowed, F.col(c)).alias(c) for c in COMPARED[3:]]
+    return sized.select(*COMPARED[:3], *told, "pooled", note.alias("note"))

@@ -224,15 +224,18 @@ SELECTS["modes_and_counts"] = """, k AS (SELECT ja, code, count(*) AS n FROM bin
 r AS (SELECT *, row_number() OVER (PARTITION BY ja ORDER BY n DESC, code) AS r, count(*) OVER (PARTITION BY ja) AS codes FROM k)
 SELECT ja, code AS mode, n, codes, code AS built_in FROM r WHERE r = 1"""
 _FILL = "ln(1 + greatest(0, coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM f), 0)))"
-_SCALED = "round((x.{c} - s.m_{c}) / CASE WHEN s.s_{c} > 1e-12 THEN s.s_{c} ELSE 1 END, 5) AS {n}"
+_SCALED = "round((x.{c} - s.m_{c}) / CASE WHEN s.s_{c} > 1e-12 THEN s.s_{c} ELSE 1 END, 5)"
+_COLUMNS = {
+    "intercept": "1.0", "treated": "treated", "year_2": "(follow_year = 2)::INT", "year_3": "(follow_year = 3)::INT", "lag1_age": _SCALED.format(c="a"), "lag1_entgelt": _SCALED.format(c="e"),
+    "lag1_rtzb": _SCALED.format(c="p"), "lag1_ever_rehab": "lag1_ever_rehab", "lag1_entgelt_missing": "(lag1_entgelt IS NULL)::INT", "lag1_rtzb_missing": "(lag1_rtzb IS NULL)::INT",
+    "event_type_1": "(event_type = 1)::INT", "event_type_2": "(event_type = 2)::INT",
+}
 SELECTS["design_matrix"] = f""", f AS (
   SELECT w.match_group, w.treated, w.follow_year, w.event_type, r.lag1_age, r.lag1_entgelt, r.lag1_rtzb, r.lag1_ever_rehab FROM follow w JOIN risk r ON r.simple_id = w.simple_id AND r.t0 = w.t0 AND r.treated = w.treated),
 x AS (SELECT *, CAST(coalesce(lag1_age, (SELECT quantile_cont(lag1_age, 0.5) FROM f), 0) AS DOUBLE) AS a, {_FILL.format(c="lag1_entgelt")} AS e, {_FILL.format(c="lag1_rtzb")} AS p FROM f),
-s AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in "aep")} FROM x)
-SELECT match_group, treated AS arm, follow_year, 1.0 AS intercept, CAST(treated AS DOUBLE) AS treated, (follow_year = 2)::DOUBLE AS year_2, (follow_year = 3)::DOUBLE AS year_3,
-  {_SCALED.format(c="a", n="lag1_age")}, {_SCALED.format(c="e", n="lag1_entgelt")}, {_SCALED.format(c="p", n="lag1_rtzb")}, CAST(lag1_ever_rehab AS DOUBLE) AS lag1_ever_rehab,
-  (lag1_entgelt IS NULL)::DOUBLE AS lag1_entgelt_missing, (lag1_rtzb IS NULL)::DOUBLE AS lag1_rtzb_missing, (event_type = 1)::DOUBLE AS event_type_1, (event_type = 2)::DOUBLE AS event_type_2
-FROM x, s"""
+s AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in "aep")} FROM x),
+each AS (SELECT match_group, treated, follow_year, unnest([{", ".join(f"'{c}'" for c in _COLUMNS)}]) AS "column", unnest([{", ".join(f"CAST({v} AS DOUBLE)" for v in _COLUMNS.values())}]) AS value FROM x, s)
+SELECT * FROM each WHERE value <> 0"""
 _MENTAL = "coalesce((code = {c})::INT, 0)"
 SELECTS["panel_features"] = f""", m AS (SELECT *, {_MENTAL.format(c=30)} AS mental, CAST(sum({_MENTAL.format(c=30)}) OVER (PARTITION BY simple_id ORDER BY ja) AS BIGINT) AS cum_mental,
   CASE WHEN (death_year IS NULL OR ja <= death_year) AND ja - gbja BETWEEN 0 AND 125 THEN ja - gbja END AS age FROM bind_panel)
@@ -246,3 +249,43 @@ c AS (SELECT *, sum(msk) OVER w AS cum_msk, sum(mental) OVER w AS cum_mental, su
 SELECT ja, CAST(sum(msk) AS BIGINT) AS msk_starts_this_year, CAST(sum((cum_msk > 0)::INT) AS BIGINT) AS ever_msk_rehab_to_date, CAST(sum((rehab = 1 AND msk = 0)::INT) AS BIGINT) AS non_msk_rehab_this_year,
   CAST(sum(mental) AS BIGINT) AS mental_health_rehab_this_year, CAST(sum(cum_mental) AS BIGINT) AS cum_mental_health_rehabs_by_year,
   CAST(sum((cum_mental > 0)::INT) AS BIGINT) AS ever_mental_health_rehab_to_date, CAST(sum(cum_rehab) AS BIGINT) AS cum_rehabs_by_year FROM c GROUP BY 1"""
+
+_PROPORTION = "CASE WHEN sqrt(({a} * (1 - {a}) + {b} * (1 - {b})) / 2) > 0 THEN ({a} - {b}) / sqrt(({a} * (1 - {a}) + {b} * (1 - {b})) / 2) WHEN {a} = {b} THEN 0.0 END"
+_ARMS = lambda c: ", ".join(f"count(*) FILTER (matched = {a} AND {c}) AS {n}" for a, n in ((1, "cm"), (0, "cu")))
+COMPARED = f""", g AS (
+  SELECT (p.c_id IS NOT NULL)::INT AS matched, lag1_age, lag1_rtzb, lag1_ever_rehab, {INCOME} AS income, CASE WHEN lag1_age < 20 THEN '<20' WHEN lag1_age >= 90 THEN '90+'
+    ELSE CAST(lag1_age // 5 * 5 AS VARCHAR) || '-' || CAST(lag1_age // 5 * 5 + 4 AS VARCHAR) END AS band, r.t0
+  FROM risk r LEFT JOIN (SELECT DISTINCT c_id, t0 FROM pairs) p ON p.c_id = r.simple_id AND p.t0 = r.t0 WHERE r.treated = 0),
+size AS (SELECT count(*) FILTER (matched = 1) AS nm, count(*) FILTER (matched = 0) AS nu FROM g),
+num AS (""" + " UNION ALL ".join(
+    f"SELECT '{v}' AS variable, {_ARMS(f'{v} IS NOT NULL')}, count(*) FILTER (matched = 1 AND {v} IS NULL) AS rm, count(*) FILTER (matched = 0 AND {v} IS NULL) AS ru, avg({v}) FILTER (matched = 1) AS vm, avg({v}) FILTER (matched = 0) AS vu,"
+    f" var_pop({v}) FILTER (matched = 1) AS sm, var_pop({v}) FILTER (matched = 0) AS su FROM g" for v in ("lag1_age", "lag1_rtzb")
+) + f"""),
+flat AS (
+  SELECT variable, CAST(NULL AS VARCHAR) AS level, 'continuous' AS kind, vm, vu, {SMD.format(mt="vm", vt="sm", mc="vu", vc="su")} AS smd, cm, cu, rm, ru FROM num
+  UNION ALL SELECT variable || '__missing', 'missing', 'binary_missingness', a, b, {_PROPORTION.format(a="a", b="b")}, rm, ru, cm, cu
+    FROM (SELECT *, rm / greatest(rm + cm, 1) AS a, ru / greatest(ru + cu, 1) AS b FROM num)
+  UNION ALL SELECT 'lag1_ever_rehab', '1', 'binary', a, b, {_PROPORTION.format(a="a", b="b")}, cm, cu, rm, ru
+    FROM (SELECT {_ARMS("lag1_ever_rehab = 1")}, count(*) FILTER (matched = 1 AND lag1_ever_rehab = 0) AS rm, count(*) FILTER (matched = 0 AND lag1_ever_rehab = 0) AS ru,
+      avg(lag1_ever_rehab) FILTER (matched = 1) AS a, avg(lag1_ever_rehab) FILTER (matched = 0) AS b FROM g)),
+lev AS (
+  SELECT variable, level, count(*) FILTER (matched = 1) AS cm, count(*) FILTER (matched = 0) AS cu FROM (
+    SELECT matched, 'income' AS variable, income AS level FROM g UNION ALL SELECT matched, 'band', coalesce(band, '__MISSING__') FROM g UNION ALL SELECT matched, 't0', CAST(t0 AS VARCHAR) FROM g) GROUP BY ALL),
+"""
+_SHARES = f"SELECT variable, level, 'categorical_level' AS kind, a AS vm, b AS vu, {_PROPORTION.format(a='a', b='b')} AS smd, cm, cu, nm - cm AS rm, nu - cu AS ru{{more}} FROM (SELECT *, cm / greatest(nm, 1) AS a, cu / greatest(nu, 1) AS b FROM {{of}}, size)"
+_NAMED = "round(vm, 5) AS matched_value, round(vu, 5) AS unmatched_value, round(smd, 5) AS smd, cm AS matched_count, cu AS unmatched_count, rm AS matched_rest, ru AS unmatched_rest"
+SELECTS["matchability"] = COMPARED + "shares AS (" + _SHARES.format(more="", of="lev") + f") SELECT variable, level, kind, {_NAMED} FROM (SELECT * FROM flat UNION ALL SELECT * FROM shares)"
+_KEEP = lambda c, n: f"CASE WHEN ok THEN {c} END AS {n}"
+SELECTS["matchability_released"] = COMPARED + f"""small AS (SELECT *, cm < 5 OR cu < 5 AS few FROM lev),
+placed AS (SELECT *, count(*) FILTER (few) OVER (PARTITION BY variable) AS n_few, row_number() OVER (PARTITION BY variable ORDER BY few, least(cm, cu), cm + cu, level) AS r FROM small),
+joint AS (
+  SELECT variable, CASE WHEN pool THEN '__POOLED_LEVELS_BELOW_THRESHOLD__' ELSE level END AS level, CAST(sum(cm) AS BIGINT) AS cm, CAST(sum(cu) AS BIGINT) AS cu, CASE WHEN pool THEN count(*) END AS pooled
+  FROM (SELECT *, few OR (n_few = 1 AND r = 1) AS pool FROM placed) GROUP BY 1, 2, pool),
+shares AS ({_SHARES.format(more=", pooled", of="joint")}),
+judged AS (
+  SELECT a.*, nm < 5 OR nu < 5 AS tiny, nu, CASE WHEN kind IN ('continuous', 'categorical_level') THEN cm >= 5 AND cu >= 5 ELSE least(cm, cu, rm, ru) >= 5 END AS fine
+  FROM (SELECT *, CAST(NULL AS BIGINT) AS pooled FROM flat UNION ALL SELECT * FROM shares) a, size),
+told AS (SELECT *, fine AND NOT tiny AS ok FROM judged)
+SELECT variable, level, kind, {_KEEP("round(vm, 5)", "matched_value")}, {_KEEP("round(vu, 5)", "unmatched_value")}, {_KEEP("round(smd, 5)", "smd")}, {_KEEP("cm", "matched_count")}, {_KEEP("cu", "unmatched_count")},
+  {_KEEP("rm", "matched_rest")}, {_KEEP("ru", "unmatched_rest")}, pooled, CASE WHEN nu = 0 THEN 'no unmatched rows' WHEN tiny THEN 'a group is under the limit' WHEN NOT ok THEN 'a cell or its complement is under the limit'
+    WHEN pooled IS NOT NULL THEN pooled || ' levels pooled' END AS note FROM told"""

@@ -442,11 +442,12 @@ def modes_and_counts(s, d):
 
 @query
 def design_matrix(s, d):
-    """The adjusted model's columns for every row of the follow-up."""
+    """The adjusted model's design of every row of the follow-up: its columns that aren't 0."""
     base = _risk(s, d).select("simple_id", "t0", "treated", "lag1_age", "lag1_entgelt", "lag1_rtzb", "lag1_ever_rehab", "lag1_ge")
     rows = models.save(_follow(s, d).join(base, ["simple_id", "t0", "treated"]))
     made = design.columns(rows, numeric=["lag1_age"], amounts=["lag1_entgelt", "lag1_rtzb"], binary=["lag1_ever_rehab"], categorical=["event_type"])
-    return rows.select("match_group", F.col("treated").alias("arm"), "follow_year", *(_r(c, 5).alias(n) for n, c in made.items()))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("column"), _r(c, 5).alias("value")) for n, c in made.items()))).alias("e")
+    return rows.select("match_group", "treated", "follow_year", each).select("match_group", "treated", "follow_year", "e.*").filter("value != 0")
 
 
 @query
@@ -464,3 +465,26 @@ def relabelled_features(s, d):
     summed = ("msk_starts_this_year", "ever_msk_rehab_to_date", "non_msk_rehab_this_year", "mental_health_rehab_this_year")
     summed += ("cum_mental_health_rehabs_by_year", "ever_mental_health_rehab_to_date", "cum_rehabs_by_year")
     return rows.groupBy("ja").agg(*(F.sum(c).alias(c) for c in summed))
+
+
+def _compared(s, d):
+    """Controls of the risk set, and whether they are matched."""
+    got = _pairs(s, d).select(F.col("c_id").alias("simple_id"), "t0", F.lit(1).alias("m")).distinct()
+    rows = _risk(s, d).filter("treated = 0").join(got, ["simple_id", "t0"], "left")
+    income = x.income_status(F.col("lag1_entgelt"), F.col("lag1_rtzb")).alias("income")
+    return rows.select(F.coalesce("m", F.lit(0)).alias("matched"), "lag1_age", "lag1_rtzb", "lag1_ever_rehab", income, x.age_band(F.col("lag1_age")).alias("band"), "t0")
+
+
+GROUPS = (["lag1_age", "lag1_rtzb"], ["lag1_ever_rehab"], ["income", "band", "t0"])
+
+
+@query
+def matchability(s, d):
+    rows = release.compare_groups(_compared(s, d), *GROUPS)
+    return rows.withColumns({c: _r(c, 5) for c in ("matched_value", "unmatched_value", "smd")})
+
+
+@query
+def matchability_released(s, d):
+    rows = release.release_groups(_compared(s, d), *GROUPS, 5)
+    return rows.withColumns({c: _r(c, 5) for c in ("matched_value", "unmatched_value", "smd")})

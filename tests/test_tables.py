@@ -192,3 +192,21 @@ def test_first_marriage_is_a_rule_of_the_risk_set(spark):
     assert stages[1, "exposure_rule"] == 2 and stages[1, "first_marriage"] == 1 and stages[0, "first_marriage"] == 1 and "first_marriage" not in panel.stages(plain)
     deep = panel.risk_set(ruled, 1998, 1998, 2)
     assert {"lag1_ge_cat", "lag2_entgelt_value", "lag2_income_source_status"} <= set(deep.columns) and deep.filter("treated = 1").first().lag2_entgelt_value == 1.0
+
+
+def test_levels_are_pooled_in_both_groups_at_once(spark):
+    spec = {"a": (30, 40), "b": (20, 2), "c": (9, 30), "d": (1, 9)}
+    counts = lambda spec: spark.createDataFrame([("v", k, *n) for k, n in spec.items()], "variable string, level string, n1 long, n0 long")
+    found = lambda spec, least: {r.level: (r.n1, r.n0, r.pooled) for r in release.pool_jointly(counts(spec), least).collect()}
+    pool = release.POOLED_LEVELS
+    assert found(spec, 5) == {"a": (30, 40, None), "c": (9, 30, None), pool: (21, 11, 2)}
+    # one small level takes the smallest other with it
+    assert found({k: spec[k] for k in "acd"}, 5) == {"a": (30, 40, None), pool: (10, 39, 2)}
+    assert found({k: spec[k] for k in "ac"}, 5) == {"a": (30, 40, None), "c": (9, 30, None)} and found({"d": (1, 9)}, 5) == {pool: (1, 9, 1)}
+    rows = [(1, 1.0, 1, "a")] * 6 + [(0, None, 0, "a")] * 6 + [(0, 2.0, 1, "b")] * 2
+    df = spark.createDataFrame(rows, "matched int, n double, b int, c string")
+    told = {(r.variable, r.level): r for r in release.release_groups(df, ["n"], ["b"], ["c"], 3).collect()}
+    assert all(r.matched_value is None and r.matched_rest is None and r.note for r in told.values() if r.level != pool)
+    assert told["c", pool].pooled == 2 and (told["c", pool].matched_count, told["c", pool].unmatched_count) == (6, 8)
+    alone = release.release_groups(df.filter("matched = 1"), ["n"], [], ["c"], 3).collect()
+    assert {r.note for r in alone} == {"no unmatched rows"} and all(r.matched_value is None for r in alone)
