@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.functions.exprs import MISSING
 from tessera.functions.stats import normal_two_sided
+from tessera.operators import resample
 
 FIT_CAP, CLIP = 500_000, 1e-6
 PROPENSITY_NUMBERS = ("lag1_age", "lag1_entgelt", "lag1_rtzb", "lag1_cum_rehab")
@@ -149,28 +150,28 @@ def hazard_scores(follow: DataFrame) -> DataFrame:
     return by_year.unionByName(left.agg(F.lit("treated").alias("term"), F.sum(F.col("e") * F.col("treated")).alias("score")))
 
 
-def replicate_curves(follow: DataFrame, groups: list[str], replicates: int = 200, seed: int = 11) -> DataFrame:
+def replicate_curves(follow: DataFrame, groups: list[str], replicates: int = 200, seed: int = 11, strata: str | None = None) -> DataFrame:
     """rep, groups, treated, follow_year, n, d1, d2, risk (the year's share of the incidence): curves by replicate, where
     replicate -1 is the sample itself.
 
-    A pair's weight in a replicate is a Poisson(1) number by hash of (seed, replicate, pair): no numbering of pairs,
-    no join, and weighted counts combine before the one exchange.  All groups of a pair share its draws."""
+    A replicate draws as many pairs as there are, with replacement (resample.weights), within the levels of `strata` where given, which a
+    pair has one of.  All groups of a pair share its draws, and weighted counts combine before they are exchanged."""
     cube = follow.groupBy("match_group", *groups, "treated", "follow_year").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == 1).alias("d1"), F.count_if(F.col("event_type") == 2).alias("d2"))
-    u, cdf, p, weight = uniform(F.lit(seed), F.col("rep"), F.col("match_group")), 0.0, float(np.exp(-1)), F.lit(0)
-    for k in range(8):
-        cdf, p = cdf + p, p / (k + 1)
-        weight = weight + (u >= cdf).cast("int")
-    rows = cube.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1)))).withColumn("w", F.when(F.col("rep") < 0, 1).otherwise(weight)).filter("w > 0")
+    level = [F.min(strata).alias(strata)] if strata else [F.lit(0).alias("_all")]
+    clusters = save(follow.groupBy("match_group").agg(*level))
+    drawn = resample.weights(clusters, "match_group", range(replicates), seed, strata)
+    each = F.posexplode(F.concat(F.array(F.lit(1)), "weights")).alias("rep", "w")
+    rows = cube.join(drawn, "match_group").select(*groups, "treated", "follow_year", "n", "d1", "d2", each).filter("w > 0").withColumn("rep", F.col("rep") - 1)
     c = rows.groupBy("rep", *groups, "treated", "follow_year").agg(*(F.sum(F.col("w") * F.col(v)).alias(v) for v in ("n", "d1", "d2")))
     w = Window.partitionBy("rep", *groups, "treated").orderBy("follow_year").rowsBetween(Window.unboundedPreceding, -1)
     h = (F.col("d1") + F.col("d2")) / F.col("n")
     return c.withColumn("risk", F.exp(F.coalesce(F.sum(F.ln(F.greatest(F.lit(1e-12), 1 - h))).over(w), F.lit(0.0))) * F.col("d1") / F.col("n"))
 
 
-def bootstrap_curves(follow: DataFrame, groups: list[str], replicates: int = 200, seed: int = 11) -> DataFrame:
+def bootstrap_curves(follow: DataFrame, groups: list[str], replicates: int = 200, seed: int = 11, strata: str | None = None) -> DataFrame:
     """Risk difference and ratio of the last year by group and replicate; the ratio is null without control events."""
     risk = lambda arm: F.sum(F.when(F.col("treated") == arm, F.col("risk")))
-    return replicate_curves(follow, groups, replicates, seed).groupBy("rep", *groups).agg((risk(1) - risk(0)).alias("rd"), F.when(risk(0) > 0, risk(1) / risk(0)).alias("rr"))
+    return replicate_curves(follow, groups, replicates, seed, strata).groupBy("rep", *groups).agg((risk(1) - risk(0)).alias("rd"), F.when(risk(0) > 0, risk(1) / risk(0)).alias("rr"))
 
 
 def pointwise_curves(follow: DataFrame, groups: tuple[str, ...] = (), replicates: int = 200, seed: int = 11) -> DataFrame:
@@ -193,11 +194,11 @@ def bootstrap_risk_difference(follow: DataFrame, replicates: int = 200, seed: in
 
 
 def contrasts(follow: DataFrame, group: str, replicates: int = 200, seed: int = 11) -> DataFrame:
-    """Difference of each group's risk difference from the least group's: percentile interval, two-sided bootstrap p,
+    """Difference of each group's risk difference from the least group's, by draws within groups: percentile interval, two-sided bootstrap p,
     Wald p from the draws' standard error, and Holm's adjustment of the latter over groups."""
     from tessera.operators.followup import holm
 
-    curves = bootstrap_curves(follow, [group], replicates, seed)
+    curves = save(bootstrap_curves(follow, [group], replicates, seed, group))
     base = curves.withColumn("_least", F.min(group).over(Window.partitionBy("rep"))).filter(F.col(group) == F.col("_least")).select("rep", F.col("rd").alias("base"))
     gaps = curves.join(base, "rep").withColumn("gap", F.col("rd") - F.col("base"))
     drawn = F.when(F.col("rep") >= 0, F.col("gap"))
