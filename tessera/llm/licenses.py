@@ -13,6 +13,8 @@ from importlib.resources import files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import lookup
+
 # Public licence texts and notices, from the licences themselves.
 MIT = """MIT License
 
@@ -153,7 +155,7 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     lines = F.filter(F.array_distinct(F.transform(F.split("lines", "\n"), lambda x: F.btrim(x))), lambda x: x != "")
     looked_up = own.select("doc_id", "at", "at2", F.explode(F.concat(F.array(entry(F.sha2(whole(F.col("lines")), 256), True)), F.coalesce(F.transform(lines, lambda x: entry(F.sha2(x, 256), False)), F.array().cast("array<struct<digest:string,is_whole:boolean>>")))).alias("e"))
     # of lines only those that are known go on; a document's rows then meet by its id and text
-    met = looked_up.select("doc_id", "at", "at2", "e.*").join(F.broadcast(known), "digest", "left").filter("is_whole or license_id is not null")
+    met = lookup(looked_up.select("doc_id", "at", "at2", "e.*"), known, ["digest"], ["at"], "left").filter("is_whole or license_id is not null")
     by_text = met.groupBy("doc_id", "at", "at2").agg(
         F.count_if("is_whole").alias("n"),
         F.max(F.when(F.col("is_whole"), F.col("digest"))).alias("digest"),
