@@ -232,3 +232,63 @@ def decomposition(grid: DataFrame, panel: DataFrame) -> DataFrame:
     total = q11 - q00
     values = [("q00", q00), ("q01", q01), ("q10", q10), ("q11", q11), ("total", total), ("direct", q10 - q00), ("indirect", q11 - q10), ("proportion", (q11 - q10) / total if abs(total) > 1e-12 else None)]
     return grid.sparkSession.createDataFrame([(k, None if v is None else float(v)) for k, v in values], "effect string, value double")
+
+
+RULES = ("ordinary", "pair_censored")
+
+
+def both_rules(follow: DataFrame) -> DataFrame:
+    """The follow-up twice: as it is, and cut for both members before the first unobserved year of either; pairs are cut before any
+    group is taken apart."""
+    from tessera.operators.followup import pair_censor
+
+    rules = ((RULES[0], follow), (RULES[1], pair_censor(follow)))
+    first, second = (df.withColumn("rule", F.lit(name)) for name, df in rules)
+    return first.unionByName(second)
+
+
+def gap_counts(follow: DataFrame, group: str) -> DataFrame:
+    """group, rule, pairs, and people and events by arm; gaps: pairs of the group with an unobserved year, before any cut."""
+    arm = lambda a, c: F.countDistinct(F.when((F.col("treated") == a) & c, F.col("match_group")))
+    event = F.col("event_type") == 1
+    counts = [arm(a, c).alias(f"{n}_{who}") for a, who in ((0, "controls"), (1, "treated")) for n, c in (("people", F.lit(True)), ("events", event))]
+    sums = both_rules(follow).groupBy(group, "rule").agg(F.countDistinct("match_group").alias("pairs"), *counts)
+    gaps = follow.filter("observed = 0").groupBy(F.col(group).alias("_group")).agg(F.countDistinct("match_group").alias("gaps"))
+    return sums.join(gaps, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group").na.fill(0, ["gaps"])
+
+
+def gap_sensitivity(follow: DataFrame, group: str, most_groups: int = 50) -> DataFrame:
+    """gap_counts with the treatment's odds ratio of each group under both rules: status, odds_ratio, ci_low, ci_high, log_odds, se.
+
+    The hazard is unadjusted, of treatment and years.  No estimate takes the place of one that doesn't exist: status says which of
+    two arms, events, a finite maximum or a positive variance is absent.  A group is a level of a category such as sex; more than
+    most_groups raise ValueError.
+    """
+    rows = save(both_rules(follow).select("match_group", "treated", "follow_year", "event_type", group, "rule"))
+    counts = gap_counts(follow, group)
+    cells = counts.limit(2 * most_groups + 1).collect()
+    if len(cells) > 2 * most_groups:
+        raise ValueError(f"too many groups: {group}")
+    kind, out = follow.schema[group].dataType.simpleString(), []
+    for r in cells:
+        events, people = (r.events_controls + r.events_treated, (r.people_controls, r.people_treated))
+        status, found = "estimated", (None,) * 5
+        if not all(people):
+            status = "one arm"
+        elif not events:
+            status = "no events"
+        else:
+            own = rows.filter(F.col(group).eqNullSafe(F.lit(r[group])) & (F.col("rule") == r["rule"]))
+            fit = hazard(own).filter("term = 'treated'").first()
+            if not np.isfinite(fit.coefficient) or abs(fit.coefficient) > 10:
+                status = "no finite maximum"
+            elif not fit.se:
+                status = "no variance"
+            else:
+                found = (fit.odds_ratio, fit.ci_low, fit.ci_high, fit.coefficient, fit.se)
+        out.append((r[group], r["rule"], status, *found))
+    schema = f"{group} {kind}, rule string, status string, odds_ratio double, ci_low double, ci_high double, log_odds double, se double"
+    made = rows.sparkSession.createDataFrame(out, schema)
+    named = made.withColumnRenamed(group, "_group").withColumnRenamed("rule", "_rule")
+    both = counts.join(F.broadcast(named), F.col(group).eqNullSafe(F.col("_group")) & (F.col("rule") == F.col("_rule")))
+    return both.drop("_group", "_rule")

@@ -289,3 +289,9 @@ told AS (SELECT *, fine AND NOT tiny AS ok FROM judged)
 SELECT variable, level, kind, {_KEEP("round(vm, 5)", "matched_value")}, {_KEEP("round(vu, 5)", "unmatched_value")}, {_KEEP("round(smd, 5)", "smd")}, {_KEEP("cm", "matched_count")}, {_KEEP("cu", "unmatched_count")},
   {_KEEP("rm", "matched_rest")}, {_KEEP("ru", "unmatched_rest")}, pooled, CASE WHEN nu = 0 THEN 'no unmatched rows' WHEN tiny THEN 'a group is under the limit' WHEN NOT ok THEN 'a cell or its complement is under the limit'
     WHEN pooled IS NOT NULL THEN pooled || ' levels pooled' END AS note FROM told"""
+SELECTS["gap_sensitivity_counts"] = """, h AS (SELECT *, 1 + match_group % 2 AS half, min(CASE WHEN observed = 0 THEN follow_year END) OVER (PARTITION BY match_group) AS gap FROM follow),
+b AS (SELECT *, 'ordinary' AS rule FROM h UNION ALL SELECT *, 'pair_censored' FROM h WHERE gap IS NULL OR follow_year < gap),
+n AS (SELECT half, count(DISTINCT match_group) AS gaps FROM h WHERE observed = 0 GROUP BY 1)
+SELECT b.half, rule, count(DISTINCT match_group) AS pairs, count(DISTINCT match_group) FILTER (treated = 0) AS people_controls, count(DISTINCT match_group) FILTER (treated = 0 AND event_type = 1) AS events_controls,
+  count(DISTINCT match_group) FILTER (treated = 1) AS people_treated, count(DISTINCT match_group) FILTER (treated = 1 AND event_type = 1) AS events_treated, coalesce(max(n.gaps), 0) AS gaps
+FROM b LEFT JOIN n ON n.half = b.half GROUP BY b.half, rule"""

@@ -488,3 +488,19 @@ def matchability(s, d):
 def matchability_released(s, d):
     rows = release.release_groups(_compared(s, d), *GROUPS, 5)
     return rows.withColumns({c: _r(c, 5) for c in ("matched_value", "unmatched_value", "smd")})
+
+
+def _by_half(s, d):
+    return _follow(s, d).withColumn("half", 1 + F.col("match_group") % 2)
+
+
+@query
+def gap_sensitivity_counts(s, d):
+    """Pairs, people and events of each group under both rules of gaps."""
+    return models.gap_counts(_by_half(s, d), "half")
+
+
+@query
+def gap_sensitivity(s, d):
+    """Odds ratios of each group under both rules of gaps, with small cells withheld."""
+    return release.six_cells(models.gap_sensitivity(_by_half(s, d), "half").drop("status"), ["half", "rule"], 3)

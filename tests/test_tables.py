@@ -210,3 +210,18 @@ def test_levels_are_pooled_in_both_groups_at_once(spark):
     assert told["c", pool].pooled == 2 and (told["c", pool].matched_count, told["c", pool].unmatched_count) == (6, 8)
     alone = release.release_groups(df.filter("matched = 1"), ["n"], [], ["c"], 3).collect()
     assert {r.note for r in alone} == {"no unmatched rows"} and all(r.matched_value is None for r in alone)
+
+
+def test_gap_sensitivity(spark):
+    """A group of a two-by-two table, one without events, one that is separated, and one that gaps leave without an arm's rows."""
+    rows = [(i, a, 1, 1, int(i < (30 if a else 10)), "a") for i in range(100) for a in (0, 1)]
+    rows += [(200 + i, a, 1, 1, 0, "b") for i in range(10) for a in (0, 1)] + [(300 + i, a, 1, 1, a, "c") for i in range(10) for a in (0, 1)]
+    rows += [(400 + i, a, 1, int(not (a and i < 20)), int((i + a) % 3 == 0), None) for i in range(40) for a in (0, 1)]
+    df = spark.createDataFrame(rows, "match_group long, treated int, follow_year int, observed int, event_type int, sex string")
+    got = {(r.sex, r.rule): r for r in models.gap_sensitivity(df, "sex").collect()}
+    assert len(got) == 8 and abs(got["a", "ordinary"].odds_ratio - (30 / 70) / (10 / 90)) < 1e-5 and got["a", "ordinary"].gaps == 0
+    assert {got["b", r].status for r in models.RULES} == {"no events"} and {got["c", r].status for r in models.RULES} == {"no finite maximum"}
+    assert got["c", "ordinary"].odds_ratio is None and (got[None, "ordinary"].pairs, got[None, "pair_censored"].pairs, got[None, "ordinary"].gaps) == (40, 20, 20)
+    assert got[None, "pair_censored"].status == "estimated" and got["a", "pair_censored"].se == got["a", "ordinary"].se
+    with pytest.raises(ValueError):
+        models.gap_sensitivity(df.withColumn("sex", F.col("match_group").cast("string")), "sex")
