@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as x
+from tessera.functions.stats import normal_two_sided
+from tessera.operators import followup, models
 from tessera.operators.pairs import STRATA
 
 LEAST = 20
@@ -262,3 +264,76 @@ def release_groups(rows: DataFrame, numeric: list[str], binary: list[str], categ
     note = note.when(~allowed, "a cell or its complement is under the limit").when(F.col("pooled").isNotNull(), F.concat(F.col("pooled").cast("string"), F.lit(" levels pooled")))
     told = [F.when(allowed, F.col(c)).alias(c) for c in COMPARED[3:]]
     return sized.select(*COMPARED[:3], *told, "pooled", note.alias("note"))
+
+
+MEASURES = ("control_risk", "treated_risk", "risk_difference", "risk_ratio")
+
+
+def group_draws(
+    follow: DataFrame, members: DataFrame, schemes: dict[str, tuple[Column, Column]], replicates: int = 200, seed: int = 17
+) -> DataFrame:
+    """rep, scheme, part, level and MEASURES of the last year, where replicate -1 is the sample; saved.
+
+    schemes as for group_cells.  All schemes and levels share a pair's draws, which are made within the parts (such as sexes) of the
+    pairs; a level's arms are those of its own members, so a pair can have its members in two levels.
+    """
+    keys = ["scheme", "part", "level"]
+    named = F.array(*(F.struct(F.lit(n).alias("scheme"), p.cast("string").alias("part"), v.cast("string").alias("level")) for n, (p, v) in schemes.items()))
+    of = members.select("match_group", "treated", F.explode(named).alias("s")).select("match_group", "treated", "s.*").filter("level is not null")
+    long = follow.select("match_group", "treated", "follow_year", "event_type").join(of, ["match_group", "treated"])
+    curves = models.replicate_curves(long, keys, replicates, seed, "part")
+    risk = lambda a: F.sum(F.when(F.col("treated") == a, F.col("risk")))
+    both = curves.groupBy("rep", *keys).agg(risk(0).alias("control_risk"), risk(1).alias("treated_risk"))
+    ratio = F.when(F.col("control_risk") > 0, F.col("treated_risk") / F.col("control_risk"))
+    return models.save(both.withColumns({"risk_difference": F.col("treated_risk") - F.col("control_risk"), "risk_ratio": ratio}))
+
+
+def _spread(value: str, replicates: int) -> list[Column]:
+    """The sample's value and its percentile interval; no interval where under 95 % of the replicates have a value."""
+    drawn = F.when(F.col("rep") >= 0, F.col(value))
+    enough = F.count(drawn) >= -(-95 * replicates // 100)
+    limits = [F.when(enough, F.percentile(drawn, q)).alias(f"{value}_{n}") for q, n in ((0.025, "low"), (0.975, "high"))]
+    return [F.max(F.when(F.col("rep") < 0, F.col(value))).alias(value), *limits]
+
+
+def group_effects(draws: DataFrame, replicates: int) -> DataFrame:
+    """scheme, part, level, and each of MEASURES with its interval."""
+    return draws.groupBy("scheme", "part", "level").agg(*(c for m in MEASURES for c in _spread(m, replicates)))
+
+
+def protect_effects(effects: DataFrame, protected: DataFrame) -> DataFrame:
+    """effects without the numbers of groups that protect_groups withholds (or doesn't have), and its disclosure."""
+    keys = ["scheme", "part", "level"]
+    told = protected.select(*(F.col(k).alias(f"_{k}") for k in keys), "disclosure")
+    both = effects.join(told, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    shown = F.coalesce(F.col("disclosure") == "reported", F.lit(False))
+    values = [F.when(shown, F.col(c)).alias(c) for c in effects.columns if c not in keys]
+    return both.select(*keys, *values, F.when(shown, "reported").otherwise("withheld").alias("disclosure"))
+
+
+def contrast_rows(draws: DataFrame, protected: DataFrame, requests: list[tuple[str, tuple[str, str, str], tuple[str, str, str]]], replicates: int) -> DataFrame:
+    """test, left and right (scheme|part|level), difference of risk differences with interval, se, p and p_holm, disclosure.
+
+    requests: (test, left group, right group).  A contrast is withheld where either group is; Holm's adjustment is over all contrasts
+    that are told, as one family, and p is Wald's, from the draws' standard error.
+    """
+    spark = draws.sparkSession
+    name = F.concat_ws("|", "scheme", "part", "level")
+    asked = spark.createDataFrame([(t, "|".join(a), "|".join(b)) for t, a, b in requests], "test string, left string, right string")
+    side = lambda s: draws.select("rep", name.alias(s), F.col("risk_difference").alias(f"_{s}"))
+    # a few rows a replicate
+    gaps = F.broadcast(asked).join(side("left"), "left").join(side("right"), ["rep", "right"]).withColumn("difference", F.col("_left") - F.col("_right"))
+    drawn = F.when(F.col("rep") >= 0, F.col("difference"))
+    out = gaps.groupBy("test", "left", "right").agg(*_spread("difference", replicates), F.stddev_samp(drawn).alias("se"))
+    told = protected.filter("disclosure = 'reported'").select(name.alias("g"), F.lit(True).alias("ok"))
+    for s in ("left", "right"):
+        out = out.join(told.select(F.col("g").alias(s), F.col("ok").alias(f"ok_{s}")), s, "left")
+    out = models.save(out.withColumn("ok", F.coalesce(F.col("ok_left") & F.col("ok_right"), F.lit(False))))
+    # one row a contrast reaches the driver, which has the exact normal tail
+    rows = [r for r in out.collect() if r.ok and r.se and r.difference is not None]
+    tails = spark.createDataFrame([(r.test, r.left, r.right, normal_two_sided(r.difference / r.se)) for r in rows], "test string, left string, right string, p double")
+    tested = followup.holm(tails.withColumns({"kind": F.col("test"), "test": F.concat_ws(">", "test", "left", "right")}), [])
+    tested = tested.select(F.col("kind").alias("test"), "left", "right", "p", "p_holm")
+    whole = out.join(F.broadcast(tested), ["test", "left", "right"], "left")
+    values = [F.when(F.col("ok"), F.col(c)).alias(c) for c in ("difference", "difference_low", "difference_high", "se", "p", "p_holm")]
+    return whole.select("test", "left", "right", *values, F.when(F.col("ok"), "reported").otherwise("withheld").alias("disclosure"))

@@ -295,3 +295,16 @@ n AS (SELECT half, count(DISTINCT match_group) AS gaps FROM h WHERE observed = 0
 SELECT b.half, rule, count(DISTINCT match_group) AS pairs, count(DISTINCT match_group) FILTER (treated = 0) AS people_controls, count(DISTINCT match_group) FILTER (treated = 0 AND event_type = 1) AS events_controls,
   count(DISTINCT match_group) FILTER (treated = 1) AS people_treated, count(DISTINCT match_group) FILTER (treated = 1 AND event_type = 1) AS events_treated, coalesce(max(n.gaps), 0) AS gaps
 FROM b LEFT JOIN n ON n.half = b.half GROUP BY b.half, rule"""
+SELECTS["group_risks"] = f""", {GROUPS},
+each AS (
+  SELECT 'all' AS scheme, sex, 'all' AS level, match_group, treated FROM joined UNION ALL SELECT 'own_income', sex, income, match_group, treated FROM joined
+  UNION ALL SELECT 'same_income', sex, income, match_group, treated FROM joined WHERE lo = hi AND members_n = 2
+  UNION ALL SELECT 'points', sex, CASE WHEN points IS NULL THEN 'unknown' WHEN points > 0 THEN 'gain' WHEN points < 0 THEN 'loss' ELSE 'zero' END, match_group, treated FROM joined),
+n AS (
+  SELECT scheme, CAST(sex AS VARCHAR) AS part, level, f.treated, follow_year, count(*) AS n, count(*) FILTER (event_type = 1) AS d1, count(*) FILTER (event_type = 2) AS d2
+  FROM each e JOIN follow f ON f.match_group = e.match_group AND f.treated = e.treated GROUP BY ALL),
+r AS (
+  SELECT a.scheme, a.part, a.level, a.treated, sum(coalesce((SELECT product(1.0 - (b.d1 + b.d2) / b.n) FROM n b WHERE b.scheme = a.scheme AND b.part = a.part AND b.level = a.level
+    AND b.treated = a.treated AND b.follow_year < a.follow_year), 1.0) * a.d1 / a.n) AS risk FROM n a GROUP BY ALL),
+b AS (SELECT scheme, part, level, max(risk) FILTER (treated = 0) AS c, max(risk) FILTER (treated = 1) AS t FROM r GROUP BY ALL)
+SELECT scheme, part, level, round(c, 6) AS control_risk, round(t, 6) AS treated_risk, round(t - c, 6) AS risk_difference, round(CASE WHEN c > 0 THEN t / c END, 6) AS risk_ratio FROM b"""

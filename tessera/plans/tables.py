@@ -267,7 +267,8 @@ def overlap_detail(s, d):
     return release.overlap(pairs.assignment(_pairs(s, d)))
 
 
-def _groups(s, d):
+def _schemes(s, d):
+    """Members of pairs, and the schemes that group them."""
     base = _risk(s, d).select("simple_id", "t0", "treated", F.col("lag1_ge").alias("sex"), x.income_status(F.col("lag1_entgelt"), F.col("lag1_rtzb")).alias("income"))
     members = pairs.assignment(_pairs(s, d)).join(base, ["simple_id", "t0", "treated"])
     pair = Window.partitionBy("match_group")
@@ -275,7 +276,11 @@ def _groups(s, d):
     own = members.withColumns({"same": same, "points": F.max(F.when(F.col("treated") == 1, F.col("simple_id") % 4 - 1)).over(pair)})
     signed = F.when(F.col("points").isNull(), "unknown").when(F.col("points") > 0, "gain").when(F.col("points") < 0, "loss").otherwise("zero")
     sex = F.col("sex")
-    return release.group_cells(_follow(s, d), own, {"all": (sex, F.lit("all")), "own_income": (sex, F.col("income")), "same_income": (sex, F.col("same")), "points": (sex, signed)})
+    return own, {"all": (sex, F.lit("all")), "own_income": (sex, F.col("income")), "same_income": (sex, F.col("same")), "points": (sex, signed)}
+
+
+def _groups(s, d):
+    return release.group_cells(_follow(s, d), *_schemes(s, d))
 
 
 @query
@@ -504,3 +509,25 @@ def gap_sensitivity_counts(s, d):
 def gap_sensitivity(s, d):
     """Odds ratios of each group under both rules of gaps, with small cells withheld."""
     return release.six_cells(models.gap_sensitivity(_by_half(s, d), "half").drop("status"), ["half", "rule"], 3)
+
+
+@query
+def group_risks(s, d):
+    """Risks of both arms in the last year by scheme, part and level, and their difference."""
+    draws = release.group_draws(_follow(s, d), *_schemes(s, d), replicates=0)
+    return draws.select("scheme", "part", "level", *(_r(m).alias(m) for m in release.MEASURES))
+
+
+@query
+def group_effects_released(s, d):
+    """Effects of groups with intervals, without those of groups that are withheld."""
+    draws = release.group_draws(_follow(s, d), *_schemes(s, d), replicates=100)
+    return release.protect_effects(release.group_effects(draws, 100), release.protect_groups(_groups(s, d), "all", 12))
+
+
+@query
+def group_contrasts_released(s, d):
+    """Risk differences of incomes against earnings alone, and of gains against losses."""
+    draws, protected = release.group_draws(_follow(s, d), *_schemes(s, d), replicates=100), release.protect_groups(_groups(s, d), "all", 12)
+    asked = [("income", ("own_income", "1", v), ("own_income", "1", "earnings_only")) for v in ("both", "pension_only", "neither")]
+    return release.contrast_rows(draws, protected, [*asked, ("points", ("points", "1", "gain"), ("points", "1", "loss"))], 100)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,3 +227,26 @@ def test_gap_sensitivity(spark):
     assert got[None, "pair_censored"].status == "estimated" and got["a", "pair_censored"].se == got["a", "ordinary"].se
     with pytest.raises(ValueError):
         models.gap_sensitivity(df.withColumn("sex", F.col("match_group").cast("string")), "sex")
+
+
+def test_effects_of_withheld_groups_are_not_told(spark):
+    rng = random.Random(3)
+    rows = [(i, a, 1, int(rng.random() < (0.2 + 0.4 * a * (i % 3 == 0)))) for i in range(300) for a in (0, 1)]
+    follow = spark.createDataFrame(rows, "match_group long, treated int, follow_year int, event_type int")
+    members = spark.createDataFrame([(i, a, "f" if i % 2 else "m", "abc"[i % 3] if i < 297 else "few") for i in range(300) for a in (0, 1)], "match_group long, treated int, sex string, kind string")
+    schemes = {"all": (F.col("sex"), F.lit("all")), "kind": (F.col("sex"), F.col("kind"))}
+    draws = release.group_draws(follow, members, schemes, 60)
+    protected = release.protect_groups(release.group_cells(follow, members, schemes), "all", 5)
+    effects = {(r.part, r.level): r for r in release.group_effects(draws, 60).collect()}
+    told = {(r.part, r.level): r for r in release.protect_effects(release.group_effects(draws, 60), protected).collect()}
+    gone = {k for k, r in told.items() if r.disclosure == "withheld"}
+    assert {("f", "few"), ("m", "few")} <= gone and len(gone) > 2 and all(told[k].risk_difference is None for k in gone)
+    assert all(told[k].risk_difference == effects[k].risk_difference for k in told if k not in gone)
+    for r in effects.values():
+        assert r.risk_difference_low is None or r.risk_difference_low <= r.risk_difference <= r.risk_difference_high
+    left = next(k for k in told if k not in gone and k[1] != "all")
+    asked = [("sexes", ("all", "f", "all"), ("all", "m", "all")), ("kinds", ("kind", *left), ("all", left[0], "all")), ("gone", ("kind", "f", "few"), ("all", "f", "all"))]
+    got = {r.test: r for r in release.contrast_rows(draws, protected, asked, 60).collect()}
+    assert got["gone"].disclosure == "withheld" and got["gone"].difference is None and got["gone"].p_holm is None
+    assert abs(got["sexes"].difference - (effects["f", "all"].risk_difference - effects["m", "all"].risk_difference)) < 1e-12
+    assert got["sexes"].p_holm >= got["sexes"].p and max(got[k].p_holm / got[k].p for k in ("sexes", "kinds")) <= 2 + 1e-9
