@@ -24,7 +24,7 @@ import sys
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs import common
@@ -95,25 +95,24 @@ def run(
     LOG.info("mark %s, taking years after %s%s of %s", last.asof if last else None, after, f" through {through}" if through else "", source)
 
     raw = new_rows(spark, source, after, through)
-    if raw.isEmpty():
+    # of the new years alone: their number of rows, and which they are
+    got = raw.agg(F.count(F.lit(1)).alias("rows"), F.min("ja").alias("first"), F.max("ja").alias("last")).first()
+    if not got.rows:
         LOG.info("no new year")
         return {"read": 0, "written": 0, "mark": last.asof if last else None}
-    read, written = Observation(), Observation()
-    raw = raw.observe(read, F.count(F.lit(1)).alias("rows"))
     rows = panel.flags(panel.dedup(raw, ["simple_id", "ja"], ["ord"]), list(parameters.codes))
-    made = panel.onward(rows, state)
-    counts = F.count(F.lit(1)).alias("rows"), F.min("ja").alias("first"), F.max("ja").alias("last")
     # files of even size a year, however large a year is
-    writer = made.observe(written, *counts).hint("rebalance", "ja").write.mode("overwrite").option("compression", "zstd")
+    writer = panel.onward(rows, state).hint("rebalance", "ja").write.mode("overwrite").option("compression", "zstd")
     writer.option("partitionOverwriteMode", "dynamic").partitionBy("ja").parquet(f"{out}/panel")
-    got = written.get
+    done = panel_of(spark, out).filter(F.col("ja").between(got.first, got.last))
+    written = done.count()
+
     name = uuid.uuid4().hex
-    done = panel_of(spark, out).filter(F.col("ja").between(got["first"], got["last"]))
     panel.carry(done, state).write.option("compression", "zstd").parquet(f"{out}/state/{name}")
-    mark = (number, name, got["last"], after + 1, read.get["rows"], got["rows"], f"{out}/state/{name}")
+    mark = (number, name, got.last, after + 1, got.rows, written, f"{out}/state/{name}")
     spark.createDataFrame([mark], MARK).coalesce(1).write.mode("append").parquet(f"{out}/marks")
-    LOG.info("read %d rows, wrote %d rows of %d to %d to %s/panel", mark[4], mark[5], got["first"], got["last"], out)
-    return {"read": read.get["rows"], "written": got["rows"], "mark": got["last"]}
+    LOG.info("read %d rows, wrote %d rows of %d to %d to %s/panel", got.rows, written, got.first, got.last, out)
+    return {"read": got.rows, "written": written, "mark": got.last}
 
 
 def command(arguments: list[str]) -> int:

@@ -117,18 +117,18 @@ def test_matching_goes_on_after_a_stop(spark, tmp_path, monkeypatch):
     want = sorted(map(tuple, pairs.match_without_reuse(df, models.save).select("t_id", "c_id", "t0", "distance").collect()))
     real, matched = pairs.match_year, []
 
-    def once(left, caliper):
+    def once(left, caliper, strata):
         if len(matched) == 2:
             raise RuntimeError("stopped")
         matched.append(left.first().t0)
-        return real(left, caliper)
+        return real(left, caliper, strata)
 
     with monkeypatch.context() as m:
         m.setattr(pairs, "match_year", once)
         with pytest.raises(RuntimeError):
             pairs.match_without_reuse(df, models.save, kept=kept)
     assert kept.done() == [1998, 1999]
-    monkeypatch.setattr(pairs, "match_year", lambda left, caliper: (matched.append(left.first().t0), real(left, caliper))[1])
+    monkeypatch.setattr(pairs, "match_year", lambda left, caliper, strata: (matched.append(left.first().t0), real(left, caliper, strata))[1])
     got = pairs.match_without_reuse(df, models.save, kept=kept)
     assert matched == [1998, 1999, 2000] and sorted(map(tuple, got.select("t_id", "c_id", "t0", "distance").collect())) == want
     changed = df.withColumn("score_ppm", F.when(F.col("simple_id") == 20, 1).otherwise(F.col("score_ppm")))
