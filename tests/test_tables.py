@@ -250,3 +250,12 @@ def test_effects_of_withheld_groups_are_not_told(spark):
     assert got["gone"].disclosure == "withheld" and got["gone"].difference is None and got["gone"].p_holm is None
     assert abs(got["sexes"].difference - (effects["f", "all"].risk_difference - effects["m", "all"].risk_difference)) < 1e-12
     assert got["sexes"].p_holm >= got["sexes"].p and max(got[k].p_holm / got[k].p for k in ("sexes", "kinds")) <= 2 + 1e-9
+
+
+def test_suppression_of_one_whole_table_and_of_null_groups(spark):
+    rows = [(None, "a", 9), (None, "b", 2), (None, "c", 0), ("g", "a", 7), ("g", "b", 8)]
+    df = spark.createDataFrame(rows, "grp string, cell string, n long")
+    got = {(r.grp, r.cell): (r.n, r.status) for r in disclosure.protect(df, ["grp"], "cell", "n", 5).collect()}
+    assert got == {(None, "a"): (None, "complement"), (None, "b"): (None, "withheld"), (None, "c"): (0, "reported"), ("g", "a"): (7, "reported"), ("g", "b"): (8, "reported")}
+    whole = {(r.grp, r.cell): r.status for r in disclosure.protect(df, [], "cell", "n", 5).collect()}
+    assert [k for k, s in whole.items() if s != "reported"] and whole["g", "a"] == "complement" and whole[None, "b"] == "withheld"
