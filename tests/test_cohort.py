@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 from pathlib import Path
 
 import numpy as np
@@ -152,6 +153,27 @@ def test_candidates_keep_the_best_matching(spark):
     assert left.filter("treated = 1").count() == df.filter("treated = 1").count() and left.filter("treated = 0").count() < df.filter("treated = 0").count() / 2
 
 
+def test_dense_scores_take_near_linear_time(spark):
+    """All scores within one caliper: 16 billion pairs in one stratum."""
+    rng = np.random.default_rng(6)
+    t, c = (np.sort(rng.integers(0, 10_000, n)) for n in (40_000, 400_000))
+    began = time.process_time()
+    got = pairs.solve(t, c, 10_000)
+    assert len(got) == 40_000 and time.process_time() - began < 20
+    # there are ten controls of each score for each treated one, and where there are few, a split problem equals the whole one
+    rows = [(i, 1998, int(i % 11 == 0), 1, 0, int(rng.integers(0, 2000)) * (5 if i % 11 else 4)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "simple_id long, t0 int, treated int, lag1_ge int, lag1_ever_rehab int, score_ppm long")
+    left = {bundle: pairs.candidates(df, 10_000, bundle=bundle).collect() for bundle in (1, 100)}
+    treated = sum(r[2] for r in rows)
+    assert len(left[1]) == len(left[100]) <= 3 * treated and len({r.part for r in left[1]}) > treated / 4 > len({r.part for r in left[100]}) > 3
+    scores = lambda found, arm: np.array(sorted(r.score_ppm for r in found if r.treated == arm))
+    cost = lambda t, c: (len(got := pairs.solve(t, c, 10_000)), sum(abs(int(t[i] - c[j])) for i, j in got))
+    whole = cost(*(np.array(sorted(r[5] for r in rows if r[2] == arm)) for arm in (1, 0)))
+    for found in left.values():
+        each = [cost(*(scores([r for r in found if r.part == p], arm) for arm in (1, 0))) for p in {r.part for r in found}]
+        assert tuple(map(sum, zip(*each))) == whole
+
+
 def people(spark, spec):
     rows, k = [], 0
     for code, n in spec:
