@@ -21,7 +21,41 @@ LADDER = ((0.0, "unpenalized"), (1e-4, "ridge C=1e4"), (1e-2, "ridge C=1e2"), (1
 STEPS, TOLERANCE, FAR = 10, 1e-8, 30.0
 MISSING, RARE = "__MISSING__", "__RARE__"
 
-Frame = dict[str, np.ndarray]
+
+@dataclass
+class Coded:
+    """A column of texts as places in a short list of them; np.asarray gives the texts."""
+
+    codes: np.ndarray
+    texts: list[str]
+    ndim = 1
+
+    def __len__(self) -> int:
+        return len(self.codes)
+
+    def __getitem__(self, at) -> Coded:
+        return Coded(self.codes[at], self.texts)
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        return np.array(self.texts, object)[self.codes]
+
+    def mapped(self, values: Callable[[str], object]) -> np.ndarray:
+        """A value for each row, asked for once a text."""
+        return np.array([values(v) for v in self.texts])[self.codes]
+
+
+def mapped(column, values: Callable[[str], object]) -> np.ndarray:
+    """A value for each text of a column, which is coded, an array or one text for all rows (then one value)."""
+    if isinstance(column, Coded):
+        return column.mapped(values)
+    column = np.asarray(column)
+    if not column.ndim:
+        return np.asarray(values(column.item()))
+    found, places = np.unique(column, return_inverse=True)
+    return np.array([values(v) for v in found.tolist()])[places]
+
+
+Frame = dict[str, np.ndarray | Coded]
 
 
 @dataclass
@@ -54,10 +88,42 @@ class Design:
             if flag:
                 out.append(np.isnan(v).astype(float))
         for c, vs in self.levels.items():
-            v = np.asarray(frame[c])
-            rare = None if RARE not in vs else ~np.isin(v, self.known[c])
-            out += [(rare if x == RARE else v == x).astype(float) for x in vs]
-        return np.stack(np.broadcast_arrays(*out), 1)
+            place = mapped(frame[c], self._place(c))
+            out += [(place == i).astype(float) for i in range(len(vs))]
+        full = np.empty((n, len(out)))
+        for i, v in enumerate(out):
+            full[:, i] = v
+        return full
+
+    def _place(self, c: str) -> Callable[[str], int]:
+        """The place of a text among a category's columns; -1 for none."""
+        vs, known = self.levels[c], set(self.known[c])
+        places = {v: i for i, v in enumerate(vs) if v != RARE}
+        rare = vs.index(RARE) if RARE in vs else -1
+        return lambda v: places.get(v, -1 if v in known else rare)
+
+    def margin(self, frame: Frame, n: int, b: np.ndarray) -> np.ndarray:
+        """matrix() @ b, term by term without the matrix: a row's value doesn't depend on the rows beside it, and what is the same for
+        all rows is a number."""
+        out, b = np.zeros(n), iter(b.tolist())
+        if self.intercept:
+            out += next(b)
+        for c, (median, mean, sd, flag) in self.numeric.items():
+            v = np.asarray(frame[c], float)
+            none = np.isnan(v)
+            out += (((np.where(none, median, v) if none.any() else v) - mean) / sd) * next(b)
+            if flag:
+                out += none * next(b)
+        for c, (mode, flag) in self.binary.items():
+            v = np.asarray(frame[c], float)
+            none = np.isnan(v)
+            out += (np.where(none, mode, v) if none.any() else v) * next(b)
+            if flag:
+                out += none * next(b)
+        for c, vs in self.levels.items():
+            own, place = [*(next(b) for _ in vs), 0.0], self._place(c)
+            out += mapped(frame[c], lambda v: own[place(v)])
+        return out
 
 
 def design(rows: DataFrame, numeric: Iterable[str], binary: Iterable[str], categorical: Iterable[str], least: int = 10, most: int = 1000) -> Design:
@@ -133,7 +199,9 @@ def _sums(model: Model, frame: Frame, w: np.ndarray, b: np.ndarray) -> np.ndarra
         y = np.asarray(own[model.label], float)[None, :]
         p = shares(x, b, 2)[1:]
     else:
-        y = np.stack([np.asarray(own[model.label]) == c for c in model.classes[1:]]).astype(float)
+        classes = {c: i for i, c in enumerate(model.classes)}
+        place = mapped(own[model.label], lambda v: classes.get(v, -1))
+        y = np.stack([place == i for i in range(1, len(classes))]).astype(float)
         p = shares(x, b, len(model.classes))[1:]
     parts = [x.T @ (w * (y[c][:, None] - p[c])) for c in range(len(p))]
     for c in range(len(p)):
@@ -181,8 +249,17 @@ class Fit:
 
     def chance(self, frame: Frame, n: int, rep: int) -> np.ndarray:
         """Probabilities of a binary model for replicate number rep, away from 0 and 1."""
-        p = shares(self.model.design.matrix(frame, n), self.coefficients[rep : rep + 1], 2)[1, :, 0]
-        return np.clip(p, 1e-9, 1 - 1e-9)
+        eta = self.model.design.margin(frame, n, self.coefficients[rep])
+        e = np.exp(-np.abs(eta))
+        return np.clip(np.where(eta >= 0, 1.0, e) / (1 + e), 1e-9, 1 - 1e-9)
+
+    def shares(self, frame: Frame, n: int, rep: int) -> np.ndarray:
+        """(classes, rows): probabilities of a model of several classes for replicate number rep."""
+        d = self.model.design
+        k, b = len(d.names()), self.coefficients[rep]
+        eta = np.stack([np.zeros(n)] + [d.margin(frame, n, b[c * k : (c + 1) * k]) for c in range(len(self.model.classes) - 1)])
+        p = np.exp(eta - eta.max(0))
+        return p / p.sum(0)
 
 
 SUMS = pa.schema([("model", pa.string()), ("rep", pa.int32()), ("v", pa.list_(pa.float64()))])

@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 
 from tessera.functions import exprs as x
 from tessera.operators import batched, resample
-from tessera.operators.batched import Fit, Frame, Model
+from tessera.operators.batched import Coded, Fit, Frame, Model
 from tessera.operators.histories import EARNED, KEPT_BY, specs
 from tessera.operators.models import delete_at_end, root_of, save
 from tessera.sources.files import Checkpoint, fingerprint
 
 AMOUNTS, STATES = ("entgelt", "rtzb"), ("other_rehab",)
 BUCKETS = 1024
+#: Pair members in a file, at most; see spread().
+EACH = 20_000
 
 
 @dataclass(frozen=True)
@@ -135,9 +137,10 @@ def wide(rows: DataFrame, plan: Plan) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(year)).alias("years"))
 
 
-def _plain(column: pa.Array) -> np.ndarray:
+def _plain(column: pa.Array) -> np.ndarray | Coded:
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
-        return column.fill_null(batched.MISSING).to_numpy(zero_copy_only=False)
+        coded = column.fill_null(batched.MISSING).dictionary_encode()
+        return Coded(coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist())
     return column.cast(pa.float64()).to_numpy(zero_copy_only=False)
 
 
@@ -166,7 +169,8 @@ def _flags(frame: Frame) -> Frame:
     frame["both"] = frame["treated"] * frame["mediator_now"]
     frame["first"] = used & (frame["mediator_prev"] == 0)
     frame["survived"] = used & (frame["death"] == 0)
-    frame["follow_year"] = frame["follow_year"].astype(int).astype(str).astype(object)
+    year = frame["follow_year"].astype(int)
+    frame["follow_year"] = Coded(year, [str(t) for t in range(year.max(initial=0) + 1)])
     return frame
 
 
@@ -177,7 +181,7 @@ def observation_weights(frame: Frame, member: np.ndarray, fit: Fit, plan: Plan)
     log = np.where((frame["observed"] == 1)[:, None], -np.log(p), 0.0)
     for t in range(2, plan.horizon + 1):
         # rows of a member are neighbours, in the order of years
-        at = np.flatnonzero(frame["follow_year"] == str(t))
+        at = np.flatnonzero(frame["follow_year"].codes == t)
         log[at] += log[at - 1]
     return np.minimum(plan.cap, np.exp(log))
 
@@ -187,24 +191,38 @@ def observation_weights(frame: Frame, member: np.ndarray, fit: Fit, plan: Plan)
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(31))
-    h = h * np.uint64(0x7FB5D329728EA185)
-    h = h ^ (h >> np.uint64(27))
-    h = h * np.uint64(0x81DADEF4BC2DD44D)
-    return h ^ (h >> np.uint64(33))
+    h *= np.uint64(0x7FB5D329728EA185)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x81DADEF4BC2DD44D)
+    h ^= h >> np.uint64(33)
+    return h
 
 
 def key(person: np.ndarray, *numbers: int | np.ndarray) -> np.ndarray:
     """A 64-bit hash of persons and numbers."""
     with np.errstate(over="ignore"):
-        h = _mix(np.asarray(person).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-        for n in numbers:
-            h = _mix(h ^ _mix(np.asarray(n).astype(np.uint64) + np.uint64(0xD6E8FEB86659FD93)))
+        return _mixed(_mix(np.asarray(person).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), *map(_salt, numbers))
+
+
+def _salt(n: int | np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mix(np.asarray(n).astype(np.uint64) + np.uint64(0xD6E8FEB86659FD93))
+
+
+def _mixed(h: np.ndarray, *salts: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        for salt in salts:
+            h = _mix(h ^ salt)
         return h
 
 
 def uniform(person: np.ndarray, *numbers: int | np.ndarray) -> np.ndarray:
     """A number in [0, 1) for each person."""
-    return (key(person, *numbers) >> np.uint64(11)).astype(float) * 2.0**-53
+    return _unit(key(person, *numbers))
+
+
+def _unit(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(11)).astype(float) * 2.0**-53
 
 
 # Purposes of draws: each has streams of its own.
@@ -221,7 +239,13 @@ class People:
     rep: int
 
     def draw(self, seed: int, *purpose: int) -> np.ndarray:
-        return uniform(self.person, seed, *purpose, self.rep, self.sim)
+        """uniform(person, seed, *purpose, rep, sim), whose first and last steps are those of all draws"""
+        if seed not in self._begun:
+            self._begun[seed] = key(self.person, seed)
+        return _unit(_mixed(self._begun[seed], *map(_salt, (*purpose, self.rep)), self._sims))
+
+    def __post_init__(self):
+        self._begun, self._sims = {}, _salt(self.sim)
 
 
 def people_of(batch: pa.RecordBatch, plan: Plan, r: int, rep: int, simulations: int) -> People:
@@ -240,23 +264,23 @@ def people_of(batch: pa.RecordBatch, plan: Plan, r: int, rep: int, simulations:
 
 
 def _year(state: Frame, arm: int, t: int, prev: np.ndarray, now: np.ndarray | None = None) -> Frame:
-    out = state | {"treated": np.float64(arm), "follow_year": np.full(len(prev), str(t), object), "mediator_prev": prev.astype(float)}
+    out = state | {"treated": np.float64(arm), "follow_year": str(t), "mediator_prev": prev.astype(float)}
     return out if now is None else out | {"mediator_now": now.astype(float), "both": arm * now.astype(float)}
 
 
 def history_update(fits: dict[str, Fit], frame: Frame, p: People, r: int, plan: Plan, *purpose: int) -> Frame:
     """The year's status, then amounts given it, then states given all; they are the next year's prior history."""
     n, out = len(p.person), dict(frame)
-    income = fits["income"].model
-    share = batched.shares(income.design.matrix(out, n), fits["income"].coefficients[r : r + 1], len(income.classes))[:, :, 0]
-    place = (np.cumsum(share, 0) < p.draw(plan.seed, INCOME, *purpose)).sum(0)
-    out["current_income"] = np.array(income.classes, object)[np.minimum(place, len(income.classes) - 1)]
+    classes = fits["income"].model.classes
+    place = (np.cumsum(fits["income"].shares(out, n, r), 0) < p.draw(plan.seed, INCOME, *purpose)).sum(0)
+    out["current_income"] = Coded(np.minimum(place, len(classes) - 1), classes)
     for i, a in enumerate(AMOUNTS):
         f = fits[a]
         u, v = p.draw(plan.seed, NORMAL, 2 * i, *purpose), p.draw(plan.seed, NORMAL, 2 * i + 1, *purpose)
         z = np.sqrt(-2 * np.log1p(-u)) * np.cos(2 * math.pi * v)
-        log = np.minimum(f.model.design.matrix(out, n) @ f.coefficients[r] + z * f.sd[r], f.cap[r])
-        out[f"current_{a}"] = np.where(np.isin(out["current_income"], KEPT_BY.get(a, EARNED)), np.maximum(0.0, np.expm1(log)), 0.0)
+        log = np.minimum(f.model.design.margin(out, n, f.coefficients[r]) + z * f.sd[r], f.cap[r])
+        has = out["current_income"].mapped(lambda v: v in KEPT_BY.get(a, EARNED))  # noqa: B023
+        out[f"current_{a}"] = np.where(has, np.maximum(0.0, np.expm1(log)), 0.0)
     for i, s in enumerate(STATES):
         out[f"current_{s}"] = (p.draw(plan.seed, STATE, i, *purpose) < fits[s].chance(out, n, r)).astype(float)
     return {c: out[c] for c in plan.baseline()} | {f"prior_{c}": out[f"current_{c}"] for c in ("income", *AMOUNTS, *STATES)}
@@ -435,6 +459,16 @@ def replicates_of(rows: DataFrame, models: dict[str, Model], plan: Plan, reps: l
     return rows.sparkSession.createDataFrame(out, RESULT)
 
 
+def spread(rows: DataFrame, n: int, each: int = EACH) -> DataFrame:
+    """n rows of wide() in as many even parts as the session has cores, or a multiple of it where a part would have over `each` rows.
+
+    Their bytes are few and the work on each is long, so sizes in bytes, by which adaptive execution joins parts, would put them all in one
+    or two tasks.  A scan deals a multiple of the cores out evenly.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores * max(1, math.ceil(n / (cores * each))), "match_group")
+
+
 def mediation(
     members: DataFrame, panel: DataFrame, risk: DataFrame, plan: Plan = Plan(), replicates: int = 200, checkpoint: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -468,7 +502,7 @@ def mediation(
         if drawn:
             data = people.join(resample.weights(clusters, "match_group", range(drawn[0], drawn[-1] + 1), plan.seed), "match_group")
             w = F.concat(own, "weights")
-        kept.add(low, replicates_of(save(data.withColumn("weights", w)), models, plan, reps))
+        kept.add(low, replicates_of(save(spread(data.withColumn("weights", w), stamp.n)), models, plan, reps))
     found = kept.rows().select("rep", "name", "value", "note")
     effects = found.filter(~F.col("name").startswith("model "))
     drawn = F.when(F.col("rep") > 0, F.col("value"))

@@ -220,6 +220,39 @@ def test_simulation_equals_a_plain_loop(spark, study, monkeypatch):
         assert {k: round(v, 9) for k, v in kept["q"][rep].items()} == {k: round(v, 9) for k, v in want.items()}
 
 
+def test_margins_equal_the_matrix():
+    d = batched.Design({"n": (1.0, 2.0, 3.0, True), "m": (0.0, 1.0, 2.0, False)}, {"b": (1.0, True)}, {"c": ["b", batched.RARE], "year": ["2"]}, {"c": ["a", "b"], "year": ["1", "2"]})
+    n = np.array([0.5, np.nan, 4.0, 1.0, 2.0])
+    texts = np.array(["a", "b", "z", "b", "new"], object)
+    coded = batched.Coded(np.array([2, 0, 1, 0, 3]), ["b", "z", "a", "new"])
+    assert np.asarray(coded).tolist() == texts.tolist() and np.asarray(coded[n > 1]).tolist() == ["z", "new"]
+    frame = {"n": n, "m": np.float64(3.0), "b": np.array([0, 1, np.nan, 1, 0.0]), "year": np.full(5, "2", object)}
+    want = d.matrix(frame | {"c": texts}, 5)
+    assert d.names() == ["intercept", "n", "n__missing", "m", "b", "b__missing", "c=b", f"c={batched.RARE}", "year=2"]
+    assert want[:, 6].tolist() == [0, 1, 0, 1, 0] and want[:, 7].tolist() == [0, 0, 1, 0, 1] and want[:, 8].tolist() == [1] * 5
+    b = np.arange(1.0, 10)
+    for c in (texts, coded):
+        for year in (np.full(5, "2", object), "2"):
+            f = frame | {"c": c, "year": year}
+            assert (d.matrix(f, 5) == want).all() and np.allclose(d.margin(f, 5, b), want @ b, rtol=1e-14)
+
+
+def test_work_is_spread_over_all_cores(spark, study, monkeypatch):
+    """The table has few bytes, which adaptive execution would put into one file and thus one task."""
+    plan, found = mediation.Plan(horizon=3, simulations=2, replicate_simulations=1), []
+
+    def seen(rows, models, plan, reps):
+        found.extend(rows.groupBy(F.spark_partition_id()).count().collect())
+        return spark.createDataFrame([], mediation.RESULT)
+
+    members = study[0].withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(29)))).withColumn("match_group", F.col("match_group") * 100 + F.col("copy")).drop("copy")
+    monkeypatch.setattr(mediation, "replicates_of", seen)
+    mediation.mediation(members, *study[1:], plan, 0)
+    cores = spark.sparkContext.defaultParallelism
+    assert len(found) == cores > 1 and max(r["count"] for r in found) < 1.5 * sum(r["count"] for r in found) / cores
+    assert [mediation.spread(members, n, 10).rdd.getNumPartitions() for n in (5, 10 * cores, 10 * cores + 1)] == [cores, cores, 2 * cores]
+
+
 def test_a_stopped_run_goes_on(spark, study, monkeypatch):
     plan = mediation.Plan(horizon=3, simulations=2, replicate_simulations=1, at_once=3)
     at = f"{catalog.models.root_of(spark)}/replicates-{id(plan)}"
