@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as b
 from .components import connected_components
-from .storage import groups_for, keyed, lookup, materialize, text_bytes
+from .storage import groups_for, keyed, lookup, materialize, merged, text_bytes
 
 BANDS, ROWS = 26, 5
 SALTS = 8  # shares of a hot bucket or set beyond the size of a broadcast
@@ -149,13 +149,15 @@ def _alike(least: int):
 
 def _full(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs confirmed on their full sets."""
-    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("left")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("right")), "v")
+    both = merged(pairs, texts.select(F.col("doc_id").alias("u"), F.col("text").alias("left")), "u")
+    both = merged(both, texts.select(F.col("doc_id").alias("v"), F.col("text").alias("right")), "v")
     return both.select("u", "v", "left", "right").mapInArrow(_verify(width, percent), "u long, v long")
 
 
 def _confirm(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, percent: int, hashes: int) -> DataFrame:
     pairs = pairs.distinct()
-    signed = pairs.join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("su")), "u").join(sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("sv")), "v")
+    signed = merged(pairs, sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("su")), "u")
+    signed = merged(signed, sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("sv")), "v")
     # six standard deviations below the threshold: misses are rarer than those of the banding
     t = percent / 100
     least = int(hashes * t - 6 * (hashes * t * (1 - t)) ** 0.5)
@@ -247,37 +249,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     again = materialize(signed.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).filter("times > 1").select("doc_id"))
     if again.limit(1).count():
         worded = F.when(F.col("text").rlike("(?U)\\S"), F.col("text"))
-        least_text = materialize(own.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(worded).alias("text")))
-        some = some.join(again, "doc_id", "left_anti").unionByName(materialize(least_text.mapInArrow(_sign(width, bands, rows), SIGNED)).filter("print is not null"))
-        own = own.join(again, "doc_id", "left_anti").unionByName(least_text)
+        least_text = materialize(merged(own, again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(worded).alias("text")))
+        some = merged(some, again, "doc_id", "left_anti").unionByName(materialize(least_text.mapInArrow(_sign(width, bands, rows), SIGNED)).filter("print is not null"))
+        own = merged(own, again, "doc_id", "left_anti").unionByName(least_text)
     leader = materialize(some.groupBy("print").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("top")))
     shared = leader.filter("leader != top").select("print", "leader")
     exact = lookup(some.select("doc_id", "print"), shared, ["print"], ["doc_id"], salts=SALTS).filter("doc_id != leader").select(F.col("leader").alias("u"), F.col("doc_id").alias("v")).distinct()
     # one row a set; a doc_id has one row by now
-    single = materialize(some.join(leader.select(F.col("leader").alias("doc_id")), "doc_id", "left_semi"))
+    single = materialize(merged(some, leader.select(F.col("leader").alias("doc_id")), "doc_id", "left_semi"))
     members = single.select("doc_id", F.explode("bands").alias("bucket"))
     least = materialize(members.groupBy("bucket").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("top")).filter("u != top").select("bucket", "u"))
     crowded = materialize(lookup(members, least, ["bucket"], ["doc_id"], salts=SALTS).select("bucket", "u", F.col("doc_id").alias("v")))
     sketches = single.select("doc_id", "sketch")
     # the texts of both passes: of documents that share a bucket with another
     crowd = crowded.filter("u != v").select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = materialize(own.join(crowd, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    texts = materialize(merged(own, crowd, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
     hashes = bands * rows
     links = materialize(_confirm(crowded.filter("u != v").select("u", "v"), sketches, texts, width, percent, hashes).unionByName(exact))
     found = connected_components(links)
     # second pass: only across components
-    placed = materialize(crowded.select("bucket", F.col("v").alias("node")).join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")))
+    placed = materialize(merged(crowded.select("bucket", F.col("v").alias("node")), found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")))
     mixed = materialize(placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("bucket"))
     placed = materialize(lookup(placed, mixed, ["bucket"], ["node"], "left_semi", salts=SALTS))
-    left = texts.join(placed.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    left = merged(texts, placed.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     shards = groups_for(text_bytes(left), 8 << 20)
     sizes = left.mapInArrow(_own_shingles(width, shards), OWN).groupBy("p").applyInArrow(_count_own, "doc_id long, own long, n long").groupBy("doc_id").agg(F.sum("n").alias("n"), (F.sum("n") - F.sum("own")).alias("r"))
-    sized = materialize(placed.join(sizes.withColumnRenamed("doc_id", "node"), "node"))
+    sized = materialize(merged(placed, sizes.withColumnRenamed("doc_id", "node"), "node"))
     smallest = materialize(sized.groupBy("bucket").agg(F.min("n").alias("least_n")))
     able = lookup(sized, smallest, ["bucket"], ["node"], salts=SALTS).filter(F.expr(f"{100 + percent} * r >= {percent} * (n + least_n)")).drop("least_n")
     bands_of = single.select(F.col("doc_id").alias("node"), F.col("bands").alias("all"))
     fine = left.mapInArrow(_fine(width), "node long, fine array<long>")
-    able = materialize(able.join(bands_of, "node").join(fine, "node"))
+    able = materialize(merged(merged(able, bands_of, "node"), fine, "node"))
     # a bucket with many members is cut into cells of CELL x CELL; its rows go to all cells of their row or column
     cuts = materialize(able.groupBy("bucket").agg(F.ceil(F.count("*") / cell).alias("cuts")).filter("cuts > 1"))
     able = lookup(able, cuts, ["bucket"], ["node"], "left", salts=SALTS)
@@ -290,11 +292,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     least_bits = int(FINE * p - 4.5 * (FINE * p * (1 - p)) ** 0.5)
     same_bits = " + ".join(f"64 - bit_count(fu[{k}] ^ fv[{k}])" for k in range(FINE // 64))
     first = "bucket = filter(au, x -> array_contains(av, x))[0]"
-    across = one.join(two, ["bucket", "row", "column"]).filter(F.expr(f"u < v and cu != cv and {100 + percent} * least(ru, rv) >= {percent} * (nu + nv) and {same_bits} >= {least_bits} and {first}")).select("u", "v").join(crowded.select("u", "v"), ["u", "v"], "left_anti")
+    near = F.expr(f"u < v and cu != cv and {100 + percent} * least(ru, rv) >= {percent} * (nu + nv) and {same_bits} >= {least_bits} and {first}")
+    across = merged(merged(one, two, ["bucket", "row", "column"]).filter(near).select("u", "v"), crowded.select("u", "v"), ["u", "v"], "left_anti")
     more = materialize(_full(across.distinct(), texts, width, percent))
     if more.limit(1).count():
         found = connected_components(links.unionByName(more))
-    return signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+    return merged(signed.select("doc_id", "n_shingles"), found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept")
     )
 
@@ -307,5 +310,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows, key = keyed(docs)
     found = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "component_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", key)
-    kept = found.join(rows.select(key, "doc_id"), key).groupBy("component_id").agg(F.min(order)[key].alias(key)).select(key)
-    return rows.join(kept, key, "left_semi").select(docs.columns)
+    kept = merged(found, rows.select(key, "doc_id"), key).groupBy("component_id").agg(F.min(order)[key].alias(key)).select(key)
+    return merged(rows, kept, key, "left_semi").select(docs.columns)

@@ -42,18 +42,24 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
     fs.deleteOnExit(fs.makeQualified(at))
 
 
+def merged(one: DataFrame, other: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """one joined with other by sorting and merging both.  Left to itself, Spark broadcasts what it takes for small by the bytes of
+    files; these are compressed, and rows that explode adds don't count, so the driver could get a table of any size."""
+    return one.join(other.hint("merge"), on, how)
+
+
 def lookup(big: DataFrame, small: DataFrame, on: list[str], by: list[str], how: str = "inner", most_rows: int = 200_000, salts: int = 32) -> DataFrame:
     """big joined with small, which has one row a key of a few numbers.
 
     small is broadcast where it is measured to have at most most_rows rows.  Otherwise both are hashed on the key and a
     salt: a hot key's rows of big (salted by the hash of their columns `by`) spread over salts, and small has every row once
-    a salt.  The result is the same.
+    a salt, and never broadcast.  The result is the same.
     """
     if small.limit(most_rows + 1).count() <= most_rows:
         return big.join(F.broadcast(small), on, how)
     salt = fresh(big, "_salt")
     spread = small.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return big.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(salts))).join(spread, [*on, salt], how).drop(salt)
+    return merged(big.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(salts))), spread, [*on, salt], how).drop(salt)
 
 
 def by_hub(big: DataFrame, small: DataFrame, on: str, by: str, degree: str, most: int = 100_000, most_hubs: int = 200_000) -> DataFrame:
@@ -67,13 +73,13 @@ def by_hub(big: DataFrame, small: DataFrame, on: str, by: str, degree: str, most
     hubs = small.filter(F.col(degree) > most).select(on, F.ceil(F.col(degree) / most).alias("_shares"))
     n = hubs.limit(most_hubs + 1).count()
     if not n:
-        return big.join(small.drop(degree), on)
+        return merged(big, small.drop(degree), on)
     if n > most_hubs:
         return lookup(big, small.drop(degree), [on], [by])
     salt = F.pmod(F.xxhash64(by), F.coalesce("_shares", F.lit(1))).alias("_salt")
     spread = big.join(F.broadcast(hubs), on, "left").select(*big.columns, salt)
     shares = F.sequence(F.lit(0).cast("long"), F.ceil(F.greatest(F.col(degree), F.lit(1)) / most) - 1)
-    return spread.join(small.withColumn("_salt", F.explode(shares)).drop(degree), [on, "_salt"]).drop("_salt")
+    return merged(spread, small.withColumn("_salt", F.explode(shares)).drop(degree), [on, "_salt"]).drop("_salt")
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:
